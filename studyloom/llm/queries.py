@@ -31,8 +31,15 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.id_files import read_id_files, write_id_files
+
+    path = write_id_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return read_id_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_pieces": op6_pieces}
+    return {"op6_pieces": op6_pieces, "op8_id_files": op8_id_files}
 
 
 def oracle_sql() -> dict[str, str]:
