@@ -22,7 +22,7 @@ from studyloom.llm.storage import with_columns
 
 MARK = "▁"
 #: Distinct words kept by a worker before it starts anew; bounds its memory.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: Characters of new words merged at once; bounds the size of the flat arrays.
 MERGE_CHARS = 120_000
 
@@ -180,7 +180,7 @@ class PieceModel:
         """Texts of the id lists that begin at ``starts`` (its last entry is the end)."""
         length = self.out_len[ids]
         end = np.cumsum(length)
-        at = np.repeat(self.out_at[ids] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)
+        at = np.repeat((self.out_at[ids] - (end - length)).astype(np.int32), length) + np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32)
         flat = self.out[at].tobytes()
         edge_all = np.r_[0, end]
         edge = edge_all[starts]
@@ -283,7 +283,7 @@ class Encoder:
         n = sizes[which]
         end = np.cumsum(n)
         total = int(end[-1]) if len(end) else 0
-        ids = flat[np.repeat(first[which] - (end - n), n) + np.arange(total)]
+        ids = flat[np.repeat((first[which] - (end - n)).astype(np.int32), n) + np.arange(total, dtype=np.int32)]
         edge = np.r_[0, np.cumsum(per)].astype(np.int64)
         return ids, np.diff(np.r_[0, end][edge])
 
@@ -317,7 +317,7 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _slices(texts: list, chars: int = 8_000_000):
+def _slices(texts: list, chars: int = 1_500_000):
     """Parts of a batch with at most so many characters, or one text."""
     a, n = 0, 0
     for b, t in enumerate(texts):
@@ -350,11 +350,17 @@ def decode_pieces(ids: Column, model_file: str) -> Column:
     @F.arrow_udf(T.StringType())
     def decode(column: pa.Array) -> pa.Array:
         model = _encoder(model_file).model
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
         if len(flat) and (flat.min() < 0 or flat.max() >= model.n):
             raise ValueError("an id is outside the vocabulary")
         lens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array(model.decode(flat, np.r_[0, np.cumsum(lens)].astype(np.int64)), pa.string())
+        starts = np.r_[0, np.cumsum(lens)].astype(np.int64)
+        texts, a = [], 0
+        while a < len(lens):  # some hundred thousand ids at once
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + 400_000, "right")) - 1)
+            texts.append(pa.array(model.decode(flat[starts[a] : starts[b]], starts[a : b + 1] - starts[a]), pa.string()))
+            a = b
+        return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
 
     return decode(ids)
 
