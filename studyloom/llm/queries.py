@@ -38,8 +38,20 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_id_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.quality import apply_rules, thresholds
+    from studyloom.llm.storage import materialise
+    from studyloom.llm.text_stats import add_stats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rated = materialise(add_stats(docs).drop("text"), "stats")
+    limits = materialise(thresholds(rated), "thresholds")
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return apply_rules(rated, limits).select("doc_id", *[F.col(f"stats.{f}").alias(f) for f in fields], "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_pieces": op6_pieces, "op8_id_files": op8_id_files}
+    return {"op6_pieces": op6_pieces, "op8_id_files": op8_id_files, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
