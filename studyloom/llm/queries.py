@@ -50,8 +50,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(rated, limits).select("doc_id", *[F.col(f"stats.{f}").alias(f) for f in fields], "base_failed", "kept")
 
 
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm import secrets as S
+
+    found = S.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(S.span_text(F.filter("spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
+        S.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_pieces": op6_pieces, "op8_id_files": op8_id_files, "op10_quality_rules": op10_quality_rules}
+    return {"op6_pieces": op6_pieces, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
