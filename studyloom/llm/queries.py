@@ -31,6 +31,13 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from studyloom.llm.id_files import read_id_files, write_id_files
 
@@ -66,7 +73,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_pieces": op6_pieces, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
+    return {"op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
