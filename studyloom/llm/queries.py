@@ -18,6 +18,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.html_paths import extract_pages
+
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from studyloom.llm.pieces import encode_documents
 
@@ -73,7 +80,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
+    return {"op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
