@@ -18,6 +18,45 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.decontam import hits
+
+    found = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, list_slice(w, s, s + 9) AS g, least(len(w), 10) AS size
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM items WHERE len(w) > 0)
+), starts AS (
+  SELECT doc_id, s, size, list_slice(w, s, s + size - 1) AS g
+  FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s FROM words, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size)
+), found AS (
+  SELECT doc_id, s, starts.size AS size, item_id FROM starts JOIN wins ON starts.g = wins.g
+), n_hit AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM (SELECT DISTINCT doc_id, s, size FROM found)) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def op5_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from studyloom.llm.html_paths import extract_pages
 
@@ -80,8 +119,8 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": OP1_SQL}
