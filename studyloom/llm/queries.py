@@ -57,6 +57,13 @@ FROM words LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.ctw import score_documents
+
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
+
+
 def op5_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from studyloom.llm.html_paths import extract_pages
 
@@ -119,7 +126,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op2_ctw": op2_ctw, "op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
