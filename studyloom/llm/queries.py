@@ -64,6 +64,21 @@ def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
 
 
+def op3_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.trie_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model")).drop("text")
+
+
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from studyloom.llm.rules import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held)
+    return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op5_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from studyloom.llm.html_paths import extract_pages
 
@@ -125,8 +140,14 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_ctw": op2_ctw, "op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op2_ctw": op2_ctw, "op3_trie_counts": op3_trie_counts, "op4_rule_ensemble": op4_rule_ensemble, "op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

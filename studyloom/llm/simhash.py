@@ -242,7 +242,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     """The documents whose id is their component's; of rows that share that id, one.
 
     Rows with a null id stay if nothing with an id is linked to them."""
-    found = near_duplicates(docs, id_col, text).select(F.col("doc_id").alias("_id"), "component_id")
-    keep = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    found = materialise(near_duplicates(docs, id_col, text).select(F.col("doc_id").alias("_id"), "component_id"), "classes")
+    keep = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.count("*").alias("_n"))
+    kept = docs.join(keep.select("_id"), docs[id_col].eqNullSafe(keep["_id"]), "left_semi")
+    # texts are dealt out by id only if some id has several rows
+    return kept.dropDuplicates([id_col]) if keep.where("_n > 1").take(1) else kept
