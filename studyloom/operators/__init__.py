@@ -1 +1 @@
-"""Part of studyloom."""
+"""Stage operators: functions from DataFrames to DataFrames."""
