@@ -28,7 +28,7 @@ def normalised(x: Column) -> Column:
 def with_threshold(decision: Column, confidence: Column, incomplete: Column, stage: str, reporting: bool, threshold: float | None) -> Column:
     """Decision after the confidence rule. An incomplete full text wins over it."""
     active = reporting and threshold is not None and 0.0 <= threshold <= 1.0
-    out = F.when(confidence < threshold, "EXCLUDED").otherwise(decision) if active else decision
+    out = F.when(decision.isNotNull() & (confidence < threshold), "EXCLUDED").otherwise(decision) if active else decision
     if stage == "fulltext":
         out = F.when(F.coalesce(incomplete, F.lit(False)), "FULLTEXT_INCOMPLETE").otherwise(out)
     return out

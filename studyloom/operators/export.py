@@ -45,10 +45,15 @@ def nimads_studies(studies: DataFrame) -> DataFrame:
     return studies.select("pos", study.alias("study"))
 
 
+def _by_pos(a: Column, b: Column) -> Column:
+    """Studies hold maps, which have no order of their own."""
+    return F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+
+
 def nimads_studyset(studies: DataFrame, set_id: str, name: str = "studyset") -> DataFrame:
     """The document, one row. It is one value by its format: its size is that of
     the included studies of one review."""
-    rows = nimads_studies(studies).agg(F.array_sort(F.collect_list(F.struct("pos", "study"))).alias("s"))
+    rows = nimads_studies(studies).agg(F.array_sort(F.collect_list(F.struct("pos", "study")), _by_pos).alias("s"))
     none = F.lit(None).cast("string")
     return rows.select(F.lit(set_id).alias("id"), F.lit(name).alias("name"), none.alias("description"), none.alias("publication"), none.alias("doi"), none.alias("pmid"), F.transform("s", lambda x: x["study"]).alias("studies"))
 
