@@ -77,14 +77,15 @@ def quantiles(cells: DataFrame, points: dict[str, float]) -> DataFrame:
 def thresholds(docs: DataFrame) -> DataFrame:
     """(lang, source, <measure>_max...) for each lang and source of documents with
     stats. Null lang or source is a group of its own."""
-    q = quantiles(sketches(docs), {"low": 0.1, "mid": 0.5})
+    q = quantiles(materialise(sketches(docs), "sketches"), {"low": 0.1, "mid": 0.5})
     slack = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
     q = q.withColumn("most", F.col("mid") + SPREADS * F.greatest(F.col("mid") - F.col("low"), slack)).select("level", "lang", "source", "measure", "total", "most")
     wide = lambda level, *keys: q.where(F.col("level") == level).groupBy(*keys).agg(F.max("total").alias(f"n{level}"), *[F.max(F.when(F.col("measure") == k, F.col("most"))).alias(f"{k}_{level}") for k in SLACK])
     own, lang, every = wide(2, "lang", "source"), wide(1, "lang").withColumnRenamed("lang", "l"), wide(0)
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(every), F.lit(True), "left")  # ``every`` has one row
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left")
+    whole = every.first() or {}  # one row, none for an empty table
     pick = lambda k: F.least(F.when(F.col("n2") >= MIN_DOCS, F.col(f"{k}_2")).otherwise(up(k)), PARENT * up(k))
-    up = lambda k: F.when(F.col("n1") >= MIN_DOCS, F.col(f"{k}_1")).otherwise(F.col(f"{k}_0"))
+    up = lambda k: F.when(F.col("n1") >= MIN_DOCS, F.col(f"{k}_1")).otherwise(F.lit(whole[f"{k}_0"] if whole else 0.0))
     return joined.select("lang", "source", *[pick(k).alias(f"{k}_max") for k in SLACK])
 
 
