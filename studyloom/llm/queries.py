@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,6 +141,55 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op9_sql() -> str:
+    from studyloom.llm.secrets import ACCESS, ASSIGN, GENERIC, HEX, WIDE_OWNERS
+
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = [(0, "assign", ASSIGN, 2, 6), (1, "access", ACCESS, 0, 20), (2, "hex", HEX, 0, 24), (3, "generic", GENERIC, 0, 24)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, source, {k} AS kind, '{name}' AS name, p, m, {least} AS least, regexp_extract_all(t, {quoted(p)}, {g}) AS g FROM (SELECT doc_id, source, t, string_split_regex(t, {quoted(p)}) AS p, regexp_extract_all(t, {quoted(p)}) AS m FROM d WHERE regexp_matches(t, {quoted(p)}))"
+        for k, name, p, g, least in kinds
+    )
+    return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), f AS ({found}),
+    e AS (SELECT doc_id, source, kind, name, least, unnest(generate_series(1, len(m))) AS i, p, m, g FROM f),
+    s AS (SELECT doc_id, source, kind, name, g[i] AS value, least,
+      CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a,
+      CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT) AS b FROM e),
+    c AS (SELECT * FROM s WHERE length(value) >= least AND (kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))),
+    o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM c GROUP BY value),
+    k AS (SELECT c.* FROM c JOIN o USING (value) WHERE kind < 3 OR (owners < {WIDE_OWNERS} AND len(list_distinct(string_split(value, ''))) >= 10
+      AND NOT EXISTS (SELECT 1 FROM c x WHERE x.doc_id = c.doc_id AND x.kind < 3 AND x.a < c.b AND c.a < x.b))),
+    r AS (SELECT doc_id, count_if(kind = 0) AS n0, count_if(kind = 1) AS n1, count_if(kind = 2) AS n2, string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) AS spans,
+      string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (kind < 3) AS base FROM k GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)"""
+
+
+def _op10_sql() -> str:
+    from studyloom.llm import quality as Q
+
+    measures = "[" + ", ".join(f"{{'m': '{m}', 'v': {m}, 'slack': {Q.SLACK[m]}}}" for m in Q.SLACK) + "]"
+    levels = " UNION ALL ".join(f"SELECT {k} AS level, {lang} AS lang, {source} AS source, m, slack, bin, count(*) AS n FROM cells GROUP BY ALL" for k, lang, source in ((2, "lang", "source"), (1, "lang", "NULL"), (0, "NULL", "NULL")))
+    at = lambda q: f"min(bin) FILTER (upto >= floor((total - 1) * {q}) + 1)"
+    value = lambda b: f"CASE WHEN {b} > {Q.ZERO_BIN} THEN 2 * pow({Q.GAMMA!r}, {b}) / ({Q.GAMMA!r} + 1) ELSE 0 END"
+    blank = r"[^\x20\x09-\x0D]"
+    return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, lang, source, t, regexp_extract_all(t, '{blank}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{blank}')) AS l FROM d),
+    grams AS (SELECT doc_id, i, w[i:i+2] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) > 2)),
+    often AS (SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
+    rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams JOIN often USING (doc_id, g)) GROUP BY doc_id),
+    s AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(t, '[^a-z]', '', 'g')) AS low FROM w LEFT JOIN rep USING (doc_id)),
+    r AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_rate, CASE WHEN up + low > 0 THEN up / (up + low) ELSE 0 END AS upper_rate, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_rate FROM s),
+    x AS (SELECT doc_id, lang, source, unnest({measures}, recursive := true) FROM r),
+    cells AS (SELECT lang, source, m, slack, CASE WHEN v > {Q.LEAST} THEN CAST(ceil(ln(v) / {math.log(Q.GAMMA)!r}) AS INTEGER) ELSE {Q.ZERO_BIN} END AS bin FROM x),
+    lv AS ({levels}), cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS total FROM lv),
+    q AS (SELECT level, lang, source, m, slack, total, {at(0.1)} AS lo, {at(0.5)} AS mid FROM cum GROUP BY level, lang, source, m, slack, total),
+    lim AS (SELECT level, lang, source, m, total, {value("mid")} + {Q.SPREADS} * greatest({value("mid")} - {value("lo")}, slack) AS most FROM q),
+    up AS (SELECT o.lang, o.source, o.m, o.total, o.most, CASE WHEN l.total >= {Q.MIN_DOCS} THEN l.most ELSE g.most END AS above FROM lim o JOIN lim l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.m = o.m JOIN lim g ON g.level = 0 AND g.m = o.m WHERE o.level = 2),
+    bad AS (SELECT DISTINCT x.doc_id FROM x JOIN up ON up.lang IS NOT DISTINCT FROM x.lang AND up.source IS NOT DISTINCT FROM x.source AND up.m = x.m WHERE x.v > least(CASE WHEN up.total >= {Q.MIN_DOCS} THEN up.most ELSE up.above END, {Q.PARENT} * up.above))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {100 * Q.MAX_REPEAT:.0f} * n_words) AS base_failed,
+      NOT (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {100 * Q.MAX_REPEAT:.0f} * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM r"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -151,4 +201,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op9_secret_ownership": _op9_sql(), "op10_quality_rules": _op10_sql()}
