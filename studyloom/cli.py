@@ -78,28 +78,20 @@ def main(argv: list[str] | None = None) -> int:
         counts = {k: (len(v.get("inclusion_criteria") or []), len(v.get("exclusion_criteria") or [])) for k, v in stages.items()}
         print(f"valid: {config.output.directory}; criteria " + ", ".join(f"{k} {i}+{e}" for k, (i, e) in counts.items()))
         return 0
+    from studyloom.engines import PubMedSearch, StoredSearch
     from studyloom.operators.models import HttpClient, ReplayClient
     from studyloom.pipeline import Review
     from studyloom.session import get_session
-    from studyloom.sources import pubmed
 
     spark = get_session()
 
-    def search(session, s):
-        if a.studies:
-            return session.read.parquet(a.studies)
-        ids = None
-        if s.query.strip():
-            ids = pubmed.search_ids(session, pubmed.build_query(s.query, s.date_from, s.date_to), s.max_results, s.email).select("pmid")
-        if s.pmids_list or s.pmids_file:
-            more = pubmed.read_ids(session, s.pmids_list, s.pmids_file).select("pmid")
-            ids = more if ids is None else ids.union(more)
-        return pubmed.studies(pubmed.articles(pubmed.fetch_xml(ids.repartition(a.num_workers))))
-
+    engine = StoredSearch(a.studies) if a.studies else PubMedSearch(workers=a.num_workers)
     client = ReplayClient(spark.read.parquet(a.responses)) if a.responses else HttpClient(config.screening.abstract["model"])
     texts = spark.read.parquet(a.fulltexts) if a.fulltexts else None
-    review = Review(spark, config, client, search, texts, a.force_reextract_incomplete_fulltext)
-    print(json.dumps(review.run({"run": None, "run-search": "search", "run-abstract": "abstract"}[a.command])))
+    review = Review(spark, config, client, engine.search, texts, a.force_reextract_incomplete_fulltext)
+    stats = review.run({"run": None, "run-search": "search", "run-abstract": "abstract"}[a.command])
+    for name, n in stats.items():
+        print(f"{name.replace('_', ' ')}: {n}")
     return 0
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from studyloom import config as cfg
 from studyloom import schemas
+from studyloom.engines import LocalRetriever
 from studyloom.functions import prompts
 from studyloom.functions import status as st
 from studyloom.operators import annotation, export, models, relational, report, retrieval, screening
@@ -94,12 +95,17 @@ class Review:
 
     def run_retrieval(self, studies: DataFrame) -> DataFrame:
         rows = retrieval.in_scope(studies, self.config.retrieval.load_excluded)
-        if self.fulltexts is None:
-            return conform(rows)
+        if self.config.retrieval.full_text_sources and self.fulltexts is None:
+            local = LocalRetriever(self.config.retrieval.full_text_sources)
+            self.fulltexts = self.save(local.texts(self.spark), "fulltexts")
+            return conform(local.retrieve(conform(rows)))
+        return conform(rows if self.fulltexts is None else self.given_texts(rows))
+
+    def given_texts(self, rows: DataFrame) -> DataFrame:
         have = self.fulltexts.where("body is not null").groupBy("pmid").agg(F.first("path").alias("_path") if "path" in self.fulltexts.columns else F.lit(None).cast("string").alias("_path"))
         joined = rows.join(have.withColumn("_got", F.lit(True)), "pmid", "left")
         got = F.col("_got") & F.col("retrieval_in_scope")
-        return conform(
+        return (
             joined.withColumn("fulltext_available", F.coalesce(got, F.lit(False)) | F.coalesce("fulltext_available", F.lit(False)))
             .withColumn("full_text_path", F.coalesce("full_text_path", F.when(got, F.col("_path"))))
             .withColumn("full_text_source", F.coalesce("full_text_source", F.when(got, F.lit("full_text_source_1"))))
@@ -155,6 +161,8 @@ class Review:
         sinks.nested(final.drop("pos").withColumn("pos", F.coalesce("pmid", F.lit(""))), "studies", self.path("final_results.json"), ["pos"])
         missing = report.missing_fulltexts(studies, self.root)
         sinks.csv_file(missing, self.path("missing_fulltexts.csv"))
+        sinks.lines(missing.select("pmid"), "pmid", self.path("missing_fulltexts.txt"))
+        self.export_tables(studies, decisions)
         if self.config.output.nimads:
             rows = export.exportable(studies, self.config.output.export_excluded_studies)
             set_id = time.strftime("%Y%m%d_%H%M%S")
@@ -169,6 +177,20 @@ class Review:
                 sinks.json_row(made, self.path("nimads_annotation.json"), as_list=True)
         return counts
 
+    def export_tables(self, studies: DataFrame, decisions: DataFrame | None) -> None:
+        """JSON forms of the working tables, for people and other tools."""
+        sinks.nested(conform(self.table("search")).select("pmid", "title", "abstract", "authors", "journal", "publication_date", "doi", "keywords", "status", "pmcid"), "studies", self.path("search_results.json"), ["pmid"])
+        for stage in ("abstract", "fulltext"):
+            results = self.table(f"{stage}_screening")
+            if results is not None:
+                sinks.nested(results, "screening_results", self.path(f"{stage}_screening_results.json"), ["study_id"])
+        sinks.nested(retrieval.report(studies), "studies", self.path("fulltext_retrieval_results.json"), ["pmid"])
+        parsed = studies.where((F.col("status") == st.INCLUDED_FULLTEXT) & F.coalesce(F.size("analyses") > 0, F.lit(False))).select("pmid", "analyses")
+        if not parsed.isEmpty():
+            sinks.nested(parsed, "studies", self.path("coordinate_parsing_results.json"), ["pmid"])
+        if decisions is not None:
+            sinks.nested(decisions.drop("pos"), None, self.path("annotation_results.json"), annotation.KEY)
+
     def run(self, stop_after: str | None = None) -> dict:
         """Counts of the run. ``stop_after`` is search, abstract or full."""
         cut = stop_after.strip().lower() if stop_after else None

@@ -158,3 +158,43 @@ def nimads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     keys = F.map_filter("a.note_keys", lambda _, kind: kind == "boolean")
     notes = first.select(keys.alias("k"), F.explode("a.notes").alias("n")).select("k", F.col("n.analysis").alias("analysis_id"), F.explode("n.note").alias("column", "value"))
     return points, notes.where(F.map_contains_key("k", F.col("column"))).select("column", "analysis_id", F.coalesce("value", F.lit(False)).alias("value"))
+
+
+def coordinate_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(pmid, analyses) of stored parsing results; an analysis without the mark
+    counts as parsed."""
+    schema = f"struct<studies:array<struct<pmid:string,analyses:{schemas.STUDY['analyses'].dataType.simpleString()}>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("f")).select(F.explode("f.studies").alias("s")).select("s.*")
+    return rows.withColumn("analyses", F.transform("analyses", lambda a: a.withField("parsed", F.coalesce(a["parsed"], F.lit(True)))))
+
+
+def with_cached_analyses(studies: DataFrame, cached: DataFrame) -> DataFrame:
+    """Stored analyses for studies that have no parsed one, of any state."""
+    parsed = F.coalesce(F.exists("analyses", lambda a: F.coalesce(a["parsed"], F.lit(False))), F.lit(False))
+    one = cached.dropDuplicates(["pmid"]).select("pmid", F.col("analyses").alias("_cached"))
+    joined = studies.join(one, "pmid", "left")
+    return joined.withColumn("analyses", F.when(~parsed & F.col("_cached").isNotNull(), F.col("_cached")).otherwise(F.col("analyses"))).drop("_cached")
+
+
+def criteria_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(scope, kind, id, text) of a stored criteria mapping; an unreadable file has none."""
+    part = "map<string,string>"
+    kinds = f"struct<inclusion:{part},exclusion:{part}>"
+    schema = f"struct<screening:struct<abstract:{kinds},fulltext:{kinds}>,annotation:struct<global:{kinds},local:map<string,{kinds}>>>"
+    f = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("f"))
+    fixed = F.create_map(F.lit("abstract"), F.col("f.screening.abstract"), F.lit("fulltext"), F.col("f.screening.fulltext"), F.lit("global"), F.col("f.annotation.global"))
+    scopes = f.select(F.explode(F.map_concat(fixed, F.coalesce(F.col("f.annotation.local"), F.create_map().cast(f"map<string,{kinds}>")))).alias("scope", "k"))
+    lists = scopes.select("scope", F.explode(F.create_map(F.lit("inclusion"), F.col("k.inclusion"), F.lit("exclusion"), F.col("k.exclusion"))).alias("kind", "m"))
+    return lists.select("scope", "kind", F.explode("m").alias("id", "text"))
+
+
+def table_files(spark: SparkSession, folder: str, info: DataFrame | None = None) -> DataFrame:
+    """(table_id, path, raw_table, table_caption...) of the CSV files below a folder;
+    ``info`` has ``table_data_file`` and metadata, the last row of a file counts."""
+    rows = texts(spark, folder).where(tx.suffix(F.col("path")) == ".csv")
+    rows = rows.where(tx.file_name(F.col("path")).rlike("^pmcid")).select(tx.stem(F.col("path")).alias("table_id"), "path", F.col("body").alias("raw_table"))
+    if info is None:
+        return rows
+    kept = info.withColumn("_pos", F.monotonically_increasing_id()).groupBy(tx.file_name(F.col("table_data_file")).alias("_file")).agg(*[F.max_by(c, "_pos").alias(c) for c in info.columns if c not in ("table_data_file", "table_id")])
+    joined = rows.withColumn("_file", tx.file_name(F.col("path"))).join(kept, "_file", "left").drop("_file")
+    return joined.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c.startswith("table_") and c != "table_id" else F.col(c) for c in joined.columns])

@@ -30,12 +30,15 @@ def document(df: DataFrame, path: str) -> None:
     fs.delete(sc._jvm.org.apache.hadoop.fs.Path(tmp), True)
 
 
-def nested(df: DataFrame, name: str, path: str, order: list[str], keep_nulls: bool = True) -> None:
-    """``{name: [rows], timestamp}`` with rows in order."""
+def nested(df: DataFrame, name: str | None, path: str, order: list[str], keep_nulls: bool = True) -> None:
+    """``{name: [rows], timestamp}`` with rows in order, or the list alone."""
     nulls = {"ignoreNullFields": str(not keep_nulls).lower()}
     rows = df.select(F.struct(*order, F.to_json(F.struct(*df.columns), nulls).alias("row")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("a"))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     body = F.array_join(F.transform("a", lambda x: x["row"]), ", ")
+    if name is None:
+        document(rows.select(F.concat(F.lit("["), body, F.lit("]"))), path)
+        return
     document(rows.select(F.concat(F.lit(f'{{"{name}": ['), body, F.lit('], "timestamp": "'), now, F.lit('"}'))), path)
 
 
@@ -57,6 +60,12 @@ def csv_file(df: DataFrame, path: str) -> None:
     fs.delete(sc._jvm.org.apache.hadoop.fs.Path(tmp), True)
 
 
+def lines(df: DataFrame, column: str, path: str) -> None:
+    """One column, in its order, a value on each line."""
+    rows = df.agg(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n"))
+    document(rows, path)
+
+
 def new_version(df: DataFrame, path: str) -> None:
     """Overwrite a Parquet table that ``df`` may itself read: the new version is
     written beside it, then takes its place."""

@@ -88,6 +88,33 @@ def test_csv_folder(spark, tmp_path):
         files.coordinates(spark, str(tmp_path / "tables.csv"))
 
 
+def test_engines(spark, tmp_path):
+    from studyloom.engines import CsvFolderRetriever, LocalRetriever, PubMedSearch
+
+    for folder, names in (("a", ("1.txt",)), ("b", ("1.txt", "2.txt"))):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / n).write_text(f"{folder} {n}")
+    schema = "pmid string, pmcid long, full_text_path string, full_text_source string, fulltext_available boolean, retrieval_in_scope boolean, retrieved_at timestamp"
+    studies = spark.createDataFrame([("1", 11, None, None, None, True, None), ("2", 12, None, None, None, False, None), ("3", 13, None, None, None, True, None)], schema)
+    local = LocalRetriever([{"root_path": str(tmp_path / "a"), "name": "first"}, {"root_path": str(tmp_path / "b")}])
+    got = local.retrieve(studies)
+    assert {r["pmid"]: r["full_text_source"] for r in got.collect()} == {"1": "first", "2": None, "3": None}
+    assert [r["pmid"] for r in local.missing(got).collect()] == ["3"]
+    (tmp_path / "metadata.csv").write_text("pmcid\n11\n")
+    (tmp_path / "text.csv").write_text("pmcid,body\n13,x\n")
+    asked = []
+    folder = CsvFolderRetriever(str(tmp_path), lambda ids: asked.extend(r["pmcid"] for r in ids.collect()))
+    assert {r["pmid"]: r["fulltext_available"] for r in folder.retrieve(studies).collect()} == {"1": False, "2": False, "3": True} and asked == [13]
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "tables" / "pmcid_7_t1.csv").write_text("x,y\n1,2\n")
+    info = spark.createDataFrame([("tables/pmcid_7_t1.csv", "old"), ("tables/pmcid_7_t1.csv", "new")], "table_data_file string, table_caption string").coalesce(1)
+    (row,) = files.table_files(spark, str(tmp_path / "tables"), info).collect()
+    assert (row["table_id"], row["table_caption"]) == ("pmcid_7_t1", "new")
+    listed = PubMedSearch().ids(spark, cfg.SearchConfig(pmids_list=["4", "4"]))
+    assert [r["pmid"] for r in listed.collect()] == ["4", "4"]
+
+
 def test_criteria_ids_and_validation():
     given = {"search": {"query": "q"}, "screening": {"abstract": {"objective": "o", "inclusion_criteria": ["a", "b", "c"], "exclusion_criteria": ["d", "e", "f"]}, "fulltext": {"objective": "o", "inclusion_criteria": ["g", "h"], "exclusion_criteria": ["i"]}}, "annotation": {"inclusion_criteria": ["x"], "annotations": [{"name": "affiliation attachment", "inclusion_criteria": ["y"]}, {"name": "bare"}]}}
     config = cfg.from_dict(given)
@@ -132,6 +159,17 @@ def test_review_end_to_end(spark, tmp_path):
     note = json.loads((out / "nimads_annotation.json").read_text())
     assert {n["analysis"] for n in note["notes"]} == {"1_analysis_0", "1_analysis_1"} and note["notes"][0]["note"]["all_analyses"] is True
     assert "4,unavailable" in (out / "missing_fulltexts.csv").read_text()
+    assert (out / "missing_fulltexts.txt").read_text() == "4\n"
+    stored = files.screening_cache(spark, str(out / "abstract_screening_results.json"))
+    assert {r["study_id"]: r["decision"] for r in stored.collect()} == {"1": st.INCLUDED_ABSTRACT, "2": st.EXCLUDED_ABSTRACT, "4": st.INCLUDED_ABSTRACT}
+    assert files.search_cache(spark, str(out / "search_results.json")).count() == 4
+    assert files.annotation_cache(spark, str(out / "annotation_results.json")).count() == 6
+    cached = files.coordinate_cache(spark, str(out / "coordinate_parsing_results.json"))
+    bare = spark.createDataFrame([("1",), ("9",)], "pmid string").withColumn("analyses", F.lit(None).cast(cached.schema["analyses"].dataType))
+    assert {r["pmid"]: len(r["analyses"] or []) for r in files.with_cached_analyses(bare, cached).collect()} == {"1": 2, "9": 0}
+    ids = {(r["scope"], r["id"]) for r in files.criteria_ids(spark, str(out / "criteria_mapping.json")).collect()}
+    assert ids == {("abstract", "I1"), ("fulltext", "I2")}
+    assert json.loads((out / "fulltext_retrieval_results.json").read_text())["studies"][0]["coordinates_found"] is True
     with pytest.raises(ValueError):
         run("later")
     maps = run_meta(spark, str(tmp_path))
