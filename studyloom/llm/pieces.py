@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studyloom.llm.memory import trim
 from studyloom.llm.storage import with_columns
 
 MARK = "▁"
 #: Distinct words kept by a worker before it starts anew; bounds its memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Characters of new words merged at once; bounds the size of the flat arrays.
 MERGE_CHARS = 120_000
 
@@ -335,10 +336,16 @@ def encode_pieces(text: Column, model_file: str) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def encode(column: pa.Array) -> pa.Array:
         enc = _encoder(model_file)
-        parts = [enc.encode(part) for part in _slices(column.to_pylist())]
-        ids = np.concatenate([p[0] for p in parts])
-        ends = np.cumsum(np.concatenate([p[1] for p in parts]))
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
+        made, row = [], 0
+        while row < len(column) or not made:  # some hundred texts at once
+            part = column.slice(row, 500)
+            row += 500
+            coded = [enc.encode(texts) for texts in _slices(part.to_pylist())]
+            ends = np.cumsum(np.concatenate([c[1] for c in coded]))
+            made.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate([c[0] for c in coded]))))
+        out = pa.concat_arrays(made)
+        trim()
+        return out
 
     return encode(text)
 
@@ -360,7 +367,9 @@ def decode_pieces(ids: Column, model_file: str) -> Column:
             b = max(a + 1, int(np.searchsorted(starts, starts[a] + 400_000, "right")) - 1)
             texts.append(pa.array(model.decode(flat[starts[a] : starts[b]], starts[a : b + 1] - starts[a]), pa.string()))
             a = b
-        return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+        out = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+        trim()
+        return out
 
     return decode(ids)
 

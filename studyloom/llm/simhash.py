@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studyloom.llm.components import components
+from studyloom.llm.memory import trim
 from studyloom.llm.storage import materialise
 
 THRESHOLD = 4
@@ -58,7 +59,9 @@ def fingerprints(text: Column) -> Column:
 
     @F.arrow_udf(T.LongType())
     def run(column: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(x.as_py()) for x in column], np.uint64).view(np.int64))
+        made = np.array([fingerprint(x.as_py()) for x in column], np.uint64).view(np.int64)
+        trim()
+        return pa.array(made)
 
     return run(text)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studyloom.llm.memory import trim
 from studyloom.llm.storage import with_columns
 
 # Fixed values.
@@ -74,6 +75,7 @@ _TYPE = T.StructType([T.StructField(f, T.LongType(), False) for f in FIELDS])
 @F.arrow_udf(_TYPE)
 def _stats(column: pa.Array) -> pa.Array:
     rows = [stats(x.as_py()) for x in column]
+    trim()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(FIELDS), FIELDS)
 
 
