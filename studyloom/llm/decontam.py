@@ -49,10 +49,14 @@ def windows(items: DataFrame, id_col: str = "item_id", text: str = "text", size:
 
 
 def vocabulary(wins: DataFrame) -> DataFrame:
-    """(word, term): numbers from 1 on for the words of the windows. A test set is
-    small beside the corpus; numbers come from ranking its distinct words."""
+    """(word, term): numbers from 1 on for the words of the windows, END for the mark.
+
+    Written to the shared folder, so that Spark knows its size: joins with it are
+    broadcast below the session's threshold and shuffled beyond it."""
     words = wins.select(F.explode("words").alias("word")).distinct()
-    return words.select("word", F.xxhash64("word").alias("h")).select("word", (F.dense_rank().over(Window.orderBy("h", "word"))).cast("int").alias("term"))
+    ranked = words.select("word", F.dense_rank().over(Window.orderBy("word")).cast("int").alias("term"))
+    mark = wins.sparkSession.range(1).select(F.lit("\n").alias("word"), F.lit(END).alias("term"))
+    return materialise(ranked.union(mark), "vocabulary")
 
 
 def build_index(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,8 +69,7 @@ def build_index(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text:
     rows = rows.select("doc_id", "mark", lead.alias("lead"), F.concat(F.slice("w", 1, F.size("w") - tail), F.array(F.lit("\n"))).alias("w"))
     each = rows.select("doc_id", "mark", "lead", F.posexplode("w").alias("pos", "word"))
     each = each.select("doc_id", "mark", (F.col("pos") - F.col("lead")).alias("pos"), lowered(F.col("word")).alias("word"))
-    terms = vocab.union(vocab.sparkSession.createDataFrame([("\n", END)], "word string, term int"))
-    return materialise(each.join(terms, "word").select("doc_id", "mark", "pos", "term"), "postings")
+    return materialise(each.join(vocab, "word").select("doc_id", "mark", "pos", "term"), "postings")
 
 
 def _ranked_terms(wins: DataFrame, vocab: DataFrame, index: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     ``n_hit`` counts words inside any occurrence of a window: occurrences are
     merged as intervals, so shared words count once."""
     wins = materialise(windows(items, text=text, size=size), "windows")
-    vocab = materialise(vocabulary(wins), "vocabulary")
+    vocab = vocabulary(wins)
     index = build_index(docs, vocab, id_col, text)
     ranked = materialise(_ranked_terms(wins, vocab, index), "ranked")
     found = materialise(find_phrases(index, ranked).distinct(), "hits")
