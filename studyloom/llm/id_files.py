@@ -17,6 +17,7 @@ again replaces its own output.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import types as T
 from studyloom.llm.storage import materialise, new_path
 
 #: Distinct chunks kept by a worker before it starts anew; bounds its memory.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 450_000
+CACHE_PARTS = 700_000
 _CODES = np.arange(256, dtype=np.uint8)
 #: Four lengths for each control byte.
 LENGTHS = np.stack([((_CODES >> s) & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
@@ -68,70 +70,105 @@ class _Chunks(dict):
         return n
 
 
-#: White space at which texts are cut; the tokenizer also drops it, so ids of a
-#: text are those of its chunks.
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word of Latin-1 letters and a tail of ASCII punctuation: the tokenizer
+#: splits between them too and lower-cases, and each letter run ends in one token
+#: that ends a word, so many words can be encoded as one text and told apart.
+_PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Words encoded as one text.
+JOINED = 50
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of ``flat`` that begin at ``start``, one after the other."""
+    end = np.cumsum(size)
+    return flat[np.repeat((start - (end - size)).astype(np.int32), size) + np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32)]
+
+
+class _Store:
+    """Numbered strings and the ids of each."""
+
+    def __init__(self):
+        self.index = _Chunks()
+        self.flat, self.start, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
+        self.flat, self.size = np.r_[self.flat, flat], np.r_[self.size, size]
+        self.index.new = []
 
 
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
-    Of a chunk that is one ASCII word and a tail of ASCII punctuation, word and
-    tail are encoded apart: the tokenizer splits there too and lower-cases."""
+    Texts are cut at white space, which the tokenizer drops, so the ids of a text
+    are those of its chunks. Plain words and their tails are looked up apart."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.parts = _Chunks(), _Chunks()
-        self.part_ids: list[list[int]] = []
-        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        if max(vocab.values()) > 0xFFFF:
+            raise ValueError("ids need more than 16 bits")
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
+        self.chunks, self.parts = _Store(), _Store()
+
+    def _learn_parts(self) -> None:
+        new = self.parts.index.new
+        plain = [k for k, w in enumerate(new) if (m := _PLAIN.fullmatch(w)) and not m.group(2)]
+        texts = [" ".join([new[k] for k in plain[a : a + JOINED]]) for a in range(0, len(plain), JOINED)]
+        other = sorted(set(range(len(new))).difference(plain))
+        size = np.zeros(len(new), np.int64)
+        got = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(got) if got else np.zeros(0, np.uint16)
+        size[plain] = np.diff(np.r_[-1, np.flatnonzero(self.ends_word[flat])])
+        more = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast([new[k] for k in other], add_special_tokens=False)]
+        size[other] = [len(x) for x in more]
+        order = np.argsort(np.r_[plain, other].astype(np.int64), kind="stable")
+        laid = np.r_[size[plain], size[other]].astype(np.int64)
+        every = np.concatenate([flat, *more])
+        self.parts.add(_gather(every, (np.cumsum(laid) - laid)[order], size), size)
 
     def _learn(self) -> None:
-        split = []
-        for chunk in self.index.new:
-            stem = chunk.rstrip(_TAIL)
-            if len(stem) < len(chunk) and stem.isascii() and stem.isalpha():
-                split.append((self.parts[stem.lower()], self.parts[chunk[len(stem) :]]))
-            elif chunk.isascii() and chunk.isalpha():
-                split.append((self.parts[chunk.lower()],))
+        part = self.parts.index
+        which, count = [], []
+        for chunk in self.chunks.index.new:
+            m = _PLAIN.fullmatch(chunk)
+            if not m:
+                which.append(part[chunk])
+                count.append(1)
+            elif m.group(2):
+                which += (part[m.group(1).lower()], part[m.group(2)])
+                count.append(2)
             else:
-                split.append((self.parts[chunk],))
-        self.index.new = []
-        self.part_ids += [e.ids for e in self.tok.encode_batch_fast(self.parts.new, add_special_tokens=False)]
-        self.parts.new = []
-        ids = self.part_ids
-        flat: list[int] = []
-        sizes = []
-        for parts in split:
-            before = len(flat)
-            for p in parts:
-                flat += ids[p]
-            sizes.append(len(flat) - before)
-        self.flat = np.r_[self.flat, np.array(flat, np.uint32)]
-        self.sizes = np.r_[self.sizes, np.array(sizes, np.int64)]
+                which.append(part[chunk.lower()])
+                count.append(1)
+        if part.new:
+            self._learn_parts()
+        at = np.array(which, np.int64)
+        n = self.parts.size[at]
+        first = np.cumsum(count) - count
+        self.chunks.add(_gather(self.parts.flat, self.parts.start[at], n), np.add.reduceat(n, first) if len(n) else n)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
-        if len(self.index) > CACHE_CHUNKS:
-            self.clear()
-        index, which, per = self.index, [], []
+        if len(self.chunks.index) > CACHE_CHUNKS:
+            self.chunks = _Store()
+        if len(self.parts.index) > CACHE_PARTS:
+            self.parts = _Store()
+        index, which = self.chunks.index, []
         for t in texts:
             chunks = t.split() if t else []
-            per.append(len(chunks))
-            which.append(np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks)))
+            which.append(np.fromiter(map(index.__getitem__, chunks), np.int32, len(chunks)))
         if index.new:
             self._learn()
-        at = np.concatenate(which) if which else np.zeros(0, np.int64)
-        n = self.sizes[at]
-        end = np.cumsum(n)
-        first = np.cumsum(self.sizes) - self.sizes
-        ids = self.flat[np.repeat(first[at] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)]
-        return ids, np.diff(np.r_[0, end][np.r_[0, np.cumsum(per)].astype(np.int64)])
+        at = np.concatenate(which) if which else np.zeros(0, np.int32)
+        n = self.chunks.size[at]
+        ids = _gather(self.chunks.flat, self.chunks.start[at], n)
+        ends = np.cumsum([len(w) for w in which])
+        return ids, np.diff(np.r_[0, np.cumsum(n)][np.r_[0, ends].astype(np.int64)])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -144,7 +181,7 @@ def _encoder(path: str) -> ChunkEncoder:
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and raw ids (little-endian unsigned 32-bit) of every row."""
+    """doc_id, n_tokens and raw ids (little-endian unsigned 16-bit) of every row."""
 
     def run(batches):
         enc = _encoder(tokenizer_file)
@@ -153,19 +190,19 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "d
             for a in range(0, len(texts), 2000):
                 part = texts[a : a + 2000]
                 ids, n = enc.encode(part)
-                ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
-                ends = np.cumsum(n + 1)
-                raw = [ids[e - m - 1 : e].tobytes() for e, m in zip(ends.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(n + 1, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "raw"])
+                ids = np.insert(ids, np.cumsum(n), end_id).astype("<u2")
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, 2 * np.cumsum(n + 1)].astype("<i4")), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(n + 1, pa.int64()), raw], ["doc_id", "n_tokens", "raw"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, raw binary")
 
 
-def _in_order(rows: DataFrame, n_shards: int) -> DataFrame:
-    """Rows in shards of consecutive doc_id, numbered and summed up within a shard.
+def _in_order(rows: DataFrame, n_shards: int, ids: DataFrame) -> DataFrame:
+    """Rows in shards of consecutive doc_id, numbered and summed up within a shard;
+    ``ids`` has the same doc_ids at less cost.
 
     Repeated doc_ids stay repeated, ordered by their ids; null comes first."""
-    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n_shards) for k in range(1, n_shards)]), 10_000).alias("c")).first()["c"] if n_shards > 1 else []
+    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n_shards) for k in range(1, n_shards)]), 10_000).alias("c")).first()["c"] if n_shards > 1 else []
     shard = F.lit(0)
     if cuts:
         bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))])
@@ -197,13 +234,12 @@ def id_counts(rows: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"))
+            if len(got) > len(total):
+                got[: len(total)] += total
+                total = got
+            else:
+                total[: len(got)] += got
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -230,11 +266,11 @@ def write_id_files(docs: DataFrame, tokenizer_file: str, path: str | None = None
 
     def code(batches):
         for batch in batches:
-            got = [pack(ranks.value[np.frombuffer(raw.as_buffer(), "<u4")]) for raw in batch.column("raw")]
+            got = [pack(ranks.value[np.frombuffer(raw.as_buffer(), "<u2")]) for raw in batch.column("raw")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "n_tokens", "control", "raw"])
 
     coded = rows.mapInArrow(code, "doc_id long, n_tokens long, control binary, raw binary")
-    _in_order(coded, n_shards).withColumnRenamed("raw", "data").write.option("compression", "zstd").parquet(f"{path}/shards")
+    _in_order(coded, n_shards, rows).withColumnRenamed("raw", "data").write.option("compression", "zstd").parquet(f"{path}/shards")
     return path
 
 
