@@ -241,12 +241,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return prints.join(all_nodes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is their component's; of rows that share that id, one.
+def keep_least(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id is their component's in ``classes`` (doc_id,
+    component_id); of rows that share that id, one.
 
     Rows with a null id stay if nothing with an id is linked to them."""
-    found = materialise(near_duplicates(docs, id_col, text).select(F.col("doc_id").alias("_id"), "component_id"), "classes")
+    found = materialise(classes.select(F.col("doc_id").alias("_id"), "component_id"), "classes")
     keep = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.count("*").alias("_n"))
     kept = docs.join(keep.select("_id"), docs[id_col].eqNullSafe(keep["_id"]), "left_semi")
     # texts are dealt out by id only if some id has several rows
     return kept.dropDuplicates([id_col]) if keep.where("_n > 1").take(1) else kept
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents whose id is their component's; of rows that share that id, one."""
+    return keep_least(docs, near_duplicates(docs, id_col, text), id_col)

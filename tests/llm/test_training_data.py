@@ -258,6 +258,59 @@ def test_links_of_random_prints(spark):
     assert {p: got.get(p, p) for p in signed} == {p: find(p) for p in signed}
 
 
+# --- near copies
+
+
+def slow_copies(rows):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = label[i], label[j]
+                label = [y if k == x else k for k in label]
+    least = {}
+    for (d, _), r in zip(rows, label):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    return Counter((d, least.get(r)) for (d, _), r in zip(rows, label))
+
+
+def test_near_copies(spark, odd, none):
+    from studyloom.llm.near_copies import drop_near_copies, near_copies
+
+    rng = random.Random(12)
+    texts = []
+    for k in range(25):  # copies around a similarity of 0.8, each changed on its own
+        words = prose(rng, rng.randint(60, 400), 5000).split()
+        texts.append(" ".join(words))
+        for rate in (0.005, 0.01, 0.02, 0.03, 0.05):
+            texts.append(" ".join(f"x{rng.random()}" if rng.random() < rate else w for w in words))
+    docs = odd.union(documents(spark, texts, 100)).withColumn("NODE", F.lit("clash"))
+    want = slow_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert Counter((r["doc_id"], r["component_id"]) for r in near_copies(docs).collect()) == want
+    kept = sorted(r["doc_id"] for r in drop_near_copies(docs).collect() if r["doc_id"] is not None)
+    assert kept == sorted({c for _, c in want if c is not None})
+    assert near_copies(none).count() == 0
+
+
+def test_pipeline_drops_copies_of_similarity_0_8(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words = prose(rng, 200, 5000).split()
+    near, far = list(words), list(words)
+    for at in (30, 90, 150):  # 15 of 196 shingles differ
+        near[at] = "x"
+    for at in range(10, 190, 20):  # 45 differ
+        far[at] = "y"
+    docs = documents(spark, [" ".join(w) for w in (words, near, far)])
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == {0, 2}
+
+
 # --- decontamination
 
 
