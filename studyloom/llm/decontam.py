@@ -60,8 +60,9 @@ def vocabulary(wins: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, pos, term), written to the shared folder. Documents are rows of
-    ``docs``; ``mark`` is a hash of the text, which keeps rows of one id apart."""
+    """(doc_id, mark, pos, term), written to the shared folder, each row once.
+    Documents are the distinct rows of ``docs``; ``mark`` is a hash of the text,
+    which keeps rows of one id apart."""
     t = F.col(text)
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(t).alias("mark"), words_of(t).alias("w"))
     lead = F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0)
@@ -69,7 +70,15 @@ def build_index(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text:
     rows = rows.select("doc_id", "mark", lead.alias("lead"), F.concat(F.slice("w", 1, F.size("w") - tail), F.array(F.lit("\n"))).alias("w"))
     each = rows.select("doc_id", "mark", "lead", F.posexplode("w").alias("pos", "word"))
     each = each.select("doc_id", "mark", (F.col("pos") - F.col("lead")).alias("pos"), lowered(F.col("word")).alias("word"))
-    return materialise(each.join(vocab, "word").select("doc_id", "mark", "pos", "term"), "postings")
+    index = materialise(each.join(vocab, "word").select("doc_id", "mark", "pos", "term"), "postings")
+    # repeated rows show by their end marks; only their postings are dealt out
+    doc = ["doc_id", "mark"]
+    again = index.where(F.col("term") == END).groupBy(*doc).agg(F.count("*").alias("n")).where("n > 1").select(*doc)
+    if not again.take(1):
+        return index
+    again = materialise(again, "again")
+    once = index.join(again, doc, "left_semi").distinct()
+    return materialise(index.join(again, doc, "left_anti").union(once), "postings")
 
 
 def _ranked_terms(wins: DataFrame, vocab: DataFrame, index: DataFrame) -> DataFrame:

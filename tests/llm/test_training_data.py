@@ -350,6 +350,20 @@ def test_decontamination(spark, odd, none):
     assert decontaminate(docs, table.where("false")).count() == docs.count()
 
 
+def test_decontamination_of_repeated_rows(spark):
+    from studyloom.llm.decontam import decontaminate, hits
+
+    rng = random.Random(14)
+    text = prose(rng, 40, 5000)
+    window = " ".join(text.split()[10:20])
+    rows = [(1, text), (1, text), (1, text), (None, text), (None, text), (2, text), (3, "clean " * 20), (3, "clean " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, window), (8, " ".join(text.split()[30:33]))], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], sorted(r["item_ids"])) for r in hits(docs, items).collect())
+    assert got == [("1", 40, 13, [7, 8]), ("2", 40, 13, [7, 8]), ("3", 20, 0, []), ("None", 40, 13, [7, 8])]
+    assert [r["doc_id"] for r in decontaminate(docs, items).collect()] == [3, 3]
+
+
 def test_proximity(spark):
     from studyloom.llm.decontam import build_index, find_near, vocabulary
 
