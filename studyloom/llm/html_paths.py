@@ -54,34 +54,43 @@ _SPACE = re.compile(r"\s+")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
-def _excluded(tag: str, attrs: str) -> bool:
+def _excluded(tag: str, attrs: str) -> int:
+    """2 if the element holds no article, 1 if only a word within a longer class or
+    id speaks against it (has-sidebar), 0 otherwise."""
     if tag in NEVER:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 2
+    if not attrs or tag in ("html", "body"):
+        return 0
+    found = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
+        if tag in ("article", "main") and name not in ("class", "id"):
+            continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "role" and value.lower() in ROLES:
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and any(x.lower() in NAMES for x in _PARTS.findall(value)):
-            return True
-    return False
+            return 2
+        if name in ("class", "id"):
+            if any(x.lower() in NAMES for x in value.split()):
+                return 2
+            if tag not in ("article", "main") and any(x.lower() in NAMES for x in _PARTS.findall(value)):
+                found = 1
+    return found
 
 
 class Block:
-    __slots__ = ("path", "text", "links", "region")
+    __slots__ = ("path", "text", "links", "region", "doubtful")
 
-    def __init__(self, path: str, text: str, links: int, region: bool):
-        self.path, self.text, self.links, self.region = path, text, links, region
+    def __init__(self, path: str, text: str, links: int, region: bool, doubtful: bool):
+        self.path, self.text, self.links, self.region, self.doubtful = path, text, links, region, doubtful
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of a page in order, without those of excluded elements."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, excluded, inside a marked region
+    """Blocks of a page in order, without those of excluded elements; those of
+    elements that a word within a class speaks against are doubtful."""
+    stack: list[tuple[str, int, bool]] = []  # tag, excluded, inside a marked region
     out: list[Block] = []
     text: list[str] = []
     state = {"links": 0, "a": 0}
@@ -91,7 +100,7 @@ def blocks(page: str) -> list[Block]:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
                 path = "/".join(t for t, _, _ in stack if t in BLOCKS and t != "br")
-                out.append(Block(path, joined, state["links"], bool(stack) and stack[-1][2]))
+                out.append(Block(path, joined, state["links"], bool(stack) and stack[-1][2], bool(stack) and stack[-1][1] == 1))
             text.clear()
         state["links"] = 0
 
@@ -103,7 +112,7 @@ def blocks(page: str) -> list[Block]:
         del stack[k:]
 
     def data(a: int, b: int) -> None:
-        if b > a and not (stack and stack[-1][1]):
+        if b > a and not (stack and stack[-1][1] == 2):
             piece = page[a:b]
             text.append(piece)
             if state["a"] > 0:
@@ -145,10 +154,12 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag in VOID:
             continue
-        above = stack[-1] if stack else ("", False, False)
+        above = stack[-1] if stack else ("", 0, False)
         region = above[2] or tag in ("article", "main")
         # a header inside an article is the article's own
-        out_of_text = above[1] or (_excluded(tag, m.group(3)) and not (tag == "header" and above[2] and not m.group(3).strip()))
+        own = 0 if tag == "header" and above[2] and not m.group(3).strip() else _excluded(tag, m.group(3))
+        # an article ends the doubt about what is around it
+        out_of_text = own if tag in ("article", "main") and above[1] < 2 else max(above[1], own)
         stack.append((tag, out_of_text, region))
         state["a"] += tag == "a"
     data(at, len(page))
@@ -169,9 +180,16 @@ def _smooth(values: list[float]) -> list[float]:
 def main_text(page: str | None) -> str:
     """The main text: content blocks joined by newlines; empty for null, empty
     or text-less pages."""
-    found = blocks(page or "")
-    if any(b.region for b in found):
-        found = [b for b in found if b.region]
+    every = blocks(page or "")
+    chars = lambda some: sum(len(b.text) for b in some)
+    found = [b for b in every if not b.doubtful]
+    inside = [b for b in found if b.region]
+    if not inside and 2 * chars(found) < chars(every):
+        found = every
+    # regions that hold less than half of the text (teasers) only compete
+    marked = bool(inside) and 2 * chars(inside) >= chars(found)
+    if marked:
+        found = inside
     if not found:
         return ""
     paths: dict[str, list[float]] = {}
@@ -189,7 +207,7 @@ def main_text(page: str | None) -> str:
     whole = sum(p[1] for p in paths.values())
     mean = sum(score[k] * p[1] for k, p in paths.items()) / whole
     # Inside a marked region an author's short lines are content too.
-    share = 0.0 if found[0].region else SHARE
+    share = 0.0 if marked else SHARE
     content = {k for k, p in paths.items() if score[k] >= share * mean and p[3] <= LINKS * p[1]}
     return "\n".join(b.text for b in found if b.path in content)
 

@@ -177,6 +177,18 @@ def test_main_text():
     assert main_text(plain) == "A long text, with marks. And more; yes.\nOk & so on, with more text."
 
 
+def test_main_text_keeps_the_article():
+    from studyloom.llm.html_paths import main_text
+
+    body = "<p>A long text, with marks. And more; yes.</p><p>Ok &amp; so on, with more text.</p>"
+    want = "A long text, with marks. And more; yes.\nOk & so on, with more text."
+    assert main_text(f"<div>{body}</div><article class=comment><p>Nice one.</p></article>") == want
+    assert want in main_text(f"<div>{body}</div><article class=teaser><p>Nice one.</p></article>")
+    assert main_text(f"<div class='layout has-sidebar'><article>{body}</article></div>") == want
+    assert main_text(f"<div class='page-with-comments'><div>{body}</div></div>") == want
+    assert main_text(f"<article>{body}</article><div class=comment-list><article class=comment><p>Nice one.</p></article></div>") == want
+
+
 def test_extract_pages(spark):
     from studyloom.llm.html_paths import extract_pages
 
