@@ -76,6 +76,16 @@ class _Chunks(dict):
 _PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Words encoded as one text.
 JOINED = 50
+#: Python takes these for white space, the tokenizer takes them for symbols.
+_SYMBOLS = re.compile("[\x1c-\x1f]")
+_WITH_SYMBOLS = re.compile(r"(?:\S|[\x1c-\x1f])+")
+
+
+def chunks_of(text: str | None) -> list[str]:
+    """The parts between white space."""
+    if not text:
+        return []
+    return _WITH_SYMBOLS.findall(text) if _SYMBOLS.search(text) else text.split()
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -84,12 +94,17 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat((start - (end - size)).astype(np.int32), size) + np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32)]
 
 
+def kind_of(most: int) -> str:
+    """Numpy's name of the type that holds ids up to ``most`` between the passes."""
+    return "<u2" if most <= 0xFFFF else "<u4"
+
+
 class _Store:
     """Numbered strings and the ids of each."""
 
-    def __init__(self):
+    def __init__(self, kind: str):
         self.index = _Chunks()
-        self.flat, self.start, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, flat: np.ndarray, size: np.ndarray) -> None:
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
@@ -109,11 +124,10 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
-        if max(vocab.values()) > 0xFFFF:
-            raise ValueError("ids need more than 16 bits")
+        self.kind = kind_of(max(vocab.values()))
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
-        self.chunks, self.parts = _Store(), _Store()
+        self.chunks, self.parts = _Store(self.kind), _Store(self.kind)
 
     def _learn_parts(self) -> None:
         new = self.parts.index.new
@@ -121,10 +135,10 @@ class ChunkEncoder:
         texts = [" ".join([new[k] for k in plain[a : a + JOINED]]) for a in range(0, len(plain), JOINED)]
         other = sorted(set(range(len(new))).difference(plain))
         size = np.zeros(len(new), np.int64)
-        got = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.concatenate(got) if got else np.zeros(0, np.uint16)
+        got = [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(got) if got else np.zeros(0, self.kind)
         size[plain] = np.diff(np.r_[-1, np.flatnonzero(self.ends_word[flat])])
-        more = [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast([new[k] for k in other], add_special_tokens=False)]
+        more = [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast([new[k] for k in other], add_special_tokens=False)]
         size[other] = [len(x) for x in more]
         order = np.argsort(np.r_[plain, other].astype(np.int64), kind="stable")
         laid = np.r_[size[plain], size[other]].astype(np.int64)
@@ -155,12 +169,12 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         if len(self.chunks.index) > CACHE_CHUNKS:
-            self.chunks = _Store()
+            self.chunks = _Store(self.kind)
         if len(self.parts.index) > CACHE_PARTS:
-            self.parts = _Store()
+            self.parts = _Store(self.kind)
         index, which = self.chunks.index, []
         for t in texts:
-            chunks = t.split() if t else []
+            chunks = chunks_of(t)
             which.append(np.fromiter(map(index.__getitem__, chunks), np.int32, len(chunks)))
         if index.new:
             self._learn()
@@ -180,8 +194,15 @@ def _encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def id_kind(tokenizer_file: str, end_id: int) -> str:
+    """``kind_of`` the largest id that the file or the end mark can give."""
+    return kind_of(max(end_id, len(_encoder(tokenizer_file).ends_word) - 1))
+
+
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and raw ids (little-endian unsigned 16-bit) of every row."""
+    """doc_id, n_tokens and raw ids (little-endian, of ``id_kind``) of every row."""
+    kind = id_kind(tokenizer_file, end_id)
+    width = np.dtype(kind).itemsize
 
     def run(batches):
         enc = _encoder(tokenizer_file)
@@ -190,8 +211,8 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "d
             for a in range(0, len(texts), 2000):
                 part = texts[a : a + 2000]
                 ids, n = enc.encode(part)
-                ids = np.insert(ids, np.cumsum(n), end_id).astype("<u2")
-                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, 2 * np.cumsum(n + 1)].astype("<i4")), pa.py_buffer(ids)])
+                ids = np.insert(ids.astype(kind), np.cumsum(n), end_id)
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, width * np.cumsum(n + 1)].astype("<i4")), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(n + 1, pa.int64()), raw], ["doc_id", "n_tokens", "raw"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, raw binary")
@@ -228,13 +249,13 @@ def _in_order(rows: DataFrame, n_shards: int, ids: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, schema)
 
 
-def id_counts(rows: DataFrame) -> DataFrame:
+def id_counts(rows: DataFrame, kind: str = "<u2") -> DataFrame:
     """(id, n) over all rows; at most one row for each id of the vocabulary."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"))
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             if len(got) > len(total):
                 got[: len(total)] += total
                 total = got
@@ -257,7 +278,8 @@ def write_id_files(docs: DataFrame, tokenizer_file: str, path: str | None = None
     path = path or new_path(spark, "ids")
     n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialise(tokenise(docs, tokenizer_file, end_id, id_col, text), "id-rows")
-    counts = id_counts(rows).collect()
+    kind = id_kind(tokenizer_file, end_id)
+    counts = id_counts(rows, kind).collect()
     order = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -266,7 +288,7 @@ def write_id_files(docs: DataFrame, tokenizer_file: str, path: str | None = None
 
     def code(batches):
         for batch in batches:
-            got = [pack(ranks.value[np.frombuffer(raw.as_buffer(), "<u2")]) for raw in batch.column("raw")]
+            got = [pack(ranks.value[np.frombuffer(raw.as_buffer(), kind)]) for raw in batch.column("raw")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "n_tokens", "control", "raw"])
 
     coded = rows.mapInArrow(code, "doc_id long, n_tokens long, control binary, raw binary")
