@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.llm.keys import mark_of, with_verdict
 from studyloom.llm.storage import materialise, with_columns
 
 # The patterns; letters of the keywords stand for either case.
@@ -20,8 +21,12 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # runs are whole, so shorter ones can't hide longer ones
 GENERIC = "[A-Za-z0-9+/_=-]{24,}"
 KINDS = ("assign", "access", "hex", "generic")
-#: From so many distinct owners on, a value counts as a copied example.
+#: From so many distinct owners, or repositories of any owners, on, a value counts
+#: as a copied example.
 WIDE_OWNERS = 3
+WIDE_REPOS = 5
+#: Spans that are put in a row at once, so that lists are not copied for each span.
+STRETCH = 256
 
 _SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
@@ -32,7 +37,7 @@ def _matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     parts = F.split(text, pattern, -1)
     whole, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pairs = F.arrays_zip(F.slice(parts, 1, F.size(whole)).alias("p"), whole.alias("m"), inner.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.char_length(x["p"])
@@ -40,7 +45,17 @@ def _matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
         span = F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), x["g"].alias("value"))
         return F.struct(b.alias("at"), F.when(F.char_length(x["g"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def stretch(acc: Column, part: Column) -> Column:
+        start = F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(part, start, step)))
+
+    first = F.array(F.struct(F.lit(0).alias("at"), none.alias("out")))
+    return F.aggregate(_stretches(pairs), first, stretch, lambda acc: F.flatten(F.transform(acc, lambda x: x["out"])))
+
+
+def _stretches(a: Column) -> Column:
+    """Parts of an array of STRETCH items each; an empty array has one empty part."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(STRETCH)), lambda i: F.slice(a, i, STRETCH))
 
 
 def candidates(text: Column) -> Column:
@@ -60,7 +75,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owner: Col
     is a hash of the text, so rows that share an id stay apart unless they are equal."""
     t = F.col(text)
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("mark"),
+        F.col(id_col).alias("doc_id"), mark_of(t).alias("mark"),
         (owner if owner is not None else F.col("source")).cast("string").alias("owner"),
         (repository if repository is not None else F.concat_ws("/", F.col("source"), F.col("lang"))).cast("string").alias("repo"),
         candidates(F.coalesce(t, F.lit(""))).alias("found"),
@@ -89,7 +104,7 @@ def judged(found: DataFrame) -> DataFrame:
     overlap a base span."""
     rows = found.dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", F.explode("found").alias("x"))
     rows = rows.select("doc_id", "mark", "x.*", F.sha2(F.col("x.value"), 256).alias("hash"), _live(F.col("x.value")).alias("random"))
-    few = ownership(found).select("hash", (F.col("n_owners") < WIDE_OWNERS).alias("few"))
+    few = ownership(found).select("hash", ((F.col("n_owners") < WIDE_OWNERS) & (F.col("n_repos") < WIDE_REPOS)).alias("few"))
     marked = rows.join(few, "hash").withColumn("live", F.col("few") & F.col("random")).where((F.col("kind") < 3) | F.col("live"))
     spans = marked.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "live"))).alias("s"))
     base = F.filter("s", lambda x: x["kind"] < 3)
@@ -107,29 +122,40 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ow
     """Every row of ``docs`` with ``spans``: array<struct<start, end, kind, live>>
     by start, then kind (0 assign, 1 access, 2 hex, 3 generic).
 
-    ``live`` is true for values of fewer than WIDE_OWNERS owners that look random.
-    Null text counts as empty and has no spans; equal rows get equal spans; an
-    empty table gives an empty table; a column of ``docs`` named ``spans`` is
-    replaced. Candidates are written to the shared folder between the passes."""
+    ``live`` is true for values that look random and that fewer than WIDE_OWNERS
+    owners and WIDE_REPOS repositories have. Null text counts as empty and has no
+    spans; equal rows get equal spans; an empty table gives an empty table; a column
+    of ``docs`` named ``spans`` is replaced. Candidates and verdicts are written to
+    the shared folder; only texts with candidates are dealt out."""
     found = materialise(scan(docs, id_col, text, owner, repository), "secrets")
-    spans = judged(found).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    joined = keyed.join(spans, keyed[id_col].eqNullSafe(spans["_id"]) & (keyed["_hash"] == spans["_mark"]), "left")
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,live:boolean>>")
-    return with_columns(joined, {"spans": F.coalesce("_spans", none)}).drop("_id", "_mark", "_spans", "_hash")
+    verdicts = materialise(judged(found).withColumnRenamed("spans", "__spans"), "spans")
+    kind = "array<struct<start:int,end:int,kind:int,live:boolean>>"
+    joined = with_verdict(docs, verdicts, "__spans", kind, id_col, mark_of(F.col(text)))
+    return with_columns(joined, {"spans": F.coalesce("__spans", F.array().cast(kind))}).drop("__spans")
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span, or run of overlapping spans, replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with every span, or run of overlapping spans, replaced by ``mark``.
+
+    Spans are taken in stretches, and each stretch looks at its own part of the
+    text only, so the cost does not grow with the square of the spans."""
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+        gap = F.substring(acc["body"], acc["at"] - acc["base"] + 1, x["start"] - acc["at"])
+        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["base"].alias("base"), acc["body"].alias("body"), out.alias("out"))
+
+    def stretch(acc: Column, part: Column) -> Column:
+        at = F.element_at(acc, -1)["at"]
+        end = F.greatest(at, F.array_max(F.transform(part, lambda x: x["end"])))
+        start = F.struct(at.alias("at"), at.alias("base"), F.substring(text, at + 1, end - at).alias("body"), F.lit("").alias("out"))
+        done = lambda x: F.struct(x["at"].alias("at"), x["out"].alias("out"))
+        return F.concat(acc, F.array(F.aggregate(part, start, step, done)))
+
+    first = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("out")))
+    rest = lambda acc: F.concat(F.array_join(F.transform(acc, lambda x: x["out"]), ""), F.substring(text, F.element_at(acc, -1)["at"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(_stretches(spans), first, stretch, rest)).otherwise(text)
 
 
 def span_text(spans: Column) -> Column:
