@@ -13,8 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studyloom.llm.keys import without
 from studyloom.llm.storage import materialise, with_columns
-from studyloom.llm.text_stats import add_stats
+from studyloom.llm.text_stats import add_stats, text_stats
 
 ACCURACY = 0.02
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -115,3 +116,19 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     rated = add_stats(docs, text)
     limits = materialise(thresholds(rated.select("lang", "source", "stats")), "thresholds")
     return apply_rules(rated, limits)
+
+
+def rated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, mark, lang, source, stats, base_failed, failed, kept) of every row;
+    ``mark`` is a hash of text, lang and source. Texts are read once: their
+    statistics are written, and thresholds and verdicts come from these."""
+    mark = F.xxhash64(text, "lang", "source")
+    narrow = materialise(docs.select(F.col(id_col).alias("doc_id"), mark.alias("mark"), "lang", "source", text_stats(F.col(text)).alias("stats")), "stats")
+    return apply_rules(narrow, materialise(thresholds(narrow), "thresholds"))
+
+
+def drop_failing(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns as they are;
+    odd rows are treated as in ``quality_rules``."""
+    bad = materialise(rated(docs, id_col, text).where("not kept").select("doc_id", "mark").distinct(), "failing")
+    return without(docs, bad, id_col, F.xxhash64(text, "lang", "source"))
