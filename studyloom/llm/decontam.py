@@ -6,7 +6,11 @@ once, in document order and without a shuffle; its terms are numbers of the test
 vocabulary. A phrase is looked up by its rarest term first: postings of that
 term, moved back by the term's place in the phrase, give starts; the second
 rarest term's list is intersected with them; the starts left are checked term by
-term against the index. DataFrame functions only.
+term against the postings of the documents that have a start. DataFrame functions
+only.
+
+What comes from the test items (vocabulary, windows) is broadcast up to
+BROADCAST_ROWS rows, counted before, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -14,15 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studyloom.llm.keys import MAY, NO_ID, flagged, key_hash, mark_of, without
 from studyloom.llm.storage import materialise
 
 WINDOW = 10
+#: Rows of test vocabulary or windows that may be broadcast: some 50 MB at most.
+BROADCAST_ROWS = 500_000
 #: What separates words: ASCII without digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Fixed values.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands for a null id inside the index, where ids are joined.
-NO_ID = -(2**63)
 #: The term of the mark behind a document's last word.
 END = 0
 
@@ -48,37 +53,47 @@ def windows(items: DataFrame, id_col: str = "item_id", text: str = "text", size:
     return each.groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).select(F.xxhash64("words").alias("window"), "words", "item_ids")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are few. Give it written tables."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def vocabulary(wins: DataFrame) -> DataFrame:
     """(word, term): numbers from 1 on for the words of the windows, END for the mark.
+    Numbers are those of rows in a written table, so no task sees all words."""
+    words = materialise(wins.select(F.explode("words").alias("word")).distinct(), "words")
+    mark = wins.sparkSession.range(1).select(F.lit("\n").alias("word"), F.lit(END).cast("long").alias("term"))
+    return materialise(words.select("word", (F.monotonically_increasing_id() + 1).alias("term")).union(mark), "vocabulary")
 
-    Written to the shared folder, so that Spark knows its size: joins with it are
-    broadcast below the session's threshold and shuffled beyond it."""
-    words = wins.select(F.explode("words").alias("word")).distinct()
-    ranked = words.select("word", F.dense_rank().over(Window.orderBy("word")).cast("int").alias("term"))
-    mark = wins.sparkSession.range(1).select(F.lit("\n").alias("word"), F.lit(END).alias("term"))
-    return materialise(ranked.union(mark), "vocabulary")
 
-
-def build_index(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, pos, term), written to the shared folder, each row once.
-    Documents are the distinct rows of ``docs``; ``mark`` is a hash of the text,
-    which keeps rows of one id apart."""
+def postings(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, mark, pos, term) of all rows of ``docs``, written to the shared folder;
+    ``mark`` is a hash of the text, which keeps rows of one id apart."""
     t = F.col(text)
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(t).alias("mark"), words_of(t).alias("w"))
+    rows = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc_id"), mark_of(t).alias("mark"), words_of(t).alias("w"))
     lead = F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0)
     tail = F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
     rows = rows.select("doc_id", "mark", lead.alias("lead"), F.concat(F.slice("w", 1, F.size("w") - tail), F.array(F.lit("\n"))).alias("w"))
     each = rows.select("doc_id", "mark", "lead", F.posexplode("w").alias("pos", "word"))
     each = each.select("doc_id", "mark", (F.col("pos") - F.col("lead")).alias("pos"), lowered(F.col("word")).alias("word"))
-    index = materialise(each.join(vocab, "word").select("doc_id", "mark", "pos", "term"), "postings")
-    # repeated rows show by their end marks; only their postings are dealt out
+    return materialise(each.join(small(vocab), "word").select("doc_id", "mark", "pos", "term"), "postings")
+
+
+def once(index: DataFrame) -> DataFrame:
+    """``index`` with the postings of repeated rows (equal id and text) only once.
+    Repeated rows show by their end marks; only their postings are dealt out."""
     doc = ["doc_id", "mark"]
     again = index.where(F.col("term") == END).groupBy(*doc).agg(F.count("*").alias("n")).where("n > 1").select(*doc)
     if not again.take(1):
         return index
     again = materialise(again, "again")
-    once = index.join(again, doc, "left_semi").distinct()
-    return materialise(index.join(again, doc, "left_anti").union(once), "postings")
+    single = index.join(again, doc, "left_semi").distinct()
+    return materialise(index.join(again, doc, "left_anti").union(single), "postings")
+
+
+def build_index(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The postings of the distinct rows of ``docs``."""
+    return once(postings(docs, vocab, id_col, text))
 
 
 def _ranked_terms(wins: DataFrame, vocab: DataFrame, index: DataFrame) -> DataFrame:
@@ -94,21 +109,24 @@ def _ranked_terms(wins: DataFrame, vocab: DataFrame, index: DataFrame) -> DataFr
 def find_phrases(index: DataFrame, ranked: DataFrame) -> DataFrame:
     """(doc_id, mark, start, window, size) of every occurrence of every window.
 
-    ``ranked`` has a few rows for each window; it is broadcast if Spark finds it
-    small. Starts come from the rarest term alone, so their number is bounded by
-    the rarest lists; they meet the index on (document, place, term), which
-    spreads evenly however often a word or passage occurs."""
-    heads = index.join(ranked.where("rank = 0 and n > 0").select("term", "window", "size", "at"), "term")
+    ``ranked`` has a few rows for each window. Starts come from the rarest term
+    alone, so their number is bounded by the rarest lists. Only postings of
+    documents with a start are dealt out (a bitmap of these finds them); they
+    meet the starts on (document, place, term), which spreads evenly however
+    often a word or passage occurs."""
+    of = lambda rank, *columns: small(ranked.where(rank).select("term", "window", "at", *columns))
+    heads = index.join(of("rank = 0 and n > 0", "size"), "term")
     starts = heads.select("doc_id", "mark", (F.col("pos") - F.col("at")).alias("start"), "window", "size").where("start >= 0")
-    second = ranked.where("rank = 1").select("term", "window", "at")
-    seconds = index.join(second, "term").select("doc_id", "mark", (F.col("pos") - F.col("at")).alias("start"), "window")
+    seconds = index.join(of("rank = 1"), "term").select("doc_id", "mark", (F.col("pos") - F.col("at")).alias("start"), "window")
     keys = ["doc_id", "mark", "start", "window"]
     one = starts.where("size = 1")
     both = starts.where("size > 1").join(seconds, keys, "left_semi")
     both = materialise(both, "starts")
-    rest = ranked.where("rank > 1").select("window", "term", "at")
+    rest = small(ranked.where("rank > 1").select("window", "term", "at"))
     asked = both.where("size > 2").join(rest, "window").select(*keys, "size", (F.col("start") + F.col("at")).alias("pos"), "term")
-    seen = asked.hint("shuffle_hash").join(index, ["doc_id", "mark", "pos", "term"])
+    doc = key_hash(F.col("doc_id"), F.col("mark"))
+    near = flagged(index, doc, both.where("size > 2").select("doc_id", "mark").distinct(), doc).where(MAY).drop(MAY)
+    seen = asked.hint("shuffle_hash").join(near, ["doc_id", "mark", "pos", "term"])
     full = seen.groupBy(*keys, "size").agg(F.count("*").alias("got")).where(F.col("got") == F.col("size") - 2)
     cols = [*keys, "size"]
     return one.select(cols).union(both.where("size = 2").select(cols)).union(full.select(cols))
@@ -138,14 +156,19 @@ def find_near(index: DataFrame, vocab: DataFrame, phrases: DataFrame, slack: int
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, n_words, n_hit, item_ids) of each distinct document (rows with
-    equal id and text are one; ids are whole numbers or null).
+    """(doc_id, mark, n_words, n_hit, item_ids) of every row of ``docs``; ids are whole
+    numbers or null.
 
     ``n_hit`` counts words inside any occurrence of a window: occurrences are
-    merged as intervals, so shared words count once."""
+    merged as intervals, so shared words count once. Null, empty and wordless
+    texts have no words and no hits; items without words have no windows; repeated
+    rows stay repeated, with equal results, and rows that share an id but not the
+    text have each their own; an empty table gives an empty table; without items
+    nothing is hit. Other columns are left out."""
     wins = materialise(windows(items, text=text, size=size), "windows")
     vocab = vocabulary(wins)
-    index = build_index(docs, vocab, id_col, text)
+    every_row = postings(docs, vocab, id_col, text)
+    index = once(every_row)
     ranked = materialise(_ranked_terms(wins, vocab, index), "ranked")
     found = materialise(find_phrases(index, ranked).distinct(), "hits")
     doc = ["doc_id", "mark"]
@@ -156,9 +179,8 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     n_hit = covered.groupBy(*doc).agg(F.sum("n").alias("n_hit"))
     by_item = found.select(*doc, "window").distinct().join(wins.select("window", "item_ids"), "window")
     items_of = by_item.select(*doc, F.explode("item_ids").alias("item")).groupBy(*doc).agg(F.collect_set("item").alias("item_ids"))
-    ends = index.where(F.col("term") == END).select(*doc, F.col("pos").cast("long").alias("n_words")).distinct()
-    marked = n_hit.join(items_of, doc)
-    every = ends.join(marked, doc, "left")
+    ends = every_row.where(F.col("term") == END).select(*doc, F.col("pos").cast("long").alias("n_words"))
+    every = ends.join(materialise(n_hit.join(items_of, doc), "marked"), doc, "left")
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
     return every.select(own, "mark", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"))
 
@@ -168,5 +190,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Rows with null or wordless text stay; equal rows share their fate; empty
     tables give empty or unchanged tables; other columns are kept as they are."""
-    bad = hits(docs, items, id_col, text).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & F.xxhash64(docs[text]).eqNullSafe(bad["_mark"]), "left_anti")
+    bad = materialise(hits(docs, items, id_col, text).where("n_hit > 0").select("doc_id", "mark"), "hit")
+    return without(docs, bad, id_col, mark_of(F.col(text)))

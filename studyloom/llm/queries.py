@@ -20,6 +20,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items, and which items."""
     from studyloom.llm.decontam import hits
 
     found = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -36,29 +37,30 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), items AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), wins AS (
   SELECT DISTINCT item_id, list_slice(w, s, s + 9) AS g, least(len(w), 10) AS size
   FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM items WHERE len(w) > 0)
 ), starts AS (
-  SELECT doc_id, s, size, list_slice(w, s, s + size - 1) AS g
-  FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s FROM words, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size)
+  SELECT r, s, size, list_slice(w, s, s + size - 1) AS g
+  FROM (SELECT r, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s FROM words, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size)
 ), found AS (
-  SELECT doc_id, s, starts.size AS size, item_id FROM starts JOIN wins ON starts.g = wins.g
+  SELECT r, s, starts.size AS size, item_id FROM starts JOIN wins ON starts.g = wins.g
 ), n_hit AS (
-  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM (SELECT DISTINCT doc_id, s, size FROM found)) GROUP BY doc_id
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(s, s + size - 1)) AS p FROM (SELECT DISTINCT r, s, size FROM found)) GROUP BY r
 ), its AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id
+  SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM words LEFT JOIN n_hit USING (doc_id) LEFT JOIN its USING (doc_id)
+FROM words LEFT JOIN n_hit USING (r) LEFT JOIN its USING (r)
 """
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the context-tree model."""
     from studyloom.llm.ctw import score_documents
 
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
@@ -66,12 +68,14 @@ def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
     from studyloom.llm.trie_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model")).drop("text")
 
 
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
     from studyloom.llm.rules import fit_quality, score_quality
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +85,7 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     from studyloom.llm.html_paths import extract_pages
 
     found = extract_pages(table(spark, sf_dir, "pages"))
@@ -88,6 +93,7 @@ def op5_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the ids of every document and of the text they decode to."""
     from studyloom.llm.pieces import encode_documents
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +107,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the least id of its component."""
     from studyloom.llm.simhash import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -108,6 +115,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the ids of every document, read back from the files."""
     from studyloom.llm.id_files import read_id_files, write_id_files
 
     path = write_id_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
@@ -115,18 +123,15 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from studyloom.llm.quality import apply_rules, thresholds
-    from studyloom.llm.storage import materialise
-    from studyloom.llm.text_stats import add_stats
+    """Statistics and verdict of every document."""
+    from studyloom.llm.quality import rated
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rated = materialise(add_stats(docs).drop("text"), "stats")
-    limits = materialise(thresholds(rated), "thresholds")
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return apply_rules(rated, limits).select("doc_id", *[F.col(f"stats.{f}").alias(f) for f in fields], "base_failed", "kept")
+    return rated(table(spark, sf_dir, "documents")).select("doc_id", *[F.col(f"stats.{f}").alias(f) for f in fields], "base_failed", "kept")
 
 
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
     from studyloom.llm import secrets as S
 
     found = S.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
@@ -142,22 +147,22 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    from studyloom.llm.secrets import ACCESS, ASSIGN, GENERIC, HEX, WIDE_OWNERS
+    from studyloom.llm.secrets import ACCESS, ASSIGN, GENERIC, HEX, WIDE_OWNERS, WIDE_REPOS
 
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = [(0, "assign", ASSIGN, 2, 6), (1, "access", ACCESS, 0, 20), (2, "hex", HEX, 0, 24), (3, "generic", GENERIC, 0, 24)]
     found = " UNION ALL ".join(
-        f"SELECT doc_id, source, {k} AS kind, '{name}' AS name, p, m, {least} AS least, regexp_extract_all(t, {quoted(p)}, {g}) AS g FROM (SELECT doc_id, source, t, string_split_regex(t, {quoted(p)}) AS p, regexp_extract_all(t, {quoted(p)}) AS m FROM d WHERE regexp_matches(t, {quoted(p)}))"
+        f"SELECT doc_id, source, lang, {k} AS kind, '{name}' AS name, p, m, {least} AS least, regexp_extract_all(t, {quoted(p)}, {g}) AS g FROM (SELECT doc_id, source, lang, t, string_split_regex(t, {quoted(p)}) AS p, regexp_extract_all(t, {quoted(p)}) AS m FROM d WHERE regexp_matches(t, {quoted(p)}))"
         for k, name, p, g, least in kinds
     )
-    return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), f AS ({found}),
-    e AS (SELECT doc_id, source, kind, name, least, unnest(generate_series(1, len(m))) AS i, p, m, g FROM f),
-    s AS (SELECT doc_id, source, kind, name, g[i] AS value, least,
+    return f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents), f AS ({found}),
+    e AS (SELECT doc_id, source, lang, kind, name, least, unnest(generate_series(1, len(m))) AS i, p, m, g FROM f),
+    s AS (SELECT doc_id, source, lang, kind, name, g[i] AS value, least,
       CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a,
       CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT) AS b FROM e),
     c AS (SELECT * FROM s WHERE length(value) >= least AND (kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))),
-    o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM c GROUP BY value),
-    k AS (SELECT c.* FROM c JOIN o USING (value) WHERE kind < 3 OR (owners < {WIDE_OWNERS} AND len(list_distinct(string_split(value, ''))) >= 10
+    o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT coalesce(source, '') || '|' || concat_ws('/', source, lang)) AS repos FROM c GROUP BY value),
+    k AS (SELECT c.* FROM c JOIN o USING (value) WHERE kind < 3 OR (owners < {WIDE_OWNERS} AND repos < {WIDE_REPOS} AND len(list_distinct(string_split(value, ''))) >= 10
       AND NOT EXISTS (SELECT 1 FROM c x WHERE x.doc_id = c.doc_id AND x.kind < 3 AND x.a < c.b AND c.a < x.b))),
     r AS (SELECT doc_id, count_if(kind = 0) AS n0, count_if(kind = 1) AS n1, count_if(kind = 2) AS n2, string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) AS spans,
       string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (kind < 3) AS base FROM k GROUP BY doc_id)
@@ -191,6 +196,7 @@ def _op10_sql() -> str:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the corpus pipeline."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

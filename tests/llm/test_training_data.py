@@ -372,7 +372,7 @@ def test_decontamination_of_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(7, window), (8, " ".join(text.split()[30:33]))], "item_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], sorted(r["item_ids"])) for r in hits(docs, items).collect())
-    assert got == [("1", 40, 13, [7, 8]), ("2", 40, 13, [7, 8]), ("3", 20, 0, []), ("None", 40, 13, [7, 8])]
+    assert got == [("1", 40, 13, [7, 8])] * 3 + [("2", 40, 13, [7, 8])] + [("3", 20, 0, [])] * 2 + [("None", 40, 13, [7, 8])] * 2
     assert [r["doc_id"] for r in decontaminate(docs, items).collect()] == [3, 3]
 
 
