@@ -8,14 +8,24 @@ table, and aggregated by (column, voxel). The voxel key packs i, j, k.
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from studyloom.session import checkpoints
+
 #: Least corner of the grid in mm, and its size.
 ORIGIN = (-90, -126, -72)
 EXTENT = (180, 216, 180)
 RADIUS = 10.0
+FWHM = 10.0
+#: Bins of the histograms whose convolution is the null distribution of ALE.
+BINS = 8192
+#: Foci that a Monte Carlo task spreads at once.
+DRAWN = 20_000
 
 
 def voxel(i: Column, j: Column, k: Column) -> Column:
@@ -55,10 +65,25 @@ def spread(cells: DataFrame, step: int, radius: float = RADIUS) -> DataFrame:
     return _inside(moved, step).withColumn("voxel", voxel(F.col("i"), F.col("j"), F.col("k")))
 
 
+def grid_size(step: int) -> int:
+    """Voxels of the grid."""
+    return math.prod(e // step + 1 for e in EXTENT)
+
+
+def _cells(foci: DataFrame, step: int) -> DataFrame:
+    """Distinct voxels of each unit. Units are dealt out here, while rows are few; what
+    is spread from them afterwards stays where it is."""
+    return on_grid(foci, step).select("column", "unit", "i", "j", "k").repartition("column", "unit").distinct()
+
+
+def _maps(foci: DataFrame, step: int, radius: float) -> DataFrame:
+    """(column, unit, voxel, d2) of the voxels near a focus of a unit; d2 is the least."""
+    return spread(_cells(foci, step), step, radius).groupBy("column", "unit", "voxel").agg(F.min("d2").alias("d2"))
+
+
 def mkda(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
     """(column, voxel, stat): units with a focus within ``radius``."""
-    cells = on_grid(foci, step).select("column", "unit", "i", "j", "k").distinct()
-    return spread(cells, step, radius).select("column", "unit", "voxel").distinct().groupBy("column", "voxel").agg(F.count("*").alias("stat"))
+    return spread(_cells(foci, step), step, radius).select("column", "unit", "voxel").distinct().groupBy("column", "voxel").agg(F.count("*").alias("stat"))
 
 
 def kda(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
@@ -67,77 +92,222 @@ def kda(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
     return spread(cells, step, radius).groupBy("column", "voxel").agg(F.sum("n").alias("stat"))
 
 
-def ale(foci: DataFrame, step: int = 4, fwhm: float = 10.0, radius: float = RADIUS) -> DataFrame:
+def gaussian(step: int, fwhm: float) -> tuple[float, float, float]:
+    """Variance, peak and radius of the kernel: it ends at three deviations, where it
+    has 1% of its peak."""
+    sigma2 = (fwhm / (2 * math.sqrt(2 * math.log(2)))) ** 2
+    return sigma2, step**3 / (2 * math.pi * sigma2) ** 1.5, 3 * math.sqrt(sigma2)
+
+
+def _activation(step: int, fwhm: float) -> Column:
+    sigma2, top, _ = gaussian(step, fwhm)
+    return F.least(F.lit(0.999999), F.lit(top) * F.exp(-F.col("d2") / (2 * sigma2)))
+
+
+def ale(foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
     """(column, voxel, stat): 1 - product over units of (1 - activation), where a
     unit's activation is the largest Gaussian value of its foci."""
-    sigma2 = (fwhm / (2 * math.sqrt(2 * math.log(2)))) ** 2
-    top = step**3 / (2 * math.pi * sigma2) ** 1.5
-    cells = on_grid(foci, step).select("column", "unit", "i", "j", "k").distinct()
-    near = spread(cells, step, radius).groupBy("column", "unit", "voxel").agg(F.min("d2").alias("d2"))
-    value = F.least(F.lit(0.999999), F.lit(top) * F.exp(-F.col("d2") / (2 * sigma2)))
-    return near.groupBy("column", "voxel").agg((1 - F.exp(F.sum(F.log1p(-value)))).alias("stat"))
+    near = _maps(foci, step, gaussian(step, fwhm)[2])
+    return near.groupBy("column", "voxel").agg((1 - F.exp(F.sum(F.log1p(-_activation(step, fwhm))))).alias("stat"))
 
 
 ESTIMATORS = {"mkdadensity": mkda, "kda": kda, "ale": ale}
+# Options of the interface, and what they are called here; None is accepted
+# and changes nothing.
+OPTIONS = {"kernel__r": "radius", "kernel__fwhm": "fwhm", "r": "radius", "n_cores": None, "null_method": None, "memory": None, "memory_level": None}
+
+
+def options(given: dict) -> dict:
+    """Options under the names that the functions here have."""
+    named = {OPTIONS.get(k, k): v for k, v in given.items()}
+    named.pop(None, None)
+    return named
 
 
-def estimate(name: str, foci: DataFrame, **options) -> DataFrame:
+def estimate(name: str, foci: DataFrame, **given) -> DataFrame:
     if name not in ESTIMATORS:
         raise ValueError(f"unknown estimator: {name}")
-    return ESTIMATORS[name](foci, **options)
+    return ESTIMATORS[name](foci, **options(given))
+
+
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """Probability of k or more of n."""
+    if k <= 0:
+        return 1.0
+    if p <= 0 or p >= 1:
+        return float(p >= 1)
+    most = min(n, int(max(k, n * p) + 40 * math.sqrt(n * p * (1 - p)) + 200))
+    x = np.arange(k, most + 1)
+    terms = [math.lgamma(n + 1) - math.lgamma(v + 1) - math.lgamma(n - v + 1) for v in x.tolist()]
+    return min(1.0, float(np.exp(np.array(terms) + x * math.log(p) + (n - x) * math.log1p(-p)).sum()))
+
+
+def poisson_tail(k: int, mean: float) -> float:
+    """Probability of k or more events."""
+    if k <= 0:
+        return 1.0
+    x = np.arange(k, int(max(k, mean) + 40 * math.sqrt(mean) + 200) + 1)
+    return min(1.0, float(np.exp(x * math.log(mean) - mean - np.array([math.lgamma(v + 1) for v in x.tolist()])).sum()))
+
+
+def _tails(stats: DataFrame, facts: DataFrame, tail) -> DataFrame:
+    """Adds ``p``, worked out once for each distinct statistic of a column. ``facts``
+    has one row for each column."""
+    values = stats.select("column", "stat").distinct().join(facts, "column")
+
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame({"column": rows["column"], "stat": rows["stat"], "p": [tail(r) for r in rows.to_dict("records")]})
+
+    kind = dict(stats.dtypes)["column"]
+    made = values.mapInPandas(run, f"column {kind}, stat long, p double")
+    return stats.join(made, ["column", "stat"]).select(*stats.columns, "p")
 
 
 def mkda_p(stats: DataFrame, foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
-    """Adds ``p``: the normal approximation of a binomial with the mean share of the
-    grid that a unit's map covers."""
-    cells = on_grid(foci, step).select("column", "unit", "i", "j", "k").distinct()
-    maps = spread(cells, step, radius).select("column", "unit", "voxel").distinct().groupBy("column").agg(F.count("*").alias("filled"), F.count_distinct("unit").alias("units"))
-    size = 1
-    for e in EXTENT:
-        size *= e // step + 1
-    rate = F.col("filled") / F.col("units") / size
-    z = (F.col("stat") - F.col("units") * rate) / F.sqrt(F.col("units") * rate * (1 - rate))
-    joined = stats.join(maps, "column")  # one row per column
-    return joined.withColumn("p", normal_tail(z)).drop("filled", "units")
-
-
-def normal_tail(z: Column) -> Column:
-    """Upper tail of the normal distribution (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
-
-
-def fdr(tests: DataFrame, p: str = "p", by: tuple[str, ...] = ("column",), n: str | None = None) -> DataFrame:
-    """Adds ``q`` of Benjamini and Hochberg within each group. Equal p-values are
-    counted first, so ranks are summed over distinct values, not over tests."""
+    """Adds ``p``: the tail of a binomial over units, whose rate is the mean share of
+    the grid that a unit's map covers."""
+    maps = spread(_cells(foci, step), step, radius).select("column", "unit", "voxel").distinct()
+    facts = maps.groupBy("column", "unit").agg(F.count("*").alias("filled")).groupBy("column").agg(F.sum("filled").alias("filled"), F.count("*").alias("units"))
+    size = grid_size(step)
+    return _tails(stats, facts, lambda r: binomial_tail(int(r["stat"]), int(r["units"]), r["filled"] / r["units"] / size))
+
+
+def kda_p(stats: DataFrame, foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
+    """Adds ``p``: the tail of a Poisson distribution whose mean is the mean count over
+    the grid."""
+    facts = stats.groupBy("column").agg(F.sum("stat").alias("foci"))
+    size = grid_size(step)
+    return _tails(stats, facts, lambda r: poisson_tail(int(r["stat"]), r["foci"] / size))
+
+
+def ale_p(stats: DataFrame, foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
+    """Adds ``p``: the share of a null distribution at or above the statistic.
+
+    With l = -log(1 - stat), units add up; a unit's l at a random voxel has the
+    histogram of its map, and the null is the convolution of all these histograms.
+    Their Fourier transforms are multiplied, as sums of logarithms, in the tasks
+    that hold the units, so no task sees a whole column. Values below 1e-15 are
+    beyond the precision and are given as 1e-15."""
+    size = grid_size(step)
+    maps = _maps(foci, step, gaussian(step, fwhm)[2]).groupBy("column", "unit", "d2").agg(F.count("*").alias("n"))
+    maps = maps.select("column", "unit", (-F.log1p(-_activation(step, fwhm))).alias("l"), "n")
+    width = stats.groupBy("column").agg((1.5 * F.max(-F.log1p(-F.col("stat"))) / BINS).alias("h"))  # one row a column
+    units = maps.join(width, "column").groupBy("column", "unit").agg(F.collect_list(F.struct(F.least(F.round(F.col("l") / F.col("h")), F.lit(BINS - 1)).cast("int").alias("bin"), "n")).alias("cells"))
+    kind = dict(stats.dtypes)["column"]
+
+    def transforms(batches):
+        sums: dict = {}
+        for rows in batches:
+            for column, cells in zip(rows["column"], rows["cells"]):
+                hist = np.zeros(BINS)
+                np.add.at(hist, [c["bin"] for c in cells], [c["n"] / size for c in cells])
+                hist[0] += 1 - hist.sum()
+                got = np.log(np.fft.rfft(hist) + 1e-300)
+                sums[column] = sums[column] + got if column in sums else got
+        for column, got in sums.items():
+            yield pd.DataFrame({"column": column, "k": np.arange(len(got)), "re": got.real, "im": got.imag})
+
+    def nulls(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        density = np.clip(np.fft.irfft(np.exp(rows["re"].to_numpy() + 1j * rows["im"].to_numpy()), BINS), 0, None)
+        return pd.DataFrame({"column": rows["column"].iloc[0], "bin": np.arange(BINS), "p": np.clip(np.cumsum(density[::-1])[::-1], 1e-15, 1)})
+
+    parts = units.select("column", "cells").mapInPandas(transforms, f"column {kind}, k int, re double, im double")
+    null = parts.groupBy("column", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).groupBy("column").applyInPandas(nulls, f"column {kind}, bin int, p double")
+    placed = stats.join(width, "column").withColumn("bin", F.least(F.round(-F.log1p(-F.col("stat")) / F.col("h")), F.lit(BINS - 1)).cast("int"))
+    return placed.join(null, ["column", "bin"]).select(*stats.columns, "p")
+
+
+P_VALUES = {"mkdadensity": mkda_p, "kda": kda_p, "ale": ale_p}
+
+
+def p_values(name: str, stats: DataFrame, foci: DataFrame, step: int = 4, **given) -> DataFrame:
+    """``stats`` of the estimator with ``p`` of its own null distribution."""
+    return P_VALUES[name](stats, foci, step, **options(given))
+
+
+def fdr(tests: DataFrame, p: str = "p", by: tuple[str, ...] = ("column",), n: int | None = None) -> DataFrame:
+    """Adds ``q`` of Benjamini and Hochberg within each group of ``n`` tests: all rows
+    of the group if it is not given, else those that are not listed have p = 1. Equal
+    p-values are counted first, so ranks are summed over distinct values, not over
+    tests."""
     keys = list(by)
     values = tests.groupBy(*keys, p).agg(F.count("*").alias("_c"))
     group = Window.partitionBy(*keys)
     up = group.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("_rank", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(group))
+    ranked = values.withColumn("_rank", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(group) if n is None else F.lit(n))
     down = group.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     q = ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down)))
     return tests.join(q.select(*keys, p, "q"), [*keys, p])
 
 
-def bonferroni(tests: DataFrame, p: str = "p", by: tuple[str, ...] = ("column",)) -> DataFrame:
-    """Adds ``q``: p times the number of tests of the group, 1 at most."""
+def bonferroni(tests: DataFrame, p: str = "p", by: tuple[str, ...] = ("column",), n: int | None = None) -> DataFrame:
+    """Adds ``q``: p times the number of tests of the group, or ``n``, 1 at most."""
+    if n is not None:
+        return tests.withColumn("q", F.least(F.lit(1.0), F.col(p) * n))
     counts = tests.groupBy(*by).agg(F.count("*").alias("_n"))
     return tests.join(counts, list(by)).withColumn("q", F.least(F.lit(1.0), F.col(p) * F.col("_n"))).drop("_n")
 
 
-def montecarlo(foci: DataFrame, stats: DataFrame, estimator: str = "mkdadensity", n_iters: int = 20, step: int = 4, seed: int = 0, **options) -> DataFrame:
+def largest(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random.Generator, radius: float = RADIUS, fwhm: float = FWHM) -> float:
+    """The largest statistic on the grid after foci are drawn at random for units of
+    ``sizes`` (foci of a unit, units). Units are spread some at a time onto one grid,
+    so memory does not grow with them."""
+    shape = np.array([e // step + 1 for e in EXTENT])
+    sigma2, top, reach = gaussian(step, fwhm)
+    r = reach if name == "ale" else radius
+    span = np.arange(-int(r // step), int(r // step) + 1)
+    ball = np.stack(np.meshgrid(span, span, span, indexing="ij"), -1).reshape(-1, 3)
+    d2 = (ball**2).sum(1) * step * step
+    ball, d2 = ball[d2 <= r * r], d2[d2 <= r * r].astype(float)
+    cells = math.prod(shape.tolist())
+    grid = np.zeros(cells)
+    for n, units in sizes:
+        each = max(1, DRAWN // n)
+        for first in range(0, units, each):
+            m = min(each, units - first)
+            at = rng.integers(0, shape, (m * n, 3))[:, None, :] + ball[None, :, :]
+            ok = ((at >= 0) & (at < shape)).all(2)
+            place = (at[..., 0] * shape[1] + at[..., 1]) * shape[2] + at[..., 2]
+            if name == "kda":
+                grid += np.bincount(place[ok], minlength=cells)
+                continue
+            key = (np.repeat(np.arange(m), n)[:, None] * cells + place)[ok]
+            if name == "mkdadensity":
+                grid += np.bincount(np.unique(key) % cells, minlength=cells)
+                continue
+            near = np.broadcast_to(d2, ok.shape)[ok]
+            order = np.lexsort((near, key))
+            key, near = key[order], near[order]
+            lead = np.r_[True, key[1:] != key[:-1]]
+            value = np.minimum(0.999999, top * np.exp(-near[lead] / (2 * sigma2)))
+            grid -= np.bincount(key[lead] % cells, np.log1p(-value), cells)
+    return float(1 - math.exp(-grid.max()) if name == "ale" else grid.max())
+
+
+def montecarlo(foci: DataFrame, stats: DataFrame, estimator: str = "mkdadensity", n_iters: int = 1000, step: int = 4, seed: int = 0, **given) -> DataFrame:
     """Adds ``q``: the share of iterations, this one counted, whose largest statistic
-    reaches the observed one. Places are hashes of (focus, iteration, seed): a task
-    that runs again draws the same ones. All iterations are one job."""
-    rows = on_grid(foci, step).select("column", "unit", "i", "j", "k").withColumn("focus", F.row_number().over(Window.partitionBy("column", "unit").orderBy("i", "j", "k")))
-    drawn = rows.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(n_iters))))
-    place = lambda tag, o, e: (F.lit(o) + step * F.pmod(F.xxhash64("column", "unit", "focus", "it", F.lit(seed), F.lit(tag)), F.lit(e // step + 1))).cast("double")
-    drawn = drawn.select(F.concat_ws("\x1f", "column", F.col("it").cast("string")).alias("column"), "unit", *[place(c, o, e).alias(c) for c, o, e in zip("xyz", ORIGIN, EXTENT)])
-    tops = estimate(estimator, drawn, step=step, **options).groupBy("column").agg(F.max("stat").alias("top"))
-    tops = tops.select(F.split("column", "\x1f")[0].alias("column"), "top").groupBy("column").agg(F.collect_list("top").alias("tops"))
+    reaches the observed one.
+
+    Places are drawn at random, so an iteration depends on nothing but how many units
+    have how many foci: that table, of one row for each number, is what the tasks
+    get. Each draws with a seed of its own column and iteration, so a task that runs
+    again draws the same places."""
+    named = options(given)
+    cells = on_grid(foci, step).select("column", "unit", "i", "j", "k")
+    per_unit = (cells if estimator == "kda" else cells.distinct()).groupBy("column", "unit").agg(F.count("*").alias("n"))
+    sizes = per_unit.groupBy("column", "n").agg(F.count("*").alias("units")).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("n", "units"))).alias("sizes"))
+    tasks = int(foci.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sizes.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(n_iters)))).repartition(tasks, "column", "it")
+
+    def run(batches):
+        for rows in batches:
+            tops = [largest(estimator, [(int(s["n"]), int(s["units"])) for s in sizes], step, np.random.default_rng([seed, zlib.crc32(str(column).encode()), int(it)]), **named) for column, sizes, it in zip(rows["column"], rows["sizes"], rows["it"])]
+            yield pd.DataFrame({"column": rows["column"], "top": tops})
+
+    kind = dict(stats.dtypes)["column"]
+    tops = drawn.mapInPandas(run, f"column {kind}, top double").groupBy("column").agg(F.collect_list("top").alias("tops"))
     at_least = F.size(F.filter("tops", lambda t: t >= F.col("stat")))
     return stats.join(tops, "column").withColumn("q", (1 + at_least) / (1 + F.size("tops"))).drop("tops")
 
@@ -145,14 +315,16 @@ def montecarlo(foci: DataFrame, stats: DataFrame, estimator: str = "mkdadensity"
 CORRECTORS = ("fdr", "montecarlo", "bonferroni")
 
 
-def correct(name: str, foci: DataFrame, stats: DataFrame, step: int = 4, **options) -> DataFrame:
-    """Statistics with corrected ``q``. fdr and bonferroni need ``p`` in ``stats``."""
+def correct(name: str, foci: DataFrame, stats: DataFrame, step: int = 4, estimator: str = "mkdadensity", estimator_args: dict | None = None, **given) -> DataFrame:
+    """Statistics with corrected ``q``. fdr and bonferroni need ``p`` in ``stats`` and
+    count every voxel of the grid as a test; montecarlo draws with the estimator."""
     if name == "fdr":
-        return fdr(stats)
+        return fdr(stats, n=grid_size(step))
     if name == "bonferroni":
-        return bonferroni(stats)
+        return bonferroni(stats, n=grid_size(step))
     if name == "montecarlo":
-        return montecarlo(foci, stats, step=step, **options)
+        known = {k: v for k, v in options(given).items() if k in ("n_iters", "seed")}
+        return montecarlo(foci, stats, estimator, step=step, **known, **(estimator_args or {}))
     raise ValueError(f"unknown corrector: {name}")
 
 
@@ -161,6 +333,7 @@ def clusters(voxels: DataFrame, max_rounds: int = 60) -> DataFrame:
     voxel. A round takes the least label around a voxel and then that label's own
     label, so the rounds grow with the logarithm of a cluster's width; each ends in
     a checkpoint."""
+    checkpoints(voxels.sparkSession)
     labels = voxels.select("column", "voxel").distinct().withColumn("cluster", F.col("voxel")).checkpoint()
     steps = F.array(*[F.lit(d) for d in (0, 1, -1, 1_000, -1_000, 1_000_000, -1_000_000)])
     mark = None

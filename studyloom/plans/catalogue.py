@@ -161,10 +161,10 @@ def retrieval_scope(spark, sf_dir):
 
 @query(
     """SELECT CAST(d.doc_id AS VARCHAR) AS pmid, CASE WHEN p.page_id IS NOT NULL THEN 0 WHEN b.item_id IS NOT NULL THEN 1 END AS source_pos, coalesce(p.url, CASE WHEN b.item_id IS NOT NULL THEN 'benchmark' END) AS path
-    FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id AND p.page_id % 2 = 0 LEFT JOIN benchmark b ON b.item_id = d.doc_id"""
+    FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN benchmark b ON b.item_id = d.doc_id"""
 )
 def first_source_wins(spark, sf_dir):
-    one = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(F.col("page_id").cast("string").alias("pmid"), F.col("url").alias("path"))
+    one = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("pmid"), F.col("url").alias("path"))
     two = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("pmid"), F.lit("benchmark").alias("path"))
     return relational.first_source(views.studies(spark, sf_dir).select("pmid"), [one, two], "pmid").select("pmid", "source_pos", "path")
 
@@ -490,12 +490,12 @@ def screening_upsert(spark, sf_dir):
 
 @query(
     """SELECT study_id AS pmid, analysis_id, a.table_id, coalesce(CASE WHEN t.p_size % 10 = 0 THEN NULL ELSE t.p_type END, 'Unnamed Table') AS table_caption, CASE WHEN t.p_partkey IS NULL THEN 'unknown table' END AS table_error
-    FROM (SELECT DISTINCT study_id, analysis_id, CAST(CAST(study_id AS BIGINT) * 2 AS VARCHAR) AS table_id FROM v_ann) a LEFT JOIN part t ON CAST(t.p_partkey AS VARCHAR) = a.table_id AND t.p_partkey % 4 <> 0""",
+    FROM (SELECT DISTINCT study_id, analysis_id, CAST(CAST(study_id AS BIGINT) * 2 AS VARCHAR) AS table_id FROM v_ann) a LEFT JOIN part t ON CAST(t.p_partkey AS VARCHAR) = a.table_id""",
     "v_ann",
 )
 def table_lookup(spark, sf_dir):
     rows = views.analyses(spark, sf_dir).select(F.col("study_id").alias("pmid"), "analysis_id", (F.col("study_id").cast("long") * 2).cast("string").alias("table_id"))
-    tables = table(spark, sf_dir, "part").where("p_partkey % 4 <> 0").select((F.col("p_partkey") / 2).cast("long").cast("string").alias("pmid"), F.col("p_partkey").cast("string").alias("table_id"), F.expr("CASE WHEN p_size % 10 = 0 THEN 'nan' ELSE p_type END").alias("table_caption"), F.lit(None).cast("string").alias("table_foot"))
+    tables = table(spark, sf_dir, "part").select((F.col("p_partkey") / 2).cast("long").cast("string").alias("pmid"), F.col("p_partkey").cast("string").alias("table_id"), F.expr("CASE WHEN p_size % 10 = 0 THEN 'nan' ELSE p_type END").alias("table_caption"), F.lit(None).cast("string").alias("table_foot"))
     return annotation.with_table(rows, tables).select("pmid", "analysis_id", "table_id", "table_caption", "table_error")
 
 
@@ -543,8 +543,18 @@ _IN = "i + a BETWEEN 0 AND 45 AND j + b BETWEEN 0 AND 54 AND k + c BETWEEN 0 AND
 _MKDA = f'SELECT col AS "column", voxel, count(*) AS stat FROM (SELECT DISTINCT col, unit, {_AT} AS voxel FROM (SELECT DISTINCT * FROM inside), ball WHERE {_IN}) GROUP BY col, voxel'
 _KDA = f'SELECT col AS "column", {_AT} AS voxel, count(*) AS stat FROM inside, ball WHERE {_IN} GROUP BY ALL'
 _SIGMA2 = "(10.0 / (2 * sqrt(2 * ln(2)))) ** 2"
-_ALE = f"""SELECT col AS "column", voxel, round(1 - exp(sum(ln(1 - least(0.999999, {STEP**3} / (2 * pi() * {_SIGMA2}) ** 1.5 * exp(-d2 / (2 * {_SIGMA2})))))), 6) AS stat FROM
-  (SELECT col, unit, {_AT} AS voxel, min(d2) AS d2 FROM (SELECT DISTINCT * FROM inside), ball WHERE {_IN} GROUP BY ALL) GROUP BY col, voxel"""
+_ALE = f""", r3 AS (SELECT unnest(generate_series(-3, 3)) AS v), wide AS (SELECT * FROM (SELECT a.v AS a, b.v AS b, c.v AS c, ((a.v * a.v + b.v * b.v + c.v * c.v) * {STEP * STEP})::DOUBLE AS d2 FROM r3 a, r3 b, r3 c) WHERE d2 <= 9 * {_SIGMA2})
+  SELECT col AS "column", voxel, round(1 - exp(sum(ln(1 - least(0.999999, {STEP**3} / (2 * pi() * {_SIGMA2}) ** 1.5 * exp(-d2 / (2 * {_SIGMA2})))))), 6) AS stat FROM
+  (SELECT col, unit, {_AT} AS voxel, min(d2) AS d2 FROM (SELECT DISTINCT * FROM inside), wide WHERE {_IN} GROUP BY ALL) GROUP BY col, voxel"""
+_SIZE = 46 * 55 * 46
+_TAIL = "least(1.0, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p))))"
+_MKDA_P = f""", s AS ({_MKDA}), m AS (SELECT col, unit, count(*) AS filled FROM (SELECT DISTINCT col, unit, {_AT} AS voxel FROM (SELECT DISTINCT * FROM inside), ball WHERE {_IN}) GROUP BY col, unit),
+  f AS (SELECT col, count(*) AS n, sum(filled) / count(*) / {_SIZE}.0 AS p FROM m GROUP BY col), v AS (SELECT DISTINCT "column", stat FROM s),
+  t AS (SELECT "column", stat, {_TAIL} AS p FROM (SELECT "column", stat, n, p, unnest(generate_series(stat, n)) AS x FROM v JOIN f ON col = "column") GROUP BY "column", stat)
+  SELECT "column", voxel, stat, round(t.p, 9) AS p FROM s JOIN t USING ("column", stat)"""
+_KDA_P = f""", s AS ({_KDA}), f AS (SELECT "column", sum(stat) / {_SIZE}.0 AS mean FROM s GROUP BY "column"), v AS (SELECT DISTINCT "column", stat FROM s),
+  t AS (SELECT "column", stat, least(1.0, sum(exp(x * ln(mean) - mean - lgamma(x + 1)))) AS p FROM (SELECT "column", stat, mean, unnest(generate_series(stat, stat + 400)) AS x FROM v JOIN f USING ("column")) GROUP BY "column", stat)
+  SELECT "column", voxel, stat, round(t.p, 9) AS p FROM s JOIN t USING ("column", stat)"""
 
 
 @query(_GRID + _MKDA, "v_foci")
@@ -582,30 +592,37 @@ def bonferroni(spark, sf_dir):
     return cbma.bonferroni(_tests(spark, sf_dir)).select("column", "event_id", F.round("q", 9).alias("q"))
 
 
+@query(_GRID + _MKDA_P, "v_foci")
+def mkda_p_values(spark, sf_dir):
+    foci = _foci(spark, sf_dir)
+    return cbma.mkda_p(cbma.mkda(foci, STEP, R), foci, STEP, R).withColumn("p", F.round("p", 9))
+
+
+@query(_GRID + _KDA_P, "v_foci")
+def kda_p_values(spark, sf_dir):
+    foci = _foci(spark, sf_dir)
+    return cbma.kda_p(cbma.kda(foci, STEP, R), foci, STEP, R).withColumn("p", F.round("p", 9))
+
+
+@query()
+def ale_p_values(spark, sf_dir):
+    foci = _foci(spark, sf_dir)
+    return cbma.ale_p(cbma.ale(foci, STEP), foci, STEP)
+
+
 @query()
 def montecarlo_fwe(spark, sf_dir):
     foci = _foci(spark, sf_dir)
-    return cbma.montecarlo(foci, cbma.mkda(foci, STEP, R), n_iters=10, step=STEP)
+    return cbma.montecarlo(foci, cbma.mkda(foci, STEP, R), step=STEP)
 
 
 @query()
 def focus_counter(spark, sf_dir):
     foci = _foci(spark, sf_dir)
-    stats = cbma.correct("fdr", foci, cbma.mkda_p(cbma.mkda(foci, STEP, R), foci, STEP, R))
-    spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or _checkpoints(spark)
+    stats = cbma.correct("fdr", foci, cbma.mkda_p(cbma.mkda(foci, STEP, R), foci, STEP, R), STEP)
     return cbma.focus_counter(foci, stats.where("q < 0.05"), STEP)
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """The shared folder of the session; a temporary one on a local master."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="studyloom-"))
-
-
 @query("SELECT annotation_name AS \"column\", analysis_id AS unit, study_id, z FROM (SELECT DISTINCT annotation_name, analysis_id FROM v_ann WHERE include) n JOIN (SELECT user_id || '_analysis_' || (event_id % 3) AS analysis_id, CAST(user_id AS VARCHAR) AS study_id, CAST(event_id % 91 - 45 AS DOUBLE) AS z FROM events) p USING (analysis_id) WHERE CAST(study_id AS BIGINT) IN (SELECT item_id FROM benchmark)", "v_ann")
 def include_ids_slice(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -140,6 +140,7 @@ def test_estimators_against_brute_force(spark):
 
     rows, foci = toy(spark)
     near = brute(rows, 4, 10)
+    wide = brute(rows, 4, 3 * 10 / (2 * math.sqrt(2 * math.log(2))))
     got = {(r["column"], r["voxel"]): r["stat"] for r in cbma.mkda(foci).collect()}
     assert got == {k: len({u for u, _ in v}) for k, v in near.items()}
     got = {(r["column"], r["voxel"]): r["stat"] for r in cbma.kda(foci).collect()}
@@ -147,7 +148,8 @@ def test_estimators_against_brute_force(spark):
     sigma2 = (10 / (2 * math.sqrt(2 * math.log(2)))) ** 2
     top = 64 / (2 * math.pi * sigma2) ** 1.5
     got = {(r["column"], r["voxel"]): r["stat"] for r in cbma.ale(foci).collect()}
-    for k, v in near.items():
+    assert set(got) == set(wide)
+    for k, v in wide.items():
         keep = 1.0
         for u in {u for u, _ in v}:
             keep *= 1 - top * math.exp(-min(d for w, d in v if w == u) / (2 * sigma2))
@@ -160,7 +162,6 @@ def test_correctors_and_clusters(spark):
     tests = spark.createDataFrame([("c", p) for p in (0.01, 0.02, 0.02, 0.5)], "column string, p double")
     assert sorted(r["q"] for r in cbma.fdr(tests).collect()) == pytest.approx(sorted([0.04, 0.02 * 4 / 3, 0.02 * 4 / 3, 0.5])[:0] + [0.02 * 4 / 3, 0.02 * 4 / 3, 0.02 * 4 / 3, 0.5])
     assert sorted(r["q"] for r in cbma.bonferroni(tests).collect()) == pytest.approx([0.04, 0.08, 0.08, 1.0])
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/studyloom-tests"))
     line = [(k, 5, 5) for k in range(12)] + [(0, 9, 9), (0, 9, 10), (20, 0, 0)]
     voxels = spark.createDataFrame([("c", i * 1_000_000 + j * 1000 + k) for i, j, k in line], "column string, voxel long")
     got = {r["voxel"]: r["cluster"] for r in cbma.clusters(voxels).collect()}
@@ -171,6 +172,39 @@ def test_correctors_and_clusters(spark):
     assert once == again and all(0 < r[-1] <= 1 for r in once)
 
 
+def test_p_values_of_each_estimator(spark):
+    import math
+
+    rng = random.Random(3)
+    spot = [("c", f"u{k}", 2.0, 2.0, 2.0) for k in range(30)]
+    rest = [("c", f"v{k}", *(float(rng.randint(o, o + e)) for o, e in zip(cbma.ORIGIN, cbma.EXTENT))) for k in range(30)]
+    foci = spark.createDataFrame(spot + rest, "column string, unit string, x double, y double, z double")
+    size = cbma.grid_size(4)
+    stats = cbma.mkda(foci)
+    filled, units = sum(r["stat"] for r in stats.collect()), 60
+    p = filled / units / size
+    for r in cbma.mkda_p(stats, foci).collect():
+        want = sum(math.comb(units, k) * p**k * (1 - p) ** (units - k) for k in range(r["stat"], units + 1))
+        assert r["p"] == pytest.approx(want)
+    done = cbma.correct("fdr", foci, cbma.mkda_p(stats, foci)).collect()
+    assert all((r["q"] < 0.05) == (r["stat"] > 3) for r in done if r["stat"] != 3)  # a voxel that one unit touches is not significant
+    counts = cbma.kda(foci)
+    mean = sum(r["stat"] for r in counts.collect()) / size
+    for r in cbma.kda_p(counts, foci).collect():
+        assert r["p"] == pytest.approx(1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(r["stat"])), abs=1e-12)
+    scores = cbma.ale(foci)
+    got = {round(r["stat"], 9): r["p"] for r in cbma.ale_p(scores, foci).collect()}
+    few = foci.where("unit in ('v0', 'v1')")
+    two = {r["stat"]: r["p"] for r in cbma.ale_p(cbma.ale(few), few).collect()}
+    share = len(two) and max(two.values())
+    assert 0 < min(two.values()) < share < 0.01 and all(a <= b for (_, b), (_, a) in itertools.pairwise(sorted(two.items())))
+    assert max(got, key=got.get) < 0.02 and got[max(got)] == pytest.approx(1e-15, abs=1e-9)
+    drawn = {r["stat"]: r["q"] for r in cbma.correct("montecarlo", foci, scores, estimator="ale", n_iters=50).collect()}
+    assert drawn[max(drawn)] == pytest.approx(1 / 51) and drawn[min(drawn)] == 1
+    with pytest.raises(TypeError):
+        cbma.estimate("ale", foci, kernel__r=3)
+
+
 def test_export(spark):
     schema = "pmid string, pos long, doi string, title string, abstract string, journal string, authors array<string>, publication_date string, coordinate_space string, status string, analyses array<struct<name:string,description:string,table_id:string,parsed:boolean,points:array<struct<coordinates:array<double>,space:string,values:array<struct<value_text:string,value_num:double,kind:string>>>>>>"
     rows = [("100", 0, None, "t", "a", "j", ["A B"], "2023-01-01", "TAL", st.INCLUDED_FULLTEXT, [(" 'x' ", None, "t1", True, [([1.5, 2.5, -0.5], None, [("3.1", 3.1, "t-statistic")])])]), ("200", 1, None, "t", "a", "j", [], "2023", None, st.EXCLUDED_FULLTEXT, [("y", None, None, False, None)]), ("300", 2, None, "t", "a", "j", [], "", None, st.INCLUDED_FULLTEXT, [])]
