@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--force-reextract-incomplete-fulltext", action="store_true")
         p.add_argument("--responses", help="Parquet table of stored model responses")
         p.add_argument("--fulltexts", help="Parquet table (pmid, body) of full texts")
+        p.add_argument("--csv-folder", help="folder of CSV files of texts, tables and coordinates by pmcid")
         p.add_argument("--studies", help="Parquet table of studies in place of the search service")
     p = sub.add_parser("validate", help="check a configuration")
     p.add_argument("config")
@@ -86,9 +87,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_session()
 
     engine = StoredSearch(a.studies) if a.studies else PubMedSearch(workers=a.num_workers)
-    client = ReplayClient(spark.read.parquet(a.responses)) if a.responses else HttpClient(config.screening.abstract["model"])
+    client = ReplayClient(spark.read.parquet(a.responses)) if a.responses else HttpClient({"abstract": config.screening.abstract.get("model"), "fulltext": config.screening.fulltext.get("model"), "tables": config.parsing.coordinate_model, "annotation": config.annotation.model}, workers=a.num_workers)
     texts = spark.read.parquet(a.fulltexts) if a.fulltexts else None
-    review = Review(spark, config, client, engine.search, texts, a.force_reextract_incomplete_fulltext)
+    review = Review(spark, config, client, engine, texts, a.force_reextract_incomplete_fulltext, a.csv_folder)
     stats = review.run({"run": None, "run-search": "search", "run-abstract": "abstract"}[a.command])
     for name, n in stats.items():
         print(f"{name.replace('_', ' ')}: {n}")

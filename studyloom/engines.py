@@ -11,6 +11,7 @@ from abc import ABC, abstractmethod
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from studyloom import schemas
 from studyloom.config import PipelineConfig, SearchConfig
 from studyloom.operators import models, relational, retrieval, screening
 from studyloom.sources import files, pubmed
@@ -46,6 +47,10 @@ class PubMedSearch(SearchEngine):
     def search(self, spark: SparkSession, config: SearchConfig) -> DataFrame:
         return self.details(self.ids(spark, config))
 
+    def pmcids(self, ids: DataFrame) -> DataFrame:
+        """(pmid, pmcid) of the ids that the converter knows."""
+        return pubmed.convert_ids(ids.repartition(self.workers), self.fetch, self.pause)
+
 
 class StoredSearch(SearchEngine):
     """Studies of a Parquet table in place of a service."""
@@ -110,6 +115,25 @@ class LocalRetriever(Retriever):
             every = every.unionByName(p)
         return relational.first_by(every, ["pmid"], [F.col("source_pos")])
 
+    def points(self, spark: SparkSession) -> tuple[DataFrame, DataFrame] | None:
+        """(analyses, tables) of all sources that have some, by pmid and source_pos."""
+        made = []
+        for k, s in enumerate(self.sources):
+            if s.get("processed_data_path"):
+                rows, tables = folder_points(spark, s["processed_data_path"], "pmid")
+                rows, tables = (x.withColumn("pmid", F.col("pmid").cast("string")) for x in (rows, tables))
+            elif s.get("coordinates_path_templates"):
+                found = files.corpus(spark, s["root_path"], s.get("pmid_source", "folder_name"), templates=tuple(s["coordinates_path_templates"]), json_name=s.get("json_filename", "identifiers.json"), json_key=s.get("json_pmid_key", "pmid"))
+                raw = found.select(F.col("pmid_number").cast("string").alias("path"), F.from_json("body", schemas.COORDINATES_JSON)["studyset"].alias("studyset"))
+                rows, tables = (x.withColumnRenamed("path", "pmid") for x in files.nested_coordinates(raw))
+                rows, tables = rows.withColumn("parsed", F.lit(False)), tables.select("*", *[F.lit(None).cast("string").alias(c) for c in ("table_caption", "table_foot", "table_data_path", "table_raw_path")])
+            else:
+                continue
+            made.append((shaped(rows, schemas.ANALYSIS, "analysis_pos", k), shaped(tables, schemas.TABLE, "table_pos", k)))
+        if not made:
+            return None
+        return tuple(relational.union_ids([m[k] for m in made]) for k in (0, 1))
+
     def retrieve(self, studies: DataFrame) -> DataFrame:
         found = self.texts(studies.sparkSession).select("pmid", F.col("path").alias("_path"), F.col("source_name").alias("_source"))
         joined = studies.join(found, "pmid", "left")
@@ -123,6 +147,31 @@ class LocalRetriever(Retriever):
         )
 
 
+def folder_points(spark: SparkSession, folder: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(analyses, tables) of coordinates.csv and tables.csv of a folder, by ``key``; a
+    file that is not there has no rows."""
+    root = folder.rstrip("/")
+    if files.exists(spark, f"{root}/coordinates.csv"):
+        points = files.coordinates(spark, f"{root}/coordinates.csv", key)
+    else:
+        points = spark.createDataFrame([], f"{key} long, table_id string, table_label string, row_pos long, x double, y double, z double")
+    rows = retrieval.group_coordinates(points, key)
+    if files.exists(spark, f"{root}/tables.csv"):
+        tables = files.tables(spark, f"{root}/tables.csv", root, key)
+    else:
+        tables = spark.createDataFrame([], f"{key} long, table_pos long, table_id string, table_label string, table_caption string, table_foot string, table_data_path string, table_raw_path string")
+    bodies = files.texts(spark, root).withColumn("path", F.regexp_replace("path", r"^file:/*", "/"))
+    return rows, files.raw_tables(tables.withColumn("raw_table", F.lit(None).cast("string")), bodies)
+
+
+def shaped(rows: DataFrame, kind, pos: str, source: int, key: str = "pmid") -> DataFrame:
+    """``rows`` with the fields of a nested record, behind key, place and source."""
+    have = {c.lower() for c in rows.columns}
+    values = lambda p: F.struct(p["coordinates"].alias("coordinates"), p["space"].alias("space"), F.array().cast("array<struct<value_text:string,value_num:double,kind:string>>").alias("values"))
+    field = lambda f: F.transform("points", values).alias("points") if f.name == "points" else (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+    return rows.select(key, F.col(pos).cast("long").alias("place"), F.lit(source).alias("source_pos"), *[field(f) for f in kind.fields])
+
+
 class CsvFolderRetriever(Retriever):
     """Texts of a folder of CSV files, by pmcid: what a download tool leaves there.
     ``download`` is called first with the pmcids that the folder lacks, if given."""
@@ -139,5 +188,11 @@ class CsvFolderRetriever(Retriever):
     def retrieve(self, studies: DataFrame) -> DataFrame:
         if self.download is not None:
             self.download(self.wanted(studies))
-        texts = files.csv(studies.sparkSession, f"{self.folder}/text.csv").select(files.number_key("pmcid").alias("pmcid"))
-        return retrieval.mark_retrieved(studies, texts)
+        rows = retrieval.mark_retrieved(studies, self.texts(studies.sparkSession))
+        analyses, tables = (shaped(x, kind, pos, 0, "pmcid").drop("source_pos") for x, kind, pos in zip(folder_points(studies.sparkSession, self.folder, "pmcid"), (schemas.ANALYSIS, schemas.TABLE), ("analysis_pos", "table_pos")))
+        rows = retrieval.attach(rows, analyses, "pmcid", "analyses", "place", True)
+        return retrieval.attach(rows, tables, "pmcid", "activation_tables", "place", True)
+
+    def texts(self, spark: SparkSession) -> DataFrame:
+        """(pmcid, body) of text.csv."""
+        return files.csv(spark, f"{self.folder}/text.csv").select(files.number_key("pmcid").alias("pmcid"), "body")

@@ -28,11 +28,8 @@ def screening(stage: dict[str, Any], kind: str, title: Column, abstract: Column,
     head = [f"Objective: {stage.get('objective') or ''}", _criteria(stage)]
     if stage.get("additional_instructions"):
         head.append(f"Further instructions: {stage['additional_instructions']}")
-    ask = "Answer INCLUDED or EXCLUDED with a reason and the ids of the criteria that apply."
-    if stage.get("confidence_reporting"):
-        ask += " Give a confidence between 0 and 1."
-    if kind == "fulltext":
-        ask += " Say whether the full text is incomplete."
+    ask = "Answer with a JSON object: decision (INCLUDED or EXCLUDED), reason, confidence (between 0 and 1), inclusion_criteria_applied and exclusion_criteria_applied (lists of the ids that apply)"
+    ask += ", fulltext_incomplete (true or false)." if kind == "fulltext" else "."
     parts = [F.lit("\n\n".join(x for x in head if x)), F.concat(F.lit("Title: "), prefer(title, "Untitled"))]
     if authors is not None:
         parts.append(F.concat(F.lit("Authors: "), F.coalesce(joined(authors), F.lit("Not available"))))
@@ -50,7 +47,7 @@ def screening(stage: dict[str, Any], kind: str, title: Column, abstract: Column,
 
 def table(caption: Column, foot: Column, raw: Column) -> Column:
     """Prompt that asks for the analyses and points of a table."""
-    ask = "List every analysis of this table with its points: three coordinates, the space (MNI, TAL or null) and values with their kind."
+    ask = "List every analysis of this table with its points: three coordinates, the space (MNI, TAL or null) and values with their kind. Answer with a JSON object: analyses, a list of objects with name, description and points (coordinates, space, values)."
     return F.concat(F.lit(ask + "\n\nCaption: "), prefer(caption, "none"), F.lit("\nFooter: "), prefer(foot, "none"), F.lit("\n\n"), raw)
 
 
@@ -69,5 +66,8 @@ def annotation(study: Column, fields: list[str], rules: list[dict[str, Any]]) ->
     keep = {"analysis_name": "name", "analysis_description": "description", "table_caption": "table_caption"}
     item = lambda a: F.concat_ws(" | ", F.concat(F.lit("- "), a["id"]), *[a[v] for k, v in keep.items() if k in fields])
     about.append(F.concat(F.lit("Analyses:\n"), F.array_join(F.transform(study["analyses"], item), "\n")))
-    ask = "For each analysis and each annotation give include (true or false), a reasoning and the ids of the criteria that apply."
+    ask = (
+        "Decide on every annotation for every analysis. Answer with a JSON object: decisions, a list of objects with analysis_id and annotations, a list of objects "
+        "with annotation_name, include (true or false), reasoning, inclusion_criteria_applied and exclusion_criteria_applied (lists of the ids that apply)."
+    )
     return F.concat_ws("\n\n", F.lit("\n".join(x for x in lines if x)), *about, F.lit(ask))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ids that a model may cite: an optional namespace, I or E, a number.
+# Fixed value: ids that a model may cite: an optional namespace, I or E, a number.
 CRITERIA_ID = r"^(?:[A-Z0-9_]+_)?[IE][0-9]+$"
 YES, NO = ("true", "yes", "1"), ("false", "no", "0")
 
@@ -17,7 +17,7 @@ def strip(x: Column) -> Column:
 
 def filled(x: Column) -> Column:
     """True where a text has more than white space; never null."""
-    return F.coalesce(F.length(strip(x)) > 0, F.lit(False))
+    return F.coalesce(x.rlike(r"\S"), F.lit(False))
 
 
 def prefer(x: Column, default: str) -> Column:

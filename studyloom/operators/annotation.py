@@ -92,12 +92,39 @@ def parse_payload(responses: DataFrame, payload: str = "payload") -> DataFrame:
     """Decisions of model payloads: study -> analyses -> annotations, flat. ``error``
     says what a payload lacks; such a payload is one row without a decision."""
     parsed = responses.withColumn("_p", F.from_json(payload, PAYLOAD))
-    rows = parsed.select("study_id", "attempt", F.explode_outer("_p.decisions").alias("d")).select("study_id", "attempt", F.col("d.analysis_id").alias("analysis_id"), F.explode_outer("d.annotations").alias("a"))
-    out = rows.select("study_id", "attempt", strip(F.col("analysis_id")).alias("analysis_id"), "a.annotation_name", boolean(F.col("a.include")).alias("include"), "a.reasoning", "a.inclusion_criteria_applied", "a.exclusion_criteria_applied")
+    rows = parsed.select("study_id", "attempt", F.posexplode_outer("_p.decisions").alias("i", "d")).select("study_id", "attempt", "i", F.col("d.analysis_id").alias("analysis_id"), F.posexplode_outer("d.annotations").alias("j", "a"))
+    pos = F.coalesce(F.col("i").cast("long") * 100_000 + F.col("j"), F.lit(0))
+    out = rows.select("study_id", "attempt", pos.alias("pos"), strip(F.col("analysis_id")).alias("analysis_id"), "a.annotation_name", boolean(F.col("a.include")).alias("include"), "a.reasoning", "a.inclusion_criteria_applied", "a.exclusion_criteria_applied")
     error = F.when(F.col("analysis_id").isNull(), "no analysis_id").when(F.col("annotation_name").isNull(), "no annotation").when(F.col("include").isNull(), "no include")
     return out.withColumn("error", error)
 
 
+def bad_payloads(responses: DataFrame, analyses: DataFrame, names: list[str], mapping: DataFrame | None = None) -> DataFrame:
+    """(study_id) of payloads that are broken, speak of analyses the study does not
+    have, leave an analysis or an annotation out, give one twice, or cite criteria
+    that are not theirs. ``analyses`` has (study_id, analysis_id)."""
+    rows = parse_payload(responses)
+    broken = rows.where("error is not null").select("study_id")
+    sound = rows.where("error is null")
+    other = hallucinated(sound, analyses).select("study_id")
+    cover = coverage(sound, names).where("size(missing) > 0 or size(extra) > 0 or duplicates").select("study_id")
+    asked = analyses.join(responses.select("study_id").distinct(), "study_id", "left_semi").select("study_id", "analysis_id").distinct()
+    absent = asked.join(sound.select("study_id", "analysis_id").distinct(), ["study_id", "analysis_id"], "left_anti").select("study_id")
+    cited = criteria_errors(sound, mapping).where("criteria_error is not null").select("study_id")
+    return broken.union(other).union(cover).union(absent).union(cited).distinct()
+
+
+def unfinished(studies: DataFrame, decisions: DataFrame | None, names: list[str]) -> DataFrame:
+    """Of ``studies`` (pmid, analyses) those that lack stored decisions for some
+    analysis and name."""
+    if decisions is None:
+        return studies
+    asked = explode_analyses(studies).select(F.col("pmid").alias("study_id"), "analysis_id")
+    need = asked.select("study_id", "analysis_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("annotation_name"))
+    open_ = need.join(decisions.select(*KEY).distinct(), KEY, "left_anti").select(F.col("study_id").alias("pmid")).distinct()
+    return studies.join(open_, "pmid", "left_semi")
+
+
 def first_valid(responses: DataFrame, tries: int = 3) -> DataFrame:
     """The first attempt of each study, up to ``tries``, that is valid."""
     return responses.where(F.col("valid") & (F.col("attempt") <= tries)).groupBy("study_id").agg(F.min_by("payload", "attempt").alias("payload"), F.min("attempt").alias("attempt"))

@@ -11,13 +11,15 @@ import json
 import os
 import time
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.functions import json_schema
 from studyloom.functions.text import boolean
+from studyloom.operators.annotation import PAYLOAD
 from studyloom.operators.screening import process_responses
 
 RESPONSES = "task string, study_id string, item_id string, attempt int, payload string"
@@ -67,29 +69,47 @@ class RuleClient(ModelClient):
         return requests.select("task", "study_id", "item_id", F.lit(1).alias("attempt"), payload.alias("payload"))
 
 
+#: What a task's answer must look like; other tasks are screenings.
+ANSWERS = {"tables": ANALYSES, "annotation": PAYLOAD}
+
+
+def answer_schema(task: str) -> dict:
+    return json_schema.of_ddl(ANSWERS.get(task, SCREENING))
+
+
 class HttpClient(ModelClient):
     """Calls a chat-completion service from the partitions, with retries and waits.
 
-    The key comes from the argument or OPENAI_API_KEY on the driver; a missing key
-    is an error at the first call. A request that fails after all tries answers
-    null, which screening takes as a failure."""
+    ``model`` is a name, or a name for each task (abstract, fulltext, tables,
+    annotation). Requests carry the JSON schema of their task's answer. The key
+    comes from the argument or OPENAI_API_KEY on the driver; a missing key is an
+    error at the first call. A request that fails after all tries answers null,
+    which screening takes as a failure. ``workers`` is the number of partitions
+    that ask at once."""
 
-    def __init__(self, model: str, base_url: str = "https://api.openai.com/v1", api_key: str | None = None, tries: int = 3, timeout: float = 60.0):
-        self.model, self.base_url, self.tries, self.timeout = model, base_url.rstrip("/"), tries, timeout
+    def __init__(self, model: str | dict[str, str], base_url: str = "https://api.openai.com/v1", api_key: str | None = None, tries: int = 3, timeout: float = 60.0, workers: int = 1, opener=None):
+        self.model, self.base_url, self.tries, self.timeout, self.workers, self.opener = model, base_url.rstrip("/"), tries, timeout, workers, opener
         self.api_key = api_key or os.environ.get("OPENAI_API_KEY")
 
+    def body(self, task: str, prompt: str) -> dict:
+        model = self.model if isinstance(self.model, str) else self.model[task]
+        form = {"type": "json_schema", "json_schema": {"name": task, "schema": answer_schema(task)}}
+        return {"model": model, "messages": [{"role": "user", "content": prompt}], "response_format": form}
+
     def respond(self, requests: DataFrame) -> DataFrame:
         if not self.api_key:
             raise RuntimeError("no API key for the model service")
-        url, key, model, tries, timeout = f"{self.base_url}/chat/completions", self.api_key, self.model, self.tries, self.timeout
+        url, key, tries, timeout, body, opener = f"{self.base_url}/chat/completions", self.api_key, self.tries, self.timeout, self.body, self.opener
 
-        def call(prompt: str) -> tuple[int, str | None]:
+        def call(task: str, prompt: str | None) -> tuple[int, str | None]:
             from urllib.request import Request, urlopen
 
-            body = json.dumps({"model": model, "messages": [{"role": "user", "content": prompt}], "response_format": {"type": "json_object"}}).encode()
+            if prompt is None:
+                return 1, None
+            data = json.dumps(body(task, prompt)).encode()
             for attempt in range(1, tries + 1):
                 try:
-                    with urlopen(Request(url, body, {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}), timeout=timeout) as got:
+                    with (opener or urlopen)(Request(url, data, {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}), timeout=timeout) as got:
                         return attempt, json.load(got)["choices"][0]["message"]["content"]
                 except (OSError, ValueError, KeyError):
                     if attempt < tries:
@@ -98,10 +118,26 @@ class HttpClient(ModelClient):
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                got = [call(p) for p in batch["prompt"]]
+                got = [call(t, p) for t, p in zip(batch["task"], batch["prompt"])]
                 yield batch[["task", "study_id", "item_id"]].assign(attempt=[g[0] for g in got], payload=[g[1] for g in got])
 
-        return requests.select("task", "study_id", "item_id", "prompt").mapInPandas(run, RESPONSES)
+        return requests.select("task", "study_id", "item_id", "prompt").repartition(self.workers).mapInPandas(run, RESPONSES)
+
+
+def ask(client: ModelClient, requests: DataFrame, store: Callable[[DataFrame, str], DataFrame], name: str, bad: Callable[[DataFrame], DataFrame] | None = None, tries: int = 3) -> DataFrame:
+    """Responses to ``requests``, one for each. They are stored before they are used,
+    so nothing is asked twice; studies whose payload is ``bad`` (study_id) are asked
+    again, up to ``tries`` times in all, and their last answer counts."""
+    answers = store(client.respond(requests), f"{name}_1")
+    for k in range(2, tries + 1):
+        if bad is None:
+            break
+        again = store(bad(answers.where("payload is not null")).select("study_id").distinct(), f"{name}_again_{k}")
+        if again.isEmpty():
+            break
+        more = store(client.respond(requests.join(again, "study_id", "left_semi")), f"{name}_{k}")
+        answers = answers.join(again, "study_id", "left_anti").unionByName(more)
+    return answers
 
 
 def parse_screening(responses: DataFrame) -> DataFrame:
@@ -120,11 +156,11 @@ def screen(studies: DataFrame, client: ModelClient, stage: str, reporting: bool
     return process_responses(parse_screening(client.respond(asked)), stage, reporting, threshold).withColumn("model_used", F.lit(model))
 
 
-def parse_tables(tables: DataFrame, client: ModelClient) -> DataFrame:
+def parse_tables(tables: DataFrame, client: ModelClient, store: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """Analyses of tables (pmid, table_pos, table_id, raw_table): one row each, in
     table order. Points without three numbers go; a broken payload gives none."""
     asked = tables.select(F.lit("tables").alias("task"), F.col("pmid").alias("study_id"), F.col("table_id").alias("item_id"), F.col("raw_table").alias("prompt"))
-    got = client.respond(asked).select(F.col("study_id").alias("pmid"), F.col("item_id").alias("table_id"), F.from_json("payload", ANALYSES).alias("p"))
+    got = ask(client, asked, store, "table_responses").select(F.col("study_id").alias("pmid"), F.col("item_id").alias("table_id"), F.from_json("payload", ANALYSES).alias("p"))
     rows = got.join(tables.select("pmid", "table_id", "table_pos"), ["pmid", "table_id"]).select("pmid", "table_id", "table_pos", F.posexplode("p.analyses").alias("pos", "a"))
     points = F.filter(F.coalesce("a.points", F.array().cast("array<struct<coordinates:array<double>,space:string,values:array<struct<value:string,kind:string>>>>")), lambda p: (F.size(p["coordinates"]) == 3) & F.forall(p["coordinates"], lambda c: c.isNotNull()))
     made = F.transform(points, lambda p: F.struct(p["coordinates"].alias("coordinates"), p["space"].alias("space"), F.transform(p["values"], lambda v: F.struct(v["value"].alias("value_text"), v["value"].try_cast("double").alias("value_num"), v["kind"].alias("kind"))).alias("values")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from studyloom import config as cfg
 from studyloom import schemas
-from studyloom.engines import LocalRetriever
+from studyloom.engines import CsvFolderRetriever, LocalRetriever, SearchEngine
 from studyloom.functions import prompts
 from studyloom.functions import status as st
 from studyloom.operators import annotation, export, models, relational, report, retrieval, screening
@@ -34,10 +34,13 @@ def conform(studies: DataFrame) -> DataFrame:
 
 
 class Review:
-    """One run: ``search`` gives the studies; ``client`` answers for the model."""
+    """One run: ``search``, an engine or a function, gives the studies; ``client``
+    answers for the model. ``csv_folder`` is what a download tool leaves, by pmcid;
+    ``download`` is given the pmcids that it lacks."""
 
-    def __init__(self, spark: SparkSession, config: cfg.PipelineConfig, client: models.ModelClient, search: Callable[[SparkSession, cfg.SearchConfig], DataFrame], fulltexts: DataFrame | None = None, force_incomplete: bool = False):
+    def __init__(self, spark: SparkSession, config: cfg.PipelineConfig, client: models.ModelClient, search: SearchEngine | Callable[[SparkSession, cfg.SearchConfig], DataFrame], fulltexts: DataFrame | None = None, force_incomplete: bool = False, csv_folder: str | None = None, download: Callable[[DataFrame], None] | None = None):
         self.spark, self.config, self.client, self.search, self.fulltexts = spark, config, client, search, fulltexts
+        self.csv_folder, self.download = csv_folder, download
         self.force_incomplete = force_incomplete
         self.root = config.output.directory.rstrip("/")
         self.errors: list[str] = []
@@ -46,14 +49,9 @@ class Review:
     def path(self, name: str) -> str:
         return f"{self.root}/outputs/{name}"
 
-    def exists(self, path: str) -> bool:
-        sc = self.spark.sparkContext
-        place = sc._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(sc._jsc.hadoopConfiguration()).exists(place)
-
     def table(self, name: str) -> DataFrame | None:
         p = self.path(f"tables/{name}")
-        return self.spark.read.parquet(p) if self.exists(p) else None
+        return self.spark.read.parquet(p) if sinks.recover(self.spark, p) else None
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         sinks.new_version(df, self.path(f"tables/{name}"))
@@ -62,11 +60,14 @@ class Review:
     # --- stages
 
     def run_search(self) -> DataFrame:
-        found = conform(self.search(self.spark, self.config.search))
         cached = self.table("search")
-        if cached is not None:
-            found = cached.unionByName(relational.new_ids(found, cached))
-        return self.save(found, "search")
+        if hasattr(self.search, "details"):  # details of new ids only
+            ids = self.search.ids(self.spark, self.config.search)
+            found = conform(self.search.details(ids if cached is None else relational.new_ids(ids, cached)))
+        else:
+            found = conform(getattr(self.search, "search", self.search)(self.spark, self.config.search))
+            found = found if cached is None else relational.new_ids(found, cached)
+        return self.save(found if cached is None else cached.unionByName(found), "search")
 
     def run_screening(self, studies: DataFrame, stage: str) -> DataFrame:
         settings = getattr(self.config.screening, "abstract" if stage == "abstract" else "fulltext")
@@ -98,8 +99,31 @@ class Review:
         if self.config.retrieval.full_text_sources and self.fulltexts is None:
             local = LocalRetriever(self.config.retrieval.full_text_sources)
             self.fulltexts = self.save(local.texts(self.spark), "fulltexts")
-            return conform(local.retrieve(conform(rows)))
-        return conform(rows if self.fulltexts is None else self.given_texts(rows))
+            rows = local.retrieve(conform(rows))
+            if (points := local.points(self.spark)) is not None:
+                # a study takes what the source of its text has
+                mine = [x.join(self.fulltexts.select("pmid", "source_pos"), ["pmid", "source_pos"], "left_semi").drop("source_pos") for x in points]
+                rows = retrieval.attach(rows, mine[0], "pmid", "analyses", "place", True)
+                rows = retrieval.attach(rows, mine[1], "pmid", "activation_tables", "place", True)
+        elif self.fulltexts is not None:
+            rows = self.given_texts(rows)
+        return conform(self.remote_texts(conform(rows)))
+
+    def remote_texts(self, rows: DataFrame) -> DataFrame:
+        """PMCIDs of the studies in scope without a text, then the texts, coordinates and
+        tables that the CSV folder has for them."""
+        lacking = F.coalesce("retrieval_in_scope", F.lit(False)) & ~F.coalesce("fulltext_available", F.lit(False))
+        if hasattr(self.search, "pmcids"):
+            need = rows.where(lacking & F.col("pmcid").isNull()).select("pmid")
+            rows = relational.lookup(rows, self.save(self.search.pmcids(need), "pmcids"), "pmid", "pmcid")
+        if self.csv_folder is None:
+            return rows
+        rows = self.save(conform(rows), "studies_with_pmcids")
+        folder = CsvFolderRetriever(self.csv_folder, self.download)
+        got = conform(folder.retrieve(rows.where(lacking)))
+        bodies = rows.where(lacking).select("pmid", "pmcid").join(folder.texts(self.spark), "pmcid").select("pmid", "body")
+        self.fulltexts = self.save(bodies if self.fulltexts is None else self.fulltexts.select("pmid", "body").unionByName(bodies), "all_fulltexts")
+        return rows.where(~lacking).unionByName(got)
 
     def given_texts(self, rows: DataFrame) -> DataFrame:
         have = self.fulltexts.where("body is not null").groupBy("pmid").agg(F.first("path").alias("_path") if "path" in self.fulltexts.columns else F.lit(None).cast("string").alias("_path"))
@@ -118,7 +142,7 @@ class Review:
         parsed = F.coalesce(F.exists("analyses", lambda a: F.coalesce(a["parsed"], F.lit(False))), F.lit(False))
         todo = studies.where((F.col("status") == st.INCLUDED_FULLTEXT) & F.coalesce(F.size("activation_tables") > 0, F.lit(False)) & ~parsed)
         tables = todo.select("pmid", F.posexplode("activation_tables").alias("table_pos", "t")).select("pmid", "table_pos", F.col("t.table_id").alias("table_id"), prompts.table(F.col("t.table_caption"), F.col("t.table_foot"), F.col("t.raw_table")).alias("raw_table"))
-        made = models.parse_tables(tables, self.client).withColumn("order", F.col("table_pos") * 100_000 + F.col("pos"))
+        made = models.parse_tables(tables, self.client, self.save).withColumn("order", F.col("table_pos") * 100_000 + F.col("pos"))
         rows = self.save(made.select("pmid", "order", "name", "description", "table_id", "parsed", "points"), "parsed_analyses")
         cleared = studies.join(todo.select("pmid", F.lit(True).alias("_todo")), "pmid", "left")
         empty = F.array().cast(schemas.STUDY["analyses"].dataType)
@@ -130,27 +154,33 @@ class Review:
         settings = self.config.annotation
         rows = annotation.explode_analyses(studies)
         new = annotation.system_decisions(rows.select("pmid", "status", "analysis_id")) if settings.create_all_included_annotations else None
+        old = self.table("annotations")
         if settings.annotations:
-            own = self.custom_decisions(studies)
+            own = self.custom_decisions(studies, old)
             new = own if new is None else new.unionByName(own, allowMissingColumns=True)
-        old = self.table("annotations")
         if new is None:
             return old if old is not None else self.save(self.spark.createDataFrame([], schemas.DECISION).withColumn("pos", F.lit(0).cast("long")), "annotations")
-        full = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.DECISION.fields], F.lit(0).cast("long").alias("pos"))
-        return self.save(annotation.upsert(old, full) if old is not None else full, "annotations")
+        full = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.DECISION.fields], (F.coalesce("pos", F.lit(0)) if "pos" in new.columns else F.lit(0)).cast("long").alias("pos"))
+        return self.save(annotation.upsert(old, full, strict=True) if old is not None else full, "annotations")
 
-    def custom_decisions(self, studies: DataFrame) -> DataFrame:
+    def custom_decisions(self, studies: DataFrame, old: DataFrame | None = None) -> DataFrame:
+        """Decisions of the model about the studies that ``old`` does not have whole.
+        Payloads that don't hold are asked for again; what is still wrong after that
+        is left out."""
         settings = self.config.annotation
         rules = [vars(r) for r in cfg.injected_criteria(self.config)]
-        included = export.exportable(studies)
+        names = [r["name"] for r in rules]
+        included = self.save(annotation.unfinished(export.exportable(studies), old, names), "to_annotate")
         texts = self.fulltexts if self.fulltexts is not None else self.spark.createDataFrame([], "pmid string, body string")
         joined = included.join(texts.select("pmid", "body"), "pmid", "left")
-        items = F.transform("analyses", lambda a, i: F.struct(F.concat(F.col("pmid"), F.lit("_analysis_"), i.cast("string")).alias("id"), a["name"].alias("name"), a["description"].alias("description"), a["table_id"].alias("table_caption")))
+        items = F.transform("analyses", lambda a, i: F.struct(F.concat(F.col("pmid"), F.lit("_analysis_"), i.cast("string")).alias("id"), a["name"].alias("name"), a["description"].alias("description"), F.coalesce(F.filter("activation_tables", lambda t: t["table_id"] == a["table_id"])[0]["table_caption"], a["table_id"]).alias("table_caption")))
         group = F.struct(F.col("title"), F.col("abstract"), F.col("body").alias("fulltext"), items.alias("analyses"))
         asked = joined.select(F.lit("annotation").alias("task"), F.col("pmid").alias("study_id"), F.lit(None).cast("string").alias("item_id"), prompts.annotation(group, settings.metadata_fields, rules).alias("prompt"))
-        parsed = annotation.parse_payload(self.client.respond(asked)).where("error is null")
-        names = [r["name"] for r in rules]
         known = annotation.explode_analyses(included).select(F.col("pmid").alias("study_id"), "analysis_id")
+        mapping = [(r["name"], list((r.get("criteria_mapping") or {}).get("inclusion") or {}), list((r.get("criteria_mapping") or {}).get("exclusion") or {})) for r in rules]
+        cited = self.spark.createDataFrame(mapping, "annotation_name string, inclusion array<string>, exclusion array<string>")
+        answers = models.ask(self.client, asked, self.save, "annotation_responses", lambda got: annotation.bad_payloads(got, known, names, cited))
+        parsed = annotation.parse_payload(answers).where("error is null")
         valid = parsed.where(F.col("annotation_name").isin(names)).join(known, ["study_id", "analysis_id"], "left_semi")
         return valid.drop("attempt", "error").withColumn("model_used", F.lit(settings.model))
 
@@ -224,15 +254,20 @@ class Review:
 
 def run_meta(spark: SparkSession, folder: str, estimator: str = "mkdadensity", corrector: str = "fdr", estimator_args: dict | None = None, corrector_args: dict | None = None, ids: DataFrame | None = None, step: int = 4) -> DataFrame:
     """Statistics of every boolean column of an export, all columns in one job; also
-    written to ``<folder>/meta`` by column. The folder may be the run's or its outputs."""
+    written to ``<folder>/meta`` by column, and the foci of each unit in clusters of
+    significant voxels to ``<folder>/meta_clusters``. The folder may be the run's or
+    its outputs."""
     from studyloom.operators import cbma
     from studyloom.sources import files
 
     root = folder if Path(folder).name == "outputs" else f"{folder.rstrip('/')}/outputs"
     points, notes = files.nimads(spark, root)
     foci = cbma.slice_foci(points, notes, ids)
-    stats = cbma.estimate(estimator, foci, step=step, **(estimator_args or {}))
+    given = estimator_args or {}
+    stats = cbma.estimate(estimator, foci, step=step, **given)
     if corrector in ("fdr", "bonferroni"):
-        stats = cbma.mkda_p(stats, foci, step)
-    done = cbma.correct(corrector, foci, stats, step=step, **(corrector_args or {}))
-    return sinks.by_column(done, f"{root}/meta")
+        stats = cbma.p_values(estimator, stats, foci, step, **given)
+    done = sinks.by_column(cbma.correct(corrector, foci, stats, step, estimator, given, **(corrector_args or {})), f"{root}/meta")
+    level = (corrector_args or {}).get("alpha", 0.05)
+    sinks.by_column(cbma.focus_counter(foci, done.where(F.col("q") < level), step), f"{root}/meta_clusters")
+    return done

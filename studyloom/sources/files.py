@@ -9,9 +9,14 @@ from studyloom import schemas
 from studyloom.functions import text as tx
 from studyloom.functions.html import paragraphs
 
-PUBGET_FILES = ("metadata", "authors", "text", "links", "coordinates", "coordinate_space", "tables", "neurovault_collections", "neurovault_images")
 # What the table reader takes for a missing cell.
-MISSING = ("", "NA", "N/A", "nan", "NaN", "NULL", "null", "None", "n/a", "#N/A")
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def texts(spark: SparkSession, root: str) -> DataFrame:
@@ -85,7 +90,12 @@ def tables(spark: SparkSession, path: str, root: str, key: str = "pmcid") -> Dat
 
 def coordinates_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(analyses, tables) of nested files, with the file's path as key."""
-    raw = spark.read.schema(schemas.COORDINATES_JSON).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.explode("studyset.studies").alias("s"))
+    return nested_coordinates(spark.read.schema(schemas.COORDINATES_JSON).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), "studyset"))
+
+
+def nested_coordinates(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(analyses, tables) of the contents of nested files (path, studyset)."""
+    raw = raw.select("path", F.explode("studyset.studies").alias("s"))
     rows = raw.select("path", F.posexplode("s.analyses").alias("analysis_pos", "a"))
     points = F.transform("a.points", lambda p: F.struct(p["coordinates"].alias("coordinates"), p["space"].alias("space")))
     analyses = rows.select("path", "analysis_pos", F.col("a.metadata.table_id").alias("table_id"), F.col("a.name").alias("name"), F.col("a.metadata.table_label").alias("description"), points.alias("points"))

@@ -18,15 +18,24 @@ def _fs(df: DataFrame, path: str):
     return sc, place, place.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+def _replace(df: DataFrame, source, place) -> None:
+    """Put a file in the place of another in one step."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = df.sparkSession.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
+    context.rename(source, place, how)
+
+
 def document(df: DataFrame, path: str) -> None:
     """The value of a frame of one row and one column as a file. What was there before stays
     until the new file is whole."""
     tmp = f"{path}.{uuid.uuid4().hex}"
     df.toDF("value").select(F.col("value").cast("string")).coalesce(1).write.text(tmp)
     sc, place, fs = _fs(df, path)
-    part = next(str(s.getPath()) for s in fs.listStatus(sc._jvm.org.apache.hadoop.fs.Path(tmp)) if s.getPath().getName().startswith("part-"))
-    fs.delete(place, False)
-    fs.rename(sc._jvm.org.apache.hadoop.fs.Path(part), place)
+    part = next(s.getPath() for s in fs.listStatus(sc._jvm.org.apache.hadoop.fs.Path(tmp)) if s.getPath().getName().startswith("part-"))
+    _replace(df, fs.makeQualified(part), fs.makeQualified(place))
     fs.delete(sc._jvm.org.apache.hadoop.fs.Path(tmp), True)
 
 
@@ -55,8 +64,7 @@ def csv_file(df: DataFrame, path: str) -> None:
     made.coalesce(1).write.csv(tmp, header=True)
     sc, place, fs = _fs(df, path)
     part = next(s.getPath() for s in fs.listStatus(sc._jvm.org.apache.hadoop.fs.Path(tmp)) if s.getPath().getName().startswith("part-"))
-    fs.delete(place, False)
-    fs.rename(part, place)
+    _replace(df, fs.makeQualified(part), fs.makeQualified(place))
     fs.delete(sc._jvm.org.apache.hadoop.fs.Path(tmp), True)
 
 
@@ -68,12 +76,27 @@ def lines(df: DataFrame, column: str, path: str) -> None:
 
 def new_version(df: DataFrame, path: str) -> None:
     """Overwrite a Parquet table that ``df`` may itself read: the new version is
-    written beside it, then takes its place."""
+    written beside it, then takes its place. The old one is put aside under ``.old``
+    until that is done; ``recover`` brings it back after a crash in between."""
     tmp = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(tmp)
     sc, place, fs = _fs(df, path)
-    fs.delete(place, True)
+    old = sc._jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    if fs.exists(place):
+        fs.delete(old, True)
+        fs.rename(place, old)
     fs.rename(sc._jvm.org.apache.hadoop.fs.Path(tmp), place)
+    fs.delete(old, True)
+
+
+def recover(spark, path: str) -> bool:
+    """Whether the table is there; one that a crash has left aside is put back."""
+    jvm = spark.sparkContext._jvm
+    place, old = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place) and fs.exists(old):
+        fs.rename(old, place)
+    return fs.exists(place)
 
 
 def by_column(stats: DataFrame, path: str, skip_existing: bool = True) -> DataFrame:

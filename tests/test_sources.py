@@ -194,3 +194,98 @@ def test_document_is_replaced(spark, tmp_path):
     for k in (1, 2):
         sinks.document(spark.createDataFrame([(f"v{k}",)], "v string"), f"{tmp_path}/d.json")
     assert (tmp_path / "d.json").read_text() == "v2\n" and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["d.json"]
+
+
+class Scripted(models.ModelClient):
+    """Screens by rule; answers annotation and table requests from a list, and keeps
+    what was asked."""
+
+    def __init__(self, answers):
+        self.answers, self.asked, self.rule = answers, [], models.RuleClient()
+
+    def respond(self, requests):
+        rows = requests.select("task", "study_id", "item_id").collect()
+        self.asked += [(r["task"], r["study_id"]) for r in rows]
+        if not rows or rows[0]["task"] not in self.answers:
+            return self.rule.respond(requests)
+        left = self.answers[rows[0]["task"]]
+        payload = left.pop(0) if len(left) > 1 else left[0]
+        return requests.select("task", "study_id", "item_id", F.lit(1).alias("attempt"), F.lit(payload).alias("payload"))
+
+
+def test_review_from_files_to_meta_analysis(spark, tmp_path):
+    texts, data, out = tmp_path / "texts", tmp_path / "data", tmp_path / "out"
+    for folder in (texts, data):
+        folder.mkdir()
+    for pmid in (11, 12):
+        (texts / f"{pmid}.txt").write_text(f"a full study text of {pmid}")
+    (data / "coordinates.csv").write_text("pmid,table_id,table_label,x,y,z\n11,t2,Table 2,10,20,30\n11,t1,Table 1,1,2,3\n11,t1,Table 1,4,5,6\n12,t1,Table 1,10,20,30\n99,t1,none,0,0,0\n")
+    (data / "tables.csv").write_text("pmid,table_id,table_label,table_caption,table_foot,table_raw_file,table_data_file\n11,t1,Table 1,a caption,,raw.xml,\n12,t1,Table 1,,,,\n")
+    (data / "raw.xml").write_text("<table/>")
+    config = cfg.from_dict({
+        "search": {"query": "q"}, "screening": {k: {"objective": "find", "inclusion_criteria": ["memory"]} for k in ("abstract", "fulltext")},
+        "retrieval": {"full_text_sources": [{"root_path": str(texts), "processed_data_path": str(data), "source_name": "mine"}]},
+        "annotation": {"annotations": [{"name": "memory", "description": "about memory"}]}, "output": {"directory": str(out), "nimads": True},
+    })
+    found = spark.createDataFrame([("11", 0, "one", "a study"), ("12", 1, "two", "a study"), ("13", 2, "three", "a study")], "pmid string, pos long, title string, abstract string").withColumn("status", F.lit(st.PENDING))
+
+    class Engine:
+        fetched = []
+
+        def ids(self, spark, _config):
+            return found.select("pmid")
+
+        def details(self, ids):
+            self.fetched.append(sorted(r["pmid"] for r in ids.collect()))
+            return found.join(ids, "pmid", "left_semi")
+
+        def pmcids(self, ids):
+            return ids.select("pmid", F.lit(7).cast("long").alias("pmcid"))
+
+    notes = lambda n, study: {"analysis_id": f"{study}_analysis_{n}", "annotations": [{"annotation_name": "memory", "include": True, "reasoning": "r"}]}
+    whole = {"11": [notes(0, "11"), notes(1, "11")], "12": [notes(0, "12")]}
+
+    class Annotator(Scripted):
+        tries = {}
+
+        def respond(self, requests):
+            rows = requests.select("task", "study_id").collect()
+            if not rows or rows[0]["task"] != "annotation":
+                return super().respond(requests)
+            made = []
+            for r in rows:
+                self.asked.append((r["task"], r["study_id"]))
+                n = self.tries[r["study_id"]] = self.tries.get(r["study_id"], 0) + 1
+                # study 11 answers badly twice: broken, then with an analysis it does not have
+                bad = {("11", 1): "{", ("11", 2): json.dumps({"decisions": [*whole["11"], notes(9, "11")]})}.get((r["study_id"], n))
+                made.append(("annotation", r["study_id"], None, n, bad or json.dumps({"decisions": whole[r["study_id"]]})))
+            return spark.createDataFrame(made, models.RESPONSES)
+
+    client, engine = Annotator({}), Engine()
+    Review(spark, config, client, engine).run()
+    studies = {r["pmid"]: r for r in spark.read.parquet(f"{out}/outputs/tables/studies").collect()}
+    assert [(a["table_id"], a["description"], [p["coordinates"] for p in a["points"]]) for a in studies["11"]["analyses"]] == [("t1", "Table 1", [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]), ("t2", "Table 2", [[10.0, 20.0, 30.0]])]
+    assert [(t["table_caption"], t["raw_table"]) for t in studies["11"]["activation_tables"]] == [("a caption", "<table/>")]
+    assert (studies["11"]["full_text_source"], studies["13"]["pmcid"], studies["13"]["analyses"]) == ("mine", 7, None)
+    asked = [s for t, s in client.asked if t == "annotation"]
+    assert (asked.count("11"), asked.count("12")) == (3, 1)
+    decisions = {(r["analysis_id"], r["include"]) for r in spark.read.parquet(f"{out}/outputs/tables/annotations").where("annotation_name = 'memory'").collect()}
+    assert decisions == {("11_analysis_0", True), ("11_analysis_1", True), ("12_analysis_0", True)}
+    Review(spark, config, client, engine).run()  # nothing is fetched or asked again
+    assert engine.fetched == [["11", "12", "13"], []] and [s for t, s in client.asked if t == "annotation"] == asked
+    again = {(r["analysis_id"], r["include"]) for r in spark.read.parquet(f"{out}/outputs/tables/annotations").where("annotation_name = 'memory'").collect()}
+    assert again == decisions
+    maps = run_meta(spark, str(out), "kda", "bonferroni")
+    assert "memory" in {r["column"] for r in maps.select("column").distinct().collect()}
+    assert files.exists(spark, f"{out}/outputs/meta_clusters")
+
+
+def test_requests_carry_schema_model_and_partitions(spark):
+    client = models.HttpClient({"abstract": "a", "annotation": "b"}, api_key="k", workers=3)
+    body = client.body("annotation", "p")
+    schema = body["response_format"]["json_schema"]["schema"]
+    one = schema["properties"]["decisions"]["items"]["properties"]["annotations"]["items"]
+    assert body["model"] == "b" and one["properties"]["include"] == {"type": "boolean"} and "annotation_name" in one["required"]
+    assert models.answer_schema("abstract")["properties"]["decision"]["enum"] == ["INCLUDED", "EXCLUDED"]
+    asked = spark.range(9).select(F.lit("abstract").alias("task"), F.col("id").cast("string").alias("study_id"), F.lit(None).cast("string").alias("item_id"), F.lit("p").alias("prompt"))
+    assert client.respond(asked).rdd.getNumPartitions() == 3
