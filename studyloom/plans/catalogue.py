@@ -392,7 +392,8 @@ def path_parts(spark, sf_dir):
 )
 def annotation_upsert(spark, sf_dir):
     rows = _named(views.annotations(spark, sf_dir))
-    old, new = rows.where("pos % 4 <> 0"), rows.where("pos % 4 = 0 and study_id % 3 = 0")
+    fresh = F.expr("pos % 4 = 0 and study_id % 3 = 0")
+    old, new = rows.where(~fresh), rows.where(fresh)
     return annotation.upsert(old, new).select(*annotation.KEY, "include", "pos")
 
 
@@ -402,7 +403,7 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 _named_sql = "SELECT study_id, analysis_id, CASE WHEN pos % 5 = 0 THEN 'all_studies' WHEN pos % 5 = 1 THEN 'all_abstract' ELSE annotation_name END AS annotation_name, include, pos FROM v_ann"
-_SQL["annotation_upsert"] = _SQL["annotation_upsert"].replace(" , upd AS", f", v_old AS ({_named_sql} WHERE pos % 4 <> 0), v_new AS ({_named_sql} WHERE pos % 4 = 0 AND CAST(study_id AS BIGINT) % 3 = 0), upd AS")
+_SQL["annotation_upsert"] = _SQL["annotation_upsert"].replace(" , upd AS", f", v_old AS ({_named_sql} WHERE NOT (pos % 4 = 0 AND CAST(study_id AS BIGINT) % 3 = 0)), v_new AS ({_named_sql} WHERE pos % 4 = 0 AND CAST(study_id AS BIGINT) % 3 = 0), upd AS")
 
 
 @query(
