@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-The blocks of a page are grouped by their path of block elements from the root.
-Each path has the mean text length and the mean punctuation of its blocks; both
-are given back to the blocks in page order, smoothed over neighbours, fused
-into one score per path by their product, and the paths over a share of the
-weighted mean are content. Elements that never hold an article (menus, footers,
-forms and the like, by name, role or class) are left out before, and if the page
-marks an article or main region, only its paths compete.
+Text blocks are grouped by their tag path from the root. Each path has the mean text
+length and the mean punctuation of its blocks; both are smoothed over neighbouring
+blocks, fused into one score per path by their product, and the paths over a share
+of the weighted mean are content. Elements that never hold an article (menus,
+footers, forms and the like, by name, role or class) are left out before; a class
+that covers most of the page's text is not believed. If the page marks an article
+or main region, only its paths compete, against a lower share and without their
+neighbours, since an author's short blocks lie between long ones as an advert does.
+A word within a longer class is one more ratio: it lowers the score of its blocks.
 """
 
 from __future__ import annotations
@@ -43,10 +45,17 @@ NAMES = frozenset(
 RADIUS = 2
 #: A path is content from this share of the text-weighted mean score on.
 SHARE = 0.25
+#: The share inside a marked region: a twentieth of the mean in both ratios.
+INSIDE = 0.0025
+#: What a word within a longer class leaves of a score.
+DOUBT = 0.2
 #: Paths with more of their text in links are not content.
 LINKS = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)([^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: Attributes up to the end of a tag; quotes may hold it. Nothing is tried twice.
+_ATTRS = re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+""")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -54,11 +63,12 @@ _SPACE = re.compile(r"\s+")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
-def _excluded(tag: str, attrs: str) -> int:
-    """2 if the element holds no article, 1 if only a word within a longer class or
-    id speaks against it (has-sidebar), 0 otherwise."""
-    if tag in NEVER:
-        return 2
+def _excluded(tag: str, attrs: str, inside: bool) -> int:
+    """3 if the element holds no article by its kind, 2 by its class or id, 1 if only a
+    word within a longer class or id speaks against it (has-sidebar), 0 otherwise. A
+    header ``inside`` a marked region is the article's own."""
+    if tag in NEVER and not (inside and tag == "header"):
+        return 3
     if not attrs or tag in ("html", "body"):
         return 0
     found = 0
@@ -67,102 +77,161 @@ def _excluded(tag: str, attrs: str) -> int:
         if tag in ("article", "main") and name not in ("class", "id"):
             continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 2
+            return 3
         if name == "role" and value.lower() in ROLES:
-            return 2
+            return 3
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 2
+            return 3
         if name in ("class", "id"):
-            if any(x.lower() in NAMES for x in value.split()):
+            words = [x.lower() for x in value.split()]
+            if any(x in NAMES for x in words) and not (tag == "header" and set(words) <= {"header", "hd"}):
                 return 2
-            if tag not in ("article", "main") and any(x.lower() in NAMES for x in _PARTS.findall(value)):
+            if tag not in ("article", "main", *HEADINGS) and any(x.lower() in NAMES for x in _PARTS.findall(value)):
                 found = 1
     return found
 
 
 class Block:
-    __slots__ = ("path", "text", "links", "region", "doubtful")
+    """A block of text: number and last tag of its path, characters in links, whether
+    it lies in a marked region, whether a word within a class speaks against it, and
+    the number of the outermost element that a class or id excludes, or 0."""
 
-    def __init__(self, path: str, text: str, links: int, region: bool, doubtful: bool):
-        self.path, self.text, self.links, self.region, self.doubtful = path, text, links, region, doubtful
+    __slots__ = ("path", "tag", "text", "links", "region", "doubtful", "named")
+
+    def __init__(self, path: int, tag: str, text: str, links: int, region: bool, doubtful: bool, named: int):
+        self.path, self.tag, self.text, self.links, self.region, self.doubtful, self.named = path, tag, text, links, region, doubtful, named
+
+
+class _Open:
+    """An open element."""
+
+    __slots__ = ("tag", "state", "region", "path", "named")
+
+    def __init__(self, tag: str, state: int, region: bool, path: int, named: int):
+        self.tag, self.state, self.region, self.path, self.named = tag, state, region, path, named
+
+
+_ROOT = _Open("", 0, False, 0, 0)
+_ENDS_P = frozenset(("p", "div", "td", "li", "article", "section", "body"))
+
+
+def _tags(page: str):
+    """(start, end, closing, name, attributes) of tags, and (start, end, None, text,
+    "") of what is no tag but markup, with the text it stands for. Linear in the page."""
+    at, size = 0, len(page)
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, None, "", ""
+        elif page.startswith("<![CDATA[", start) and (end := page.find("]]>", start)) >= 0:
+            at = end + 3
+            yield start, at, None, page[start + 9 : end], ""
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            if (end := page.find(">", start)) < 0:
+                return
+            at = end + 1
+            yield start, at, None, "", ""
+        elif m := _NAME.match(page, start + 1):
+            end = _ATTRS.match(page, m.end()).end()
+            if page[end : end + 1] != ">" and (end := page.find(">", m.end())) < 0:
+                return  # no tag ends behind here
+            at = end + 1
+            jump = yield start, at, bool(m.group(1)), m.group(2).lower(), page[m.end() : end]
+            if jump is not None:
+                at = jump
+                yield at, at, None, "", ""
+        else:
+            at = start + 1
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of a page in order, without those of excluded elements; those of
-    elements that a word within a class speaks against are doubtful."""
-    stack: list[tuple[str, int, bool]] = []  # tag, excluded, inside a marked region
+    """Blocks of a page in order, without those of elements that hold no article by
+    their kind."""
+    stack: list[_Open] = []
+    open_of: dict[str, int] = {}
+    numbers: dict[tuple[int, str], int] = {}
     out: list[Block] = []
     text: list[str] = []
-    state = {"links": 0, "a": 0}
+    links, named_elements = 0, 0
+    leaf = _ROOT
 
     def flush() -> None:
+        nonlocal links
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                path = "/".join(t for t, _, _ in stack if t in BLOCKS and t != "br")
-                out.append(Block(path, joined, state["links"], bool(stack) and stack[-1][2], bool(stack) and stack[-1][1] == 1))
+                block = next((e for e in reversed(stack) if e.tag in BLOCKS), _ROOT)
+                out.append(Block(leaf.path, block.tag, joined, links, leaf.region, leaf.state == 1, leaf.named))
             text.clear()
-        state["links"] = 0
+        links = 0
 
     def pop_to(k: int) -> None:
-        if any(t in BLOCKS for t, _, _ in stack[k:]):
+        if any(e.tag in BLOCKS for e in stack[k:]):
             flush()
-        for t, _, _ in stack[k:]:
-            state["a"] -= t == "a"
+        for e in stack[k:]:
+            open_of[e.tag] -= 1
         del stack[k:]
 
-    def data(a: int, b: int) -> None:
-        if b > a and not (stack and stack[-1][1] == 2):
-            piece = page[a:b]
+    def data(piece: str) -> None:
+        nonlocal links, leaf
+        top = stack[-1] if stack else _ROOT
+        if piece and top.state < 3:
+            if not text or not leaf.path and not "".join(text).strip():
+                leaf = top
             text.append(piece)
-            if state["a"] > 0:
-                state["links"] += len(piece.strip())
-
-    at, scan = 0, 0
-    while m := _TAG.search(page, scan):
-        data(at, m.start())
-        at = scan = m.end()
-        if m.group(2) is None:
-            if m.group().startswith("<![CDATA["):
-                data(m.start() + 9, m.end() - 3)
-            continue
-        tag = m.group(2).lower()
-        if m.group(1):
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0:
-                pop_to(k)
+            if open_of.get("a"):
+                links += len(piece.strip())
+
+    at = 0
+    tags = _tags(page)
+    found = next(tags, None)
+    while found is not None:
+        start, end, closing, tag, attrs = found
+        jump = None
+        data(page[at:start])
+        at = end
+        if closing is None:
+            data(tag)
+        elif closing:
+            if open_of.get(tag):
+                pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             elif tag in BLOCKS:
                 flush()
-            continue
-        if tag in RAW:
-            if not m.group(3).rstrip().endswith("/"):
-                e = _END[tag].search(page, m.end())
-                at = scan = e.end() if e else len(page)
-            continue
-        if tag == "p" or tag in CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("p", "div", "td", "li", "article", "section", "body")), -1)
-            if k >= 0 and stack[k][0] == "p":
-                pop_to(k)
-        if tag in SAME_LEVEL:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SAME_LEVEL[tag]:
-                    break
-                if stack[k][0] == tag or {stack[k][0], tag} <= {"dt", "dd"} or {stack[k][0], tag} <= {"td", "th"}:
+        elif tag in RAW:
+            if not attrs.rstrip().endswith("/"):
+                e = _END[tag].search(page, end)
+                at = jump = e.end() if e else len(page)
+        else:
+            if tag in CLOSES_P and open_of.get("p"):
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in _ENDS_P), -1)
+                if k >= 0 and stack[k].tag == "p":
                     pop_to(k)
-                    break
-        if tag in BLOCKS:
-            flush()
-        if tag in VOID:
-            continue
-        above = stack[-1] if stack else ("", 0, False)
-        region = above[2] or tag in ("article", "main")
-        # a header inside an article is the article's own
-        own = 0 if tag == "header" and above[2] and not m.group(3).strip() else _excluded(tag, m.group(3))
-        # an article ends the doubt about what is around it
-        out_of_text = own if tag in ("article", "main") and above[1] < 2 else max(above[1], own)
-        stack.append((tag, out_of_text, region))
-        state["a"] += tag == "a"
-    data(at, len(page))
+            same = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}
+            if tag in SAME_LEVEL and any(open_of.get(x) for x in same):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag in SAME_LEVEL[tag]:
+                        break
+                    if stack[k].tag in same:
+                        pop_to(k)
+                        break
+            if tag in BLOCKS:
+                flush()
+            if tag not in VOID:
+                above = stack[-1] if stack else _ROOT
+                region = above.region or tag in ("article", "main")
+                own = _excluded(tag, attrs, above.region)
+                # an article ends the doubt about what is around it
+                state = own if tag in ("article", "main") and above.state < 2 else max(above.state, own)
+                named = above.named
+                if state == 2 and not named:
+                    named_elements += 1
+                    named = named_elements
+                path = numbers.setdefault((above.path, tag), len(numbers) + 1) if tag in BLOCKS else above.path
+                stack.append(_Open(tag, state, region, path, named))
+                open_of[tag] = open_of.get(tag, 0) + 1
+        found = next(tags, None) if jump is None else (tags.send(jump), next(tags, None))[1]
+    data(page[at:])
     flush()
     return out
 
@@ -177,39 +246,60 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text: content blocks joined by newlines; empty for null, empty
-    or text-less pages."""
-    every = blocks(page or "")
-    chars = lambda some: sum(len(b.text) for b in some)
-    found = [b for b in every if not b.doubtful]
+def _chars(some: list[Block]) -> int:
+    return sum(len(b.text) for b in some)
+
+
+def candidates(every: list[Block]) -> tuple[list[Block], bool]:
+    """The blocks that compete, and whether a marked region holds them.
+
+    Blocks under an excluding class are out, unless one such element has over half
+    of the page's text and no marked region lies outside. A region that holds less than half of the text (teasers)
+    does not keep the rest from competing."""
+    whole, under = _chars(every), {}
+    for b in every:
+        under[b.named] = under.get(b.named, 0) + len(b.text)
+    clear = any(b.region and not b.named for b in every)
+    found = [b for b in every if not b.named or not clear and 2 * under[b.named] > whole]
     inside = [b for b in found if b.region]
-    if not inside and 2 * chars(found) < chars(every):
-        found = every
-    # regions that hold less than half of the text (teasers) only compete
-    marked = bool(inside) and 2 * chars(inside) >= chars(found)
-    if marked:
-        found = inside
-    if not found:
-        return ""
-    paths: dict[str, list[float]] = {}
+    marked = bool(inside) and 2 * _chars(inside) >= _chars([b for b in found if not b.doubtful or b.region])
+    return (inside, True) if marked else (found, False)
+
+
+def path_scores(found: list[Block], marked: bool) -> dict[int, float]:
+    """The fused score of each path."""
+    paths: dict[int, list[float]] = {}
     for b in found:
-        p = paths.setdefault(b.path, [0, 0, 0, 0])
+        p = paths.setdefault(b.path, [0, 0, 0])
         p[0] += 1
         p[1] += len(b.text)
         p[2] += len(_PUNCT.findall(b.text))
-        p[3] += min(b.links, len(b.text))
-    length = _smooth([paths[b.path][1] / paths[b.path][0] for b in found])
-    marks = _smooth([paths[b.path][2] / paths[b.path][0] for b in found])
-    score: dict[str, float] = {}
+    ratios = [[paths[b.path][k] / paths[b.path][0] for b in found] for k in (1, 2)]
+    length, marks = ratios if marked else map(_smooth, ratios)
+    score: dict[int, float] = {}
     for b, x, y in zip(found, length, marks):
-        score[b.path] = score.get(b.path, 0.0) + x * (1 + y) / paths[b.path][0]
-    whole = sum(p[1] for p in paths.values())
-    mean = sum(score[k] * p[1] for k, p in paths.items()) / whole
-    # Inside a marked region an author's short lines are content too.
-    share = 0.0 if marked else SHARE
-    content = {k for k, p in paths.items() if score[k] >= share * mean and p[3] <= LINKS * p[1]}
-    return "\n".join(b.text for b in found if b.path in content)
+        score[b.path] = score.get(b.path, 0.0) + x * (1 + y) * (DOUBT if b.doubtful else 1) / paths[b.path][0]
+    return score
+
+
+def main_text(page: str | None) -> str:
+    """The main text: content blocks joined by newlines; empty for null, empty
+    or text-less pages. Headings inside a marked region stand with it, whatever
+    their score; of several paths that all fall short none is taken."""
+    found, marked = candidates(blocks(page or ""))
+    if not found:
+        return ""
+    score = path_scores(found, marked)
+    size: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for b in found:
+        size[b.path] = size.get(b.path, 0) + len(b.text)
+        links[b.path] = links.get(b.path, 0) + min(b.links, len(b.text))
+    mean = sum(score[k] * n for k, n in size.items()) / sum(size.values())
+    share = INSIDE if marked else SHARE
+    content = {k for k, n in size.items() if score[k] >= share * mean and links[k] <= LINKS * n}
+    own = lambda b: marked and b.tag in HEADINGS and not b.doubtful and 2 * b.links <= len(b.text)
+    return "\n".join(b.text for b in found if b.path in content or own(b))
 
 
 def extract_text(page: Column) -> Column:

@@ -100,6 +100,19 @@ def test_id_files_round_trip(spark, odd, none):
         assert (unpack(*pack(a), len(a)) == a).all()
 
 
+def test_chunks_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    from studyloom.llm.id_files import ChunkEncoder
+
+    path = tokenizer("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = [t for c in map(chr, range(0x3100)) for t in (f"ab{c}cd", f"{c}ab", f"ab {c}")]
+    ids, n = ChunkEncoder(path).encode(texts)
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 # --- statistics, quality rules
 
 
@@ -189,6 +202,46 @@ def test_main_text_keeps_the_article():
     assert main_text(f"<article>{body}</article><div class=comment-list><article class=comment><p>Nice one.</p></article></div>") == want
 
 
+def test_path_scores_decide_inside_regions():
+    from studyloom.llm import html_paths as H
+
+    text = "<p>" + "This is a long sentence, with words. " * 8 + "</p>"
+    page = f"<article><h1 class=post-header>Title</h1><header class=hd>Line</header>{text * 4}<div>Buy now</div><div>Act fast</div><ul><li>First point of a list, told in words.</li><li>Second point of it.</li></ul></article>"
+    got = H.main_text(page).split("\n")
+    assert got[:2] == ["Title", "Line"] and "Buy now" not in got and "Act fast" not in got and "Second point of it." in got
+    for wrapper in ('class="page has-sidebar"', 'class="ad-free"', 'class="menu-open"', 'id="comment-enabled"', 'class="comments"'):
+        assert H.main_text(f"<div {wrapper}>{page}</div>").split("\n") == got
+    # ratios of each path, worked out from the paths themselves
+    every = H.blocks(page)
+    found, marked = H.candidates(every)
+    assert marked and len(found) == len(every)
+    score = H.path_scores(found, True)
+    for path in {b.path for b in found}:
+        own = [b.text for b in found if b.path == path]
+        length, marks = sum(map(len, own)) / len(own), sum(sum(c in ".,;:!?" for c in t) for t in own) / len(own)
+        assert score[path] == pytest.approx(length * (1 + marks))
+    smooth = H.path_scores(found, False)
+    n = len(found)
+    for path in {b.path for b in found}:
+        total = 0.0
+        for i in (i for i in range(n) if found[i].path == path):
+            near = [(np.exp(-((i - j) ** 2) / 2), found[j].path) for j in range(max(0, i - 2), min(n, i + 3))]
+            mean = lambda f: sum(w * np.mean([f(b.text) for b in found if b.path == q]) for w, q in near) / sum(w for w, _ in near)  # noqa: B023, E731
+            total += mean(len) * (1 + mean(lambda t: sum(c in ".,;:!?" for c in t)))
+        assert smooth[path] == pytest.approx(total / sum(b.path == path for b in found))
+
+
+def test_main_text_of_broken_pages_is_linear():
+    import time
+
+    from studyloom.llm.html_paths import main_text
+
+    for piece in ('<a "', "<a '<b \">", "<div>x", "</x>", "<![CDATA[", "<b><p>", "<li>", "<!--", "<"):
+        began = time.perf_counter()
+        main_text(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 20, piece
+
+
 def test_extract_pages(spark):
     from studyloom.llm.html_paths import extract_pages
 
@@ -243,7 +296,23 @@ def test_simhash(spark, odd, none, monkeypatch):
     assert kept == sorted({k[2] for k in want if k[2] is not None})
 
 
-def test_links_of_random_prints(spark):
+def test_drop_keeps_one_row_of_each_component(spark, none):
+    from studyloom.llm.near_copies import drop_near_copies
+    from studyloom.llm.simhash import drop_near_duplicates
+
+    rng = random.Random(15)
+    a, b, c, d, e = (prose(rng, 80, 5000) for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (1, c), (7, d), (7, e), (7, e), (8, e), (9, None), (10, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Mark", F.lit("x")).withColumn("spans", F.lit("y"))
+    want = sorted([("None", a), ("None", b), ("1", c), ("7", d), ("7", e), ("9", "None")])
+    for drop in (drop_near_duplicates, drop_near_copies):
+        got = drop(docs)
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == want and got.columns == docs.columns
+        assert drop(none).count() == 0
+
+
+@pytest.mark.parametrize("plan", [0, 1])
+def test_links_of_random_prints(spark, plan):
     from studyloom.llm.components import components
     from studyloom.llm.simhash import links
 
@@ -253,7 +322,7 @@ def test_links_of_random_prints(spark):
         for _ in range(5):
             prints.add(p ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 5))))
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    found = links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    found = links(spark.createDataFrame([(p,) for p in signed], "fp long"), plan)
     got = {r["node"]: r["root"] for r in components(found).collect()}
     root = {p: p for p in signed}
 
@@ -423,6 +492,16 @@ def test_secrets(spark, odd, none):
     assert find_secrets(none).count() == 0
 
 
+def test_texts_with_very_many_secrets(spark):
+    from studyloom.llm.secrets import find_secrets, redact
+
+    many = "token=abcdef12 é " * 3000
+    docs = documents(spark, [many, "clean"]).withColumn("_mark", F.lit("kept")).withColumn("__x", F.lit(1))
+    rows = {r["doc_id"]: r for r in find_secrets(docs).withColumn("clean", redact(F.col("text"), F.col("spans"))).collect()}
+    assert [(s["start"], s["end"]) for s in rows[0]["spans"]] == [(17 * k, 17 * k + 14) for k in range(3000)]
+    assert rows[0]["clean"] == "[SECRET] é " * 3000 and rows[1]["clean"] == "clean" and rows[0]["_mark"] == "kept"
+
+
 # --- context-tree weighting
 
 
@@ -540,6 +619,24 @@ def test_pipeline(spark, tmp_path):
     assert all(r["n_tokens"] == len(r["ids"]) for r in rows.values())
 
 
+def test_stages_of_odd_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a window of a benchmark item that nobody has")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd.union(documents(spark, [prose(random.Random(16), 120, 5000) + " password=hunter22"], 300))
+    for name in ("stats", "kept", "failed", "base_failed", "spans", "MARK"):
+        docs = docs.withColumn(name, F.lit("own"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, str(tmp_path))
+        rows = got.collect()
+        assert all(r[c] == "own" for r in rows for c in ("stats", "kept", "failed", "base_failed", "spans", "MARK")), name
+        assert {r["doc_id"] for r in rows} >= {300}, name
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert got.columns == docs.columns, name
+        empty = stage(spark, none, str(tmp_path))
+        assert empty.count() == 0, name
+
+
 def test_registered_queries_answer(spark):
     from studyloom.llm.queries import oracle_sql, queries
 
