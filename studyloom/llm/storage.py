@@ -30,9 +30,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths that this process has written, in order.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used."""
-    return f"{shared_root(spark)}/studyloom/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, under this application's own, that nobody has used."""
+    path = f"{shared_root(spark)}/studyloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -44,11 +50,20 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete everything ``materialise`` has written for this application's root."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/studyloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def written() -> int:
+    """How many tables have been written so far: a mark for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete the tables written after the mark ``since``, all of this process or, with
+    ``but_last``, all but the last one. Frames that read them end with them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _WRITTEN[since : len(_WRITTEN) - 1 if but_last else len(_WRITTEN)]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    _WRITTEN[since:] = _WRITTEN[since + len(gone) :]
 
 
 def with_columns(df: DataFrame, made: dict) -> DataFrame:
