@@ -172,6 +172,22 @@ def test_rule_ensemble(spark, odd, none):
     assert fit_quality(docs, labels.where("false"), F.lit(True)).rules == ()
 
 
+def test_compiled_rules_equal_the_rules(spark, odd):
+    from studyloom.llm.rules import fit_rules, holds, score_quality, statistics
+    from studyloom.llm.text_stats import add_stats
+
+    rng = random.Random(17)
+    docs = odd.union(documents(spark, [prose(rng, rng.randint(5, 90), rng.choice([3, 30, 3000])) + rng.choice(["", " ### $$", " ABC"]) for _ in range(120)], 100))
+    made = statistics()
+    rows = add_stats(docs).select("doc_id", *[c.cast("double").alias(k) for k, c in made.items()]).collect()
+    x = np.array([[r[k] for k in made] for r in rows])
+    model = fit_rules(x, (x[:, 0] > np.median(x[:, 0])).astype(float))
+    assert model.rules
+    total = model.bias + sum(weight * holds(rule, x).astype(float) for rule, weight in model.rules)
+    want = sorted((str(r["doc_id"]), round(float(v), 9)) for r, v in zip(rows, 1 / (1 + np.exp(-total))))
+    assert sorted((str(r["doc_id"]), round(r["score"], 9)) for r in score_quality(docs, model).collect()) == want
+
+
 # --- html
 
 
