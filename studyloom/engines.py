@@ -174,10 +174,11 @@ def shaped(rows: DataFrame, kind, pos: str, source: int, key: str = "pmid") -> D
 
 class CsvFolderRetriever(Retriever):
     """Texts of a folder of CSV files, by pmcid: what a download tool leaves there.
-    ``download`` is called first with the pmcids that the folder lacks, if given."""
+    ``download`` is called first with the pmcids that the folder lacks, if given, and
+    with ``n_docs`` of them at most."""
 
-    def __init__(self, folder: str, download=None):
-        self.folder, self.download = folder.rstrip("/"), download
+    def __init__(self, folder: str, download=None, n_docs: int | None = None):
+        self.folder, self.download, self.n_docs = folder.rstrip("/"), download, n_docs
 
     def wanted(self, studies: DataFrame) -> DataFrame:
         """(pmcid) in scope that metadata.csv does not have."""
@@ -187,7 +188,7 @@ class CsvFolderRetriever(Retriever):
 
     def retrieve(self, studies: DataFrame) -> DataFrame:
         if self.download is not None:
-            self.download(self.wanted(studies))
+            self.download(retrieval.capped(self.wanted(studies), self.n_docs))
         rows = retrieval.mark_retrieved(studies, self.texts(studies.sparkSession))
         analyses, tables = (shaped(x, kind, pos, 0, "pmcid").drop("source_pos") for x, kind, pos in zip(folder_points(studies.sparkSession, self.folder, "pmcid"), (schemas.ANALYSIS, schemas.TABLE), ("analysis_pos", "table_pos")))
         rows = retrieval.attach(rows, analyses, "pmcid", "analyses", "place", True)

@@ -99,6 +99,24 @@ def parse_payload(responses: DataFrame, payload: str = "payload") -> DataFrame:
     return out.withColumn("error", error)
 
 
+SINGLE = (
+    "decisions array<struct<annotation_name:string,include:string,reasoning:string,inclusion_criteria_applied:array<string>,exclusion_criteria_applied:array<string>>>"
+)
+
+
+def single_payloads(responses: DataFrame, names: list[str], payload: str = "payload") -> DataFrame:
+    """Answers about one analysis each (``item_id``) in the form of answers about a
+    study. A bare decision without a list is taken if one annotation was asked for;
+    what has neither form stays as it is, for ``parse_payload`` to refuse."""
+    p = F.from_json(payload, f"{SINGLE}, include string, reasoning string, inclusion_criteria_applied array<string>, exclusion_criteria_applied array<string>")
+    listed = p["decisions"]
+    if len(names) == 1:
+        bare = F.struct(F.lit(names[0]).alias("annotation_name"), *[p[c].alias(c) for c in ("include", "reasoning", "inclusion_criteria_applied", "exclusion_criteria_applied")])
+        listed = F.coalesce(listed, F.when(p["include"].isNotNull(), F.array(bare)))
+    whole = F.struct(F.array(F.struct(F.col("item_id").alias("analysis_id"), listed.alias("annotations"))).alias("decisions"))
+    return responses.withColumn(payload, F.when(listed.isNotNull(), F.to_json(whole)).otherwise(F.col(payload)))
+
+
 def bad_payloads(responses: DataFrame, analyses: DataFrame, names: list[str], mapping: DataFrame | None = None) -> DataFrame:
     """(study_id) of payloads that are broken, speak of analyses the study does not
     have, leave an analysis or an annotation out, give one twice, or cite criteria

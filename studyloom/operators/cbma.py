@@ -358,6 +358,14 @@ def focus_counter(foci: DataFrame, significant: DataFrame, step: int = 4) -> Dat
     return placed.join(clusters(significant), ["column", "voxel"]).groupBy("column", "cluster", "unit").agg(F.count("*").alias("n"))
 
 
+def skipped(points: DataFrame, notes: DataFrame) -> DataFrame:
+    """(column, analyses, skipped): analyses with a true note, and those among them
+    without a point of three finite coordinates."""
+    wanted = notes.where("value and analysis_id <> ''").select("column", "analysis_id").distinct()
+    sound = points.where(" and ".join(f"abs({c}) < double('infinity')" for c in "xyz")).select("analysis_id", F.lit(True).alias("_sound")).distinct()
+    return wanted.join(sound, "analysis_id", "left").groupBy("column").agg(F.count("*").alias("analyses"), F.count_if(F.col("_sound").isNull()).alias("skipped"))
+
+
 def slice_foci(points: DataFrame, notes: DataFrame, include_ids: DataFrame | None = None) -> DataFrame:
     """Foci of every column: points (analysis_id, study_id, x, y, z) of the analyses
     whose note (column, analysis_id, value) is true and whose study is listed."""

@@ -25,7 +25,7 @@ def _point(p: Column, i: Column, analysis_id: Column, study_space: Column) -> Co
 
 
 def _analysis(a: Column, i: Column, study_id: Column, study_space: Column) -> Column:
-    own = F.concat(study_id, F.lit("_analysis_"), i.cast("string"))
+    own = analysis_name(F.concat(study_id, F.lit("_analysis_"), i.cast("string")))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return F.struct(
         own.alias("id"), analysis_name(a["name"]).alias("name"), a["description"].alias("description"), none("double").alias("weights"), none("string").alias("conditions"),
@@ -59,7 +59,9 @@ def nimads_studyset(studies: DataFrame, set_id: str, name: str = "studyset") ->
 
 
 def nimads_annotation(notes: DataFrame, names: list[str], annotation_id: str, set_id: str, name: str) -> DataFrame:
-    """The annotation document of wide notes (analysis_id and a column for each name)."""
+    """The annotation document of wide notes (analysis_id and a column for each name).
+    Ids are cleaned as those of the study set are."""
+    notes = notes.withColumn("analysis_id", analysis_name(F.col("analysis_id")))
     note = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"`{n}`"))])
     row = F.struct(F.col("analysis_id").alias("analysis"), note.alias("note"), F.lit(annotation_id).alias("annotation"))
     rows = notes.agg(F.array_sort(F.collect_list(F.struct(F.col("analysis_id").alias("k"), F.to_json(row).alias("v")))).alias("n"))

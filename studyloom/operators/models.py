@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from studyloom.functions import json_schema
 from studyloom.functions.text import boolean
-from studyloom.operators.annotation import PAYLOAD
+from studyloom.operators.annotation import PAYLOAD, SINGLE
 from studyloom.operators.screening import process_responses
 
 RESPONSES = "task string, study_id string, item_id string, attempt int, payload string"
@@ -70,7 +70,7 @@ class RuleClient(ModelClient):
 
 
 #: What a task's answer must look like; other tasks are screenings.
-ANSWERS = {"tables": ANALYSES, "annotation": PAYLOAD}
+ANSWERS = {"tables": ANALYSES, "annotation": PAYLOAD, "annotation_single": SINGLE}
 
 
 def answer_schema(task: str) -> dict:
@@ -92,7 +92,7 @@ class HttpClient(ModelClient):
         self.api_key = api_key or os.environ.get("OPENAI_API_KEY")
 
     def body(self, task: str, prompt: str) -> dict:
-        model = self.model if isinstance(self.model, str) else self.model[task]
+        model = self.model if isinstance(self.model, str) else self.model[task.removesuffix("_single")]
         form = {"type": "json_schema", "json_schema": {"name": task, "schema": answer_schema(task)}}
         return {"model": model, "messages": [{"role": "user", "content": prompt}], "response_format": form}
 

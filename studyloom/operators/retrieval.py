@@ -17,6 +17,11 @@ def in_scope(studies: DataFrame, load_excluded: bool = False) -> DataFrame:
     return studies.withColumn("retrieval_in_scope", scope).withColumn("in_included_set", F.when(scope, F.col("status") == st.INCLUDED_ABSTRACT))
 
 
+def capped(ids: DataFrame, n_docs: int | None = None, key: str = "pmcid") -> DataFrame:
+    """The first ``n_docs`` ids in their order, or all: how much a download may take."""
+    return ids if n_docs is None else ids.orderBy(key).limit(n_docs)
+
+
 def number_pmids(studies: DataFrame) -> DataFrame:
     """(pmid, pmid_number) of studies whose pmid is digits alone."""
     return studies.where(F.col("pmid").rlike("^[0-9]+$")).select("pmid", F.col("pmid").try_cast("bigint").alias("pmid_number"))

@@ -173,14 +173,26 @@ class Review:
         included = self.save(annotation.unfinished(export.exportable(studies), old, names), "to_annotate")
         texts = self.fulltexts if self.fulltexts is not None else self.spark.createDataFrame([], "pmid string, body string")
         joined = included.join(texts.select("pmid", "body"), "pmid", "left")
-        items = F.transform("analyses", lambda a, i: F.struct(F.concat(F.col("pmid"), F.lit("_analysis_"), i.cast("string")).alias("id"), a["name"].alias("name"), a["description"].alias("description"), F.coalesce(F.filter("activation_tables", lambda t: t["table_id"] == a["table_id"])[0]["table_caption"], a["table_id"]).alias("table_caption")))
-        group = F.struct(F.col("title"), F.col("abstract"), F.col("body").alias("fulltext"), items.alias("analyses"))
-        asked = joined.select(F.lit("annotation").alias("task"), F.col("pmid").alias("study_id"), F.lit(None).cast("string").alias("item_id"), prompts.annotation(group, settings.metadata_fields, rules).alias("prompt"))
+        own = lambda a: F.filter("activation_tables", lambda t: t["table_id"] == a["table_id"])[0]
+        items = F.transform("analyses", lambda a, i: F.struct(F.concat(F.col("pmid"), F.lit("_analysis_"), i.cast("string")).alias("id"), a["name"].alias("name"), a["description"].alias("description"), a["table_id"].alias("table_id"), F.coalesce(own(a)["table_caption"], a["table_id"]).alias("table_caption"), own(a)["table_foot"].alias("table_foot")))
+        single = settings.prompt_type == "single_analysis"
+        if single:
+            one = joined.select("pmid", "title", "abstract", "authors", "journal", "publication_date", "body", F.explode(items).alias("a"))
+            about = F.struct(
+                F.col("a.name").alias("analysis_name"), F.col("a.description").alias("analysis_description"), F.col("a.table_caption").alias("table_caption"), F.col("a.table_foot").alias("table_footer"),
+                F.col("title").alias("study_title"), F.col("abstract").alias("study_abstract"), F.array_join("authors", ", ").alias("study_authors"), F.col("journal").alias("study_journal"),
+                F.col("publication_date").alias("study_publication_date"), F.col("body").alias("study_fulltext"),
+            )
+            asked = one.select(F.lit("annotation_single").alias("task"), F.col("pmid").alias("study_id"), F.col("a.id").alias("item_id"), prompts.single_analysis(about, settings.metadata_fields, rules).alias("prompt"))
+        else:
+            group = F.struct(F.col("title"), F.col("abstract"), F.col("body").alias("fulltext"), items.alias("analyses"))
+            asked = joined.select(F.lit("annotation").alias("task"), F.col("pmid").alias("study_id"), F.lit(None).cast("string").alias("item_id"), prompts.annotation(group, settings.metadata_fields, rules).alias("prompt"))
+        shape = lambda got: annotation.single_payloads(got, names) if single else got
         known = annotation.explode_analyses(included).select(F.col("pmid").alias("study_id"), "analysis_id")
         mapping = [(r["name"], list((r.get("criteria_mapping") or {}).get("inclusion") or {}), list((r.get("criteria_mapping") or {}).get("exclusion") or {})) for r in rules]
         cited = self.spark.createDataFrame(mapping, "annotation_name string, inclusion array<string>, exclusion array<string>")
-        answers = models.ask(self.client, asked, self.save, "annotation_responses", lambda got: annotation.bad_payloads(got, known, names, cited))
-        parsed = annotation.parse_payload(answers).where("error is null")
+        answers = models.ask(self.client, asked, self.save, "annotation_responses", lambda got: annotation.bad_payloads(shape(got), known, names, cited))
+        parsed = annotation.parse_payload(shape(answers)).where("error is null")
         valid = parsed.where(F.col("annotation_name").isin(names)).join(known, ["study_id", "analysis_id"], "left_semi")
         return valid.drop("attempt", "error").withColumn("model_used", F.lit(settings.model))
 
@@ -255,7 +267,8 @@ class Review:
 def run_meta(spark: SparkSession, folder: str, estimator: str = "mkdadensity", corrector: str = "fdr", estimator_args: dict | None = None, corrector_args: dict | None = None, ids: DataFrame | None = None, step: int = 4) -> DataFrame:
     """Statistics of every boolean column of an export, all columns in one job; also
     written to ``<folder>/meta`` by column, and the foci of each unit in clusters of
-    significant voxels to ``<folder>/meta_clusters``. The folder may be the run's or
+    significant voxels to ``<folder>/meta_clusters``, the number of analyses without
+    coordinates to ``<folder>/meta_skipped``. The folder may be the run's or
     its outputs."""
     from studyloom.operators import cbma
     from studyloom.sources import files
@@ -263,6 +276,7 @@ def run_meta(spark: SparkSession, folder: str, estimator: str = "mkdadensity", c
     root = folder if Path(folder).name == "outputs" else f"{folder.rstrip('/')}/outputs"
     points, notes = files.nimads(spark, root)
     foci = cbma.slice_foci(points, notes, ids)
+    cbma.skipped(points, notes).write.mode("overwrite").parquet(f"{root}/meta_skipped")
     given = estimator_args or {}
     stats = cbma.estimate(estimator, foci, step=step, **given)
     if corrector in ("fdr", "bonferroni"):

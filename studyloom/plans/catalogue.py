@@ -640,6 +640,37 @@ def note_columns(spark, sf_dir):
     return rows.groupBy(F.col("annotation_name").alias("column")).agg(F.count_distinct("analysis_id").alias("n"))
 
 
+@query(
+    """SELECT annotation_name AS "column", count(*) AS analyses, count_if(v.analysis_id IS NULL)::BIGINT AS skipped FROM (SELECT DISTINCT annotation_name, analysis_id FROM v_ann WHERE include) n
+    LEFT JOIN (SELECT DISTINCT user_id || '_analysis_' || (event_id % 3) AS analysis_id FROM events WHERE event_id % 5 = 0) v ON v.analysis_id = n.analysis_id GROUP BY annotation_name""",
+    "v_ann",
+)
+def skipped_without_coordinates(spark, sf_dir):
+    nothing = F.when(F.col("event_id") % 5 == 0, F.col("value")).when(F.col("event_id") % 5 == 1, F.lit(float("nan")))
+    analysis = F.concat(F.col("user_id").cast("string"), F.lit("_analysis_"), (F.col("event_id") % 3).cast("string"))
+    points = table(spark, sf_dir, "events").select(analysis.alias("analysis_id"), F.col("value").alias("x"), F.col("value").alias("y"), nothing.alias("z"))
+    notes = views.annotations(spark, sf_dir).select(F.col("annotation_name").alias("column"), "analysis_id", F.col("include").alias("value"))
+    return cbma.skipped(points, notes)
+
+
+@query("SELECT DISTINCT doc_id + 1000000 AS pmcid FROM documents WHERE doc_id % 3 = 0 ORDER BY pmcid LIMIT 50")
+def document_cap(spark, sf_dir):
+    return retrieval.capped(views.studies(spark, sf_dir).where("pmcid is not null").select("pmcid").distinct(), 50)
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS study_id, CASE WHEN event_id % 3 <> 2 THEN user_id || '_analysis_' || event_id END AS analysis_id, CASE event_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN event_type END AS annotation_name,
+    CASE event_id % 3 WHEN 0 THEN value > 34 WHEN 1 THEN true END AS include, CASE WHEN event_id % 3 = 2 THEN 'no analysis_id' END AS error FROM events"""
+)
+def single_decisions(spark, sf_dir):
+    bare = F.to_json(F.struct((F.col("value") > 34).alias("include")))
+    listed = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("annotation_name"), F.lit("yes").alias("include"))).alias("decisions")))
+    payload = F.when(F.col("event_id") % 3 == 0, bare).when(F.col("event_id") % 3 == 1, listed).otherwise("{broken")
+    item = F.concat(F.col("user_id").cast("string"), F.lit("_analysis_"), F.col("event_id").cast("string"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("study_id"), item.alias("item_id"), F.lit(1).alias("attempt"), payload.alias("payload"))
+    return annotation.parse_payload(annotation.single_payloads(rows, ["click"])).select("study_id", "analysis_id", "annotation_name", "include", "error")
+
+
 @query()
 def model_tables_udtf(spark, sf_dir):
     """Tables to analyses by a rule client, one table to many analyses."""

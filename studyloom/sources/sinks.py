@@ -68,6 +68,17 @@ def csv_file(df: DataFrame, path: str) -> None:
     fs.delete(sc._jvm.org.apache.hadoop.fs.Path(tmp), True)
 
 
+def by_table(parsed: DataFrame, path: str) -> None:
+    """Parsed tables (table_id, payload: JSON) below ``tables/table_id=...``, and all of
+    them in ``all_results.json``, one object by its format. A table has one payload, the
+    greatest of several; one without any has null."""
+    rows = parsed.groupBy("table_id").agg(F.coalesce(F.max("payload"), F.lit("null")).alias("value"))
+    rows.write.mode("overwrite").partitionBy("table_id").text(f"{path}/tables")
+    key = F.regexp_replace(F.to_json(F.array("table_id")), r"^\[|\]$", "")
+    items = rows.where("table_id is not null").agg(F.array_join(F.array_sort(F.collect_list(F.concat(key, F.lit(": "), "value"))), ", ").alias("v"))
+    document(items.select(F.concat(F.lit("{"), "v", F.lit("}"))), f"{path}/all_results.json")
+
+
 def lines(df: DataFrame, column: str, path: str) -> None:
     """One column, in its order, a value on each line."""
     rows = df.agg(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n"))

@@ -289,3 +289,52 @@ def test_requests_carry_schema_model_and_partitions(spark):
     assert models.answer_schema("abstract")["properties"]["decision"]["enum"] == ["INCLUDED", "EXCLUDED"]
     asked = spark.range(9).select(F.lit("abstract").alias("task"), F.col("id").cast("string").alias("study_id"), F.lit(None).cast("string").alias("item_id"), F.lit("p").alias("prompt"))
     assert client.respond(asked).rdd.getNumPartitions() == 3
+
+
+def test_single_analyses(spark, tmp_path):
+    from studyloom.engines import CsvFolderRetriever
+    from studyloom.functions import prompts
+    from studyloom.operators import annotation, export
+
+    # one request for each analysis; study 1 answers without a list, then with one
+    config = cfg.from_dict({
+        "search": {"query": "q"}, "screening": {k: {"objective": "find", "inclusion_criteria": ["memory"]} for k in ("abstract", "fulltext")},
+        "annotation": {"annotations": [{"name": "memory"}], "prompt_type": "single_analysis"}, "output": {"directory": str(tmp_path)},
+    })
+    client = Scripted({"annotation_single": ["{", json.dumps({"include": "yes", "reasoning": "r"})]})
+    analysis = "struct<name:string,description:string,table_id:string,parsed:boolean,points:array<struct<coordinates:array<double>,space:string,values:array<struct<value_text:string,value_num:double,kind:string>>>>>"
+    rows = spark.createDataFrame([("1", "t", st.INCLUDED_FULLTEXT, [("a", "d", "t1", False, []), ("b", None, None, False, [])])], f"pmid string, title string, status string, analyses array<{analysis}>")
+    from studyloom.pipeline import conform
+
+    got = Review(spark, config, client, lambda _s, _c: rows).custom_decisions(conform(rows)).collect()
+    assert {(r["analysis_id"], r["annotation_name"], r["include"]) for r in got} == {("1_analysis_0", "memory", True), ("1_analysis_1", "memory", True)}
+    assert client.asked == [("annotation_single", "1")] * 4
+    assert models.HttpClient({"annotation": "b"}, api_key="k").body("annotation_single", "p")["model"] == "b"
+
+    # several annotations: a bare decision belongs to none of them
+    bare = spark.createDataFrame([("1", "x", 1, '{"include": true}')], "study_id string, item_id string, attempt int, payload string")
+    assert annotation.parse_payload(annotation.single_payloads(bare, ["a", "b"])).first()["error"] == "no analysis_id"
+
+    items = spark.createDataFrame([([("i0", "n0", None, "t2", "two", "foot"), ("i1", "n1", None, "t1", None, None), ("i2", "n2", None, "t2", "two", "foot"), ("i3", "n3", None, None, None, None)],)], "analyses array<struct<id:string,name:string,description:string,table_id:string,table_caption:string,table_foot:string>>")
+    study = F.struct(F.lit("T").alias("title"), F.lit("A").alias("abstract"), F.lit(None).cast("string").alias("fulltext"), F.col("analyses"))
+    text = items.select(prompts.annotation(study, ["analysis_name"], [{"name": "memory"}])).first()[0]
+    assert "Table: two\nFooter: foot\n- i0 | n0\n- i2 | n2\nTable: Unnamed Table\n- i1 | n1\nTable: Unnamed Table\n- i3 | n3" in text
+    about = F.struct(*[F.lit("v" if f == "study_title" else None).cast("string").alias(f) for f in prompts.METADATA])
+    text = items.select(prompts.single_analysis(about, ["study_title", "study_journal", "sample_size"], [{"name": "memory"}], {"sample_size": F.lit("9")})).first()[0]
+    assert "- Study title: v\n- Sample Size: 9" in text and "journal" not in text
+
+    # ids of notes are cleaned as those of analyses
+    notes = spark.createDataFrame([("o'k_analysis_0 ", True)], "analysis_id string, m boolean")
+    assert export.nimads_annotation(notes, ["m"], "a", "s", "n").first()["notes"][0]["analysis"] == "ok_analysis_0"
+
+    parsed = spark.createDataFrame([("t1", '{"analyses": []}'), ('q"', None)], "table_id string, payload string")
+    sinks.by_table(parsed, f"{tmp_path}/parsed")
+    assert json.loads((tmp_path / "parsed" / "all_results.json").read_text()) == {"t1": {"analyses": []}, 'q"': None}
+    assert spark.read.text(f"{tmp_path}/parsed/tables").where("table_id = 't1'").first()["value"] == '{"analyses": []}'
+
+    (tmp_path / "metadata.csv").write_text("pmcid\n11\n")
+    (tmp_path / "text.csv").write_text("pmcid,body\n")
+    asked = []
+    some = spark.createDataFrame([(str(k), k, True) for k in (15, 11, 13, 14)], "pmid string, pmcid long, retrieval_in_scope boolean")
+    CsvFolderRetriever(str(tmp_path), lambda ids: asked.extend(r["pmcid"] for r in ids.collect()), 2).retrieve(conform(some))
+    assert sorted(asked) == [13, 14]
