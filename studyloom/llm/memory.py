@@ -9,6 +9,7 @@ back, and in the worker as input, parts and result.
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -41,3 +42,15 @@ def small_batches(spark: SparkSession) -> None:
     for name, most in BATCH.items():
         if name not in own:
             spark.conf.set(name, most)
+
+
+@contextmanager
+def batches_of(spark: SparkSession):
+    """BATCH for what is run inside; the session's own limits hold again behind it."""
+    before = {name: spark.conf.getAll.get(name) for name in BATCH}
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

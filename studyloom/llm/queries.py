@@ -195,6 +195,95 @@ def _op10_sql() -> str:
       NOT (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {100 * Q.MAX_REPEAT:.0f} * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM r"""
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, edits and digest of the repaired rows of every damaged conversation."""
+    from studyloom.llm import turns
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    verdicts, repaired = turns.repair(turns.damaged(rows))
+    sums = turns.digests(repaired).withColumnRenamed("conv_id", "of")
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    found = every.join(verdicts, every["id"].eqNullSafe(verdicts["conv_id"]), "left")
+    found = found.join(sums, found["id"].eqNullSafe(sums["of"]), "left")
+    fields = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(f, F.lit(0)).cast("long").alias(f) for f in fields],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def _op11_sql() -> str:
+    blank = r"[^\x20\x09-\x0D]"
+    insert = lambda w, done: f"{{'c': {w}.c + 5, 's': {w}.s || 'I', 't': {w}.t || '{done}' || chr(58) || chr(10)}}"
+    delete = lambda w: f"{{'c': {w}.c + 2, 's': {w}.s || 'D', 't': {w}.t}}"
+    far = "{'c': 1000000000, 's': '', 't': ''}"
+    keep = lambda w, r: f"CASE WHEN NOT bad AND initial = '{r}' THEN {{'c': {w}.c + open, 's': {w}.s || 'K', 't': {w}.t || role || chr(58) || text || chr(10)}} ELSE {far} END"
+    rerole = lambda w, r: f"CASE WHEN NOT bad THEN {{'c': {w}.c + 1 + open, 's': {w}.s || 'R', 't': {w}.t || '{r}' || chr(58) || text || chr(10)}} ELSE {far} END"
+    inserted = lambda source: f"SELECT * REPLACE (list_min([w3, {insert('w2', 'assistant')}]) AS w3) FROM (SELECT * REPLACE (list_min([w2, {insert('w0', 'user')}, {insert('w1', 'user')}, {insert('w3', 'user')}]) AS w2) FROM {source})"
+    after = f"""SELECT conv, i + 1 AS i, {delete('w0')} AS w0, list_min([{delete('w1')}, {keep('w0', 's')}]) AS w1,
+      list_min([{delete('w2')}, {', '.join(f(w, r) for w in ('w0', 'w1', 'w3') for f, r in ((keep, 'u'), (rerole, 'user')))}]) AS w2,
+      list_min([{delete('w3')}, {keep('w2', 'a')}, {rerole('w2', 'assistant')}]) AS w3"""
+    step = "lambda n: CASE WHEN n & 1 = 1 THEN xor(n >> 1, CAST(3988292384 AS UBIGINT)) ELSE n >> 1 END"
+    table_ = "list_transform(range(256), lambda n: CAST(n AS UBIGINT))"
+    for _ in range(8):
+        table_ = f"list_transform({table_}, {step})"
+    return rf"""WITH RECURSIVE crc AS (SELECT {table_} AS t),
+    o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+    k AS (SELECT o.*, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) % 20 AS kind FROM o, crc),
+    d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+    ids AS (SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+    f AS (SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, left(text, 32), text) AS i,
+      left(role, 1) AS initial, NOT regexp_matches(text, '{blank}') AS blank, regexp_extract(text, '({blank})[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut FROM d JOIN ids ON ids.conv_id IS NOT DISTINCT FROM d.conv_id),
+    g AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again FROM f),
+    r AS (SELECT *, blank OR again AS bad, CASE WHEN cut THEN 5 ELSE 0 END AS open, initial || lead(initial) OVER (PARTITION BY conv ORDER BY i) AS pair FROM g),
+    p AS (SELECT conv, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 's': '', 't': ''}} AS w0, {{'c': CAST(1000000000 AS BIGINT), 's': '', 't': ''}} AS w1, {{'c': CAST(1000000000 AS BIGINT), 's': '', 't': ''}} AS w2, {{'c': CAST(1000000000 AS BIGINT), 's': '', 't': ''}} AS w3 FROM (SELECT DISTINCT conv FROM r)
+      UNION ALL {after} FROM (SELECT z.*, r.role, r.text, r.initial, r.bad, r.open FROM ({inserted('p')}) z JOIN r ON r.conv = z.conv AND r.i = z.i + 1)),
+    e AS (SELECT conv, list_min([w0, w3]) AS w FROM ({inserted('(SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY conv ORDER BY i DESC) = 1)')})),
+    c AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate, count_if(cut AND NOT bad) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv)
+    SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+      CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.s, '') AS audit, sha256(CASE WHEN w.t IS NULL OR w.t = '' THEN '' ELSE left(w.t, length(w.t) - 1) END) AS repaired_sha256 FROM ids LEFT JOIN e USING (conv) LEFT JOIN c USING (conv)"""
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those removed as repeats, and a digest of the rest."""
+    from studyloom.llm.repeats import cut_repeats
+
+    cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select("row.doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _op12_sql() -> str:
+    from studyloom.llm.repeats import WINDOW
+
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT r, id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT r, id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM d WHERE len(w) >= {WINDOW})),
+    m AS (SELECT h, min(id) AS least FROM g GROUP BY h HAVING min(id) < max(id)),
+    gone AS (SELECT r, list(DISTINCT p) AS p FROM (SELECT r, unnest(generate_series(i, i + {WINDOW - 1})) AS p FROM g JOIN m USING (h) WHERE id > least) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
+      sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda x: NOT list_contains(p, x)), lambda i: w[i]), ' ') END) AS kept_sha256 FROM d LEFT JOIN gone USING (r)"""
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    from studyloom.llm.ranked import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT r, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS r, * FROM benchmark)),
+s AS (SELECT count_if(len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+p AS (SELECT r, doc_id, len(w) AS size, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM s) + 2.0::DOUBLE) / (2 * count(*) + 1.0::DOUBLE))) AS BIGINT) AS wt FROM p GROUP BY term),
+x AS (SELECT q.r AS item, item_id, p.r, doc_id, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * s.n) // s.l)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN t USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 50
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the corpus pipeline."""
     import corpus_pipeline
@@ -203,8 +292,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_ctw": op2_ctw, "op3_trie_counts": op3_trie_counts, "op4_rule_ensemble": op4_rule_ensemble, "op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules, "pipeline": pipeline}
+    return {"op1_decontamination": op1_decontamination, "op2_ctw": op2_ctw, "op3_trie_counts": op3_trie_counts, "op4_rule_ensemble": op4_rule_ensemble, "op5_html_paths": op5_html_paths, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op8_id_files": op8_id_files, "op9_secret_ownership": op9_secret_ownership, "op10_quality_rules": op10_quality_rules, "op11_turns": op11_turns, "op12_repeats": op12_repeats, "op13_ranked": op13_ranked, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op9_secret_ownership": _op9_sql(), "op10_quality_rules": _op10_sql()}
+    return {"op1_decontamination": OP1_SQL, "op9_secret_ownership": _op9_sql(), "op10_quality_rules": _op10_sql(), "op11_turns": _op11_sql(), "op12_repeats": _op12_sql(), "op13_ranked": OP13_SQL}
