@@ -103,22 +103,25 @@ def _least(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def pack(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> bytes:
-    """Cell of windows in the order of their documents."""
+def pack(key: np.ndarray, doc: np.ndarray, at: np.ndarray, ref: np.ndarray) -> bytes:
+    """Cell of windows in the order of their documents. ``ref`` takes no place where it
+    is the document's id."""
     step, at = _least(np.diff(doc, prepend=doc[:1]).view(np.uint64)), _least(at)
-    return b"".join((bytes((key.itemsize, step.itemsize, at.itemsize)), doc[:1].tobytes(), key.tobytes(), step.tobytes(), at.tobytes()))
+    own = b"" if np.array_equal(ref, doc) else ref.tobytes()
+    return b"".join((bytes((key.itemsize, step.itemsize, at.itemsize, 8 * bool(own))), doc[:1].tobytes(), key.tobytes(), step.tobytes(), at.tobytes(), own))
 
 
-def unpack(cell: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, doc, at) of a cell."""
-    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
-    n = (len(cell) - 11) // sum(cell[:3])
-    out, x = [], 11
-    for width in cell[:3]:
-        out.append(np.frombuffer(cell, kinds[width], n, x))
+def unpack(cell: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, doc, at, ref) of a cell."""
+    kinds = {0: np.uint8, 1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+    n = (len(cell) - 12) // sum(cell[:4])
+    out, x = [], 12
+    for width in cell[:4]:
+        out.append(np.frombuffer(cell, kinds[width], n if width else 0, x))
         x += n * width
-    first = np.frombuffer(cell, np.int64, 1, 3)[0]
-    return out[0], first + np.cumsum(out[1].astype(np.uint64), dtype=np.uint64).view(np.int64), out[2].astype(np.uint32)
+    first = np.frombuffer(cell, np.int64, 1, 4)[0]
+    doc = first + np.cumsum(out[1].astype(np.uint64), dtype=np.uint64).view(np.int64)
+    return out[0], doc, out[2].astype(np.uint32), out[3].view(np.int64) if cell[3] else doc
 
 
 def _later(key: np.ndarray, doc: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -128,43 +131,53 @@ def _later(key: np.ndarray, doc: np.ndarray, order: np.ndarray) -> np.ndarray:
     return d > np.repeat(d[start], np.diff(np.r_[start, len(k)]))
 
 
+def _reports(key: np.ndarray, doc: np.ndarray, at: np.ndarray, ref: np.ndarray, lanes: int, is_open: bool | None = None):
+    """Rows (lane, cell) of windows to remove, dealt by document; with ``is_open`` between
+    lane and cell if it is given."""
+    lane = (_mixed(ref.view(np.uint64)) % np.uint64(lanes)).astype(np.int64) * 2 + (doc == LAST_ID)
+    order = np.lexsort((ref, doc, lane))
+    lane = lane[order]
+    cuts = np.flatnonzero(np.r_[True, lane[1:] != lane[:-1]])
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(lane)]):
+        part = order[x:y]
+        cell = pack((key[part] >> np.uint64(32)).astype(np.uint32) if key.itemsize == 8 else key[part], doc[part], at[part].astype(np.uint64), ref[part])
+        yield (int(lane[x]) // 2, cell) if is_open is None else (int(lane[x]) // 2, is_open, cell)
+
+
 def _dealt(parts: list, buckets: int):
     """Rows (bucket, open, cell) of the gathered windows. Open ones are to be counted,
-    the others are reports already; these go where their document's id says."""
-    parts.sort(key=lambda p: (p[0], p[1]))
-    key = np.concatenate([p[2] for p in parts])
-    lane = np.concatenate([((p[3] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32) for p in parts])
-    sizes = [len(p[2]) for p in parts]
-    doc = np.repeat(np.array([p[0] for p in parts], np.int64), sizes)
-    at = np.concatenate([np.arange(p[1], p[1] + len(p[2]), dtype=np.int64) for p in parts]).astype(np.uint64)
+    the others are reports already; these go where their document says."""
+    parts.sort(key=lambda p: p[:3])
+    key = np.concatenate([p[3] for p in parts])
+    lane = np.concatenate([((p[4] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32) for p in parts])
+    sizes = [len(p[3]) for p in parts]
+    doc, ref = (np.repeat(np.array([p[k] for p in parts], np.int64), sizes) for k in (0, 1))
+    at = np.concatenate([np.arange(p[2], p[2] + len(p[3]), dtype=np.int64) for p in parts]).astype(np.uint64)
     order = np.argsort(key, kind="stable")
     later = _later(key, doc, order)
-    rows = []
     gone = np.sort(order[later])
-    for x in range(0, len(gone), 20_000):
-        part = gone[x : x + 20_000]
-        rows.append((int(doc[part[0]]) % buckets, False, pack((key[part] >> np.uint64(32)).astype(np.uint32), doc[part], at[part])))
+    rows = list(_reports(key[gone], doc[gone], at[gone], ref[gone], buckets, False)) if len(gone) else []
     left = np.sort(order[~later])
     left = left[np.argsort(lane[left], kind="stable")]
-    own = lane[left]
-    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    own, null = lane[left], doc[left] == LAST_ID
+    cuts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (null[1:] != null[:-1])])
     for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)]):
         part = left[x:y]
-        rows.append((int(own[x]), True, pack(key[part], doc[part], at[part])))
+        rows.append((int(own[x]), True, pack(key[part], doc[part], at[part], ref[part])))
     for x in range(0, len(rows), 500):
         some = rows[x : x + 500]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some]), pa.array([r[2] for r in some], pa.binary())], ["bucket", "open", "cell"])
 
 
 def _deal(size: int, buckets: int):
-    """Deals the windows of rows (doc, text) out."""
+    """Deals the windows of rows (doc, ref, text) out."""
 
     def run(batches):
         words, parts, n = Words(), [], 0
         for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            for doc, ref, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                 for at, key, wide in windows(data.as_py() or b"", words, size):
-                    parts.append((doc, at, key, wide))
+                    parts.append((doc, ref, at, key, wide))
                     n += len(key)
                     if n >= BATCH:
                         yield from _dealt(parts, buckets)
@@ -177,51 +190,80 @@ def _deal(size: int, buckets: int):
     return run
 
 
-def _count(batches):
-    """Reports (doc, at, sums) of the windows that a smaller document holds; rows come
-    bucket by bucket. ``at`` and ``sums`` are 32-bit places and upper halves of hashes."""
-    held: list = []
-    found: list = []
-    bucket, n = None, 0
+def _count(lanes: int):
+    """Rows (lane, cell) of the windows that a smaller document holds, dealt by document.
+    Rows come bucket by bucket, and one bucket's windows are held at a time."""
 
-    def settle():
-        nonlocal held
-        if held:
-            key, doc, at = (np.concatenate(x) for x in zip(*held))
+    def run(batches):
+        held: list = []
+        found: list = []
+        bucket, n = None, 0
+
+        def settle() -> int:
+            if not held:
+                return 0
+            key, doc, at, ref = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((doc, key))
             gone = order[_later(key, doc, order)]
-            held = []
+            held.clear()
             if len(gone):
-                found.append(((key[gone] >> np.uint64(32)).astype(np.uint32), doc[gone], at[gone]))
-                return len(gone)
-        return 0
+                found.append(((key[gone] >> np.uint64(32)).astype(np.uint32), doc[gone], at[gone], ref[gone]))
+            return len(gone)
+
+        def out():
+            rows = list(_reports(*(np.concatenate(x) for x in zip(*found)), lanes))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["lane", "cell"])
+
+        for batch in batches:
+            for b, is_open, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b != bucket:
+                    n += settle()
+                    bucket = b
+                got = unpack(cell.as_py())
+                if is_open:
+                    held.append(got)
+                else:
+                    found.append(got)
+                    n += len(got[0])
+                if n >= 1_000_000:
+                    yield out()
+                    n = 0
+        settle()
+        if found:
+            yield out()
+        trim()
+
+    return run
+
+
+def _gather(batches):
+    """Rows (unnamed, ref, at, sums), one for each document that has reports; rows come
+    lane by lane. ``at`` and ``sums`` are cells of 32-bit places and halves of hashes."""
+    held: list = []
+    lane = None
 
     def out():
-        sums, doc, at = (np.concatenate(x) for x in zip(*found))
-        found.clear()
-        order = np.argsort(doc, kind="stable")
-        doc, at, sums = doc[order], at[order], sums[order]
-        start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        ends = pa.py_buffer((np.r_[start, len(doc)] * 4).astype(np.int32))
+        sums, doc, at, ref = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        unnamed = doc == LAST_ID
+        order = np.lexsort((sums, at, ref, unnamed))
+        unnamed, ref, at, sums = unnamed[order], ref[order], at[order], sums[order]
+        new = np.r_[True, (ref[1:] != ref[:-1]) | (unnamed[1:] != unnamed[:-1])]
+        once = new | np.r_[True, (at[1:] != at[:-1]) | (sums[1:] != sums[:-1])]
+        unnamed, ref, at, sums, new = (x[once] for x in (unnamed, ref, at, sums, new))
+        start = np.flatnonzero(new)
+        ends = pa.py_buffer((np.r_[start, len(ref)] * 4).astype(np.int32))
         cells = [pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(x.tobytes())]) for x in (at, sums)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[start]), *cells], ["doc", "at", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array(unnamed[start]), pa.array(ref[start]), *cells], ["unnamed", "ref", "at", "sums"])
 
     for batch in batches:
-        for b, is_open, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if b != bucket:
-                n += settle()
-                bucket = b
-            got = unpack(cell.as_py())
-            if is_open:
-                held.append(got)
-            else:
-                found.append(got)
-                n += len(got[0])
-            if n >= 1_000_000:
+        for k, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if k != lane and held:
                 yield out()
-                n = 0
-    settle()
-    if found:
+            lane = k
+            held.append(unpack(cell.as_py()))
+    if held:
         yield out()
     trim()
 
@@ -231,17 +273,24 @@ def order_id(id_: Column) -> Column:
     return F.coalesce(id_.cast("long"), F.lit(LAST_ID))
 
 
+def _named(docs: DataFrame, id_col: str, text: str) -> list[Column]:
+    """Columns (doc, unnamed, ref, text) of ``docs``: what reports are addressed by is the
+    id, or a hash of the text where that is null."""
+    id_, t = F.col(id_col).cast("long"), F.col(text)
+    return [order_id(id_).alias("doc"), (order_id(id_) == LAST_ID).alias("unnamed"), F.when(order_id(id_) == LAST_ID, F.xxhash64(t)).otherwise(id_).alias("ref"), t.alias("text")]
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(doc, found) for each id that has windows which a smaller id has too; ``found``
-    lists cells of places and of parts of the windows' hashes. Written."""
+    """(unnamed, ref, at, sums) for each document that has windows which a smaller id has
+    too: cells of places and of parts of the windows' hashes. Written."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = tasks * max(1, min(16, 8192 // tasks))
-    rows = docs.select(order_id(F.col(id_col)).alias("doc"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(_deal(size, buckets), "bucket int, open boolean, cell binary")
+    dealt = docs.select(*_named(docs, id_col, text)).drop("unnamed").mapInArrow(_deal(size, buckets), "bucket int, open boolean, cell binary")
     with batches_of(spark):
-        reports = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "doc long, at binary, sums binary")
-        return materialise(reports.groupBy("doc").agg(F.collect_list(F.struct("at", "sums")).alias("found")), "repeats")
+        counted = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(2 * tasks), "lane int, cell binary")
+        reports = counted.repartition(tasks, "lane").sortWithinPartitions("lane").mapInArrow(_gather, "unnamed boolean, ref long, at binary, sums binary")
+        return materialise(reports, "repeats")
 
 
 def spans_of(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -260,18 +309,17 @@ def _cut(size: int):
     text's window at its place has its hash: rows may share an id."""
 
     @F.arrow_udf(_CUT)
-    def run(text: pa.Array, found: pa.Array) -> pa.Array:
+    def run(text: pa.Array, places: pa.Array, checks: pa.Array) -> pa.Array:
         counts, spans, kept, words = [], [], [], Words()
-        for data, cells in zip(text.cast(pa.binary()), found):
-            data, cells = data.as_py() or b"", cells.as_py()
+        for data, at, sums in zip(text.cast(pa.binary()), places, checks):
+            data, at, sums = data.as_py() or b"", at.as_py(), sums.as_py()
             own = data.split()
             cut = []
-            if cells:
+            if at:
                 hashes = [k for _, k, _ in windows(data, words, size)]
                 key = (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32) if hashes else np.zeros(0, np.uint32)
-                at = np.concatenate([np.frombuffer(c["at"], np.uint32) for c in cells])
-                sums = np.concatenate([np.frombuffer(c["sums"], np.uint32) for c in cells])
-                sums, at = sums[at < len(key)], at[at < len(key)]
+                at, sums = np.frombuffer(at, np.uint32), np.frombuffer(sums, np.uint32)
+                at, sums = at[at < len(key)], sums[at < len(key)]
                 cut = spans_of(np.unique(at[key[at] == sums]).astype(np.int64), size)
             counts.append(len(own))
             spans.append([{"start": a, "end": b} for a, b in cut])
@@ -295,15 +343,16 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     row with a smaller id; windows are judged on the input. Null, empty and blank
     texts have no words, and texts of fewer than ``size`` words no window; rows of
     equal id never remove from each other, whether equal or not; a null id is larger
-    than any other; an empty table gives an empty table; other columns stay in
+    than any other, and so is 2 ** 63 - 1; an empty table gives an empty table; other columns stay in
     ``row`` whatever their names."""
-    rows = docs.select(order_id(F.col(id_col)).alias("doc"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(*_named(docs, id_col, text), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = repeated_windows(docs, id_col, text, size)
-    rows = flagged(rows, F.xxhash64("doc"), found, F.xxhash64("doc"))
-    none = F.lit(None).cast(found.schema["found"].dataType)
-    sure = rows.where(~F.col(MAY)).select("row", "text", none.alias("found"))
-    every = sure.union(rows.where(MAY).join(found, "doc", "left").select("row", "text", "found"))
-    return every.select("row", _cut(size)("text", "found").alias("cut")).select("row", "cut.n_words", "cut.spans", "cut.kept")
+    key = F.xxhash64("unnamed", "ref")
+    rows = flagged(rows, key, found, key)
+    none = F.lit(None).cast("binary")
+    sure = rows.where(~F.col(MAY)).select("row", "text", none.alias("at"), none.alias("sums"))
+    every = sure.union(rows.where(MAY).join(found, ["unnamed", "ref"], "left").select("row", "text", "at", "sums"))
+    return every.select("row", _cut(size)("text", "at", "sums").alias("cut")).select("row", "cut.n_words", "cut.spans", "cut.kept")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
