@@ -6,9 +6,11 @@ blocks, fused into one score per path by their product, and the paths over a sha
 of the weighted mean are content. Elements that never hold an article (menus,
 footers, forms and the like, by name, role or class) are left out before; a class
 that covers most of the page's text is not believed. If the page marks an article
-or main region, only its paths compete, against a lower share and without their
-neighbours, since an author's short blocks lie between long ones as an advert does.
-A word within a longer class is one more ratio: it lowers the score of its blocks.
+or main region, only its paths compete, against a lower share. There a path stands
+for itself, since an author's short blocks lie between long ones as an advert does,
+and a list, table, quotation or listing is judged as a whole with its neighbours: its
+cells are short by nature. A word within a longer class is one more ratio: it lowers
+the score of its blocks.
 """
 
 from __future__ import annotations
@@ -45,8 +47,10 @@ NAMES = frozenset(
 RADIUS = 2
 #: A path is content from this share of the text-weighted mean score on.
 SHARE = 0.25
-#: The share inside a marked region: a twentieth of the mean in both ratios.
-INSIDE = 0.0025
+#: The share inside a marked region: a quarter of the mean in both ratios.
+INSIDE = 0.0625
+#: Elements inside a marked region that are judged as a whole.
+WHOLE = frozenset("ul ol dl table pre blockquote figure".split())
 #: What a word within a longer class leaves of a score.
 DOUBT = 0.2
 #: Paths with more of their text in links are not content.
@@ -94,24 +98,25 @@ def _excluded(tag: str, attrs: str, inside: bool) -> int:
 class Block:
     """A block of text: number and last tag of its path, characters in links, whether
     it lies in a marked region, whether a word within a class speaks against it, and
-    the number of the outermost element that a class or id excludes, or 0."""
+    the numbers of the outermost element that a class or id excludes and of the
+    outermost one that is judged as a whole, or 0."""
 
-    __slots__ = ("path", "tag", "text", "links", "region", "doubtful", "named")
+    __slots__ = ("path", "tag", "text", "links", "region", "doubtful", "named", "whole")
 
-    def __init__(self, path: int, tag: str, text: str, links: int, region: bool, doubtful: bool, named: int):
-        self.path, self.tag, self.text, self.links, self.region, self.doubtful, self.named = path, tag, text, links, region, doubtful, named
+    def __init__(self, path: int, tag: str, text: str, links: int, region: bool, doubtful: bool, named: int, whole: int):
+        self.path, self.tag, self.text, self.links, self.region, self.doubtful, self.named, self.whole = path, tag, text, links, region, doubtful, named, whole
 
 
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "state", "region", "path", "named")
+    __slots__ = ("tag", "state", "region", "path", "named", "whole")
 
-    def __init__(self, tag: str, state: int, region: bool, path: int, named: int):
-        self.tag, self.state, self.region, self.path, self.named = tag, state, region, path, named
+    def __init__(self, tag: str, state: int, region: bool, path: int, named: int, whole: int):
+        self.tag, self.state, self.region, self.path, self.named, self.whole = tag, state, region, path, named, whole
 
 
-_ROOT = _Open("", 0, False, 0, 0)
+_ROOT = _Open("", 0, False, 0, 0, 0)
 _ENDS_P = frozenset(("p", "div", "td", "li", "article", "section", "body"))
 
 
@@ -153,7 +158,7 @@ def blocks(page: str) -> list[Block]:
     numbers: dict[tuple[int, str], int] = {}
     out: list[Block] = []
     text: list[str] = []
-    links, named_elements = 0, 0
+    links, named_elements, wholes = 0, 0, 0
     leaf = _ROOT
 
     def flush() -> None:
@@ -162,7 +167,7 @@ def blocks(page: str) -> list[Block]:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
                 block = next((e for e in reversed(stack) if e.tag in BLOCKS), _ROOT)
-                out.append(Block(leaf.path, block.tag, joined, links, leaf.region, leaf.state == 1, leaf.named))
+                out.append(Block(leaf.path, block.tag, joined, links, leaf.region, leaf.state == 1, leaf.named, leaf.whole))
             text.clear()
         links = 0
 
@@ -228,7 +233,11 @@ def blocks(page: str) -> list[Block]:
                     named_elements += 1
                     named = named_elements
                 path = numbers.setdefault((above.path, tag), len(numbers) + 1) if tag in BLOCKS else above.path
-                stack.append(_Open(tag, state, region, path, named))
+                whole = above.whole
+                if tag in WHOLE and above.region and not whole:
+                    wholes += 1
+                    whole = wholes
+                stack.append(_Open(tag, state, region, path, named, whole))
                 open_of[tag] = open_of.get(tag, 0) + 1
         found = next(tags, None) if jump is None else (tags.send(jump), next(tags, None))[1]
     data(page[at:])
@@ -282,6 +291,30 @@ def path_scores(found: list[Block], marked: bool) -> dict[int, float]:
     return score
 
 
+def wholes_kept(found: list[Block], mean: float) -> set[int]:
+    """The numbers of the elements judged as a whole that are content: their length and
+    punctuation, smoothed with those of the paths and elements beside them, reach the
+    share, and most of their text is in no link."""
+    units: list[list[Block]] = []
+    for b in found:
+        if b.whole and units and units[-1][0].whole == b.whole:
+            units[-1].append(b)
+        else:
+            units.append([b])
+    size: dict[int, list[int]] = {}
+    for b in found:
+        if not b.whole:
+            n = size.setdefault(b.path, [0, 0, 0])
+            n[0], n[1], n[2] = n[0] + 1, n[1] + len(b.text), n[2] + len(_PUNCT.findall(b.text))
+    own = [[size[u[0].path][k] / size[u[0].path][0] if not u[0].whole else sum(len(b.text) if k == 1 else len(_PUNCT.findall(b.text)) for b in u) for u in units] for k in (1, 2)]
+    kept = set()
+    for u, x, y in zip(units, *map(_smooth, own)):
+        doubt = DOUBT if any(b.doubtful for b in u) else 1
+        if u[0].whole and x * (1 + y) * doubt >= INSIDE * mean and sum(min(b.links, len(b.text)) for b in u) <= LINKS * _chars(u):
+            kept.add(u[0].whole)
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The main text: content blocks joined by newlines; empty for null, empty
     or text-less pages. Headings inside a marked region stand with it, whatever
@@ -289,17 +322,23 @@ def main_text(page: str | None) -> str:
     found, marked = candidates(blocks(page or ""))
     if not found:
         return ""
-    score = path_scores(found, marked)
+    plain = [b for b in found if not (marked and b.whole)]
+    if not plain:  # nothing but lists or tables: their paths compete
+        for b in found:
+            b.whole = 0
+        plain = found
+    score = path_scores(plain, marked)
     size: dict[int, int] = {}
     links: dict[int, int] = {}
-    for b in found:
+    for b in plain:
         size[b.path] = size.get(b.path, 0) + len(b.text)
         links[b.path] = links.get(b.path, 0) + min(b.links, len(b.text))
     mean = sum(score[k] * n for k, n in size.items()) / sum(size.values())
     share = INSIDE if marked else SHARE
     content = {k for k, n in size.items() if score[k] >= share * mean and links[k] <= LINKS * n}
+    kept = wholes_kept(found, mean) if len(plain) < len(found) else set()
     own = lambda b: marked and b.tag in HEADINGS and not b.doubtful and 2 * b.links <= len(b.text)
-    return "\n".join(b.text for b in found if b.path in content or own(b))
+    return "\n".join(b.text for b in found if (b.whole in kept if marked and b.whole else b.path in content) or own(b))
 
 
 def extract_text(page: Column) -> Column:
