@@ -14,13 +14,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.llm.storage import packed, unpacked
+
 BITS_A_KEY = 32
 MOST_BITS = 1 << 26
 #: Bits of one binary value; fixed by Spark's bitmap functions.
 _CELL = 1 << 15
 #: Stands for a null id where ids are joined.
 NO_ID = -(2**63)
-_HASH, _BITS, _AT, _MARK, MAY = "__key_hash", "__key_bits", "__key_cell", "__key_text", "__key_may"
+_BITS, _AT, MAY = "__key_bits", "__key_cell", "__key_may"
 
 
 def key_hash(id_: Column, mark: Column) -> Column:
@@ -43,7 +45,8 @@ def bitmap(keys: DataFrame, hash_: Column) -> tuple[DataFrame, int]:
 
 
 def flagged(rows: DataFrame, hash_: Column, keys: DataFrame, key: Column) -> DataFrame:
-    """``rows`` with a boolean column ``__key_may``: false where no key has the row's hash."""
+    """``rows`` with a boolean column ``__key_may``: false where no key has the row's hash.
+    Columns of ``rows`` must not begin with ``__key_``."""
     cells, size = bitmap(keys, key)
     place = F.pmod(hash_, F.lit(size)) + 1
     at = F.bitmap_bit_position(place)
@@ -56,39 +59,39 @@ def flagged(rows: DataFrame, hash_: Column, keys: DataFrame, key: Column) -> Dat
 
 def split(docs: DataFrame, keys: DataFrame, id_col: str, mark: Column) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` that have no key in ``keys`` (doc_id, mark) for certain, and
-    the others, each with hash and mark."""
-    rows = docs.withColumn(_MARK, mark)
-    rows = rows.withColumn(_HASH, key_hash(F.col(id_col), F.col(_MARK)))
-    rows = flagged(rows, F.col(_HASH), keys, key_hash(F.col("doc_id"), F.col("mark")))
+    the others: (row, id, mark, hash), with the row as a struct."""
+    rows = packed(docs, F.col(id_col).alias("id"), mark.alias("mark"))
+    rows = rows.withColumn("hash", key_hash(F.col("id"), F.col("mark")))
+    rows = flagged(rows, F.col("hash"), keys, key_hash(F.col("doc_id"), F.col("mark")))
     return rows.where(~F.col(MAY)).drop(MAY), rows.where(MAY).drop(MAY)
 
 
-def _same(rows: DataFrame, keys: DataFrame, id_col: str) -> Column:
-    return (rows[_HASH] == keys["__key_h"]) & rows[id_col].eqNullSafe(keys["__key_id"]) & (rows[_MARK] == keys["__key_mark"])
+def _same(rows: DataFrame, keys: DataFrame) -> Column:
+    return (rows["hash"] == keys["key_hash"]) & rows["id"].eqNullSafe(keys["key_id"]) & (rows["mark"] == keys["key_mark"])
 
 
-def _named(keys: DataFrame, *more: str) -> DataFrame:
-    h = key_hash(F.col("doc_id"), F.col("mark")).alias("__key_h")
-    return keys.select(h, F.col("doc_id").alias("__key_id"), F.col("mark").alias("__key_mark"), *more)
+def _named(keys: DataFrame, *more: Column) -> DataFrame:
+    h = key_hash(F.col("doc_id"), F.col("mark")).alias("key_hash")
+    return keys.select(h, F.col("doc_id").alias("key_id"), F.col("mark").alias("key_mark"), *more)
 
 
 def without(docs: DataFrame, keys: DataFrame, id_col: str, mark: Column) -> DataFrame:
     """Rows of ``docs`` that no row of ``keys`` (doc_id, mark) names; ``mark`` is the
     mark of a row of ``docs``."""
     (sure, open_), named = split(docs, keys, id_col, mark), _named(keys)
-    return sure.union(open_.join(named, _same(open_, named, id_col), "left_anti")).drop(_HASH, _MARK)
+    rows = sure.select("row").union(open_.join(named, _same(open_, named), "left_anti").select("row"))
+    return rows.select(*unpacked(docs.columns))
 
 
 def only(docs: DataFrame, keys: DataFrame, id_col: str, mark: Column) -> DataFrame:
     """Rows of ``docs`` that some row of ``keys`` (doc_id, mark) names."""
     open_, named = split(docs, keys, id_col, mark)[1], _named(keys)
-    return open_.join(named, _same(open_, named, id_col), "left_semi").drop(_HASH, _MARK)
+    return open_.join(named, _same(open_, named), "left_semi").select(*unpacked(docs.columns))
 
 
 def with_verdict(docs: DataFrame, verdicts: DataFrame, column: str, kind: str, id_col: str, mark: Column) -> DataFrame:
-    """``docs`` with ``column`` of ``verdicts`` (doc_id, mark, column; a row for each
-    key at most) behind its own columns, null where there is none. A column of that
-    name must not be among those of ``docs``."""
-    (sure, open_), named = split(docs, verdicts, id_col, mark), _named(verdicts, column)
-    got = open_.join(named, _same(open_, named, id_col), "left").drop("__key_h", "__key_id", "__key_mark")
-    return sure.withColumn(column, F.lit(None).cast(kind)).union(got.select(*[got[c] for c in docs.columns], got[_MARK], got[_HASH], got[column])).drop(_HASH, _MARK)
+    """(row, verdict): the rows of ``docs`` with ``column`` of ``verdicts`` (doc_id, mark,
+    column; a row for each key at most), null where there is none."""
+    (sure, open_), named = split(docs, verdicts, id_col, mark), _named(verdicts, F.col(column).alias("verdict"))
+    got = open_.join(named, _same(open_, named), "left").select("row", "verdict")
+    return sure.select("row", F.lit(None).cast(kind).alias("verdict")).union(got)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.llm.keys import without
-from studyloom.llm.storage import materialise, with_columns
+from studyloom.llm.storage import materialise, packed, unpacked
 from studyloom.llm.text_stats import add_stats, text_stats
 
 ACCURACY = 0.02
@@ -95,14 +95,15 @@ def apply_rules(docs: DataFrame, limits: DataFrame) -> DataFrame:
     their threshold) and kept. Thresholds join on lang and source; they are few
     rows, and Spark broadcasts them if they are small enough, else it shuffles
     and splits skewed groups."""
-    lim = limits.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[c for c in limits.columns if c.endswith("_max")])
-    lim = lim.select(*[F.col(c).alias(f"_{c.strip('_')}") for c in lim.columns])
-    joined = docs.join(lim, docs["lang"].eqNullSafe(lim["_l"]) & docs["source"].eqNullSafe(lim["_s"]), "left")
+    lim = limits.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[c for c in limits.columns if c.endswith("_max")])
+    rows = packed(docs, "lang", "source", "stats")
+    joined = rows.join(lim, rows["lang"].eqNullSafe(lim["of_lang"]) & rows["source"].eqNullSafe(lim["of_source"]), "left")
     s = F.col("stats")
     base = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 100 * MAX_REPEAT * s["n_words"])
-    over = [F.when(v > F.col(f"_{k}_max"), F.lit(k)) for k, v in measures().items()]
+    over = [F.when(v > F.col(f"{k}_max"), F.lit(k)) for k, v in measures().items()]
     failed = F.array_compact(F.array(*over))
-    return with_columns(joined, {"base_failed": base, "failed": failed, "kept": ~base & (F.size(failed) == 0)}).drop(*lim.columns)
+    own = unpacked(docs.columns, "base_failed", "failed", "kept")
+    return joined.select(*own, base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.llm.keys import mark_of, with_verdict
-from studyloom.llm.storage import materialise, with_columns
+from studyloom.llm.storage import materialise, unpacked
 
 # The patterns; letters of the keywords stand for either case.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -128,10 +128,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ow
     of ``docs`` named ``spans`` is replaced. Candidates and verdicts are written to
     the shared folder; only texts with candidates are dealt out."""
     found = materialise(scan(docs, id_col, text, owner, repository), "secrets")
-    verdicts = materialise(judged(found).withColumnRenamed("spans", "__spans"), "spans")
+    verdicts = materialise(judged(found), "spans")
     kind = "array<struct<start:int,end:int,kind:int,live:boolean>>"
-    joined = with_verdict(docs, verdicts, "__spans", kind, id_col, mark_of(F.col(text)))
-    return with_columns(joined, {"spans": F.coalesce("__spans", F.array().cast(kind))}).drop("__spans")
+    joined = with_verdict(docs, verdicts, "spans", kind, id_col, mark_of(F.col(text)))
+    return joined.select(*unpacked(docs.columns, "spans"), F.coalesce("verdict", F.array().cast(kind)).alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from studyloom.llm.components import components
 from studyloom.llm.keys import NO_ID, mark_of, only, without
 from studyloom.llm.memory import trim
-from studyloom.llm.storage import materialise
+from studyloom.llm.storage import materialise, packed, unpacked
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -277,8 +277,8 @@ def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text:
     again = judged.where("wins and n > 1").select("doc_id", "mark")
     if not again.take(1):
         return kept
-    single = only(docs, again, id_col, mark).withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
-    return without(kept, again, id_col, mark).union(single)
+    single = packed(only(docs, again, id_col, mark), F.col(id_col).alias("id"), mark.alias("mark")).dropDuplicates(["id", "mark"])
+    return without(kept, again, id_col, mark).union(single.select(*unpacked(docs.columns)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

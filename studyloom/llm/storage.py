@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -71,3 +72,14 @@ def with_columns(df: DataFrame, made: dict) -> DataFrame:
     with those names, in any case, give way."""
     taken = {k.lower() for k in made}
     return df.select(*[df[c] for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in made.items()])
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """The rows of ``df`` as one struct ``row``, beside ``more``: names that an operator
+    gives to its own columns can't meet those of ``df``."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+
+
+def unpacked(columns: list[str], *but: str) -> list[Column]:
+    """The columns of ``row``, without those named in ``but``, in any case."""
+    return [F.col("row").getField(c).alias(c) for c in columns if c.lower() not in but]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studyloom.llm.pieces import MARK, split_words
-from studyloom.llm.storage import with_columns
+from studyloom.llm.storage import packed, unpacked
 
 #: Distinct words whose counts a worker keeps before it starts anew.
 CACHE_WORDS = 600_000
@@ -104,5 +104,5 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
         got = [x for a in range(0, len(texts), 1000) for x in _COUNTERS[model_file].count(texts[a : a + 1000])]
         return pa.StructArray.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], ["n_words", "n_tokens"])
 
-    counted = docs.withColumn("_counts", run(F.col(text)))
-    return with_columns(counted, {"n_words": F.col("_counts.n_words"), "n_tokens": F.col("_counts.n_tokens")}).drop("_counts")
+    counted = packed(docs, run(F.col(text)).alias("counts"))
+    return counted.select(*unpacked(docs.columns, "n_words", "n_tokens"), "counts.n_words", "counts.n_tokens")
