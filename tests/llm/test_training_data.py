@@ -657,7 +657,7 @@ def test_registered_queries_answer(spark):
     from studyloom.llm.queries import oracle_sql, queries
 
     made = queries()
-    assert {re.match(r"op(\d+)_", k).group(1) for k in made if k != "pipeline"} == {str(k) for k in range(1, 11)} and "pipeline" in made
+    assert {re.match(r"op(\d+)_", k).group(1) for k in made if k != "pipeline"} == {str(k) for k in range(1, 14)} and "pipeline" in made
     assert set(oracle_sql()) <= set(made)
     row = made["op6_pieces"](spark, "/root/testdata/sf0.001").first()
     assert len(row["ids_sha256"]) == len(hashlib.sha256(b"").hexdigest())
