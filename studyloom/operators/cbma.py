@@ -12,9 +12,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studyloom.functions.coords import to_mni
 from studyloom.session import checkpoints
 
 #: Least corner of the grid in mm, and its size.
@@ -46,18 +47,17 @@ def _inside(df: DataFrame, step: int) -> DataFrame:
     return df.where(test)
 
 
-def kernel(spark: SparkSession, step: int, radius: float = RADIUS) -> DataFrame:
+def kernel(step: int, radius: float = RADIUS) -> list[tuple[int, int, int, float]]:
     """(di, dj, dk, d2) of a ball; d2 is the squared distance in mm."""
     n = int(radius // step)
     span = range(-n, n + 1)
-    rows = [(a, b, c, float((a * a + b * b + c * c) * step * step)) for a in span for b in span for c in span if (a * a + b * b + c * c) * step * step <= radius * radius]
-    return spark.createDataFrame(rows, "di int, dj int, dk int, d2 double")
+    return [(a, b, c, float((a * a + b * b + c * c) * step * step)) for a in span for b in span for c in span if (a * a + b * b + c * c) * step * step <= radius * radius]
 
 
 def spread(cells: DataFrame, step: int, radius: float = RADIUS) -> DataFrame:
     """Cells at every offset of the kernel (515 rows at most on a 2 mm grid, so it
     is carried as an array literal and no row is shuffled for it)."""
-    rows = [(r["di"], r["dj"], r["dk"], r["d2"]) for r in kernel(cells.sparkSession, step, radius).collect()]
+    rows = kernel(step, radius)
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(d).alias("d2")) for a, b, c, d in rows])
     moved = cells.withColumn("_o", F.explode(offsets))
     kept = [c for c in cells.columns if c not in "ijk"]
@@ -113,21 +113,43 @@ def ale(foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
 
 ESTIMATORS = {"mkdadensity": mkda, "kda": kda, "ale": ale}
 # Options of the interface, and what they are called here; None is accepted
-# and changes nothing.
-OPTIONS = {"kernel__r": "radius", "kernel__fwhm": "fwhm", "r": "radius", "n_cores": None, "null_method": None, "memory": None, "memory_level": None}
+# and changes nothing (n_iters is the corrector's).
+OPTIONS = {"kernel__r": "radius", "kernel__fwhm": "fwhm", "r": "radius", "fwhm": "fwhm", "radius": "radius", "n_iters": None, "n_cores": None, "null_method": None, "memory": None, "memory_level": None, "generate_description": None}
+CORRECTOR_OPTIONS = {"n_iters": "n_iters", "seed": "seed", "vfwe_only": "vfwe_only", "voxel_thresh": "voxel_p", "voxel_p": "voxel_p", "alpha": None, "method": None, "n_cores": None}
+#: Options that each estimator has.
+TAKES = {"mkdadensity": ("radius",), "kda": ("radius",), "ale": ("fwhm",)}
 
 
-def options(given: dict) -> dict:
-    """Options under the names that the functions here have."""
-    named = {OPTIONS.get(k, k): v for k, v in given.items()}
+def options(name: str, given: dict) -> dict:
+    """Options of an estimator under the names that the functions here have; an option
+    that it doesn't have is an error that names it."""
+    if name not in ESTIMATORS:
+        raise ValueError(f"unknown estimator: {name}")
+    named = {}
+    for k, v in given.items():
+        if k not in OPTIONS or OPTIONS[k] not in (None, *TAKES[name]):
+            raise TypeError(f"{name} has no option {k}")
+        named[OPTIONS[k]] = v
     named.pop(None, None)
     return named
 
 
+def corrector_options(name: str, given: dict) -> dict:
+    """Options of a corrector; those of an estimator are passed over."""
+    if name not in CORRECTORS:
+        raise ValueError(f"unknown corrector: {name}")
+    named = {}
+    for k, v in given.items():
+        if k not in CORRECTOR_OPTIONS and k not in OPTIONS:
+            raise TypeError(f"{name} has no option {k}")
+        named[CORRECTOR_OPTIONS.get(k)] = v
+    named.pop(None, None)
+    return named if name == "montecarlo" else {}
+
+
 def estimate(name: str, foci: DataFrame, **given) -> DataFrame:
-    if name not in ESTIMATORS:
-        raise ValueError(f"unknown estimator: {name}")
-    return ESTIMATORS[name](foci, **options(given))
+    step = {k: given.pop(k) for k in ("step",) if k in given}
+    return ESTIMATORS[name](foci, **step, **options(name, given)) if name in ESTIMATORS else options(name, given)
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -224,7 +246,7 @@ P_VALUES = {"mkdadensity": mkda_p, "kda": kda_p, "ale": ale_p}
 
 def p_values(name: str, stats: DataFrame, foci: DataFrame, step: int = 4, **given) -> DataFrame:
     """``stats`` of the estimator with ``p`` of its own null distribution."""
-    return P_VALUES[name](stats, foci, step, **options(given))
+    return P_VALUES[name](stats, foci, step, **options(name, given))
 
 
 def fdr(tests: DataFrame, p: str = "p", by: tuple[str, ...] = ("column",), n: int | None = None) -> DataFrame:
@@ -250,10 +272,10 @@ def bonferroni(tests: DataFrame, p: str = "p", by: tuple[str, ...] = ("column",)
     return tests.join(counts, list(by)).withColumn("q", F.least(F.lit(1.0), F.col(p) * F.col("_n"))).drop("_n")
 
 
-def largest(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random.Generator, radius: float = RADIUS, fwhm: float = FWHM) -> float:
-    """The largest statistic on the grid after foci are drawn at random for units of
-    ``sizes`` (foci of a unit, units). Units are spread some at a time onto one grid,
-    so memory does not grow with them."""
+def drawn_map(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random.Generator, radius: float = RADIUS, fwhm: float = FWHM) -> np.ndarray:
+    """The statistic on the grid after foci are drawn at random for units of ``sizes``
+    (foci of a unit, units). Units are spread some at a time onto one grid, so memory
+    does not grow with them."""
     shape = np.array([e // step + 1 for e in EXTENT])
     sigma2, top, reach = gaussian(step, fwhm)
     r = reach if name == "ale" else radius
@@ -283,49 +305,124 @@ def largest(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random.G
             lead = np.r_[True, key[1:] != key[:-1]]
             value = np.minimum(0.999999, top * np.exp(-near[lead] / (2 * sigma2)))
             grid -= np.bincount(key[lead] % cells, np.log1p(-value), cells)
-    return float(1 - math.exp(-grid.max()) if name == "ale" else grid.max())
+    return (1 - np.exp(-grid) if name == "ale" else grid).reshape(shape)
+
+
+def largest(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random.Generator, **given) -> float:
+    """The largest statistic of a draw."""
+    return float(drawn_map(name, sizes, step, rng, **given).max())
+
+
+def largest_clusters(grid: np.ndarray, level: float) -> tuple[int, float]:
+    """Most voxels and largest mass, the sum of what exceeds ``level``, of the
+    face-connected sets of voxels at or above it; zeros if there are none.
+
+    Voxels in a row are one run; runs that touch are united."""
+    above = grid >= level
+    if not above.any():
+        return 0, 0.0
+    edge = np.diff(above.astype(np.int8), axis=2, prepend=0)
+    run = np.zeros(grid.shape, np.int64)
+    run[above] = np.cumsum(edge[above] == 1) - 1
+    n = int(run[above].max()) + 1
+    pairs = [np.stack((run[a][both], run[b][both]), 1) for a, b in ((np.s_[:-1], np.s_[1:]), (np.s_[:, :-1], np.s_[:, 1:])) for both in (above[a] & above[b],)]
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in np.unique(np.concatenate(pairs), axis=0).tolist():
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    of = np.array([root(x) for x in range(n)])[run[above]]
+    return int(np.bincount(of).max()), float(np.bincount(of, grid[above] - level).max())
 
 
-def montecarlo(foci: DataFrame, stats: DataFrame, estimator: str = "mkdadensity", n_iters: int = 1000, step: int = 4, seed: int = 0, **given) -> DataFrame:
-    """Adds ``q``: the share of iterations, this one counted, whose largest statistic
-    reaches the observed one.
 
-    Places are drawn at random, so an iteration depends on nothing but how many units
-    have how many foci: that table, of one row for each number, is what the tasks
-    get. Each draws with a seed of its own column and iteration, so a task that runs
-    again draws the same places."""
-    named = options(given)
+
+def _draws(foci: DataFrame, estimator: str, n_iters: int, step: int) -> DataFrame:
+    """(column, sizes, it): a row for each column and iteration. Places are drawn at
+    random, so an iteration depends on nothing but how many units have how many foci:
+    that table, of one row for each number, is what the tasks get."""
     cells = on_grid(foci, step).select("column", "unit", "i", "j", "k")
     per_unit = (cells if estimator == "kda" else cells.distinct()).groupBy("column", "unit").agg(F.count("*").alias("n"))
     sizes = per_unit.groupBy("column", "n").agg(F.count("*").alias("units")).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("n", "units"))).alias("sizes"))
     tasks = int(foci.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = sizes.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(n_iters)))).repartition(tasks, "column", "it")
+    return sizes.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(n_iters)))).repartition(tasks, "column", "it")
+
+
+def _generator(seed: int, column, it: int) -> np.random.Generator:
+    """Draws of a column and iteration, so a task that runs again draws the same places."""
+    return np.random.default_rng([seed, zlib.crc32(str(column).encode()), int(it)])
+
+
+def _pairs(sizes) -> list[tuple[int, int]]:
+    return [(int(s["n"]), int(s["units"])) for s in sizes]
+
+
+def montecarlo(foci: DataFrame, stats: DataFrame, estimator: str = "mkdadensity", n_iters: int = 1000, step: int = 4, seed: int = 0, **given) -> DataFrame:
+    """Adds ``q``: the share of iterations, this one counted, whose largest statistic
+    reaches the observed one."""
+    named = options(estimator, given)
 
     def run(batches):
         for rows in batches:
-            tops = [largest(estimator, [(int(s["n"]), int(s["units"])) for s in sizes], step, np.random.default_rng([seed, zlib.crc32(str(column).encode()), int(it)]), **named) for column, sizes, it in zip(rows["column"], rows["sizes"], rows["it"])]
+            tops = [largest(estimator, _pairs(sizes), step, _generator(seed, column, it), **named) for column, sizes, it in zip(rows["column"], rows["sizes"], rows["it"])]
             yield pd.DataFrame({"column": rows["column"], "top": tops})
 
     kind = dict(stats.dtypes)["column"]
-    tops = drawn.mapInPandas(run, f"column {kind}, top double").groupBy("column").agg(F.collect_list("top").alias("tops"))
+    tops = _draws(foci, estimator, n_iters, step).mapInPandas(run, f"column {kind}, top double").groupBy("column").agg(F.collect_list("top").alias("tops"))
     at_least = F.size(F.filter("tops", lambda t: t >= F.col("stat")))
     return stats.join(tops, "column").withColumn("q", (1 + at_least) / (1 + F.size("tops"))).drop("tops")
 
 
+def montecarlo_clusters(foci: DataFrame, tests: DataFrame, estimator: str = "mkdadensity", n_iters: int = 1000, step: int = 4, seed: int = 0, voxel_p: float = 0.001, **given) -> DataFrame:
+    """(column, cluster, size, mass, q_size, q_mass) of the clusters of voxels whose ``p``
+    in ``tests`` is below ``voxel_p``. ``mass`` sums what their statistics exceed the
+    least of them by; the q are shares of iterations, this one counted, with a cluster
+    as large. A column without such voxels has no rows."""
+    named = options(estimator, given)
+    above = tests.where(F.col("p") < voxel_p)
+    levels = above.groupBy("column").agg(F.min("stat").cast("double").alias("level"))  # a row a column
+
+    def run(batches):
+        for rows in batches:
+            tops = [largest_clusters(drawn_map(estimator, _pairs(sizes), step, _generator(seed, column, it), **named), level) for column, sizes, it, level in zip(rows["column"], rows["sizes"], rows["it"], rows["level"])]
+            yield pd.DataFrame({"column": rows["column"], "size": [t[0] for t in tops], "mass": [t[1] for t in tops]})
+
+    kind = dict(tests.dtypes)["column"]
+    drawn = _draws(foci, estimator, n_iters, step).join(levels, "column").mapInPandas(run, f"column {kind}, size long, mass double")
+    null = drawn.groupBy("column").agg(F.collect_list("size").alias("sizes"), F.collect_list("mass").alias("masses"))
+    named_voxels = above.join(clusters(above), ["column", "voxel"]).join(levels, "column")
+    found = named_voxels.groupBy("column", "cluster").agg(F.count("*").alias("size"), F.sum(F.col("stat") - F.col("level")).alias("mass"))
+    share = lambda all_, own: (1 + F.size(F.filter(all_, lambda t: t >= F.col(own)))) / (1 + F.size(all_))
+    return found.join(null, "column").select("column", "cluster", "size", "mass", share("sizes", "size").alias("q_size"), share("masses", "mass").alias("q_mass"))
+
+
 CORRECTORS = ("fdr", "montecarlo", "bonferroni")
 
 
 def correct(name: str, foci: DataFrame, stats: DataFrame, step: int = 4, estimator: str = "mkdadensity", estimator_args: dict | None = None, **given) -> DataFrame:
     """Statistics with corrected ``q``. fdr and bonferroni need ``p`` in ``stats`` and
-    count every voxel of the grid as a test; montecarlo draws with the estimator."""
+    count every voxel of the grid as a test; montecarlo draws with the estimator, and
+    with ``vfwe_only=False`` adds ``q_size`` and ``q_mass`` of each voxel's cluster,
+    null outside of clusters."""
     if name == "fdr":
         return fdr(stats, n=grid_size(step))
     if name == "bonferroni":
         return bonferroni(stats, n=grid_size(step))
-    if name == "montecarlo":
-        known = {k: v for k, v in options(given).items() if k in ("n_iters", "seed")}
-        return montecarlo(foci, stats, estimator, step=step, **known, **(estimator_args or {}))
-    raise ValueError(f"unknown corrector: {name}")
+    known, own = corrector_options(name, given), estimator_args or {}
+    draw = {k: v for k, v in known.items() if k in ("n_iters", "seed")}
+    done = montecarlo(foci, stats, estimator, step=step, **draw, **own)
+    if known.get("vfwe_only", True):
+        return done
+    tests = stats if "p" in stats.columns else p_values(estimator, stats, foci, step, **own)
+    level = {k: v for k, v in known.items() if k == "voxel_p"}
+    found = montecarlo_clusters(foci, tests, estimator, step=step, **draw, **level, **own)
+    of = clusters(tests.where(F.col("p") < level.get("voxel_p", 0.001))).join(found, ["column", "cluster"]).select("column", "voxel", "q_size", "q_mass")
+    return done.join(of, ["column", "voxel"], "left")
 
 
 def clusters(voxels: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -368,7 +465,10 @@ def skipped(points: DataFrame, notes: DataFrame) -> DataFrame:
 
 def slice_foci(points: DataFrame, notes: DataFrame, include_ids: DataFrame | None = None) -> DataFrame:
     """Foci of every column: points (analysis_id, study_id, x, y, z) of the analyses
-    whose note (column, analysis_id, value) is true and whose study is listed."""
+    whose note (column, analysis_id, value) is true and whose study is listed. If points
+    have a ``space``, Talairach ones are moved to MNI space."""
     wanted = notes.where("value and analysis_id <> ''").select("column", "analysis_id").distinct()
     rows = points if include_ids is None else points.join(include_ids.select(F.col("id").alias("study_id")).distinct(), "study_id", "left_semi")
-    return rows.join(wanted, "analysis_id").select("column", F.col("analysis_id").alias("unit"), "study_id", "x", "y", "z")
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    at = to_mni(x, y, z, F.col("space")) if "space" in points.columns else [x, y, z]
+    return rows.join(wanted, "analysis_id").select("column", F.col("analysis_id").alias("unit"), "study_id", *[v.alias(c) for c, v in zip("xyz", at)])

@@ -617,6 +617,31 @@ def montecarlo_fwe(spark, sf_dir):
     return cbma.montecarlo(foci, cbma.mkda(foci, STEP, R), step=STEP)
 
 
+@query()
+def montecarlo_clusters(spark, sf_dir):
+    foci = _foci(spark, sf_dir)
+    tests = cbma.mkda_p(cbma.mkda(foci, STEP, R), foci, STEP, R)
+    return cbma.montecarlo_clusters(foci, tests, step=STEP)
+
+
+def _spaces_sql() -> str:
+    moved = ", ".join(f"round(CASE WHEN space = 'TAL' THEN {a!r} * x + {b!r} * y + {c!r} * z + {d!r} ELSE {n} END, 6) AS {n}" for n, (a, b, c, d) in zip("xyz", coords.mni_from_tal()))
+    points = "SELECT user_id || '_analysis_' || (event_id % 3) AS analysis_id, CAST(user_id AS VARCHAR) AS study_id, value - 50 AS x, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50 AS y, CAST(event_id % 91 - 45 AS DOUBLE) AS z, CASE event_id % 4 WHEN 0 THEN 'MNI' WHEN 1 THEN NULL ELSE 'TAL' END AS space FROM events"
+    return f'SELECT annotation_name AS "column", analysis_id AS unit, study_id, {moved} FROM (SELECT DISTINCT annotation_name, analysis_id FROM v_ann WHERE include) n JOIN ({points}) p USING (analysis_id)'
+
+
+@query(_spaces_sql(), "v_ann")
+def foci_of_spaces(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    analysis = F.concat(F.col("user_id").cast("string"), F.lit("_analysis_"), (F.col("event_id") % 3).cast("string"))
+    space = F.expr("CASE event_id % 4 WHEN 0 THEN 'MNI' WHEN 1 THEN NULL ELSE 'TAL' END")
+    y = F.get_json_object("props", "$.k").try_cast("double") - 50
+    points = e.select(analysis.alias("analysis_id"), F.col("user_id").cast("string").alias("study_id"), (F.col("value") - 50).alias("x"), y.alias("y"), (F.col("event_id") % 91 - 45).cast("double").alias("z"), space.alias("space"))
+    notes = views.annotations(spark, sf_dir).select(F.col("annotation_name").alias("column"), "analysis_id", F.col("include").alias("value"))
+    foci = cbma.slice_foci(points, notes)
+    return foci.select("column", "unit", "study_id", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
 @query()
 def focus_counter(spark, sf_dir):
     foci = _foci(spark, sf_dir)
@@ -671,7 +696,7 @@ def single_decisions(spark, sf_dir):
     return annotation.parse_payload(annotation.single_payloads(rows, ["click"])).select("study_id", "analysis_id", "annotation_name", "include", "error")
 
 
-@query()
+@query("SELECT CAST(page_id AS VARCHAR) AS pmid, 't' || page_id AS table_id, unnest(['first', 'second']) AS name, CAST(1 AS INTEGER) AS n_points, true AS parsed FROM pages")
 def model_tables_udtf(spark, sf_dir):
     """Tables to analyses by a rule client, one table to many analyses."""
     from studyloom.operators.models import RuleClient, parse_tables

@@ -26,6 +26,9 @@ def _replace(df: DataFrame, source, place) -> None:
     how[0] = rename.OVERWRITE
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
     context.rename(source, place, how)
+    # exports may be edited by hand, which a local checksum would not bear
+    checksum = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}.crc")
+    place.getFileSystem(conf).delete(checksum, False)
 
 
 def document(df: DataFrame, path: str) -> None:
@@ -108,14 +111,3 @@ def recover(spark, path: str) -> bool:
     if not fs.exists(place) and fs.exists(old):
         fs.rename(old, place)
     return fs.exists(place)
-
-
-def by_column(stats: DataFrame, path: str, skip_existing: bool = True) -> DataFrame:
-    """Meta-analysis statistics in one folder for each column; columns that are
-    there already are left alone. Returns what was written."""
-    if skip_existing:
-        sc, place, fs = _fs(stats, path)
-        done = [s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(place) if "=" in s.getPath().getName()] if fs.exists(place) else []
-        stats = stats.where(~F.col("column").isin(done)) if done else stats
-    stats.write.mode("append").partitionBy("column").parquet(path)
-    return stats
