@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from studyloom import schemas
 from studyloom.functions import text as tx
-from studyloom.functions.html import paragraphs
+from studyloom.functions.readable import readable
 
 # What the table reader takes for a missing cell.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -112,15 +112,19 @@ def raw_tables(tables: DataFrame, bodies: DataFrame) -> DataFrame:
     return tables.withColumn("raw_table", F.coalesce(have, "_table_raw_path", "_table_data_path")).drop("_table_raw_path", "_table_data_path")
 
 
+def plain(path: Column, body: Column) -> Column:
+    """Text of a file: that of its article if it is HTML by its name, else as it is."""
+    return F.when(F.lower(tx.suffix(path)).isin(".html", ".htm"), readable(body)).otherwise(body)
+
+
 def fulltexts(studies: DataFrame, bodies: DataFrame, text_csv: DataFrame | None = None) -> DataFrame:
     """(pmid, body): the study's own file (HTML is turned into text), else its row of
     text.csv by pmcid."""
     own = studies.join(bodies.withColumnRenamed("path", "full_text_path"), "full_text_path", "left")
-    kind = F.lower(tx.suffix(F.col("full_text_path")))
-    body = F.when(kind.isin(".html", ".htm"), paragraphs(F.col("body"))).otherwise(F.col("body"))
+    body = plain(F.col("full_text_path"), F.col("body"))
     if text_csv is None:
         return own.select("pmid", body.alias("body"))
-    by_id = text_csv.select(number_key("pmcid").alias("pmcid"), F.col("body").alias("_csv")).dropDuplicates(["pmcid"])
+    by_id = text_csv.select(number_key("pmcid").alias("pmcid"), F.col("body").alias("_csv")).groupBy("pmcid").agg(F.min("_csv").alias("_csv"))
     return own.join(by_id, "pmcid", "left").select("pmid", F.coalesce(body, "_csv").alias("body"))
 
 
@@ -155,12 +159,12 @@ def include_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nimads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(points, notes) of an exported study set and its annotation. The annotation is
-    one object or a list of one."""
+    """(points, notes) of an exported study set and its annotation. Points keep the name
+    of their space. The annotation is one object or a list of one."""
     sets = spark.read.schema(schemas.NIMADS_STUDYSET).json(f"{folder}/nimads_studyset.json", multiLine=True)
     analyses = sets.select(F.explode("studies").alias("s")).select(F.col("s.id").alias("study_id"), F.explode("s.analyses").alias("a"))
     points = analyses.select("study_id", F.col("a.id").alias("analysis_id"), F.explode("a.points").alias("p"))
-    points = points.select("study_id", "analysis_id", *[F.try_element_at("p.coordinates", F.lit(k + 1)).alias(c) for k, c in enumerate("xyz")])
+    points = points.select("study_id", "analysis_id", *[F.try_element_at("p.coordinates", F.lit(k + 1)).alias(c) for k, c in enumerate("xyz")], F.col("p.space").alias("space"))
     raw = spark.read.text(f"{folder}/nimads_annotation.json", wholetext=True).select(F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]"))).alias("v"))
     from pyspark.sql import types as T
 

@@ -75,3 +75,17 @@ def test_prompts(spark):
     got = row.select(prompts.screening(stage, "abstract", F.col("t"), F.col("a")).alias("p"), prompts.screening(stage, "fulltext", F.col("t"), F.col("a"), body=F.col("b")).alias("q")).first()
     assert "I1: human" in got["p"] and "E1: review" in got["p"] and "No abstract available" in got["p"] and "confidence" in got["p"]
     assert got["q"] is None
+
+
+def test_article_text(spark):
+    from studyloom.functions.readable import article_text, readable
+
+    long = "The hippocampus, as shown before, was active in both groups of this study."
+    page = f"""<html><head><title>t</title><style>p {{}}</style></head><body><nav><ul><li>Home is a menu item, of some length, yes</li></ul></nav>
+      <div id="main"><h1>Title &amp; more</h1><div><p>{long}</p><p>{long} Again.</p></div><ul><li>a short item</li></ul><script>var x = "<p>no</p>";</script></div>
+      <div class="side"><p><a href="x">A linked paragraph, long enough to count if it were text</a></p></div></body></html>"""
+    assert article_text(page) == f"{long}\n\n{long} Again."
+    assert article_text("<html><script>x</script><p>Hello</p></html>") == "Hello"
+    assert [article_text(x) for x in (None, "", "plain words", "<div><<>broken <p>open", "<script>never closed")] == [None, "", "plain words", "<<>broken\n\nopen", ""]
+    rows = spark.createDataFrame([(page,), (None,)], "html string").select(readable(F.col("html")).alias("t")).collect()
+    assert rows[0]["t"].startswith("The hippocampus") and rows[1]["t"] is None
