@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from studyloom import schemas
 from studyloom.config import PipelineConfig, SearchConfig
 from studyloom.operators import models, relational, retrieval, screening
-from studyloom.sources import files, pubmed
+from studyloom.sources import csv_sets, files, pubmed
 
 
 class SearchEngine(ABC):
@@ -101,7 +101,7 @@ class LocalRetriever(Retriever):
         self.sources = sources
 
     def texts(self, spark: SparkSession) -> DataFrame:
-        """(pmid, path, body, source_name, source_pos)."""
+        """(pmid, path, body, source_name, source_pos); HTML is turned into text."""
         parts = []
         for k, s in enumerate(self.sources):
             name = s.get("source_name") or s.get("name") or s.get("root_path") or f"full_text_source_{k + 1}"
@@ -109,7 +109,7 @@ class LocalRetriever(Retriever):
                 spark, s["root_path"], s.get("pmid_source", "file_name"), tuple(s.get("allowed_extensions") or (".txt",)), tuple(s.get("text_path_templates") or ()),
                 s.get("json_filename", "identifiers.json"), s.get("json_pmid_key", "pmid"),
             )
-            parts.append(rows.select(F.col("pmid_number").cast("string").alias("pmid"), "path", "body", F.lit(name).alias("source_name"), F.lit(k).alias("source_pos")))
+            parts.append(rows.select(F.col("pmid_number").cast("string").alias("pmid"), "path", files.plain(F.col("path"), F.col("body")).alias("body"), F.lit(name).alias("source_name"), F.lit(k).alias("source_pos")))
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
@@ -134,8 +134,9 @@ class LocalRetriever(Retriever):
             return None
         return tuple(relational.union_ids([m[k] for m in made]) for k in (0, 1))
 
-    def retrieve(self, studies: DataFrame) -> DataFrame:
-        found = self.texts(studies.sparkSession).select("pmid", F.col("path").alias("_path"), F.col("source_name").alias("_source"))
+    def retrieve(self, studies: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """``texts``: what ``texts`` gave before, if it is stored."""
+        found = (self.texts(studies.sparkSession) if texts is None else texts).select("pmid", F.col("path").alias("_path"), F.col("source_name").alias("_source"))
         joined = studies.join(found, "pmid", "left")
         got = F.col("_path").isNotNull() & F.coalesce("retrieval_in_scope", F.lit(False))
         return (
@@ -151,13 +152,14 @@ def folder_points(spark: SparkSession, folder: str, key: str) -> tuple[DataFrame
     """(analyses, tables) of coordinates.csv and tables.csv of a folder, by ``key``; a
     file that is not there has no rows."""
     root = folder.rstrip("/")
-    if files.exists(spark, f"{root}/coordinates.csv"):
-        points = files.coordinates(spark, f"{root}/coordinates.csv", key)
+    coordinates, described = (csv_sets.member(spark, root, f"{name}.csv") for name in ("coordinates", "tables"))
+    if files.exists(spark, coordinates):
+        points = files.coordinates(spark, coordinates, key)
     else:
         points = spark.createDataFrame([], f"{key} long, table_id string, table_label string, row_pos long, x double, y double, z double")
     rows = retrieval.group_coordinates(points, key)
-    if files.exists(spark, f"{root}/tables.csv"):
-        tables = files.tables(spark, f"{root}/tables.csv", root, key)
+    if files.exists(spark, described):
+        tables = files.tables(spark, described, root, key)
     else:
         tables = spark.createDataFrame([], f"{key} long, table_pos long, table_id string, table_label string, table_caption string, table_foot string, table_data_path string, table_raw_path string")
     bodies = files.texts(spark, root).withColumn("path", F.regexp_replace("path", r"^file:/*", "/"))
@@ -175,25 +177,28 @@ def shaped(rows: DataFrame, kind, pos: str, source: int, key: str = "pmid") -> D
 class CsvFolderRetriever(Retriever):
     """Texts of a folder of CSV files, by pmcid: what a download tool leaves there.
     ``download`` is called first with the pmcids that the folder lacks, if given, and
-    with ``n_docs`` of them at most."""
+    with ``n_docs`` of them at most; a folder that it returns is merged into this one."""
 
     def __init__(self, folder: str, download=None, n_docs: int | None = None):
         self.folder, self.download, self.n_docs = folder.rstrip("/"), download, n_docs
 
     def wanted(self, studies: DataFrame) -> DataFrame:
         """(pmcid) in scope that metadata.csv does not have."""
-        have = files.csv(studies.sparkSession, f"{self.folder}/metadata.csv").select(files.number_key("pmcid").alias("pmcid"))
+        have = csv_sets.read(studies.sparkSession, self.folder, "metadata.csv").select(files.number_key("pmcid").alias("pmcid"))
         scope = studies.where(F.col("pmcid").isNotNull() & F.coalesce("retrieval_in_scope", F.lit(False)))
         return relational.new_ids(scope.select("pmcid"), have, "pmcid")
 
     def retrieve(self, studies: DataFrame) -> DataFrame:
         if self.download is not None:
-            self.download(retrieval.capped(self.wanted(studies), self.n_docs))
+            got = self.download(retrieval.capped(self.wanted(studies), self.n_docs))
+            if isinstance(got, str):
+                csv_sets.merge(studies.sparkSession, self.folder, got)
         rows = retrieval.mark_retrieved(studies, self.texts(studies.sparkSession))
         analyses, tables = (shaped(x, kind, pos, 0, "pmcid").drop("source_pos") for x, kind, pos in zip(folder_points(studies.sparkSession, self.folder, "pmcid"), (schemas.ANALYSIS, schemas.TABLE), ("analysis_pos", "table_pos")))
         rows = retrieval.attach(rows, analyses, "pmcid", "analyses", "place", True)
         return retrieval.attach(rows, tables, "pmcid", "activation_tables", "place", True)
 
     def texts(self, spark: SparkSession) -> DataFrame:
-        """(pmcid, body) of text.csv."""
-        return files.csv(spark, f"{self.folder}/text.csv").select(files.number_key("pmcid").alias("pmcid"), "body")
+        """(pmcid, body) of text.csv, one for each pmcid: of several the first by text."""
+        rows = csv_sets.read(spark, self.folder, "text.csv").select(files.number_key("pmcid").alias("pmcid"), "body")
+        return rows.where("pmcid is not null").groupBy("pmcid").agg(F.min("body").alias("body"))

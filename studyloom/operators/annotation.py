@@ -181,6 +181,15 @@ def criteria_errors(decisions: DataFrame, mapping: DataFrame | None = None) -> D
     return joined.withColumn("criteria_error", error).drop("_i", "_e")
 
 
+def quarantine(studies: DataFrame) -> DataFrame:
+    """(study_id, analysis_id, table_id, reason) of the analyses whose table their study
+    does not have. An analysis that names no table is not among them."""
+    rows = studies.select("pmid", F.transform(F.coalesce("activation_tables", F.array().cast(studies.schema["activation_tables"].dataType)), lambda t: t["table_id"]).alias("tables"), F.posexplode("analyses").alias("pos", "a"))
+    reason = F.when(F.size("tables") == 0, "no tables").when(~F.coalesce(F.array_contains("tables", F.col("a.table_id")), F.lit(False)), "unknown table")
+    found = rows.where(F.col("a.table_id").isNotNull()).select(F.col("pmid").alias("study_id"), F.concat("pmid", F.lit("_analysis_"), F.col("pos").cast("string")).alias("analysis_id"), F.col("a.table_id").alias("table_id"), reason.alias("reason"))
+    return found.where("reason is not null")
+
+
 def with_table(analyses: DataFrame, tables: DataFrame) -> DataFrame:
     """Analyses with caption and foot of their table; ``table_error`` where a table id
     is given but the study has no such table."""

@@ -10,9 +10,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom import config as cfg
@@ -20,8 +19,10 @@ from studyloom import schemas
 from studyloom.engines import CsvFolderRetriever, LocalRetriever, SearchEngine
 from studyloom.functions import prompts
 from studyloom.functions import status as st
+from studyloom.meta import run_meta  # noqa: F401  also found here
 from studyloom.operators import annotation, export, models, relational, report, retrieval, screening
-from studyloom.sources import sinks
+from studyloom.sources import files, layers, sinks
+from studyloom.streaming.journal import Journal
 
 STAGES = ("search", "abstract", "retrieval", "full", "parsing", "annotation", "output")
 #: Stages that a run may be told to stop after.
@@ -36,11 +37,14 @@ def conform(studies: DataFrame) -> DataFrame:
 class Review:
     """One run: ``search``, an engine or a function, gives the studies; ``client``
     answers for the model. ``csv_folder`` is what a download tool leaves, by pmcid;
-    ``download`` is given the pmcids that it lacks."""
+    ``download`` is given the pmcids that it lacks. ``caches`` is a folder of JSON files
+    of an earlier run, of this or another tool: what they hold is neither fetched nor
+    asked for."""
 
-    def __init__(self, spark: SparkSession, config: cfg.PipelineConfig, client: models.ModelClient, search: SearchEngine | Callable[[SparkSession, cfg.SearchConfig], DataFrame], fulltexts: DataFrame | None = None, force_incomplete: bool = False, csv_folder: str | None = None, download: Callable[[DataFrame], None] | None = None):
+    def __init__(self, spark: SparkSession, config: cfg.PipelineConfig, client: models.ModelClient, search: SearchEngine | Callable[[SparkSession, cfg.SearchConfig], DataFrame], fulltexts: DataFrame | None = None, force_incomplete: bool = False, csv_folder: str | None = None, download: Callable[[DataFrame], None] | None = None, caches: str | None = None):
         self.spark, self.config, self.client, self.search, self.fulltexts = spark, config, client, search, fulltexts
-        self.csv_folder, self.download = csv_folder, download
+        self.csv_folder, self.download, self.caches = csv_folder, download, caches
+        self.counts: dict[str, dict[str, int]] = {}
         self.force_incomplete = force_incomplete
         self.root = config.output.directory.rstrip("/")
         self.errors: list[str] = []
@@ -53,43 +57,68 @@ class Review:
         p = self.path(f"tables/{name}")
         return self.spark.read.parquet(p) if sinks.recover(self.spark, p) else None
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        sinks.new_version(df, self.path(f"tables/{name}"))
+    def save(self, df: DataFrame, name: str, **counts: Column) -> DataFrame:
+        """Write a table. Its rows, and ``counts`` of them, are counted as they are
+        written, without a scan of their own."""
+        seen = Observation(f"saved_{name}")
+        sinks.new_version(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in counts.items()]), self.path(f"tables/{name}"))
+        self.counts[name] = {"rows": 0, **{k: v or 0 for k, v in seen.get.items()}}
         return self.spark.read.parquet(self.path(f"tables/{name}"))
 
+    def stored(self, name: str) -> DataFrame | None:
+        """The run's own table above the layer of cached files; records of these that
+        can't be read are the table ``broken_<name>``."""
+        own = self.table(name)
+        if self.caches is None:
+            return own
+        rows, broken = layers.layer(self.spark, self.caches, name)
+        self.save(broken, f"broken_{name}")
+        return self.save(layers.above(own, rows, layers.LAYERS[name][-1]), f"layered_{name}")
+
+    def journal(self, name: str) -> Journal:
+        """Answers of the model for a stage, kept as they come."""
+        return Journal(self.spark, self.path(f"journal/{name}"))
+
+    def bodies(self) -> DataFrame:
+        """(pmid, body): one text of each study, of several the first by text."""
+        if self.fulltexts is None:
+            return self.spark.createDataFrame([], "pmid string, body string")
+        return self.fulltexts.groupBy("pmid").agg(F.min("body").alias("body"))
+
     # --- stages
 
     def run_search(self) -> DataFrame:
-        cached = self.table("search")
+        cached = self.stored("search")
         if hasattr(self.search, "details"):  # details of new ids only
             ids = self.search.ids(self.spark, self.config.search)
             found = conform(self.search.details(ids if cached is None else relational.new_ids(ids, cached)))
         else:
             found = conform(getattr(self.search, "search", self.search)(self.spark, self.config.search))
             found = found if cached is None else relational.new_ids(found, cached)
-        return self.save(found if cached is None else cached.unionByName(found), "search")
+        found = self.save(found, "found")
+        return self.save(found if cached is None else conform(cached).unionByName(found), "search")
 
     def run_screening(self, studies: DataFrame, stage: str) -> DataFrame:
         settings = getattr(self.config.screening, "abstract" if stage == "abstract" else "fulltext")
         if settings.get("skip_stage"):
             return screening.skip_stage(studies, stage)
         todo = screening.with_abstract(screening.pending(studies)) if stage == "abstract" else screening.ready_for_fulltext(studies)
-        stored = self.table(f"{stage}_screening")
+        stored = self.stored(f"{stage}_screening")
         cached = None
         if stored is not None:
             cached, todo = screening.cache_split(todo, stored, stage, self.force_incomplete)
         body = None
         if stage == "fulltext":
-            texts = self.fulltexts if self.fulltexts is not None else self.spark.createDataFrame([], "pmid string, body string")
-            todo = todo.join(texts.select("pmid", "body"), "pmid", "left")
+            todo = todo.join(self.bodies(), "pmid", "left")
             body = F.col("body")
         prompt = prompts.screening(settings, stage, F.col("title"), F.col("abstract"), F.col("authors"), F.col("journal"), body)
-        new = models.screen(todo.select("pmid", prompt.alias("prompt")), self.client, stage, bool(settings.get("confidence_reporting")), settings.get("threshold"), settings.get("model") or "")
+        new = models.screen(todo.select("pmid", prompt.alias("prompt")), self.client, stage, bool(settings.get("confidence_reporting")), settings.get("threshold"), settings.get("model") or "", self.journal(f"{stage}_screening"))
         new = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.SCREENING.fields])
         if cached is not None:
             old = cached.select(F.col("pmid").alias("study_id"), F.col("cached_status").alias("decision"), F.col("cached_reason").alias("reason"), F.col("cached_confidence").alias("confidence"), F.lit(stage).alias("screening_type"))
             new = old.unionByName(new, allowMissingColumns=True)
-        results = self.save(new, f"{stage}_screening")
+        kinds = {"included": F.count_if(F.col("decision").startswith("included")), "excluded": F.count_if(F.col("decision").startswith("excluded")), "failed": F.count_if(F.col("decision").endswith("failed")), "incomplete": F.count_if(F.col("decision").endswith("incomplete"))}
+        results = self.save(new, f"{stage}_screening", **kinds)
         out = screening.apply_results(studies, results, stage)
         done = results.select("study_id").distinct().withColumn("_done", F.lit(True))
         return conform(out.join(done, out["pmid"] == done["study_id"], "left").withColumn("screened_at", F.when(F.col("_done"), F.current_timestamp()).otherwise(F.col("screened_at"))))
@@ -99,7 +128,7 @@ class Review:
         if self.config.retrieval.full_text_sources and self.fulltexts is None:
             local = LocalRetriever(self.config.retrieval.full_text_sources)
             self.fulltexts = self.save(local.texts(self.spark), "fulltexts")
-            rows = local.retrieve(conform(rows))
+            rows = local.retrieve(conform(rows), self.fulltexts)
             if (points := local.points(self.spark)) is not None:
                 # a study takes what the source of its text has
                 mine = [x.join(self.fulltexts.select("pmid", "source_pos"), ["pmid", "source_pos"], "left_semi").drop("source_pos") for x in points]
@@ -137,13 +166,15 @@ class Review:
         )
 
     def run_parsing(self, studies: DataFrame) -> DataFrame:
+        if self.caches is not None:
+            studies = conform(files.with_cached_analyses(studies, self.stored("coordinates")))
         if not self.config.parsing.parse_coordinates:
             return studies
         parsed = F.coalesce(F.exists("analyses", lambda a: F.coalesce(a["parsed"], F.lit(False))), F.lit(False))
         todo = studies.where((F.col("status") == st.INCLUDED_FULLTEXT) & F.coalesce(F.size("activation_tables") > 0, F.lit(False)) & ~parsed)
         tables = todo.select("pmid", F.posexplode("activation_tables").alias("table_pos", "t")).select("pmid", "table_pos", F.col("t.table_id").alias("table_id"), prompts.table(F.col("t.table_caption"), F.col("t.table_foot"), F.col("t.raw_table")).alias("raw_table"))
-        made = models.parse_tables(tables, self.client, self.save).withColumn("order", F.col("table_pos") * 100_000 + F.col("pos"))
-        rows = self.save(made.select("pmid", "order", "name", "description", "table_id", "parsed", "points"), "parsed_analyses")
+        made = models.parse_tables(tables, self.client, self.save, self.journal("tables")).withColumn("order", F.col("table_pos") * 100_000 + F.col("pos"))
+        rows = self.save(made.select("pmid", "order", "name", "description", "table_id", "parsed", "points"), "parsed_analyses", points=F.sum(F.size("points")))
         cleared = studies.join(todo.select("pmid", F.lit(True).alias("_todo")), "pmid", "left")
         empty = F.array().cast(schemas.STUDY["analyses"].dataType)
         cleared = cleared.withColumn("analyses", F.when(F.col("_todo"), empty).otherwise(F.col("analyses"))).drop("_todo")
@@ -154,7 +185,7 @@ class Review:
         settings = self.config.annotation
         rows = annotation.explode_analyses(studies)
         new = annotation.system_decisions(rows.select("pmid", "status", "analysis_id")) if settings.create_all_included_annotations else None
-        old = self.table("annotations")
+        old = self.stored("annotations")
         if settings.annotations:
             own = self.custom_decisions(studies, old)
             new = own if new is None else new.unionByName(own, allowMissingColumns=True)
@@ -165,15 +196,18 @@ class Review:
 
     def custom_decisions(self, studies: DataFrame, old: DataFrame | None = None) -> DataFrame:
         """Decisions of the model about the studies that ``old`` does not have whole.
-        Payloads that don't hold are asked for again; what is still wrong after that
+        Studies with an analysis of a table that they lack are left out; their analyses
+        are the table ``quarantine``. Payloads that don't hold are asked for again; what is still wrong after that
         is left out."""
         settings = self.config.annotation
         rules = [vars(r) for r in cfg.injected_criteria(self.config)]
         names = [r["name"] for r in rules]
-        included = self.save(annotation.unfinished(export.exportable(studies), old, names), "to_annotate")
-        texts = self.fulltexts if self.fulltexts is not None else self.spark.createDataFrame([], "pmid string, body string")
-        joined = included.join(texts.select("pmid", "body"), "pmid", "left")
-        own = lambda a: F.filter("activation_tables", lambda t: t["table_id"] == a["table_id"])[0]
+        exported = export.exportable(studies)
+        apart = self.save(annotation.quarantine(exported), "quarantine")
+        sound = exported.join(apart.select(F.col("study_id").alias("pmid")).distinct(), "pmid", "left_anti")
+        included = self.save(annotation.unfinished(sound, old, names), "to_annotate")
+        joined = included.join(self.bodies(), "pmid", "left")
+        own = lambda a: F.get(F.filter("activation_tables", lambda t: t["table_id"] == a["table_id"]), F.lit(0))
         items = F.transform("analyses", lambda a, i: F.struct(F.concat(F.col("pmid"), F.lit("_analysis_"), i.cast("string")).alias("id"), a["name"].alias("name"), a["description"].alias("description"), a["table_id"].alias("table_id"), F.coalesce(own(a)["table_caption"], a["table_id"]).alias("table_caption"), own(a)["table_foot"].alias("table_foot")))
         single = settings.prompt_type == "single_analysis"
         if single:
@@ -191,7 +225,7 @@ class Review:
         known = annotation.explode_analyses(included).select(F.col("pmid").alias("study_id"), "analysis_id")
         mapping = [(r["name"], list((r.get("criteria_mapping") or {}).get("inclusion") or {}), list((r.get("criteria_mapping") or {}).get("exclusion") or {})) for r in rules]
         cited = self.spark.createDataFrame(mapping, "annotation_name string, inclusion array<string>, exclusion array<string>")
-        answers = models.ask(self.client, asked, self.save, "annotation_responses", lambda got: annotation.bad_payloads(shape(got), known, names, cited))
+        answers = models.ask(self.client, asked, self.save, "annotation_responses", lambda got: annotation.bad_payloads(shape(got), known, names, cited), journal=self.journal("annotation"))
         parsed = annotation.parse_payload(shape(answers)).where("error is null")
         valid = parsed.where(F.col("annotation_name").isin(names)).join(known, ["study_id", "analysis_id"], "left_semi")
         return valid.drop("attempt", "error").withColumn("model_used", F.lit(settings.model))
@@ -263,25 +297,19 @@ class Review:
         self.stats = {**report.run_statistics(studies).first().asDict(), "seconds": round(time.time() - begun, 3)}
         return self.stats
 
-
-def run_meta(spark: SparkSession, folder: str, estimator: str = "mkdadensity", corrector: str = "fdr", estimator_args: dict | None = None, corrector_args: dict | None = None, ids: DataFrame | None = None, step: int = 4) -> DataFrame:
-    """Statistics of every boolean column of an export, all columns in one job; also
-    written to ``<folder>/meta`` by column, and the foci of each unit in clusters of
-    significant voxels to ``<folder>/meta_clusters``, the number of analyses without
-    coordinates to ``<folder>/meta_skipped``. The folder may be the run's or
-    its outputs."""
-    from studyloom.operators import cbma
-    from studyloom.sources import files
-
-    root = folder if Path(folder).name == "outputs" else f"{folder.rstrip('/')}/outputs"
-    points, notes = files.nimads(spark, root)
-    foci = cbma.slice_foci(points, notes, ids)
-    cbma.skipped(points, notes).write.mode("overwrite").parquet(f"{root}/meta_skipped")
-    given = estimator_args or {}
-    stats = cbma.estimate(estimator, foci, step=step, **given)
-    if corrector in ("fdr", "bonferroni"):
-        stats = cbma.p_values(estimator, stats, foci, step, **given)
-    done = sinks.by_column(cbma.correct(corrector, foci, stats, step, estimator, given, **(corrector_args or {})), f"{root}/meta")
-    level = (corrector_args or {}).get("alpha", 0.05)
-    sinks.by_column(cbma.focus_counter(foci, done.where(F.col("q") < level), step), f"{root}/meta_clusters")
-    return done
+    def tally(self) -> dict[str, int]:
+        """What the run has counted while it wrote: fetched studies, screened ones by
+        outcome, analyses and points that were parsed, decisions, quarantined analyses and
+        broken records. What a run did not come to is not listed."""
+        of = {"found": "fetched", "parsed_analyses": "parsed", "annotations": "decisions", "quarantine": "quarantined"}
+        out = {}
+        for name, counts in self.counts.items():
+            if name in of:
+                out[of[name]] = counts["rows"]
+            elif name.startswith("broken_"):
+                out[name.replace("_", " ")] = counts["rows"]
+            if name.endswith("_screening") and "included" in counts:
+                out |= {f"{name.removesuffix('_screening')} {k}": v for k, v in counts.items() if k != "rows"} | {f"{name.removesuffix('_screening')} screened": counts["rows"]}
+            if name == "parsed_analyses":
+                out["points"] = counts["points"]
+        return out

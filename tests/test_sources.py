@@ -220,7 +220,7 @@ def test_review_from_files_to_meta_analysis(spark, tmp_path):
     for pmid in (11, 12):
         (texts / f"{pmid}.txt").write_text(f"a full study text of {pmid}")
     (data / "coordinates.csv").write_text("pmid,table_id,table_label,x,y,z\n11,t2,Table 2,10,20,30\n11,t1,Table 1,1,2,3\n11,t1,Table 1,4,5,6\n12,t1,Table 1,10,20,30\n99,t1,none,0,0,0\n")
-    (data / "tables.csv").write_text("pmid,table_id,table_label,table_caption,table_foot,table_raw_file,table_data_file\n11,t1,Table 1,a caption,,raw.xml,\n12,t1,Table 1,,,,\n")
+    (data / "tables.csv").write_text("pmid,table_id,table_label,table_caption,table_foot,table_raw_file,table_data_file\n11,t1,Table 1,a caption,,raw.xml,\n11,t2,Table 2,,,,\n12,t1,Table 1,,,,\n")
     (data / "raw.xml").write_text("<table/>")
     config = cfg.from_dict({
         "search": {"query": "q"}, "screening": {k: {"objective": "find", "inclusion_criteria": ["memory"]} for k in ("abstract", "fulltext")},
@@ -265,7 +265,7 @@ def test_review_from_files_to_meta_analysis(spark, tmp_path):
     Review(spark, config, client, engine).run()
     studies = {r["pmid"]: r for r in spark.read.parquet(f"{out}/outputs/tables/studies").collect()}
     assert [(a["table_id"], a["description"], [p["coordinates"] for p in a["points"]]) for a in studies["11"]["analyses"]] == [("t1", "Table 1", [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]), ("t2", "Table 2", [[10.0, 20.0, 30.0]])]
-    assert [(t["table_caption"], t["raw_table"]) for t in studies["11"]["activation_tables"]] == [("a caption", "<table/>")]
+    assert [(t["table_caption"], t["raw_table"]) for t in studies["11"]["activation_tables"]] == [("a caption", "<table/>"), (None, None)]
     assert (studies["11"]["full_text_source"], studies["13"]["pmcid"], studies["13"]["analyses"]) == ("mine", 7, None)
     asked = [s for t, s in client.asked if t == "annotation"]
     assert (asked.count("11"), asked.count("12")) == (3, 1)
@@ -303,7 +303,7 @@ def test_single_analyses(spark, tmp_path):
     })
     client = Scripted({"annotation_single": ["{", json.dumps({"include": "yes", "reasoning": "r"})]})
     analysis = "struct<name:string,description:string,table_id:string,parsed:boolean,points:array<struct<coordinates:array<double>,space:string,values:array<struct<value_text:string,value_num:double,kind:string>>>>>"
-    rows = spark.createDataFrame([("1", "t", st.INCLUDED_FULLTEXT, [("a", "d", "t1", False, []), ("b", None, None, False, [])])], f"pmid string, title string, status string, analyses array<{analysis}>")
+    rows = spark.createDataFrame([("1", "t", st.INCLUDED_FULLTEXT, [("a", "d", None, False, []), ("b", None, None, False, [])])], f"pmid string, title string, status string, analyses array<{analysis}>")
     from studyloom.pipeline import conform
 
     got = Review(spark, config, client, lambda _s, _c: rows).custom_decisions(conform(rows)).collect()
