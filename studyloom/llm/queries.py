@@ -60,11 +60,13 @@ FROM words LEFT JOIN n_hit USING (r) LEFT JOIN its USING (r)
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document under the context-tree model."""
+    """Log probability of every document under the context-tree model, and its code
+    length in bits a byte (the end byte counts)."""
     from studyloom.llm.ctw import score_documents
 
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
+    scored = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
+    return scored.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / F.col("n_bytes"))
 
 
 def op3_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
