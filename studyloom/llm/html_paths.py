@@ -294,7 +294,8 @@ def path_scores(found: list[Block], marked: bool) -> dict[int, float]:
 def wholes_kept(found: list[Block], mean: float) -> set[int]:
     """The numbers of the elements judged as a whole that are content: their length and
     punctuation, smoothed with those of the paths and elements beside them, reach the
-    share, and most of their text is in no link."""
+    share, and most of their text is in no link. ``found`` is without the blocks of paths
+    that fall short: an advert says nothing about the list beside it."""
     units: list[list[Block]] = []
     for b in found:
         if b.whole and units and units[-1][0].whole == b.whole:
@@ -336,7 +337,7 @@ def main_text(page: str | None) -> str:
     mean = sum(score[k] * n for k, n in size.items()) / sum(size.values())
     share = INSIDE if marked else SHARE
     content = {k for k, n in size.items() if score[k] >= share * mean and links[k] <= LINKS * n}
-    kept = wholes_kept(found, mean) if len(plain) < len(found) else set()
+    kept = wholes_kept([b for b in found if b.whole or b.path in content], mean) if len(plain) < len(found) else set()
     own = lambda b: marked and b.tag in HEADINGS and not b.doubtful and 2 * b.links <= len(b.text)
     return "\n".join(b.text for b in found if (b.whole in kept if marked and b.whole else b.path in content) or own(b))
 
