@@ -352,6 +352,7 @@ def test_main_text_against_a_plain_version():
             score = {k: x * (1 + y) for k, (x, y) in mean.items()}
             size = {k: sum(len(t[0]) for q, t in parts if q == k) for k in mean}
             level = H.INSIDE * sum(score[k] * size[k] for k in mean) / sum(size.values())
+            parts = [(k, t) for k, t in parts if k == "ul" or score[k] >= level]
             own = [mean[k] if k != "ul" else (sum(map(len, t)), sum(map(marks, t))) for k, t in parts]
             near = lambda i: [(math.exp(-((i - j) ** 2) / 2), own[j]) for j in range(max(0, i - 2), min(len(own), i + 3))]
             for i, (k, t) in enumerate(parts):
