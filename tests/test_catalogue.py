@@ -10,7 +10,7 @@ from studyloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"montecarlo_fwe", "focus_counter"}  # no SQL; tests/test_operators.py has them
+SLOW = {"montecarlo_fwe", "montecarlo_clusters", "focus_counter"}  # no SQL; tests/test_operators.py and test_meta.py have them
 
 
 @pytest.fixture(scope="module")
