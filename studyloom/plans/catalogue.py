@@ -452,11 +452,11 @@ def coverage_check(spark, sf_dir):
 
 
 @query(
-    """SELECT study_id, analysis_id, pos, CASE WHEN include AND pos % 3 = 0 THEN 'inclusion without an id' WHEN pos % 3 = 1 THEN 'unknown id' WHEN NOT include AND pos % 2 = 0 THEN 'exclusion without a reason' END AS criteria_error FROM v_ann WHERE annotation_name = 'click'""",
+    """SELECT study_id, analysis_id, pos, CASE WHEN annotation_name IS DISTINCT FROM 'click' THEN NULL WHEN include AND pos % 3 = 0 THEN 'inclusion without an id' WHEN pos % 3 = 1 THEN 'unknown id' WHEN NOT include AND pos % 2 = 0 THEN 'exclusion without a reason' END AS criteria_error FROM v_ann""",
     "v_ann",
 )
 def criteria_membership(spark, sf_dir):
-    rows = views.annotations(spark, sf_dir).where("annotation_name = 'click'")
+    rows = views.annotations(spark, sf_dir)
     ids = F.expr("CASE pos % 3 WHEN 0 THEN array() WHEN 1 THEN array('I9') ELSE array('I1') END").cast("array<string>")
     rows = rows.withColumns({"inclusion_criteria_applied": ids, "exclusion_criteria_applied": F.array().cast("array<string>"), "reasoning": F.expr("CASE WHEN pos % 2 = 0 THEN 'none' ELSE 'fails I1' END")})
     mapping = spark.createDataFrame([("click", ["I1", "I2"], ["E1"])], "annotation_name string, inclusion array<string>, exclusion array<string>")
