@@ -178,3 +178,31 @@ def test_a_folder_of_tables(spark, tmp_path):
     assert set(stored) == {f"pmcid_{k}_t1" for k in range(3)} and stored["pmcid_2_t1"] is None and stored["pmcid_0_t1"]["analyses"][0]["name"] == "n"
     parse_folder(spark, str(folder), Client(), str(out)).count()
     assert sorted(asked[3:]) == ["pmcid_1_t1"]  # its prompt has no caption now
+
+
+def test_html_sources_and_repeated_bodies(spark, tmp_path):
+    from studyloom.engines import CsvFolderRetriever, LocalRetriever
+
+    texts, folder = tmp_path / "texts", tmp_path / "csv"
+    texts.mkdir()
+    folder.mkdir()
+    (texts / "11.html").write_text("<html><script>x</script><nav><p>Menu of this long page, as ever</p></nav><p>A study of memory.</p></html>")
+    (texts / "12.txt").write_text("<p>kept as it is</p>")
+    local = LocalRetriever([{"root_path": str(texts), "allowed_extensions": [".html", ".txt"]}])
+    assert {r["pmid"]: r["body"] for r in local.texts(spark).collect()} == {"11": "A study of memory.", "12": "<p>kept as it is</p>"}
+    (folder / "metadata.csv").write_text("pmcid\n7\n")
+    (folder / "text.csv").write_text("pmcid,body\n7,b study\n7,a study\n8.0,other\n,none\n")
+    assert {r["pmcid"]: r["body"] for r in CsvFolderRetriever(str(folder)).texts(spark).collect()} == {7: "a study", 8: "other"}
+    asked = []
+
+    class Client(models.ModelClient):
+        def respond(self, requests):
+            rows = requests.collect()
+            asked.extend((r["task"], r["study_id"], "a study" in (r["prompt"] or "") or r["task"] == "abstract") for r in rows)
+            payload = json.dumps({"decision": "INCLUDED", "confidence": 0.9, "reason": "r", "fulltext_incomplete": "false"})
+            return requests.select("task", "study_id", "item_id", F.lit(1).alias("attempt"), F.lit(payload).alias("payload"))
+
+    found = spark.createDataFrame([("1", 0, "one", "abstract", 7)], "pmid string, pos long, title string, abstract string, pmcid long").withColumn("status", F.lit(st.PENDING))
+    config = cfg.from_dict({"search": {"query": "q"}, "screening": {k: {"objective": "o", "inclusion_criteria": ["i"]} for k in ("abstract", "fulltext")}, "output": {"directory": str(tmp_path / "out")}})
+    stats = Review(spark, config, Client(), lambda _s, _c: found, csv_folder=str(folder)).run("full")
+    assert asked == [("abstract", "1", True), ("fulltext", "1", True)] and stats["included_studies"] == 1
