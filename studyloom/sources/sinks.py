@@ -43,15 +43,42 @@ def document(df: DataFrame, path: str) -> None:
 
 
 def nested(df: DataFrame, name: str | None, path: str, order: list[str], keep_nulls: bool = True) -> None:
-    """``{name: [rows], timestamp}`` with rows in order, or the list alone."""
+    """``{name: [rows], timestamp}`` with rows in order, or the list alone.
+
+    Rows are sorted and written by Spark, a comma before each; the document is put
+    together from these parts as streams, so neither a row nor the driver holds it."""
     nulls = {"ignoreNullFields": str(not keep_nulls).lower()}
-    rows = df.select(F.struct(*order, F.to_json(F.struct(*df.columns), nulls).alias("row")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("a"))
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    body = F.array_join(F.transform("a", lambda x: x["row"]), ", ")
-    if name is None:
-        document(rows.select(F.concat(F.lit("["), body, F.lit("]"))), path)
-        return
-    document(rows.select(F.concat(F.lit(f'{{"{name}": ['), body, F.lit('], "timestamp": "'), now, F.lit('"}'))), path)
+    rows = df.orderBy(*[F.asc_nulls_first(c) for c in order]).select(F.concat(F.lit(","), F.to_json(F.struct(*df.columns), nulls)).alias("value"))
+    now = df.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    head, tail = ("[", "]") if name is None else (f'{{"{name}": [', f'], "timestamp": "{now}"}}')
+    streamed(rows, path, head, tail + "\n", 1)
+
+
+def streamed(rows: DataFrame, path: str, head: str, tail: str, skip: int = 0) -> None:
+    """One file of ``head``, the lines of ``rows`` in order but for the first ``skip``
+    bytes, and ``tail``. What was there before stays until the new file is whole."""
+    tmp = f"{path}.{uuid.uuid4().hex}"
+    rows.write.text(f"{tmp}/rows")
+    sc, place, fs = _fs(rows, path)
+    jvm = sc._jvm
+    whole = jvm.org.apache.hadoop.fs.Path(f"{tmp}/whole")
+    listed = ((int(s.getPath().getName().split("-")[1]), s.getPath()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{tmp}/rows")) if s.getLen() and s.getPath().getName().startswith("part-"))
+    parts = sorted(listed, key=lambda p: p[0])
+    out = fs.create(whole, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for k, (_, part) in enumerate(parts):
+            source = fs.open(part)
+            try:
+                source.seek(skip if k == 0 else 0)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, sc._jsc.hadoopConfiguration(), False)
+            finally:
+                source.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    _replace(rows, fs.makeQualified(whole), fs.makeQualified(place))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
 
 
 def json_row(df: DataFrame, path: str, as_list: bool = False) -> None:

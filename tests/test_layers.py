@@ -206,3 +206,16 @@ def test_html_sources_and_repeated_bodies(spark, tmp_path):
     config = cfg.from_dict({"search": {"query": "q"}, "screening": {k: {"objective": "o", "inclusion_criteria": ["i"]} for k in ("abstract", "fulltext")}, "output": {"directory": str(tmp_path / "out")}})
     stats = Review(spark, config, Client(), lambda _s, _c: found, csv_folder=str(folder)).run("full")
     assert asked == [("abstract", "1", True), ("fulltext", "1", True)] and stats["included_studies"] == 1
+
+
+def test_documents_are_streamed(spark, tmp_path):
+    rows = [(k, "é \"q\"\n" + "x" * k, None if k % 2 else [k]) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, t string, a array<int>").repartition(7)
+    sinks.nested(df, "studies", f"{tmp_path}/a.json", ["k"])
+    got = json.loads((tmp_path / "a.json").read_text())
+    assert got["studies"] == [{"k": k, "t": t, "a": a} for k, t, a in rows] and len(got["timestamp"]) == 19
+    sinks.nested(df.where("k < 0"), None, f"{tmp_path}/a.json", ["k"])
+    assert json.loads((tmp_path / "a.json").read_text()) == []
+    sinks.nested(df.where("k = 3"), None, f"{tmp_path}/a.json", ["k"], keep_nulls=False)
+    assert json.loads((tmp_path / "a.json").read_text()) == [{"k": 3, "t": rows[3][1]}]
+    assert [p.name for p in tmp_path.iterdir()] == ["a.json"]
