@@ -51,20 +51,35 @@ def _by_pos(a: Column, b: Column) -> Column:
 
 
 def nimads_studyset(studies: DataFrame, set_id: str, name: str = "studyset") -> DataFrame:
-    """The document, one row. It is one value by its format: its size is that of
-    the included studies of one review."""
+    """The document as one row, for a set that fits one; a review writes its document
+    from ``nimads_studies`` as a stream."""
     rows = nimads_studies(studies).agg(F.array_sort(F.collect_list(F.struct("pos", "study")), _by_pos).alias("s"))
     none = F.lit(None).cast("string")
     return rows.select(F.lit(set_id).alias("id"), F.lit(name).alias("name"), none.alias("description"), none.alias("publication"), none.alias("doi"), none.alias("pmid"), F.transform("s", lambda x: x["study"]).alias("studies"))
 
 
-def nimads_annotation(notes: DataFrame, names: list[str], annotation_id: str, set_id: str, name: str) -> DataFrame:
-    """The annotation document of wide notes (analysis_id and a column for each name).
-    Ids are cleaned as those of the study set are."""
-    notes = notes.withColumn("analysis_id", analysis_name(F.col("analysis_id")))
+def studyset_facts(set_id: str, name: str = "studyset") -> dict:
+    """What the study set's document says beside its studies."""
+    return {"id": set_id, "name": name, "description": None, "publication": None, "doi": None, "pmid": None}
+
+
+def annotation_facts(names: list[str], annotation_id: str, set_id: str, name: str) -> dict:
+    """What the annotation's document says beside its notes."""
+    return {"id": annotation_id, "name": name, "description": None, "metadata": None, "note_keys": {n: "boolean" for n in names}, "studyset": set_id}
+
+
+def note_rows(notes: DataFrame, names: list[str], annotation_id: str) -> DataFrame:
+    """(analysis, note, annotation) of wide notes (analysis_id and a column for each
+    name). Ids are cleaned as those of the study set are."""
     note = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"`{n}`"))])
-    row = F.struct(F.col("analysis_id").alias("analysis"), note.alias("note"), F.lit(annotation_id).alias("annotation"))
-    rows = notes.agg(F.array_sort(F.collect_list(F.struct(F.col("analysis_id").alias("k"), F.to_json(row).alias("v")))).alias("n"))
+    return notes.select(analysis_name(F.col("analysis_id")).alias("analysis"), note.alias("note"), F.lit(annotation_id).alias("annotation"))
+
+
+def nimads_annotation(notes: DataFrame, names: list[str], annotation_id: str, set_id: str, name: str) -> DataFrame:
+    """The annotation document of wide notes as one row, for notes that fit one; a review
+    writes its document from ``note_rows`` as a stream."""
+    row = F.to_json(F.struct("analysis", "note", "annotation"))
+    rows = note_rows(notes, names, annotation_id).agg(F.array_sort(F.collect_list(F.struct(F.col("analysis").alias("k"), row.alias("v")))).alias("n"))
     schema = "struct<analysis:string,note:map<string,boolean>,annotation:string>"
     keys = F.create_map(*[x for n in names for x in (F.lit(n), F.lit("boolean"))])
     none = F.lit(None).cast("string")

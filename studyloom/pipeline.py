@@ -242,17 +242,21 @@ class Review:
         if self.config.output.nimads:
             rows = export.exportable(studies, self.config.output.export_excluded_studies)
             set_id = time.strftime("%Y%m%d_%H%M%S")
-            sinks.json_row(export.nimads_studyset(rows, set_id), self.path("nimads_studyset.json"))
+            flat = export.nimads_studies(rows).select("pos", "study.*")
+            sinks.enclosed(flat, export.studyset_facts(set_id), "studies", self.path("nimads_studyset.json"), [F.col("pos"), F.col("id")], flat.columns[1:])
             analyses = annotation.explode_analyses(rows).select("analysis_id")
             names = [r["annotation_name"] for r in decisions.select("annotation_name").distinct().orderBy("annotation_name").collect()] if decisions is not None else []
             if names:  # annotation names come from the configuration: a handful
-                notes = annotation.notes(decisions, analyses, names)
-                sinks.json_row(export.nimads_annotation(notes, names, "annotations", set_id, "annotations"), self.path("nimads_annotation.json"))
+                self.write_notes(annotation.notes(decisions, analyses, names), names, set_id, "annotations")
             else:
-                made = export.nimads_annotation(export.default_notes(rows), ["all_analyses"], "annotations", set_id, "replication_annotations")
-                sinks.json_row(made, self.path("nimads_annotation.json"), as_list=True)
+                self.write_notes(export.default_notes(rows), ["all_analyses"], set_id, "replication_annotations", as_list=True)
         return counts
 
+    def write_notes(self, notes: DataFrame, names: list[str], set_id: str, name: str, as_list: bool = False) -> None:
+        rows = export.note_rows(notes, names, "annotations")
+        facts = export.annotation_facts(names, "annotations", set_id, name)
+        sinks.enclosed(rows, facts, "notes", self.path("nimads_annotation.json"), [F.col("analysis"), F.to_json("note")], rows.columns, as_list)
+
     def export_tables(self, studies: DataFrame, decisions: DataFrame | None) -> None:
         """JSON forms of the working tables, for people and other tools."""
         sinks.nested(conform(self.table("search")).select("pmid", "title", "abstract", "authors", "journal", "publication_date", "doi", "keywords", "status", "pmcid"), "studies", self.path("search_results.json"), ["pmid"])

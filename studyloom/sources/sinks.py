@@ -1,14 +1,18 @@
 """Sinks. The working store is Parquet; JSON and CSV are exports.
 
-A document export is one row by its format. It is written beside its place and
-renamed through Hadoop's file system, which also reaches remote stores.
+An export that is one file is put together from parts that Spark has written in
+order, as streams, so neither a row, a task nor the driver holds it. It is written
+beside its place and renamed through Hadoop's file system, which also reaches
+remote stores.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,23 +46,32 @@ def document(df: DataFrame, path: str) -> None:
     fs.delete(sc._jvm.org.apache.hadoop.fs.Path(tmp), True)
 
 
-def nested(df: DataFrame, name: str | None, path: str, order: list[str], keep_nulls: bool = True) -> None:
-    """``{name: [rows], timestamp}`` with rows in order, or the list alone.
-
-    Rows are sorted and written by Spark, a comma before each; the document is put
-    together from these parts as streams, so neither a row nor the driver holds it."""
+def _items(df: DataFrame, order: list[Column], columns: list[str], keep_nulls: bool = True) -> DataFrame:
+    """Rows in order as JSON objects, a comma before each."""
     nulls = {"ignoreNullFields": str(not keep_nulls).lower()}
-    rows = df.orderBy(*[F.asc_nulls_first(c) for c in order]).select(F.concat(F.lit(","), F.to_json(F.struct(*df.columns), nulls)).alias("value"))
+    return df.orderBy(*order).select(F.concat(F.lit(","), F.to_json(F.struct(*columns), nulls)).alias("value"))
+
+
+def nested(df: DataFrame, name: str | None, path: str, order: list[str], keep_nulls: bool = True) -> None:
+    """``{name: [rows], timestamp}`` with rows in order, or the list alone."""
+    rows = _items(df, [F.asc_nulls_first(c) for c in order], df.columns, keep_nulls)
     now = df.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
     head, tail = ("[", "]") if name is None else (f'{{"{name}": [', f'], "timestamp": "{now}"}}')
     streamed(rows, path, head, tail + "\n", 1)
 
 
-def streamed(rows: DataFrame, path: str, head: str, tail: str, skip: int = 0) -> None:
+def enclosed(df: DataFrame, facts: dict[str, Any], name: str, path: str, order: list[Column], columns: list[str], as_list: bool = False) -> None:
+    """``facts`` with the rows of ``df`` (``columns`` of it) in order as the list
+    ``name``, or a list of that one object."""
+    head, tail = json.dumps({**facts, name: []})[:-2], "]}"
+    streamed(_items(df, order, columns), path, f"[{head}" if as_list else head, f"{tail}]\n" if as_list else f"{tail}\n", 1)
+
+
+def streamed(rows: DataFrame, path: str, head: str, tail: str, skip: int = 0, kind: str = "text", **options: str) -> None:
     """One file of ``head``, the lines of ``rows`` in order but for the first ``skip``
     bytes, and ``tail``. What was there before stays until the new file is whole."""
     tmp = f"{path}.{uuid.uuid4().hex}"
-    rows.write.text(f"{tmp}/rows")
+    rows.write.format(kind).options(**options).save(f"{tmp}/rows")
     sc, place, fs = _fs(rows, path)
     jvm = sc._jvm
     whole = jvm.org.apache.hadoop.fs.Path(f"{tmp}/whole")
@@ -88,14 +101,9 @@ def json_row(df: DataFrame, path: str, as_list: bool = False) -> None:
 
 
 def csv_file(df: DataFrame, path: str) -> None:
-    """One CSV file in the frame's order, booleans as True and False."""
+    """One CSV file in the frame's order, booleans as True and False, quotes doubled."""
     made = df.select(*[F.when(F.col(c), "True").when(~F.col(c), "False").alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes])
-    tmp = f"{path}.{uuid.uuid4().hex}"
-    made.coalesce(1).write.csv(tmp, header=True)
-    sc, place, fs = _fs(df, path)
-    part = next(s.getPath() for s in fs.listStatus(sc._jvm.org.apache.hadoop.fs.Path(tmp)) if s.getPath().getName().startswith("part-"))
-    _replace(df, fs.makeQualified(part), fs.makeQualified(place))
-    fs.delete(sc._jvm.org.apache.hadoop.fs.Path(tmp), True)
+    streamed(made, path, ",".join(df.columns) + "\n", "", kind="csv", escape='"')
 
 
 def by_table(parsed: DataFrame, path: str) -> None:
@@ -105,14 +113,14 @@ def by_table(parsed: DataFrame, path: str) -> None:
     rows = parsed.groupBy("table_id").agg(F.coalesce(F.max("payload"), F.lit("null")).alias("value"))
     rows.write.mode("overwrite").partitionBy("table_id").text(f"{path}/tables")
     key = F.regexp_replace(F.to_json(F.array("table_id")), r"^\[|\]$", "")
-    items = rows.where("table_id is not null").agg(F.array_join(F.array_sort(F.collect_list(F.concat(key, F.lit(": "), "value"))), ", ").alias("v"))
-    document(items.select(F.concat(F.lit("{"), "v", F.lit("}"))), f"{path}/all_results.json")
+    items = rows.where("table_id is not null").orderBy("table_id").select(F.concat(F.lit(","), key, F.lit(": "), "value").alias("value"))
+    streamed(items, f"{path}/all_results.json", "{", "}\n", 1)
 
 
 def lines(df: DataFrame, column: str, path: str) -> None:
-    """One column, in its order, a value on each line."""
-    rows = df.agg(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n"))
-    document(rows, path)
+    """One column, in its order, a value on each line; nulls go."""
+    rows = df.select(F.col(column).cast("string").alias("value")).where("value is not null").orderBy("value")
+    streamed(rows, path, "", "")
 
 
 def new_version(df: DataFrame, path: str) -> None:

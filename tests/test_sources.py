@@ -1,5 +1,6 @@
 """Sources, sinks, configuration, command line, pipeline, streaming: round trips."""
 
+import csv
 import json
 
 import pytest
@@ -338,3 +339,34 @@ def test_single_analyses(spark, tmp_path):
     some = spark.createDataFrame([(str(k), k, True) for k in (15, 11, 13, 14)], "pmid string, pmcid long, retrieval_in_scope boolean")
     CsvFolderRetriever(str(tmp_path), lambda ids: asked.extend(r["pmcid"] for r in ids.collect()), 2).retrieve(conform(some))
     assert sorted(asked) == [13, 14]
+
+
+def test_exports_are_streamed(spark, tmp_path):
+    """Parts of many tasks in one file, in order; empty frames; a value of several lines; ties."""
+    from pyspark.sql import functions as F
+
+    from studyloom.operators import export
+    from studyloom.sources import sinks
+
+    many = spark.range(500, numPartitions=7).select((F.col("id") * 37 % 500).alias("k"), F.concat(F.lit('a,"b"\n'), F.col("id").cast("string")).alias("v"), (F.col("id") % 2 == 0).alias("even"))
+    sinks.csv_file(many.orderBy("k"), str(tmp_path / "all.csv"))
+    rows = list(csv.reader((tmp_path / "all.csv").open(newline="")))
+    assert rows[0] == ["k", "v", "even"] and [int(r[0]) for r in rows[1:]] == list(range(500)) and {r[2] for r in rows[1:]} == {"True", "False"}
+    sinks.csv_file(many.where("k < 0"), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_text() == "k,v,even\n"
+
+    sinks.lines(many.select(F.format_string("%03d", "k").alias("k")), "k", str(tmp_path / "all.txt"))
+    assert (tmp_path / "all.txt").read_text().split() == [f"{k:03}" for k in range(500)]
+    sinks.lines(many.where("k < 0"), "k", str(tmp_path / "none.txt"))
+    assert (tmp_path / "none.txt").read_text() == ""
+
+    for name, rows, as_list in (("all", many, False), ("list", many, True), ("none", many.where("k < 0"), True)):
+        sinks.enclosed(rows, {"id": 'x"', "other": None}, "rows", str(tmp_path / f"{name}.json"), [F.col("k")], ["k", "v"], as_list)
+        got = json.loads((tmp_path / f"{name}.json").read_text())
+        got = got[0] if as_list else got
+        assert (got["id"], got["other"], [r["k"] for r in got["rows"]]) == ('x"', None, [] if name == "none" else list(range(500)))
+
+    notes = spark.createDataFrame([("b", True), ("a'", False), ("a", False), ("a", False)], "analysis_id string, m boolean")
+    assert [(r["analysis"], r["note"]["m"]) for r in export.note_rows(notes, ["m"], "n").orderBy("analysis").collect()] == [("a", False)] * 3 + [("b", True)]
+    sinks.by_table(spark.createDataFrame([("t2", '{"a":\n1}'), ("t1", None), ("t2", None)], "table_id string, payload string"), str(tmp_path))
+    assert json.loads((tmp_path / "all_results.json").read_text()) == {"t1": None, "t2": {"a": 1}}
