@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions import coords, html, text
 from studyloom.functions import status as st
 from studyloom.operators import annotation, cbma, export, relational, report, retrieval, screening
-from studyloom.plans import views
-from studyloom.plans.views import table, with_views
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *needed: str) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL over the views it needs."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = with_views(sql, *needed) if needed else sql
-        return f
-
-    return add
-
+from studyloom.plans import records, views  # noqa: F401 (records registers its queries)
+from studyloom.plans.registry import QUERIES, SQL, Query, query
+from studyloom.plans.views import table
 
 def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
@@ -349,7 +331,15 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.cleaned(F.col("html")).alias("html"))
 
 
-@query()
+# Pieces from one opening tag to the next, each cut at its own closing tag.
+_OPENED = f"""regexp_replace({HTML_SQL}, '(?is)<(p|h[1-6])(?:\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'g')"""
+_PIECE = "regexp_replace(regexp_replace(substr(x, strpos(x, chr(2)) + 1), '(?is)</' || substr(x, 1, strpos(x, chr(2)) - 1) || '\\s*>.*', ''), '(?s)<[^>]*>', '', 'g')"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+    _PIECE = f"replace({_PIECE}, '&{_name};', '{_char}')"
+_TEXT_SQL = f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_OPENED}, chr(1))[2:], lambda x: regexp_replace({_PIECE}, '^\\s+|\\s+$', '', 'g')), lambda t: t <> ''), chr(10) || chr(10)) AS text FROM pages"
+
+
+@query(_TEXT_SQL)
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.paragraphs(F.col("html")).alias("text"))
 
@@ -403,7 +393,7 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 _named_sql = "SELECT study_id, analysis_id, CASE WHEN pos % 5 = 0 THEN 'all_studies' WHEN pos % 5 = 1 THEN 'all_abstract' ELSE annotation_name END AS annotation_name, include, pos FROM v_ann"
-_SQL["annotation_upsert"] = _SQL["annotation_upsert"].replace(" , upd AS", f", v_old AS ({_named_sql} WHERE NOT (pos % 4 = 0 AND CAST(study_id AS BIGINT) % 3 = 0)), v_new AS ({_named_sql} WHERE pos % 4 = 0 AND CAST(study_id AS BIGINT) % 3 = 0), upd AS")
+SQL["annotation_upsert"] = SQL["annotation_upsert"].replace(" , upd AS", f", v_old AS ({_named_sql} WHERE NOT (pos % 4 = 0 AND CAST(study_id AS BIGINT) % 3 = 0)), v_new AS ({_named_sql} WHERE pos % 4 = 0 AND CAST(study_id AS BIGINT) % 3 = 0), upd AS")
 
 
 @query(
@@ -706,8 +696,8 @@ def model_tables_udtf(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -370,3 +370,28 @@ def test_exports_are_streamed(spark, tmp_path):
     assert [(r["analysis"], r["note"]["m"]) for r in export.note_rows(notes, ["m"], "n").orderBy("analysis").collect()] == [("a", False)] * 3 + [("b", True)]
     sinks.by_table(spark.createDataFrame([("t2", '{"a":\n1}'), ("t1", None), ("t2", None)], "table_id string, payload string"), str(tmp_path))
     assert json.loads((tmp_path / "all_results.json").read_text()) == {"t1": None, "t2": {"a": 1}}
+
+
+def test_table_functions(spark):
+    """Null, empty and broken documents give no rows; positions run on; names may clash."""
+    from studyloom import sql
+
+    sql.register(spark)
+    sql.register(spark)  # again: no error
+    payload = '{"analyses": [{"name": "a", "points": [{"coordinates": [1, 2, 3], "values": [{"value": "n.s."}, {"value": "2.5"}]}, {"coordinates": [1, null, 3]}, {"coordinates": null}]}, {"name": null}]}'
+    answers = spark.createDataFrame([(1, payload), (2, None), (3, ""), (4, "[1"), (5, '{"analyses": []}')], "pos int, payload string")
+    got = spark.sql("SELECT a.pos AS k, p.* FROM {a} AS a, LATERAL parse_analyses(a.payload) AS p ORDER BY k, p.pos", a=answers).collect()
+    assert [(r["k"], r["pos"], r["name"], len(r["points"])) for r in got] == [(1, 0, "a", 1), (1, 1, None, 0)]
+    assert [(v["value_text"], v["value_num"]) for v in got[0]["points"][0]["values"]] == [("n.s.", None), ("2.5", 2.5)]
+
+    payload = '{"decisions": [{"analysis_id": " a ", "annotations": [{"annotation_name": "m", "include": "YES"}, {"annotation_name": "n", "include": true}]}, {"analysis_id": "b", "annotations": [{"annotation_name": "m", "include": "so so"}]}, {"analysis_id": "c"}]}'
+    answers = spark.createDataFrame([(1, payload), (2, None), (3, "x")], "k int, payload string")
+    got = spark.sql("SELECT d.* FROM {a} AS a, LATERAL parse_decisions(a.payload) AS d ORDER BY pos", a=answers).collect()
+    assert [tuple(r)[:4] for r in got] == [(0, "a", "m", True), (1, "a", "n", True), (100_000, "b", "m", None)]
+
+    documents = spark.createDataFrame([(1, XML), (2, None), (3, "<broken"), (4, "")], "k int, xml string")
+    got = spark.sql("SELECT d.k, r.* FROM {d} AS d, LATERAL shred_articles(d.xml) AS r", d=documents).orderBy("k", "pmid").collect()
+    assert [(r["k"], r["pmid"], r["error"] is None) for r in got] == [(1, None, True), (1, "1", True), (3, None, False)]
+    assert got[1]["title"] == "A " and [tuple(x) for x in got[1]["authors"]] == [("J", "Doe"), (None, None)]
+    plan = spark.sql("SELECT p.name FROM {a} AS a, LATERAL parse_analyses(a.payload) AS p", a=answers)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Join" not in plan.split("== Physical Plan ==")[1]
