@@ -1,21 +1,26 @@
 """Coordinate-based meta-analysis as DataFrame programs over all columns at once.
 
 Foci have (column, unit, x, y, z) in mm. They are put on a grid, reduced to
-distinct voxels of a unit, spread by a kernel whose offsets are a small fixed
-table, and aggregated by (column, voxel). The voxel key packs i, j, k.
+distinct voxels of a unit and dealt out by unit. A task sums the maps of its units
+on one grid a column (``grids.py``), and these are added by (column, voxel): what is
+shuffled is a row a focus and a grid a task, not a row a voxel of a unit. The voxel
+key packs i, j, k.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions.coords import to_mni
+from studyloom.operators import grids
 from studyloom.session import checkpoints
 
 #: Least corner of the grid in mm, and its size.
@@ -23,10 +28,8 @@ ORIGIN = (-90, -126, -72)
 EXTENT = (180, 216, 180)
 RADIUS = 10.0
 FWHM = 10.0
-#: Bins of the histograms whose convolution is the null distribution of ALE.
-BINS = 8192
-#: Foci that a Monte Carlo task spreads at once.
-DRAWN = 20_000
+#: Steps up to the largest -log(1 - activation) in the null distribution of ALE, and its least bins.
+STEPS, BINS = 256, 8192
 
 
 def voxel(i: Column, j: Column, k: Column) -> Column:
@@ -34,10 +37,11 @@ def voxel(i: Column, j: Column, k: Column) -> Column:
 
 
 def on_grid(foci: DataFrame, step: int) -> DataFrame:
-    """Foci with grid indexes i, j, k; those outside the grid or not finite go."""
-    index = [F.bround((F.col(c) - o) / step).cast("int").alias(n) for c, o, n in zip("xyz", ORIGIN, "ijk")]
-    finite = foci.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < 10000" for c in "xyz"))
-    return _inside(finite.select("*", *index), step)
+    """Foci with grid indexes i, j, k; those outside the grid or not finite go. The
+    indexes come out of a generator, so that the test of them is not pushed below it,
+    where each use would work out the coordinates (text, in some sources) again."""
+    index = [F.bround((F.col(c) - o) / step).try_cast("int").alias(n) for c, o, n in zip("xyz", ORIGIN, "ijk")]
+    return _inside(foci.select("*", F.inline(F.array(F.struct(*index)))), step)
 
 
 def _inside(df: DataFrame, step: int) -> DataFrame:
@@ -76,14 +80,86 @@ def _cells(foci: DataFrame, step: int) -> DataFrame:
     return on_grid(foci, step).select("column", "unit", "i", "j", "k").repartition("column", "unit").distinct()
 
 
-def _maps(foci: DataFrame, step: int, radius: float) -> DataFrame:
-    """(column, unit, voxel, d2) of the voxels near a focus of a unit; d2 is the least."""
-    return spread(_cells(foci, step), step, radius).groupBy("column", "unit", "voxel").agg(F.min("d2").alias("d2"))
+@lru_cache(8)
+def _kernel(step: int, radius: float | None, fwhm: float | None, steps: int | None = None) -> grids.Kernel:
+    """The kernel of a ball, or of a Gaussian as -log(1 - activation), in whole numbers
+    up to ``steps`` if that is given; kept by a process."""
+    shape = [e // step + 1 for e in EXTENT]
+    if fwhm is None:
+        return grids.Kernel(shape, kernel(step, radius), np.ones_like)
+    sigma2, top, reach = gaussian(step, fwhm)
+
+    def values(d2: np.ndarray) -> np.ndarray:
+        found = -np.log1p(-np.minimum(0.999999, top * np.exp(-d2 / (2 * sigma2))))
+        return found if steps is None else np.maximum(1, np.rint(found / found[0] * steps))
+
+    return grids.Kernel(shape, kernel(step, reach), values)
+
+
+def _whole_units(batches):
+    """(column, first, sizes, rows) of rows sorted by column and unit, some whole units of
+    a column at a time: each unit's first row and number of rows. A unit has a row a
+    voxel at most, so what is held back is bounded by the grid."""
+    held: list[pa.RecordBatch] = []
+
+    def parts(rows: pa.Table, last: bool):
+        codes = [rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in ("column", "unit")]
+        new = [np.r_[True, c[1:] != c[:-1]] for c in codes]
+        starts = np.flatnonzero(new[0] | new[1])
+        ends = np.r_[starts[1:], rows.num_rows] if last else starts[1:]
+        runs = np.flatnonzero(new[0][starts[: len(ends)]])
+        for x, y in zip(runs, np.r_[runs[1:], len(ends)]):
+            yield rows["column"][int(starts[x])].as_py(), starts[x:y], ends[x:y] - starts[x:y], rows
+        held[:] = [] if last else rows.slice(int(starts[-1])).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= grids.DRAWN:
+            yield from parts(pa.Table.from_batches(held), False)
+    if sum(b.num_rows for b in held):
+        yield from parts(pa.Table.from_batches(held), True)
+
+
+def _unit_cells(batches, k: grids.Kernel):
+    """(column, rows, at) of sorted cells: units of equal numbers of cells, (n, units)
+    places, with the rows of the input that they are, and that input."""
+    for column, first, sizes, rows in _whole_units(batches):
+        places = k.place(*(rows.column(c).to_numpy() for c in "ijk"))
+        for _, at in grids.by_size(first, sizes, k.limit):
+            yield column, rows, at, places[at]
+
+
+def _summed(foci: DataFrame, step: int, radius: float | None, fwhm: float | None, steps: int | None = None) -> DataFrame:
+    """(column, voxel, stat): the sum of the units' maps; a task has one grid, that of the
+    column at hand."""
+    kind = dict(foci.dtypes)["column"]
+
+    def run(batches):
+        k = _kernel(step, radius, fwhm, steps)
+        at = np.stack(np.unravel_index(np.arange(len(k.cells)), k.shape), 1) @ np.array([1_000_000, 1_000, 1])
+
+        def rows(column, made: grids.Map) -> pa.RecordBatch:
+            total = made.total()
+            some = np.flatnonzero(total > k.values.min() / 2)
+            return pa.RecordBatch.from_arrays([pa.array([column] * len(some), arrow), pa.array(at[some]), pa.array(total[some])], ["column", "voxel", "stat"])
+
+        own = made = arrow = None
+        for column, table, _, places in _unit_cells(batches, k):
+            if made is None or column != own:
+                if made is not None:
+                    yield rows(own, made)
+                own, made, arrow = column, grids.Map(k), table.schema.field("column").type
+            made.add(places)
+        if made is not None:
+            yield rows(own, made)
+
+    cells = _cells(foci, step).sortWithinPartitions("column", "unit")
+    return cells.mapInArrow(run, f"column {kind}, voxel long, stat double").groupBy("column", "voxel").agg(F.sum("stat").alias("stat"))
 
 
 def mkda(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
     """(column, voxel, stat): units with a focus within ``radius``."""
-    return spread(_cells(foci, step), step, radius).select("column", "unit", "voxel").distinct().groupBy("column", "voxel").agg(F.count("*").alias("stat"))
+    return _summed(foci, step, radius, None).withColumn("stat", F.col("stat").cast("long"))
 
 
 def kda(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
@@ -99,16 +175,10 @@ def gaussian(step: int, fwhm: float) -> tuple[float, float, float]:
     return sigma2, step**3 / (2 * math.pi * sigma2) ** 1.5, 3 * math.sqrt(sigma2)
 
 
-def _activation(step: int, fwhm: float) -> Column:
-    sigma2, top, _ = gaussian(step, fwhm)
-    return F.least(F.lit(0.999999), F.lit(top) * F.exp(-F.col("d2") / (2 * sigma2)))
-
-
 def ale(foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
     """(column, voxel, stat): 1 - product over units of (1 - activation), where a
     unit's activation is the largest Gaussian value of its foci."""
-    near = _maps(foci, step, gaussian(step, fwhm)[2])
-    return near.groupBy("column", "voxel").agg((1 - F.exp(F.sum(F.log1p(-_activation(step, fwhm))))).alias("stat"))
+    return _summed(foci, step, None, fwhm).withColumn("stat", 1 - F.exp(-F.col("stat")))
 
 
 ESTIMATORS = {"mkdadensity": mkda, "kda": kda, "ale": ale}
@@ -152,24 +222,32 @@ def estimate(name: str, foci: DataFrame, **given) -> DataFrame:
     return ESTIMATORS[name](foci, **step, **options(name, given)) if name in ESTIMATORS else options(name, given)
 
 
-def binomial_tail(k: int, n: int, p: float) -> float:
-    """Probability of k or more of n."""
-    if k <= 0:
-        return 1.0
+def _log_factorials(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v + 1) for v in x.tolist()])
+
+
+def binomial_tails(k: np.ndarray, n: int, p: float) -> np.ndarray:
+    """Probability of k or more of n, for all ``k`` from one sum that starts at its end."""
     if p <= 0 or p >= 1:
-        return float(p >= 1)
-    most = min(n, int(max(k, n * p) + 40 * math.sqrt(n * p * (1 - p)) + 200))
-    x = np.arange(k, most + 1)
-    terms = [math.lgamma(n + 1) - math.lgamma(v + 1) - math.lgamma(n - v + 1) for v in x.tolist()]
-    return min(1.0, float(np.exp(np.array(terms) + x * math.log(p) + (n - x) * math.log1p(-p)).sum()))
+        return np.where(k <= 0, 1.0, float(p >= 1))
+    most = min(n, int(max(k.max(), n * p) + 40 * math.sqrt(n * p * (1 - p)) + 200))
+    x = np.arange(max(0, k.min()), most + 1)
+    terms = math.lgamma(n + 1) - _log_factorials(x) - _log_factorials(n - x)
+    tails = np.cumsum(np.exp(terms + x * math.log(p) + (n - x) * math.log1p(-p))[::-1])[::-1]
+    return np.where(k <= 0, 1.0, np.minimum(1.0, tails[np.maximum(k, x[0]) - x[0]]))
 
 
-def poisson_tail(k: int, mean: float) -> float:
-    """Probability of k or more events."""
-    if k <= 0:
-        return 1.0
-    x = np.arange(k, int(max(k, mean) + 40 * math.sqrt(mean) + 200) + 1)
-    return min(1.0, float(np.exp(x * math.log(mean) - mean - np.array([math.lgamma(v + 1) for v in x.tolist()])).sum()))
+def poisson_tails(k: np.ndarray, mean: float) -> np.ndarray:
+    """Probability of k or more events, for all ``k``."""
+    x = np.arange(max(0, k.min()), int(max(k.max(), mean) + 40 * math.sqrt(mean) + 200) + 1)
+    tails = np.cumsum(np.exp(x * math.log(mean) - mean - _log_factorials(x))[::-1])[::-1]
+    return np.where(k <= 0, 1.0, np.minimum(1.0, tails[np.maximum(k, x[0]) - x[0]]))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Rows of a grid for each column, written once where they are read several times."""
+    checkpoints(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def _tails(stats: DataFrame, facts: DataFrame, tail) -> DataFrame:
@@ -179,7 +257,8 @@ def _tails(stats: DataFrame, facts: DataFrame, tail) -> DataFrame:
 
     def run(batches):
         for rows in batches:
-            yield pd.DataFrame({"column": rows["column"], "stat": rows["stat"], "p": [tail(r) for r in rows.to_dict("records")]})
+            for _, own in rows.groupby("column"):
+                yield pd.DataFrame({"column": own["column"], "stat": own["stat"], "p": tail(own["stat"].to_numpy(), own.iloc[0])})
 
     kind = dict(stats.dtypes)["column"]
     made = values.mapInPandas(run, f"column {kind}, stat long, p double")
@@ -189,56 +268,112 @@ def _tails(stats: DataFrame, facts: DataFrame, tail) -> DataFrame:
 def mkda_p(stats: DataFrame, foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
     """Adds ``p``: the tail of a binomial over units, whose rate is the mean share of
     the grid that a unit's map covers."""
-    maps = spread(_cells(foci, step), step, radius).select("column", "unit", "voxel").distinct()
-    facts = maps.groupBy("column", "unit").agg(F.count("*").alias("filled")).groupBy("column").agg(F.sum("filled").alias("filled"), F.count("*").alias("units"))
+    stats = _kept(stats)
+    filled = stats.groupBy("column").agg(F.sum("stat").alias("filled"))  # every voxel of a unit's map counts once in a statistic
+    units = on_grid(foci, step).select("column", "unit").distinct().groupBy("column").agg(F.count("*").alias("units"))
     size = grid_size(step)
-    return _tails(stats, facts, lambda r: binomial_tail(int(r["stat"]), int(r["units"]), r["filled"] / r["units"] / size))
+    return _tails(stats, filled.join(units, "column"), lambda k, r: binomial_tails(k, int(r["units"]), r["filled"] / r["units"] / size))
 
 
 def kda_p(stats: DataFrame, foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
     """Adds ``p``: the tail of a Poisson distribution whose mean is the mean count over
     the grid."""
+    stats = _kept(stats)
     facts = stats.groupBy("column").agg(F.sum("stat").alias("foci"))
     size = grid_size(step)
-    return _tails(stats, facts, lambda r: poisson_tail(int(r["stat"]), r["foci"] / size))
+    return _tails(stats, facts, lambda k, r: poisson_tails(k, r["foci"] / size))
+
+
+def _histograms(foci: DataFrame, step: int, fwhm: float) -> DataFrame:
+    """(column, cells, n): how many voxels of a unit's map have each value of the kernel,
+    and how many units have the same numbers."""
+    kind = dict(foci.dtypes)["column"]
+
+    def run(batches):
+        k = _kernel(step, None, fwhm, STEPS)
+        classes = len(k.values)
+        around = np.zeros((k.places, classes), np.int32)
+        for o, c in zip(k.offsets.tolist(), k.of.tolist()):
+            around[k.cells, c] += k.inside[k.cells + o]
+        for column, table, _, at in _unit_cells(batches, k):
+            alone, (focus, shared, low), (unit, place, of) = k.pieces(at)
+            found = (around[at.ravel()] * alone[:, None]).reshape(*at.shape, classes).sum(0)
+            for where, spot, c, sign in ((focus % at.shape[1], shared, low, -1), (unit, place, of, 1)):
+                own = k.inside[spot]
+                found += sign * np.bincount(where[own] * classes + c[own], minlength=found.size).reshape(found.shape)
+            cells, n = np.unique(found, axis=0, return_counts=True)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel().astype(np.int32)), classes).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([column] * len(n), table.schema.field("column").type), lists, pa.array(n)], ["column", "cells", "n"])
+
+    cells = _cells(foci, step).sortWithinPartitions("column", "unit")
+    return cells.mapInArrow(run, f"column {kind}, cells array<int>, n long").groupBy("column", "cells").agg(F.sum("n").alias("n"))
 
 
 def ale_p(stats: DataFrame, foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
     """Adds ``p``: the share of a null distribution at or above the statistic.
 
-    With l = -log(1 - stat), units add up; a unit's l at a random voxel has the
-    histogram of its map, and the null is the convolution of all these histograms.
-    Their Fourier transforms are multiplied, as sums of logarithms, in the tasks
-    that hold the units, so no task sees a whole column. Values below 1e-15 are
-    beyond the precision and are given as 1e-15."""
-    size = grid_size(step)
-    maps = _maps(foci, step, gaussian(step, fwhm)[2]).groupBy("column", "unit", "d2").agg(F.count("*").alias("n"))
-    maps = maps.select("column", "unit", (-F.log1p(-_activation(step, fwhm))).alias("l"), "n")
-    width = stats.groupBy("column").agg((1.5 * F.max(-F.log1p(-F.col("stat"))) / BINS).alias("h"))  # one row a column
-    units = maps.join(width, "column").groupBy("column", "unit").agg(F.collect_list(F.struct(F.least(F.round(F.col("l") / F.col("h")), F.lit(BINS - 1)).cast("int").alias("bin"), "n")).alias("cells"))
-    kind = dict(stats.dtypes)["column"]
+    With l = -log(1 - activation), units add up; here l is a whole number of STEPS up to
+    the kernel's peak, in the voxels' own sums as in the null, so large sums neither
+    reach the end of the doubles near 1 nor drift from the null. A unit's l at a random
+    voxel has the histogram of its map, and the null is the convolution of all these.
+    Their Fourier transforms are multiplied, as sums of logarithms, once for units with
+    equal histograms, at the frequencies where the product can exceed exp(-60). The
+    transforms' rounding leaves some 1e-12 of noise; 1e-15 is the least value given."""
+    size, kind = grid_size(step), dict(stats.dtypes)["column"]
+    sums = _kept(_summed(foci, step, None, fwhm, STEPS).withColumn("stat", F.col("stat").cast("long")))
+    units = _kept(_histograms(foci, step, fwhm))
+    values = _kernel(step, None, fwhm, STEPS).values
+    covered = F.aggregate("cells", F.lit(0), lambda x, y: x + y)
+    facts = units.groupBy("column").agg(F.array(*[F.sum(F.col("n") * F.col("cells")[c] * (size - covered) / size / size) for c in range(len(values))]).alias("rates"))
+    bins, used = {}, {}
+    for r in facts.join(sums.groupBy("column").agg(F.max("stat").alias("top")), "column").collect():  # a row a column
+        n = bins[r["column"]] = max(BINS, 1 << math.ceil(math.log2(1.5 * r["top"])))
+        some = []
+        for first in range(0, n // 2 + 1, 65536):
+            k = np.arange(first, min(first + 65536, n // 2 + 1))
+            some.append(k[sum(a * (1 - np.cos(2 * np.pi * k * v / n)) for a, v in zip(r["rates"], values)) < 60])
+        used[r["column"]] = np.concatenate(some)
+
+    def factors(cells: np.ndarray, wave: np.ndarray) -> np.ndarray:
+        return 1 + cells @ wave.real + 1j * (cells @ wave.imag)
 
     def transforms(batches):
-        sums: dict = {}
-        for rows in batches:
-            for column, cells in zip(rows["column"], rows["cells"]):
-                hist = np.zeros(BINS)
-                np.add.at(hist, [c["bin"] for c in cells], [c["n"] / size for c in cells])
-                hist[0] += 1 - hist.sum()
-                got = np.log(np.fft.rfft(hist) + 1e-300)
-                sums[column] = sums[column] + got if column in sums else got
-        for column, got in sums.items():
-            yield pd.DataFrame({"column": column, "k": np.arange(len(got)), "re": got.real, "im": got.imag})
-
-    def nulls(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        density = np.clip(np.fft.irfft(np.exp(rows["re"].to_numpy() + 1j * rows["im"].to_numpy()), BINS), 0, None)
-        return pd.DataFrame({"column": rows["column"].iloc[0], "bin": np.arange(BINS), "p": np.clip(np.cumsum(density[::-1])[::-1], 1e-15, 1)})
-
-    parts = units.select("column", "cells").mapInPandas(transforms, f"column {kind}, k int, re double, im double")
-    null = parts.groupBy("column", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).groupBy("column").applyInPandas(nulls, f"column {kind}, bin int, p double")
-    placed = stats.join(width, "column").withColumn("bin", F.least(F.round(-F.log1p(-F.col("stat")) / F.col("h")), F.lit(BINS - 1)).cast("int"))
-    return placed.join(null, ["column", "bin"]).select(*stats.columns, "p")
+        own = total = None
+        for batch in batches:
+            for column, rows in batch.to_pandas().groupby("column", sort=False):
+                if total is None or column != own:
+                    if total is not None:
+                        yield made(own, total)
+                    own, total = column, 0
+                    wave = np.exp(-2j * np.pi * (used[own] * values[:, None] % bins[own]) / bins[own]) - 1
+                cells, n = np.stack(rows["cells"]) / size, rows["n"].to_numpy(float)
+                some = np.flatnonzero(n > 4)
+                few = np.repeat(np.flatnonzero(n <= 4), rows["n"][n <= 4])  # multiplied first: a logarithm takes longer
+                for x in range(0, len(some), 32):
+                    total = total + n[some[x : x + 32]] @ np.log(factors(cells[some[x : x + 32]], wave) + 1e-300)
+                for x in range(0, len(few), 32):
+                    total = total + np.log(factors(cells[few[x : x + 32]], wave).prod(0) + 1e-300)
+        if total is not None:
+            yield made(own, total)
+
+    def made(column, total) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(pd.DataFrame({"column": column, "k": used[column], "re": total.real, "im": total.imag}), preserve_index=False)
+
+    def nulls(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"column": [], "stat": [], "p": []})
+        n = bins[rows["column"].iloc[0]]
+        wave = np.zeros(n // 2 + 1, complex)
+        wave[rows["k"]] = np.exp(rows["re"].to_numpy() + 1j * rows["im"].to_numpy())
+        tail = np.cumsum(np.clip(np.fft.irfft(wave, n), 0, None)[::-1])[::-1]
+        return pd.DataFrame({"column": asked["column"], "stat": asked["stat"], "p": np.clip(tail[asked["stat"]], 1e-15, 1)})
+
+    tasks = int(foci.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.repartition(tasks, "column", "cells").sortWithinPartitions("column")
+    parts = dealt.mapInArrow(transforms, f"column {kind}, k long, re double, im double").groupBy("column", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    null = parts.groupBy("column").cogroup(sums.select("column", "stat").distinct().groupBy("column")).applyInPandas(nulls, f"column {kind}, stat long, p double")
+    found = sums.join(null, ["column", "stat"]).select("column", "voxel", "p")
+    return stats.join(found, ["column", "voxel"]).select(*stats.columns, "p")
 
 
 P_VALUES = {"mkdadensity": mkda_p, "kda": kda_p, "ale": ale_p}
@@ -274,38 +409,22 @@ def bonferroni(tests: DataFrame, p: str = "p", by: tuple[str, ...] = ("column",)
 
 def drawn_map(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random.Generator, radius: float = RADIUS, fwhm: float = FWHM) -> np.ndarray:
     """The statistic on the grid after foci are drawn at random for units of ``sizes``
-    (foci of a unit, units). Units are spread some at a time onto one grid, so memory
-    does not grow with them."""
-    shape = np.array([e // step + 1 for e in EXTENT])
-    sigma2, top, reach = gaussian(step, fwhm)
-    r = reach if name == "ale" else radius
-    span = np.arange(-int(r // step), int(r // step) + 1)
-    ball = np.stack(np.meshgrid(span, span, span, indexing="ij"), -1).reshape(-1, 3)
-    d2 = (ball**2).sum(1) * step * step
-    ball, d2 = ball[d2 <= r * r], d2[d2 <= r * r].astype(float)
-    cells = math.prod(shape.tolist())
-    grid = np.zeros(cells)
+    (foci of a unit, units). Units are drawn some at a time onto one grid, so memory
+    does not grow with them, and most of their foci are only counted by place; units of
+    one focus are counts of the grid's voxels, drawn as such if they are many."""
+    k = _kernel(step, None, fwhm) if name == "ale" else _kernel(step, radius, None)
+    made, cells = grids.Map(k), len(k.cells)
+    if name == "kda":  # foci of a unit don't meet
+        sizes = [(1, sum(n * units for n, units in sizes))]
     for n, units in sizes:
-        each = max(1, DRAWN // n)
+        if n == 1 and units > 4 * cells:
+            made.counts[k.cells] += rng.multinomial(units, np.full(cells, 1 / cells))
+            continue
+        each = max(1, grids.DRAWN // n) if n <= k.limit else grids.TOGETHER
         for first in range(0, units, each):
-            m = min(each, units - first)
-            at = rng.integers(0, shape, (m * n, 3))[:, None, :] + ball[None, :, :]
-            ok = ((at >= 0) & (at < shape)).all(2)
-            place = (at[..., 0] * shape[1] + at[..., 1]) * shape[2] + at[..., 2]
-            if name == "kda":
-                grid += np.bincount(place[ok], minlength=cells)
-                continue
-            key = (np.repeat(np.arange(m), n)[:, None] * cells + place)[ok]
-            if name == "mkdadensity":
-                grid += np.bincount(np.unique(key) % cells, minlength=cells)
-                continue
-            near = np.broadcast_to(d2, ok.shape)[ok]
-            order = np.lexsort((near, key))
-            key, near = key[order], near[order]
-            lead = np.r_[True, key[1:] != key[:-1]]
-            value = np.minimum(0.999999, top * np.exp(-near[lead] / (2 * sigma2)))
-            grid -= np.bincount(key[lead] % cells, np.log1p(-value), cells)
-    return (1 - np.exp(-grid) if name == "ale" else grid).reshape(shape)
+            made.add(k.cells[rng.integers(0, cells, (n, min(each, units - first)), np.int32)])
+    total = made.total()
+    return (1 - np.exp(-total) if name == "ale" else total).reshape(k.shape)
 
 
 def largest(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random.Generator, **given) -> float:
@@ -342,13 +461,15 @@ def largest_clusters(grid: np.ndarray, level: float) -> tuple[int, float]:
 
 
 
-def _draws(foci: DataFrame, estimator: str, n_iters: int, step: int) -> DataFrame:
+def _draws(foci: DataFrame, estimator: str, n_iters: int, step: int, facts: DataFrame | None = None) -> DataFrame:
     """(column, sizes, it): a row for each column and iteration. Places are drawn at
     random, so an iteration depends on nothing but how many units have how many foci:
-    that table, of one row for each number, is what the tasks get."""
+    that table, of one row for each number, is what the tasks get. ``facts`` adds a row
+    a column before iterations are dealt out."""
     cells = on_grid(foci, step).select("column", "unit", "i", "j", "k")
     per_unit = (cells if estimator == "kda" else cells.distinct()).groupBy("column", "unit").agg(F.count("*").alias("n"))
     sizes = per_unit.groupBy("column", "n").agg(F.count("*").alias("units")).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("n", "units"))).alias("sizes"))
+    sizes = _kept(sizes if facts is None else sizes.join(facts, "column"))
     tasks = int(foci.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sizes.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(n_iters)))).repartition(tasks, "column", "it")
 
@@ -374,8 +495,10 @@ def montecarlo(foci: DataFrame, stats: DataFrame, estimator: str = "mkdadensity"
 
     kind = dict(stats.dtypes)["column"]
     tops = _draws(foci, estimator, n_iters, step).mapInPandas(run, f"column {kind}, top double").groupBy("column").agg(F.collect_list("top").alias("tops"))
+    stats = _kept(stats)
     at_least = F.size(F.filter("tops", lambda t: t >= F.col("stat")))
-    return stats.join(tops, "column").withColumn("q", (1 + at_least) / (1 + F.size("tops"))).drop("tops")
+    values = stats.select("column", "stat").distinct().join(tops, "column").select("column", "stat", ((1 + at_least) / (1 + F.size("tops"))).alias("q"))
+    return stats.join(values, ["column", "stat"]).select(*stats.columns, "q")
 
 
 def montecarlo_clusters(foci: DataFrame, tests: DataFrame, estimator: str = "mkdadensity", n_iters: int = 1000, step: int = 4, seed: int = 0, voxel_p: float = 0.001, **given) -> DataFrame:
@@ -384,7 +507,7 @@ def montecarlo_clusters(foci: DataFrame, tests: DataFrame, estimator: str = "mkd
     least of them by; the q are shares of iterations, this one counted, with a cluster
     as large. A column without such voxels has no rows."""
     named = options(estimator, given)
-    above = tests.where(F.col("p") < voxel_p)
+    above = _kept(tests.where(F.col("p") < voxel_p))
     levels = above.groupBy("column").agg(F.min("stat").cast("double").alias("level"))  # a row a column
 
     def run(batches):
@@ -393,7 +516,7 @@ def montecarlo_clusters(foci: DataFrame, tests: DataFrame, estimator: str = "mkd
             yield pd.DataFrame({"column": rows["column"], "size": [t[0] for t in tops], "mass": [t[1] for t in tops]})
 
     kind = dict(tests.dtypes)["column"]
-    drawn = _draws(foci, estimator, n_iters, step).join(levels, "column").mapInPandas(run, f"column {kind}, size long, mass double")
+    drawn = _draws(foci, estimator, n_iters, step, levels).mapInPandas(run, f"column {kind}, size long, mass double")
     null = drawn.groupBy("column").agg(F.collect_list("size").alias("sizes"), F.collect_list("mass").alias("masses"))
     named_voxels = above.join(clusters(above), ["column", "voxel"]).join(levels, "column")
     found = named_voxels.groupBy("column", "cluster").agg(F.count("*").alias("size"), F.sum(F.col("stat") - F.col("level")).alias("mass"))
