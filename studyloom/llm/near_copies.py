@@ -9,15 +9,16 @@ of the BANDS buckets with probability (1 - s**ROWS)**BANDS, 1.5e-5 at 0.8. Pairs
 whose fingerprints differ in more than FAR bits, 6 deviations beyond 0.8, are not
 confirmed.
 
-Rows with equal shingle sets are one node. A bucket never gives all its pairs:
-every node meets a few pivots of each of its buckets, so the work grows with the
-rows of the buckets, never with the square of a group. In the first round the
+Rows with equal shingle sets are one node. A bucket doesn't give all its pairs:
+every node meets a few pivots of each of its buckets first, so a group of copies
+is joined by work that grows with its rows, not with their square. In the first round the
 pivot is the node with the most links so far (the text that others are copies
 of). Buckets that still hold several components go through a second round with
-PIVOTS pivots, which compares buckets of PIVOTS + 1 nodes whole. In a larger
-bucket whose nodes are all alike but below the threshold, two nodes may miss each
-other; at 0.8 they have 9 buckets in common on average, each with pivots of its
-own. The README has the recall that was measured against all pairs.
+PIVOTS pivots. In what then still holds several components, all pairs of nodes of
+different components meet that have not met, in blocks of CHUNK nodes a side, so
+no bucket leaves out a pair that could join two components. That last step alone
+can grow with the square of a bucket: one whose nodes are all alike but below the
+threshold; it is dealt out by blocks, and no task holds more than one.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 28, 5
 #: Pivots of a bucket in the second round.
 PIVOTS = 2
+#: Nodes of a side of a block when the rest of a bucket is compared.
+CHUNK = 1000
 FAR = 27
 _RNG = np.random.default_rng(SEED)
 _FLIP, _ODD = (_RNG.integers(0, 2**64 - 1, BANDS * ROWS, np.uint64, endpoint=True) for _ in range(2))
@@ -148,12 +151,39 @@ def links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     rows = members.join(degree, "node", "left").select("bucket", "node", "n", "fp", F.col("node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
     first = materialise(_met(rows, 1).join(seeds, ["a", "b"], "left_anti"), "pairs")
     found = materialise(found.union(confirmed(first, sets)), "links")
-    label = components(found)
-    rows = members.join(label, "node", "left").select("bucket", "node", "n", "fp", F.coalesce("root", "node").alias("root"), F.lit(0).alias("degree"))
-    rows = materialise(rows, "labelled")
+    rows = _labelled(members, found)
+    second = materialise(_met(_mixed(rows), PIVOTS).join(seeds.union(first), ["a", "b"], "left_anti"), "pairs")
+    found = materialise(found.union(confirmed(second, sets)), "links")
+    rest = _mixed(_labelled(members, found))
+    if not rest.take(1):
+        return found
+    third = _blocks(rest).join(seeds.union(first).union(second), ["a", "b"], "left_anti")
+    return materialise(found.union(confirmed(materialise(third, "pairs"), sets)), "links")
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the buckets with the root of each node by the links ``found``."""
+    rows = members.join(components(found), "node", "left").select("bucket", "node", "n", "fp", F.coalesce("root", "node").alias("root"), F.lit(0).alias("degree"))
+    return materialise(rows, "labelled")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-    second = _met(rows.join(mixed, "bucket", "left_semi"), PIVOTS).join(seeds.union(first), ["a", "b"], "left_anti")
-    return materialise(found.union(confirmed(materialise(second, "pairs"), sets)), "links")
+    return rows.join(mixed, "bucket", "left_semi")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(a, b): all likely pairs of nodes of a bucket with different roots. A bucket's
+    nodes are dealt into parts by hash, some CHUNK a part; a block is a pair of parts."""
+    parts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    dealt = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = dealt.withColumn("q", every).where("part <= q").select("bucket", F.col("part").alias("p"), "q", "node", "n", "fp", "root")
+    two = dealt.withColumn("p", every).where("p <= part").select("bucket", "p", F.col("part").alias("q"), *[F.col(c).alias(f"{c}_") for c in ("node", "n", "fp", "root")])
+    near = one.join(two, ["bucket", "p", "q"]).where((F.col("root") != F.col("root_")) & ((F.col("p") < F.col("q")) | (F.col("node") < F.col("node_"))))
+    near = near.where(_likely(F.col("n"), F.col("n_"), F.col("fp"), F.col("fp_")))
+    return near.select(*_ordered(F.col("node"), F.col("node_"))).distinct()
 
 
 def _met(rows: DataFrame, pivots: int) -> DataFrame:
