@@ -16,9 +16,13 @@ pivot is the node with the most links so far (the text that others are copies
 of). Buckets that still hold several components go through a second round with
 PIVOTS pivots. In what then still holds several components, all pairs of nodes of
 different components meet that have not met, in blocks of CHUNK nodes a side, so
-no bucket leaves out a pair that could join two components. That last step alone
-can grow with the square of a bucket: one whose nodes are all alike but below the
-threshold; it is dealt out by blocks, and no task holds more than one.
+no bucket leaves out a pair that could join two components. Blocks compare parities
+first: of each set PARITY bits, each the parity of the shingles that fall on it. Two
+parities differ in no more bits than their sets have shingles apart, so a pair that
+differs in more than the threshold allows is none, for certain; only the others meet
+as whole sets. What can grow with the square of a bucket, one whose nodes are all
+alike but below the threshold, is that comparison of bits; it is dealt out by blocks,
+and no task holds more than one.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ PIVOTS = 2
 #: Nodes of a side of a block when the rest of a bucket is compared.
 CHUNK = 1000
 FAR = 27
+#: Bits of a parity, a multiple of 64.
+PARITY = 512
 _RNG = np.random.default_rng(SEED)
 _FLIP, _ODD = (_RNG.integers(0, 2**64 - 1, BANDS * ROWS, np.uint64, endpoint=True) for _ in range(2))
 _ODD |= np.uint64(1)
@@ -72,6 +78,12 @@ def buckets_of(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
 
 
+def parity_of(found: np.ndarray) -> np.ndarray:
+    """PARITY bits, each whether an odd number of hashes fall on it."""
+    odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _lists(made: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(flat))
@@ -112,6 +124,17 @@ def whole_sets(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return rows.select(text).mapInArrow(lambda batches: _each(batches, columns), "node long, set array<long>").dropDuplicates(["node"])
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """(node, odd) of ``sets`` (node, set)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [s.values.to_numpy().view(np.uint64) for s in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([parity_of(s) for s in found])], ["node", "odd"])
+
+    return sets.mapInArrow(run, "node long, odd array<long>")
+
+
 def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -122,6 +145,13 @@ def _likely(n: Column, m: Column, fp: Column, other: Column) -> Column:
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (F.bit_count(fp.bitwiseXOR(other)) <= FAR)
 
 
+def _apart(n: Column, m: Column, odd: Column, other: Column) -> Column:
+    """Parities differ in more bits than sets of the threshold can."""
+    p, q = LEAST
+    bits = sum((F.bit_count(odd[k].bitwiseXOR(other[k])) for k in range(PARITY // 64)), F.lit(0))
+    return bits * (p + q) > (n + m) * (q - p)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach LEAST."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
@@ -157,7 +187,7 @@ def links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     rest = _mixed(_labelled(members, found))
     if not rest.take(1):
         return found
-    third = _blocks(rest).join(seeds.union(first).union(second), ["a", "b"], "left_anti")
+    third = _blocks(rest.join(parities(sets.join(rest.select("node").distinct(), "node", "left_semi")), "node")).join(seeds.union(first).union(second), ["a", "b"], "left_anti")
     return materialise(found.union(confirmed(materialise(third, "pairs"), sets)), "links")
 
 
@@ -174,15 +204,16 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(a, b): all likely pairs of nodes of a bucket with different roots. A bucket's
-    nodes are dealt into parts by hash, some CHUNK a part; a block is a pair of parts."""
+    """(a, b): all likely pairs of nodes of a bucket with different roots whose parities
+    allow the similarity. A bucket's nodes are dealt into parts by hash, some CHUNK a
+    part; a block is a pair of parts."""
     parts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     dealt = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    one = dealt.withColumn("q", every).where("part <= q").select("bucket", F.col("part").alias("p"), "q", "node", "n", "fp", "root")
-    two = dealt.withColumn("p", every).where("p <= part").select("bucket", "p", F.col("part").alias("q"), *[F.col(c).alias(f"{c}_") for c in ("node", "n", "fp", "root")])
+    one = dealt.withColumn("q", every).where("part <= q").select("bucket", F.col("part").alias("p"), "q", "node", "n", "fp", "root", "odd")
+    two = dealt.withColumn("p", every).where("p <= part").select("bucket", "p", F.col("part").alias("q"), *[F.col(c).alias(f"{c}_") for c in ("node", "n", "fp", "root", "odd")])
     near = one.join(two, ["bucket", "p", "q"]).where((F.col("root") != F.col("root_")) & ((F.col("p") < F.col("q")) | (F.col("node") < F.col("node_"))))
-    near = near.where(_likely(F.col("n"), F.col("n_"), F.col("fp"), F.col("fp_")))
+    near = near.where(_likely(F.col("n"), F.col("n_"), F.col("fp"), F.col("fp_")) & ~_apart(F.col("n"), F.col("n_"), F.col("odd"), F.col("odd_")))
     return near.select(*_ordered(F.col("node"), F.col("node_"))).distinct()
 
 
