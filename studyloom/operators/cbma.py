@@ -120,12 +120,12 @@ def _whole_units(batches):
         yield from parts(pa.Table.from_batches(held), True)
 
 
-def _unit_cells(batches, k: grids.Kernel):
-    """(column, rows, at) of sorted cells: units of equal numbers of cells, (n, units)
-    places, with the rows of the input that they are, and that input."""
+def _unit_cells(batches, k: grids.Kernel, together: int = grids.TOGETHER):
+    """(column, rows, at) of sorted cells: units of equal numbers of cells, or of many,
+    (n, units) places, with the rows of the input that they are, and that input."""
     for column, first, sizes, rows in _whole_units(batches):
         places = k.place(*(rows.column(c).to_numpy() for c in "ijk"))
-        for _, at in grids.by_size(first, sizes, k.limit):
+        for _, at in grids.by_size(first, sizes, k.limit, together):
             yield column, rows, at, places[at]
 
 
@@ -144,7 +144,7 @@ def _summed(foci: DataFrame, step: int, radius: float | None, fwhm: float | None
             return pa.RecordBatch.from_arrays([pa.array([column] * len(some), arrow), pa.array(at[some]), pa.array(total[some])], ["column", "voxel", "stat"])
 
         own = made = arrow = None
-        for column, table, _, places in _unit_cells(batches, k):
+        for column, table, _, places in _unit_cells(batches, k, grids.LANES):
             if made is None or column != own:
                 if made is not None:
                     yield rows(own, made)
@@ -414,6 +414,7 @@ def drawn_map(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random
     one focus are counts of the grid's voxels, drawn as such if they are many."""
     k = _kernel(step, None, fwhm) if name == "ale" else _kernel(step, radius, None)
     made, cells = grids.Map(k), len(k.cells)
+    waiting, units_waiting = [], 0
     if name == "kda":  # foci of a unit don't meet
         sizes = [(1, sum(n * units for n, units in sizes))]
     for n, units in sizes:
@@ -422,7 +423,17 @@ def drawn_map(name: str, sizes: list[tuple[int, int]], step: int, rng: np.random
             continue
         each = max(1, grids.DRAWN // n) if n <= k.limit else grids.TOGETHER
         for first in range(0, units, each):
-            made.add(k.cells[rng.integers(0, cells, (n, min(each, units - first)), np.int32)])
+            at = k.cells[rng.integers(0, cells, (n, min(each, units - first)), np.int32)]
+            if n <= k.limit:
+                made.add(at)
+                continue
+            if waiting and (units_waiting + at.shape[1] > grids.LANES or n * (units_waiting + at.shape[1]) > grids.BESIDE):
+                made.add(grids.side_by_side(waiting))
+                waiting, units_waiting = [], 0
+            waiting.append(at)
+            units_waiting += at.shape[1]
+    if waiting:
+        made.add(grids.side_by_side(waiting))
     total = made.total()
     return (1 - np.exp(-total) if name == "ale" else total).reshape(k.shape)
 
@@ -436,7 +447,8 @@ def largest_clusters(grid: np.ndarray, level: float) -> tuple[int, float]:
     """Most voxels and largest mass, the sum of what exceeds ``level``, of the
     face-connected sets of voxels at or above it; zeros if there are none.
 
-    Voxels in a row are one run; runs that touch are united."""
+    Voxels in a row are one run; runs that touch take the least of their roots, all at
+    once, until none differ."""
     above = grid >= level
     if not above.any():
         return 0, 0.0
@@ -444,18 +456,19 @@ def largest_clusters(grid: np.ndarray, level: float) -> tuple[int, float]:
     run = np.zeros(grid.shape, np.int64)
     run[above] = np.cumsum(edge[above] == 1) - 1
     n = int(run[above].max()) + 1
-    pairs = [np.stack((run[a][both], run[b][both]), 1) for a, b in ((np.s_[:-1], np.s_[1:]), (np.s_[:, :-1], np.s_[:, 1:])) for both in (above[a] & above[b],)]
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for a, b in np.unique(np.concatenate(pairs), axis=0).tolist():
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    of = np.array([root(x) for x in range(n)])[run[above]]
+    pairs = []
+    for a, b in ((np.s_[:-1], np.s_[1:]), (np.s_[:, :-1], np.s_[:, 1:])):
+        both = above[a] & above[b]
+        pair = np.stack((run[a][both], run[b][both]))
+        pairs.append(pair[:, np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(0)][: pair.shape[1]]])
+    ends, root = np.concatenate(pairs, 1), np.arange(n)
+    while ends.shape[1]:
+        low, high = np.sort(root[ends], 0)
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        ends = ends[:, root[ends[0]] != root[ends[1]]]
+    of = root[run[above]]
     return int(np.bincount(of).max()), float(np.bincount(of, grid[above] - level).max())
 
 

@@ -5,8 +5,9 @@ number and a place outside the grid is padding that is cut off at the end. A uni
 map has, at each voxel, the largest value that a focus of it has there. Foci whose
 kernels meet no other focus of their unit are only counted by place, and the counts
 are spread once for a whole map; two that meet each other alone are counted as well,
-and what they share is taken off once; the rest, and units of more than LIMIT foci,
-are spread one by one.
+and what they share is taken off once; the rest are spread one by one. Units of more than
+LIMIT foci are spread LANES at a time, as the bits of a whole number at each place; a
+focus that is there twice changes nothing, so units of unlike sizes are filled up.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ LIMIT = 64
 LISTED = 1500
 #: Foci that a task takes at once, and units of more than LIMIT foci.
 DRAWN, TOGETHER = 50_000, 16
+#: Units of more than LIMIT foci whose maps are made side by side, and their foci.
+LANES, BESIDE = 64, 1_000_000
 
 
 class Kernel:
@@ -40,6 +43,8 @@ class Kernel:
         self.cells = self.place(*(x.ravel() for x in np.indices(shape)))
         self.inside = np.zeros(self.places, bool)
         self.inside[self.cells] = True
+        # a ball of one value as runs along k: half a run's length for each (di, dj)
+        self.runs = {int(o): int(h) for h, o in sorted((h, o) for *ij, h in ball[:, :3].tolist() for o in [ij @ self.stride[:2]])} if len(self.values) == 1 else {}
         self.limit = LIMIT if len(ball) <= LISTED else 1
         if self.limit > 1:
             self._overlaps()
@@ -134,6 +139,17 @@ class Map:
 
     def add(self, at: np.ndarray) -> None:
         """Units of (n, units) foci."""
+        k = self.kernel
+        n, units = at.shape
+        if n <= k.limit:
+            return self._pieces(at)
+        # nanoseconds: an offset over all places, against a focus spread and a unit's places read
+        beside = 1.5 * len(k.runs or k.offsets) * k.places < min(units, LANES) * (15 * len(k.offsets) * n + 5 * k.places)
+        each = LANES if beside else TOGETHER
+        for x in range(0, units, each):
+            (self._beside if beside else self._pieces)(at[:, x : x + each])
+
+    def _pieces(self, at: np.ndarray) -> None:
         k = self.kernel
         alone, (_, shared, low), (_, place, of) = k.pieces(at)
         self.count(at.ravel()[alone])
@@ -142,16 +158,58 @@ class Map:
         if len(place):
             self.more += np.bincount(place, k.values[of], k.places)
 
+    def _beside(self, at: np.ndarray) -> None:
+        """Units of many foci, LANES at most: a bit a unit at every place."""
+        k = self.kernel
+        foci, near = np.zeros(k.places, np.uint64), np.zeros(k.places, np.uint64)
+        for u in range(at.shape[1]):
+            foci[at[:, u]] |= np.uint64(1 << u)
+        used = np.flatnonzero(foci)
+        a, b = int(used[0]), int(used[-1]) + 1
+        if k.runs:
+            most = max(k.runs.values())
+            wide = [foci]
+            for h in range(1, most + 1):
+                wide.append(wide[-1].copy())
+                wide[-1][a + h : b + h] |= foci[a:b]
+                wide[-1][a - h : b - h] |= foci[a:b]
+            for o, h in k.runs.items():
+                near[a - h + o : b + h + o] |= wide[h][a - h : b + h]
+            self.more += k.values[0] * np.bitwise_count(near)
+            return
+        before = np.zeros(k.places, np.uint8)
+        for c, value in enumerate(k.values):
+            for o in k.offsets[k.of == c].tolist():
+                near[a + o : b + o] |= foci[a:b]
+            now = np.bitwise_count(near)
+            self.more += value * (now - before)
+            before = now
+
     def total(self) -> np.ndarray:
         """The values of the grid, flat."""
         return (self.kernel.spread_counts(self.counts) + self.more)[self.kernel.cells]
 
 
-def by_size(first: np.ndarray, sizes: np.ndarray, limit: int):
+def by_size(first: np.ndarray, sizes: np.ndarray, limit: int, together: int = TOGETHER):
     """Units of equal size at a time: their numbers and the rows of their foci, (n,
-    units). ``first`` has the first row of each unit."""
-    for n in np.unique(sizes).tolist():
+    units). ``first`` has the first row of each unit. Units of more than ``limit`` foci
+    come ``together``, with their last row repeated up to the largest's size."""
+    for n in np.unique(sizes[sizes <= limit]).tolist():
         own = np.flatnonzero(sizes == n)
-        each = max(1, DRAWN // n) if n <= limit else TOGETHER
+        each = max(1, DRAWN // n)
         for x in range(0, len(own), each):
             yield own[x : x + each], first[own[x : x + each]] + np.arange(n)[:, None]
+    large = np.flatnonzero(sizes > limit)
+    large = large[np.argsort(sizes[large], kind="stable")]
+    while len(large):
+        each = min(together, len(large))
+        while each > 1 and sizes[large[each - 1]] * each > BESIDE:
+            each -= 1
+        own, large = large[:each], large[each:]
+        yield own, first[own] + np.minimum(np.arange(sizes[own[-1]])[:, None], sizes[own] - 1)
+
+
+def side_by_side(parts: list[np.ndarray]) -> np.ndarray:
+    """Units of unlike numbers of foci as one table, filled up with their last focus."""
+    most = max(len(p) for p in parts)
+    return np.concatenate([p[np.minimum(np.arange(most), len(p) - 1)] for p in parts], 1)
