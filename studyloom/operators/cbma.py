@@ -1,7 +1,7 @@
 """Coordinate-based meta-analysis as DataFrame programs over all columns at once.
 
-Foci have (column, unit, x, y, z) in mm. They are put on a grid, reduced to
-distinct voxels of a unit and dealt out by unit. A task sums the maps of its units
+Foci have (column, unit, x, y, z) in mm. They are put on a grid, dealt out by unit
+and sorted, and repeated voxels of a unit are passed over. A task sums the maps of its units
 on one grid a column (``grids.py``), and these are added by (column, voxel): what is
 shuffled is a row a focus and a grid a task, not a row a voxel of a unit. The voxel
 key packs i, j, k.
@@ -75,9 +75,11 @@ def grid_size(step: int) -> int:
 
 
 def _cells(foci: DataFrame, step: int) -> DataFrame:
-    """Distinct voxels of each unit. Units are dealt out here, while rows are few; what
-    is spread from them afterwards stays where it is."""
-    return on_grid(foci, step).select("column", "unit", "i", "j", "k").repartition("column", "unit").distinct()
+    """Voxels of each unit, sorted. Units are dealt out here, while rows are few; what is
+    spread from them afterwards stays where it is. Equal voxels are told by the order
+    (``_whole_units``), so no task holds its rows in a hash map."""
+    cells = on_grid(foci, step).select("column", "unit", voxel(F.col("i"), F.col("j"), F.col("k")).alias("cell"))
+    return cells.repartition("column", "unit").sortWithinPartitions("column", "unit", "cell")
 
 
 @lru_cache(8)
@@ -97,14 +99,20 @@ def _kernel(step: int, radius: float | None, fwhm: float | None, steps: int | No
 
 
 def _whole_units(batches):
-    """(column, first, sizes, rows) of rows sorted by column and unit, some whole units of
-    a column at a time: each unit's first row and number of rows. A unit has a row a
-    voxel at most, so what is held back is bounded by the grid."""
+    """(column, first, sizes, rows) of rows sorted by column, unit and cell, some whole
+    units of a column at a time: each unit's first row and number of rows. Repeated cells
+    are left out, so a unit has a row a voxel at most, and what is held back is bounded
+    by the grid."""
     held: list[pa.RecordBatch] = []
+    came = 0
 
     def parts(rows: pa.Table, last: bool):
         codes = [rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in ("column", "unit")]
         new = [np.r_[True, c[1:] != c[:-1]] for c in codes]
+        cell = rows.column("cell").to_numpy()
+        fresh = new[0] | new[1] | np.r_[True, cell[1:] != cell[:-1]]
+        if not fresh.all():
+            rows, new = rows.filter(pa.array(fresh)), [c[fresh] for c in new]
         starts = np.flatnonzero(new[0] | new[1])
         ends = np.r_[starts[1:], rows.num_rows] if last else starts[1:]
         runs = np.flatnonzero(new[0][starts[: len(ends)]])
@@ -114,7 +122,9 @@ def _whole_units(batches):
 
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= grids.DRAWN:
+        came += batch.num_rows
+        if came >= grids.DRAWN:
+            came = 0
             yield from parts(pa.Table.from_batches(held), False)
     if sum(b.num_rows for b in held):
         yield from parts(pa.Table.from_batches(held), True)
@@ -124,7 +134,8 @@ def _unit_cells(batches, k: grids.Kernel, together: int = grids.TOGETHER):
     """(column, rows, at) of sorted cells: units of equal numbers of cells, or of many,
     (n, units) places, with the rows of the input that they are, and that input."""
     for column, first, sizes, rows in _whole_units(batches):
-        places = k.place(*(rows.column(c).to_numpy() for c in "ijk"))
+        cell = rows.column("cell").to_numpy()
+        places = k.place(cell // 1_000_000, cell // 1_000 % 1_000, cell % 1_000)
         for _, at in grids.by_size(first, sizes, k.limit, together):
             yield column, rows, at, places[at]
 
@@ -153,8 +164,7 @@ def _summed(foci: DataFrame, step: int, radius: float | None, fwhm: float | None
         if made is not None:
             yield rows(own, made)
 
-    cells = _cells(foci, step).sortWithinPartitions("column", "unit")
-    return cells.mapInArrow(run, f"column {kind}, voxel long, stat double").groupBy("column", "voxel").agg(F.sum("stat").alias("stat"))
+    return _cells(foci, step).mapInArrow(run, f"column {kind}, voxel long, stat double").groupBy("column", "voxel").agg(F.sum("stat").alias("stat"))
 
 
 def mkda(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
@@ -305,8 +315,7 @@ def _histograms(foci: DataFrame, step: int, fwhm: float) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel().astype(np.int32)), classes).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array([column] * len(n), table.schema.field("column").type), lists, pa.array(n)], ["column", "cells", "n"])
 
-    cells = _cells(foci, step).sortWithinPartitions("column", "unit")
-    return cells.mapInArrow(run, f"column {kind}, cells array<int>, n long").groupBy("column", "cells").agg(F.sum("n").alias("n"))
+    return _cells(foci, step).mapInArrow(run, f"column {kind}, cells array<int>, n long").groupBy("column", "cells").agg(F.sum("n").alias("n"))
 
 
 def ale_p(stats: DataFrame, foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
