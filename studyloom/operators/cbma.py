@@ -140,36 +140,48 @@ def _unit_cells(batches, k: grids.Kernel, together: int = grids.TOGETHER):
             yield column, rows, at, places[at]
 
 
-def _summed(foci: DataFrame, step: int, radius: float | None, fwhm: float | None, steps: int | None = None) -> DataFrame:
-    """(column, voxel, stat): the sum of the units' maps; a task has one grid, that of the
-    column at hand."""
+def _summed(foci: DataFrame, step: int, radius: float | None, fwhm: float | None) -> DataFrame:
+    """(column, voxel, stat, n): the sum of the units' maps, n null, and at voxel null the
+    number of units; a task has one grid, that of the column at hand."""
     kind = dict(foci.dtypes)["column"]
 
     def run(batches):
-        k = _kernel(step, radius, fwhm, steps)
-        at = np.stack(np.unravel_index(np.arange(len(k.cells)), k.shape), 1) @ np.array([1_000_000, 1_000, 1])
-
-        def rows(column, made: grids.Map) -> pa.RecordBatch:
-            total = made.total()
-            some = np.flatnonzero(total > k.values.min() / 2)
-            return pa.RecordBatch.from_arrays([pa.array([column] * len(some), arrow), pa.array(at[some]), pa.array(total[some])], ["column", "voxel", "stat"])
-
+        k = _kernel(step, radius, fwhm)
         own = made = arrow = None
+        units = 0
         for column, table, _, places in _unit_cells(batches, k, grids.LANES):
             if made is None or column != own:
                 if made is not None:
-                    yield rows(own, made)
-                own, made, arrow = column, grids.Map(k), table.schema.field("column").type
+                    yield _grid_rows(own, arrow, units, made)
+                own, made, arrow, units = column, grids.Map(k), table.schema.field("column").type, 0
             made.add(places)
+            units += places.shape[1]
         if made is not None:
-            yield rows(own, made)
+            yield _grid_rows(own, arrow, units, made)
+
+    return _cells(foci, step).mapInArrow(run, f"column {kind}, voxel long, stat double, n long").groupBy("column", "voxel").agg(F.sum("stat").alias("stat"), F.sum("n").alias("n"))
+
+
+def _grid_rows(column, kind: pa.DataType, units: int, *maps: grids.Map) -> pa.RecordBatch:
+    """A row a voxel that the first map reaches, with the sums of all maps, and a row of
+    the units' number."""
+    k = maps[0].kernel
+    at = np.stack(np.unravel_index(np.arange(len(k.cells)), k.shape), 1) @ np.array([1_000_000, 1_000, 1])
+    totals = [m.total() for m in maps]
+    some = np.flatnonzero(totals[0] > k.values.min() / 2)
+    more = lambda x, last, of: pa.concat_arrays([pa.array(x, of), pa.array([last], of)])
+    sums = [more(t[some], None, pa.float64()) for t in totals]
+    names = ["stat", *[f"stat{i}" for i in range(1, len(maps))]]
+    return pa.RecordBatch.from_arrays([pa.array([column] * (len(some) + 1), kind), more(at[some], None, pa.int64()), *sums, pa.array([None] * len(some) + [units], pa.int64())], ["column", "voxel", *names, "n"])
 
-    return _cells(foci, step).mapInArrow(run, f"column {kind}, voxel long, stat double").groupBy("column", "voxel").agg(F.sum("stat").alias("stat"))
+
+def _statistic(sums: DataFrame, stat: Column) -> DataFrame:
+    return sums.where("voxel is not null").select("column", "voxel", stat.alias("stat"))
 
 
 def mkda(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
     """(column, voxel, stat): units with a focus within ``radius``."""
-    return _summed(foci, step, radius, None).withColumn("stat", F.col("stat").cast("long"))
+    return _statistic(_summed(foci, step, radius, None), F.col("stat").cast("long"))
 
 
 def kda(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
@@ -188,7 +200,7 @@ def gaussian(step: int, fwhm: float) -> tuple[float, float, float]:
 def ale(foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
     """(column, voxel, stat): 1 - product over units of (1 - activation), where a
     unit's activation is the largest Gaussian value of its foci."""
-    return _summed(foci, step, None, fwhm).withColumn("stat", 1 - F.exp(-F.col("stat")))
+    return _statistic(_summed(foci, step, None, fwhm), 1 - F.exp(-F.col("stat")))
 
 
 ESTIMATORS = {"mkdadensity": mkda, "kda": kda, "ale": ale}
@@ -275,14 +287,25 @@ def _tails(stats: DataFrame, facts: DataFrame, tail) -> DataFrame:
     return stats.join(made, ["column", "stat"]).select(*stats.columns, "p")
 
 
+def mkda_tests(foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
+    """(column, voxel, stat, p): ``mkda`` and ``mkda_p`` by one reading of the foci."""
+    sums = _kept(_summed(foci, step, radius, None))
+    facts = sums.groupBy("column").agg(F.sum("stat").alias("filled"), F.sum("n").alias("units"))
+    return _binomial(_statistic(sums, F.col("stat").cast("long")), facts, step)
+
+
+def _binomial(stats: DataFrame, facts: DataFrame, step: int) -> DataFrame:
+    size = grid_size(step)
+    return _tails(stats, facts, lambda k, r: binomial_tails(k, int(r["units"]), r["filled"] / r["units"] / size))
+
+
 def mkda_p(stats: DataFrame, foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
     """Adds ``p``: the tail of a binomial over units, whose rate is the mean share of
     the grid that a unit's map covers."""
     stats = _kept(stats)
     filled = stats.groupBy("column").agg(F.sum("stat").alias("filled"))  # every voxel of a unit's map counts once in a statistic
     units = on_grid(foci, step).select("column", "unit").distinct().groupBy("column").agg(F.count("*").alias("units"))
-    size = grid_size(step)
-    return _tails(stats, filled.join(units, "column"), lambda k, r: binomial_tails(k, int(r["units"]), r["filled"] / r["units"] / size))
+    return _binomial(stats, filled.join(units, "column"), step)
 
 
 def kda_p(stats: DataFrame, foci: DataFrame, step: int = 4, radius: float = RADIUS) -> DataFrame:
@@ -294,32 +317,59 @@ def kda_p(stats: DataFrame, foci: DataFrame, step: int = 4, radius: float = RADI
     return _tails(stats, facts, lambda k, r: poisson_tails(k, r["foci"] / size))
 
 
-def _histograms(foci: DataFrame, step: int, fwhm: float) -> DataFrame:
-    """(column, cells, n): how many voxels of a unit's map have each value of the kernel,
-    and how many units have the same numbers."""
+def _sums_and_histograms(foci: DataFrame, step: int, fwhm: float) -> DataFrame:
+    """Two kinds of rows of one reading: (column, voxel, stat, whole) with the sum of the
+    units' maps, and of these in whole steps; (column, cells, n) with how many voxels of a
+    unit's map have each value of the kernel, and how many units have the same numbers."""
     kind = dict(foci.dtypes)["column"]
 
     def run(batches):
-        k = _kernel(step, None, fwhm, STEPS)
+        k, whole = _kernel(step, None, fwhm), _kernel(step, None, fwhm, STEPS)
         classes = len(k.values)
         around = np.zeros((k.places, classes), np.int32)
         for o, c in zip(k.offsets.tolist(), k.of.tolist()):
             around[k.cells, c] += k.inside[k.cells + o]
+        own = maps = arrow = None
+
+        def sums() -> pa.RecordBatch:
+            rows = _grid_rows(own, arrow, 0, *maps)
+            return batch(*(rows.column(c).slice(0, rows.num_rows - 1) for c in ("column", "voxel", "stat", "stat1")))
+
+        def batch(column, voxel=None, stat=None, steps=None, cells=None, n=None) -> pa.RecordBatch:
+            given = {"voxel": (voxel, pa.int64()), "stat": (stat, pa.float64()), "whole": (steps, pa.float64()), "cells": (cells, pa.list_(pa.int32())), "n": (n, pa.int64())}
+            return pa.RecordBatch.from_arrays([column, *[pa.nulls(len(column), t) if x is None else x for x, t in given.values()]], ["column", *given])
+
         for column, table, _, at in _unit_cells(batches, k):
-            alone, (focus, shared, low), (unit, place, of) = k.pieces(at)
+            if maps is None or column != own:
+                if maps is not None:
+                    yield sums()
+                own, maps, arrow = column, [grids.Map(k), grids.Map(whole)], table.schema.field("column").type
+            pieces = alone, (focus, shared, low), (unit, place, of) = k.pieces(at)
+            for m in maps:
+                m.put(at, pieces)
             found = (around[at.ravel()] * alone[:, None]).reshape(*at.shape, classes).sum(0)
             for where, spot, c, sign in ((focus % at.shape[1], shared, low, -1), (unit, place, of, 1)):
-                own = k.inside[spot]
-                found += sign * np.bincount(where[own] * classes + c[own], minlength=found.size).reshape(found.shape)
+                inner = k.inside[spot]
+                found += sign * np.bincount(where[inner] * classes + c[inner], minlength=found.size).reshape(found.shape)
             cells, n = np.unique(found, axis=0, return_counts=True)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel().astype(np.int32)), classes).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([column] * len(n), table.schema.field("column").type), lists, pa.array(n)], ["column", "cells", "n"])
+            yield batch(pa.array([column] * len(n), arrow), cells=lists, n=pa.array(n))
+        if maps is not None:
+            yield sums()
 
-    return _cells(foci, step).mapInArrow(run, f"column {kind}, cells array<int>, n long").groupBy("column", "cells").agg(F.sum("n").alias("n"))
+    made = _cells(foci, step).mapInArrow(run, f"column {kind}, voxel long, stat double, whole double, cells array<int>, n long")
+    return made.groupBy("column", "voxel", "cells").agg(F.sum("stat").alias("stat"), F.sum("whole").cast("long").alias("whole"), F.sum("n").alias("n"))
 
 
 def ale_p(stats: DataFrame, foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
-    """Adds ``p``: the share of a null distribution at or above the statistic.
+    """Adds ``p`` of ``ale_tests``."""
+    found = ale_tests(foci, step, fwhm).select("column", "voxel", "p")
+    return stats.join(found, ["column", "voxel"]).select(*stats.columns, "p")
+
+
+def ale_tests(foci: DataFrame, step: int = 4, fwhm: float = FWHM) -> DataFrame:
+    """(column, voxel, stat, p): ``ale``, and the share of a null distribution at or above
+    the statistic, by one reading of the foci.
 
     With l = -log(1 - activation), units add up; here l is a whole number of STEPS up to
     the kernel's peak, in the voxels' own sums as in the null, so large sums neither
@@ -328,14 +378,14 @@ def ale_p(stats: DataFrame, foci: DataFrame, step: int = 4, fwhm: float = FWHM)
     Their Fourier transforms are multiplied, as sums of logarithms, once for units with
     equal histograms, at the frequencies where the product can exceed exp(-60). The
     transforms' rounding leaves some 1e-12 of noise; 1e-15 is the least value given."""
-    size, kind = grid_size(step), dict(stats.dtypes)["column"]
-    sums = _kept(_summed(foci, step, None, fwhm, STEPS).withColumn("stat", F.col("stat").cast("long")))
-    units = _kept(_histograms(foci, step, fwhm))
+    size, kind = grid_size(step), dict(foci.dtypes)["column"]
+    kept = _kept(_sums_and_histograms(foci.where("column is not null"), step, fwhm))  # a null equals no column
+    sums, units = kept.where("voxel is not null"), kept.where("voxel is null").select("column", "cells", "n")
     values = _kernel(step, None, fwhm, STEPS).values
     covered = F.aggregate("cells", F.lit(0), lambda x, y: x + y)
     facts = units.groupBy("column").agg(F.array(*[F.sum(F.col("n") * F.col("cells")[c] * (size - covered) / size / size) for c in range(len(values))]).alias("rates"))
     bins, used = {}, {}
-    for r in facts.join(sums.groupBy("column").agg(F.max("stat").alias("top")), "column").collect():  # a row a column
+    for r in facts.join(sums.groupBy("column").agg(F.max("whole").alias("top")), "column").collect():  # a row a column
         n = bins[r["column"]] = max(BINS, 1 << math.ceil(math.log2(1.5 * r["top"])))
         some = []
         for first in range(0, n // 2 + 1, 65536):
@@ -370,19 +420,18 @@ def ale_p(stats: DataFrame, foci: DataFrame, step: int = 4, fwhm: float = FWHM)
 
     def nulls(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
-            return pd.DataFrame({"column": [], "stat": [], "p": []})
+            return pd.DataFrame({"column": [], "whole": [], "p": []})
         n = bins[rows["column"].iloc[0]]
         wave = np.zeros(n // 2 + 1, complex)
         wave[rows["k"]] = np.exp(rows["re"].to_numpy() + 1j * rows["im"].to_numpy())
         tail = np.cumsum(np.clip(np.fft.irfft(wave, n), 0, None)[::-1])[::-1]
-        return pd.DataFrame({"column": asked["column"], "stat": asked["stat"], "p": np.clip(tail[asked["stat"]], 1e-15, 1)})
+        return pd.DataFrame({"column": asked["column"], "whole": asked["whole"], "p": np.clip(tail[asked["whole"]], 1e-15, 1)})
 
     tasks = int(foci.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = units.repartition(tasks, "column", "cells").sortWithinPartitions("column")
     parts = dealt.mapInArrow(transforms, f"column {kind}, k long, re double, im double").groupBy("column", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    null = parts.groupBy("column").cogroup(sums.select("column", "stat").distinct().groupBy("column")).applyInPandas(nulls, f"column {kind}, stat long, p double")
-    found = sums.join(null, ["column", "stat"]).select("column", "voxel", "p")
-    return stats.join(found, ["column", "voxel"]).select(*stats.columns, "p")
+    null = parts.groupBy("column").cogroup(sums.select("column", "whole").distinct().groupBy("column")).applyInPandas(nulls, f"column {kind}, whole long, p double")
+    return sums.join(null, ["column", "whole"]).select("column", "voxel", (1 - F.exp(-F.col("stat"))).alias("stat"), "p")
 
 
 P_VALUES = {"mkdadensity": mkda_p, "kda": kda_p, "ale": ale_p}

@@ -150,8 +150,12 @@ class Map:
             (self._beside if beside else self._pieces)(at[:, x : x + each])
 
     def _pieces(self, at: np.ndarray) -> None:
+        self.put(at, self.kernel.pieces(at))
+
+    def put(self, at: np.ndarray, pieces: tuple) -> None:
+        """Units of (n, units) foci, by the pieces of a kernel of the same offsets."""
         k = self.kernel
-        alone, (_, shared, low), (_, place, of) = k.pieces(at)
+        alone, (_, shared, low), (_, place, of) = pieces
         self.count(at.ravel()[alone])
         if len(shared):
             self.more -= np.bincount(shared, k.values[low], k.places)

@@ -597,8 +597,7 @@ def kda_p_values(spark, sf_dir):
 
 @query()
 def ale_p_values(spark, sf_dir):
-    foci = _foci(spark, sf_dir)
-    return cbma.ale_p(cbma.ale(foci, STEP), foci, STEP)
+    return cbma.ale_tests(_foci(spark, sf_dir), STEP)
 
 
 @query()
