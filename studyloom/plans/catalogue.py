@@ -585,8 +585,7 @@ def bonferroni(spark, sf_dir):
 
 @query(_GRID + _MKDA_P, "v_foci")
 def mkda_p_values(spark, sf_dir):
-    foci = _foci(spark, sf_dir)
-    return cbma.mkda_p(cbma.mkda(foci, STEP, R), foci, STEP, R).withColumn("p", F.round("p", 9))
+    return cbma.mkda_tests(_foci(spark, sf_dir), STEP, R).withColumn("p", F.round("p", 9))
 
 
 @query(_GRID + _KDA_P, "v_foci")
