@@ -608,7 +608,7 @@ def montecarlo_fwe(spark, sf_dir):
 @query()
 def montecarlo_clusters(spark, sf_dir):
     foci = _foci(spark, sf_dir)
-    tests = cbma.mkda_p(cbma.mkda(foci, STEP, R), foci, STEP, R)
+    tests = cbma.mkda_tests(foci, STEP, R)
     return cbma.montecarlo_clusters(foci, tests, step=STEP)
 
 
@@ -633,7 +633,7 @@ def foci_of_spaces(spark, sf_dir):
 @query()
 def focus_counter(spark, sf_dir):
     foci = _foci(spark, sf_dir)
-    stats = cbma.correct("fdr", foci, cbma.mkda_p(cbma.mkda(foci, STEP, R), foci, STEP, R), STEP)
+    stats = cbma.correct("fdr", foci, cbma.mkda_tests(foci, STEP, R), STEP)
     return cbma.focus_counter(foci, stats.where("q < 0.05"), STEP)
 
 
