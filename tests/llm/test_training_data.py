@@ -588,6 +588,85 @@ def test_ctw(spark, odd, none):
     assert ctw.score_documents(none, F.lit(False)).count() == 0
 
 
+def test_ctw_long_text_in_little_memory():
+    """A text of some pieces takes no more than the pieces do."""
+    import tracemalloc
+
+    from studyloom.llm import ctw
+
+    rng = random.Random(31)
+    text = " ".join(prose(rng, 20, 50) for _ in range(40)) * 4000
+    text = text[: 4 * ctw.PIECE_BYTES]
+    tracemalloc.start()
+    block = ctw._Block()
+    block.add(text, False)
+    key, n = ctw._merged(block.runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+    assert (key == np.unique(ctw.strings_of([ctw.normal(text)]))).all() and n.sum() == len(text) + 1
+    assert block.tokens == Counter([*ctw.normal(text).split(), b""])
+
+
+def test_ctw_pieces(monkeypatch):
+    """Texts cut into pieces, and blocks that are given out in parts, have the sums of whole ones."""
+    from studyloom.llm import ctw
+
+    rng = random.Random(32)
+    texts = ["", " ", "a", "x" * 200, " \n" * 60, *["".join(rng.choice("ab é\t\n") for _ in range(rng.randrange(300))) for _ in range(60)]]
+    raws = [ctw.normal(t) for t in texts]
+
+    def counted():
+        found, block = {0: Counter(), 1: Counter()}, ctw._Block()
+        parts = 0
+        for k, t in enumerate(texts):
+            block.add(t, k % 3 == 1)
+            if full := block.full() or k == len(texts) - 1:
+                parts += full
+                for r in block.rows(7):
+                    for kind, key, n in zip(*(r.column(c).to_pylist() for c in ("kind", "key", "n"))):
+                        found[kind][key] += n
+        return found, parts
+
+    def scored(found):
+        keys = lambda kind: (np.array([*found[kind]]), np.array([*found[kind].values()], float))
+        return *ctw.token_sums(raws, ctw._Counts(*keys(1)), 2.0), ctw.text_sums(raws, ctw._Scores(*keys(0)))
+
+    whole, parts = counted()
+    assert parts == 1
+    sums = scored(whole)
+    assert sums[0].tolist() == [len(r.split()) + 1 for r in raws]
+    strings = Counter(k for t, r in enumerate(raws) if t % 3 != 1 for k in ctw.strings_of([r]).tolist())
+    assert {k: n for k, n in whole[0].items() if n} == strings
+    for name, most in (("PIECE_BYTES", 17), ("PIECE_ROWS", 5), ("MOST_STRINGS", 100), ("MOST_TOKENS", 20)):
+        monkeypatch.setattr(ctw, name, most)
+    for r in raws:
+        assert np.concatenate([*ctw.strings_of_long(r)]).tolist() == ctw.strings_of([r]).tolist()
+        assert [w for part in ctw.word_lists(r) for w in part] == [*r.split(), b""]
+    cut, parts = counted()
+    assert parts > 3 and cut == whole
+    for a, b in zip(sums, scored(cut)):
+        assert b == pytest.approx(a)
+
+
+def test_ctw_blocks_of_unlike_texts(spark, monkeypatch):
+    """Where texts don't repeat their strings, a block has fewer of them."""
+    from studyloom.llm import ctw
+
+    rng = random.Random(33)
+    docs = documents(spark, ["".join(rng.choice("0123456789abcdefghijkl ") for _ in range(400)) for _ in range(60)])
+    held, blocks = F.col("doc_id") % 5 == 1, []
+    plain = {r["doc_id"]: r for r in ctw.score_documents(docs, held).collect()}
+    count = ctw.block_counts
+    monkeypatch.setattr(ctw, "block_counts", lambda blocked: blocks.append(blocked.select("block").distinct().count()) or count(blocked))
+    monkeypatch.setattr(ctw, "MOST_STRINGS", 5000, raising=False)
+    cut = {r["doc_id"]: r for r in ctw.score_documents(docs, held).collect()}
+    assert blocks[0] == 1 and 3 <= blocks[-1] <= 5
+    assert cut.keys() == plain.keys()
+    for d, r in cut.items():
+        assert r[:6] == plain[d][:6] and r[6:] == pytest.approx(plain[d][6:])
+
+
 # --- trie counts
 
 
