@@ -260,10 +260,15 @@ def binomial_tails(k: np.ndarray, n: int, p: float) -> np.ndarray:
 
 
 def poisson_tails(k: np.ndarray, mean: float) -> np.ndarray:
-    """Probability of k or more events, for all ``k``."""
-    x = np.arange(max(0, k.min()), int(max(k.max(), mean) + 40 * math.sqrt(mean) + 200) + 1)
-    tails = np.cumsum(np.exp(x * math.log(mean) - mean - _log_factorials(x))[::-1])[::-1]
-    return np.where(k <= 0, 1.0, np.minimum(1.0, tails[np.maximum(k, x[0]) - x[0]]))
+    """Probability of k or more events, for all ``k``. Terms follow from each other,
+    outward from the largest, and are divided by their sum: their logarithms would lose
+    digits with large means."""
+    reach = 40 * math.sqrt(mean) + 200
+    first, mode, last = max(0, int(mean - reach)), int(mean), int(max(k.max(), mean) + reach)
+    below = np.cumprod(np.arange(mode, first, -1) / mean)[::-1]
+    terms = np.concatenate([below, [1.0], np.cumprod(mean / np.arange(mode + 1, last + 1))])
+    tails = np.cumsum(terms[::-1])[::-1]
+    return np.where(k <= first, 1.0, np.minimum(1.0, tails[np.maximum(k, first) - first] / tails[0]))
 
 
 def _kept(rows: DataFrame) -> DataFrame:
